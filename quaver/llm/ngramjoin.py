@@ -9,8 +9,8 @@
    shingles, enough that any two sets of Jaccard >= t share one.  A posting
    carries the size and position; length and positional filters give the range
    of partner sizes it can still match.
-4. Postings meet by shingle.  First each one is paired with its next possible
-   partners in the list; these pairs are verified once and connected.  Then
+4. Postings meet by shingle.  First each one is paired with its list's two hubs
+   and its next possible partner; these pairs are verified once and connected.  Then
    every further pair that passes the filters and whose ends are not connected
    yet is verified once.  Pairs inside a component are skipped: no link can
    change it.  Verification bounds the overlap of the suffixes by their counts
@@ -156,37 +156,41 @@ def _pair_batch(a: list[np.ndarray], b: list[np.ndarray], na: list[np.ndarray],
 
 
 def _lists(t: Fraction, reach: int):
-    """Postings of lists with at least one possible pair, and each posting's next partners (up to ``reach``)."""
+    """Postings of lists with at least one possible pair, each with up to three partners to try first:
+    the list's two hubs (the texts that can still match the largest sets, so have least of their own) and
+    the next possible one in the list's order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _grouped(batches):
             st, en = _bounds(x)
             keep = x["dealt"] > 0  # its other blocks may hold partners
-            near = np.full(len(x["h"]), -1, np.int64)
             size = en - st
             most = _most(x["n"], x["pos"], t)
-            # all lists at once: a posting and the one after it (rows are sorted by size within a list)
+            rank = np.repeat(np.arange(len(st)), size)
+            best = np.lexsort((x["doc"], -most, rank))
+            hubs = (best[st], best[np.minimum(st + 1, en - 1)])
+            fits = lambda i, j: (x["n"][j] <= most[i]) & (x["n"][i] <= most[j]) & (x["doc"][i] != x["doc"][j])
+            near = np.full((3, len(keep)), -1, np.int64)
+            for r, hub in enumerate(hubs):
+                j = hub[rank]
+                i = np.flatnonzero((size[rank] > 1) & fits(np.arange(len(keep)), j))
+                near[r, i] = j[i]
             for gap in range(1, reach + 1):
                 i = np.flatnonzero(np.repeat(en, size) - np.arange(len(keep)) > gap)
-                if not len(i):
-                    break
                 j = i + gap
-                ok = (x["n"][j] <= most[i]) & (x["n"][i] <= most[j]) & (x["doc"][i] != x["doc"][j])
-                i, j = i[ok], j[ok]
-                free = near[i] < 0
-                near[i[free]] = j[free]
-                keep[i] = keep[j] = True
-            # longer lists may hold pairs further apart
+                ok = fits(i, j) & (near[2, i] < 0)
+                near[2, i[ok]] = j[ok]
+            for r in range(3):
+                i = np.flatnonzero(near[r] >= 0)
+                keep[i] = keep[near[r, i]] = True
+            # longer lists may hold pairs further apart (rows are sorted by size within a list)
             for s, e in zip(st[size > reach + 1], en[size > reach + 1], strict=True):
                 n, m = x["n"][s:e], most[s:e]
                 to = np.searchsorted(n, m, "right")
                 keep[s:e] |= (to - np.arange(len(n)) > 1) | (m >= n[0])
             i = np.flatnonzero(keep)
-            j = near[i]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[c][i], pa.int64()) for c in ("h", "cell", "doc")] + [pa.array(x[c][i], pa.int32()) for c in ("n", "pos")] + [pa.array(np.where(j >= 0, x["doc"][j], -1), pa.int64()), pa.array(np.where(j >= 0, x["n"][j], 0), pa.int32())],
-                ["h", "cell", "doc", "n", "pos", "near", "near_n"],
-            )
+            tries = [pa.array(np.where(near[r, i] >= 0, x["doc"][near[r, i]], -1), pa.int64()) for r in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(x[c][i], pa.int64()) for c in ("h", "cell", "doc")] + [pa.array(x[c][i], pa.int32()) for c in ("n", "pos")] + tries, ["h", "cell", "doc", "n", "pos", "t0", "t1", "t2"])
 
     return run
 
@@ -287,10 +291,12 @@ def near_groups(docs: DataFrame, k: int = 5, threshold: str = "0.8", key: str =
     # within a size, an order of each list's own: its neighbours differ from those in other lists
     dealt = dealt.repartition("h", "cell").sortWithinPartitions("h", "cell", "n", F.xxhash64("doc", "h"))
     # one list of a long shingle is many cells: blocks meet in the second round
-    lists = materialise(dealt.mapInArrow(_lists(t, 2), "h long, cell long, doc long, n int, pos int, near long, near_n int"), "lists")
-    first = lists.where("near >= 0").groupBy(F.least("doc", "near").alias("a"), F.greatest("doc", "near").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    first = first.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))).where(F.col("r") <= FIRST)
-    first = materialise(first.select("a", "b"), "pairs1")
+    lists = materialise(dealt.mapInArrow(_lists(t, 2), "h long, cell long, doc long, n int, pos int, t0 long, t1 long, t2 long"), "lists")
+    tries = lists.select("doc", F.explode(F.array_distinct(F.filter(F.array("t0", "t1", "t2"), lambda v: v >= 0))).alias("near"))
+    # the partners that share most lists with a text, whichever text they are
+    tried = tries.groupBy("doc", "near").agg(F.count(F.lit(1)).alias("c"))
+    tried = tried.withColumn("r", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("c"), "near"))).where(F.col("r") <= FIRST)
+    first = materialise(tried.select(F.least("doc", "near").alias("a"), F.greatest("doc", "near").alias("b")).distinct(), "pairs1")
     links = verify(texts, first, k, t, "links1")
     comp = materialise(components(links), "comp1")
     held = lists.select("h", "cell", "doc", "n", "pos").join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
