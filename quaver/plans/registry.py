@@ -1,6 +1,4 @@
 """All queries over the supplied tables, and the SQL that checks them."""
 
-from __future__ import annotations
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from quaver.plans import content, evaluation, history, ordered  # noqa: F401  they register themselves
+from quaver.plans.base import ORACLES, QUERIES  # noqa: F401
