@@ -1,0 +1,113 @@
+"""Exact values of the operators on literal inputs."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from quaver.functions import signals as G
+from quaver.functions import text as X
+from quaver.operators import evaluation as E
+from quaver.operators import history as H
+from quaver.operators import sequences as S
+from quaver.sources import charts, delimited, lyrics
+from quaver.streaming import events as V
+
+
+def one(spark, *cols):
+    return spark.range(1).select(*cols).first()
+
+
+def test_pitch_and_ticks(spark):
+    r = one(spark, *[G.pitch(F.lit(h)) for h in (440.0, 261.625565, 220.0, 0.0, math.nan)], *[G.ticks(F.lit(s)) for s in (1.0, 10.05, -1.0)])
+    assert tuple(r) == (9, 0, -3, None, None, 20, 201, 0)
+
+
+@pytest.mark.parametrize(
+    ("ref", "hyp", "want"),
+    [("one two three four", "one wrong four extra", (3, 1, 1, 1)), ("a b c", "a c", (1, 0, 1, 0)), ("a b", "a b c", (1, 0, 0, 1)), ("a b", "", (2, 0, 2, 0)), ("", "x y", (2, 0, 0, 2))],
+)
+def test_edit_distance(spark, ref, hyp, want):
+    arr = lambda s: F.array(*[F.lit(x) for x in s.split()]).cast("array<string>")
+    r = one(spark, S.edit_distance(arr(ref), arr(hyp)).alias("d")).d
+    assert r.errors == want[0]
+    assert (r.substitutions + r.deletions + r.insertions) == want[0]
+    if len(ref.split()) != 4:
+        assert tuple(r) == want
+
+
+def test_units(spark):
+    r = one(spark, X.units(F.lit("¡Óyeme! Don't, don’t"), F.lit("es")), X.units(F.lit("桜、さくら。"), F.lit("ja")))
+    assert r[0] == ["óyeme", "don't", "don't"]
+    assert r[1] == ["桜", "さ", "く", "ら"]
+
+
+def test_exact_normaliser(spark):
+    assert spark.createDataFrame([("Ｓtraße №1!",)], "t string").select(X.normalized_exact("t")).first()[0] == "strasseno1"
+
+
+def test_note_packing(spark):
+    df = spark.createDataFrame([(1, [(200, 209), (208, 218)])], "id int, x array<struct<start:long,stop:long>>")
+    assert [tuple(x) for x in S.pack(df, "id", F.col("x"), F.lit(240)).first().packed] == [(200, 9), (209, 9)]
+    assert S.pack(spark.createDataFrame([(1, [])], df.schema), "id", F.col("x")).first().packed == []
+
+
+def test_history_pages(spark):
+    df = spark.range(25).select(F.col("id"), (F.col("id") % 3).alias("created"))
+    first = H.page(df, "created", "id", 20).collect()
+    last = first[-1]
+    rest = H.page(H.after_cursor(df, "created", "id", F.lit(last.created), F.lit(last.id)), "created", "id", 20).collect()
+    assert (len(first), len(rest), first[0].has_next, rest[0].has_next) == (20, 5, True, False)
+    assert len({r.id for r in first + rest}) == 25
+
+
+def test_upserts(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
+    assert sorted(map(tuple, H.upsert(base, new, "k").collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    assert sorted(map(tuple, H.insert_missing(base, new, "k").collect())) == [(1, "a"), (2, "b"), (3, "d")]
+    assert sorted(map(tuple, H.partial_update(base, new, "k", ["v"]).collect())) == [(1, "a"), (2, "c")]
+
+
+def test_medians(spark):
+    df = spark.createDataFrame([("a", x) for x in (4.0, 1.0, 3.0, 2.0)] + [("b", 7.0)], "g string, v double")
+    assert [tuple(r) for r in E.upper_median(df, "g", "v").collect()] == [("a", 3.0, 4)]
+    assert {r.g: r.p95 for r in E.p95_disc(df, "g", "v").collect()} == {"a": 4.0, "b": 7.0}
+
+
+def test_gate(spark):
+    r = E.gate(spark.createDataFrame([(1, None)], "a int, b int"), [("first", F.col("a") == 1), ("second", F.col("b") == 1)]).first()
+    assert (r.reasons, r.passed) == ("second", False)
+
+
+def test_lyrics_problems(spark):
+    rows = [(1, "[00:99]bad"), (2, "[00:01]a\nplain"), (3, "[offset:5]"), (4, ""), (5, "[00:01.5]a\n[00:02]b"), (6, "plain\nlines")]
+    got = {r.id: r.problem for r in lyrics.problems(spark.createDataFrame(rows, "id int, text string")).collect()}
+    assert got == {1: "stamp", 2: "mixed", 3: "empty", 4: "empty", 5: None, 6: None}
+
+
+def test_chart_headers_and_render(spark):
+    df = spark.createDataFrame([(1, "#TITLE:a\n#title: b\n: 0 2 9 hi\nE")], "id int, text string")
+    assert [tuple(r) for r in charts.headers(df).collect()] == [(1, "TITLE", "b")]
+    rows = spark.createDataFrame([(1, [(":", 200, 9, 9, "hi "), (":", 209, 9, 9, "there")])], "id int, n array<struct<kind:string,beat:int,length:int,pitch:int,text:string>>")
+    chart = charts.render(rows, "id", F.col("n"), F.lit("t"))
+    assert ": 200 9 9 hi \n: 209 9 9 there\nE\n" in chart.first().chart
+    assert charts.validate(chart, "id", "chart").first().valid
+
+
+@pytest.mark.parametrize("text", ["url,artist\nhttps://a,b\n", "url,artist,song_name\nhttps://a,b\n", "url,artist,song_name\nhttp://a,b,c\n", 'url,artist,song_name\n"https://a,b,c\n', "url,artist,song_name\n" + "https://a,b,c\n" * 51])
+def test_bad_csv_adds_nothing(spark, text):
+    good, bad = delimited.ingest(spark, spark.createDataFrame([(text,)], "content string"))
+    assert good.count() == 0
+    assert bad.count() > 0
+
+
+def test_stream_equals_batch(spark, small, tmp_path):
+    spark.read.parquet(f"{small}/events.parquet").repartition(1).write.parquet(str(tmp_path / "in"))
+    batch = spark.read.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
+    V.start(V.first_seen(stream), "seen", str(tmp_path / "c1")).start().awaitTermination(120)
+    assert spark.table("seen").count() == batch.count()
+    V.start(V.owned_windows(stream), "owned", str(tmp_path / "c2"), "complete").start().awaitTermination(120)
+    assert sorted(map(tuple, spark.table("owned").collect())) == sorted(map(tuple, V.owned_windows(batch).collect()))
+    assert spark.table("owned").agg(F.sum("owned")).first()[0] == batch.count()
