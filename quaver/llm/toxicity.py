@@ -33,7 +33,9 @@ from quaver.llm import textvec as T
 from quaver.llm.shared import crc32_text
 
 BUCKETS, POSITIVES, UNLABELLED, FEATURES, STEM = 1 << 20, 3_000, 9_000, 4_000, 5
-EPOCHS, RATE, DECAY, SEED = 300, 0.05, 1e-4, 7
+#: Least significance of a feature: 3, or SURE for one in fewer than OFTEN texts, of which chance alone gives many.
+SURE, OFTEN = 4.5, 30
+EPOCHS, RATE, DECAY = 300, 0.05, 1e-4
 
 
 def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,9 +65,9 @@ def choose(pos: list[np.ndarray], unl: list[np.ndarray], limit: int = FEATURES)
     count = lambda docs: np.bincount(np.concatenate(docs), minlength=BUCKETS).astype(float)
     a, b, na, nb = count(pos), count(unl), len(pos), len(unl)
     pa_, pb = a / na, b / nb
-    pool = (a + b) / (na + nb)
+    pool = (a + b + 1) / (na + nb + 2)
     z = (pa_ - pb) / np.sqrt(pool * (1 - pool) * (1 / na + 1 / nb) + 1e-9)
-    z[a + b < 5] = 0
+    z[(a + b < 3) | ((a + b < OFTEN) & (np.abs(z) < SURE))] = 0
     best = np.argsort(-np.abs(z), kind="stable")[:limit]
     return np.sort(best[np.abs(z[best]) > 3])
 
