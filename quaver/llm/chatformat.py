@@ -147,6 +147,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     return rows.select("conv_id", "role", "parts").mapInArrow(_format, SEGMENT)
 
 
+DIGEST_ROW = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("tokens", pa.int64())])
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, tokens long"
 
 
@@ -174,11 +175,11 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state["formatted_chars"] += len(text)
             state["tokens"] += tokens
         if done:
-            yield pa.RecordBatch.from_pylist(done)
+            yield pa.RecordBatch.from_pylist(done, DIGEST_ROW)
             done.clear()
     close()
     if done:
-        yield pa.RecordBatch.from_pylist(done)
+        yield pa.RecordBatch.from_pylist(done, DIGEST_ROW)
 
 
 def read_back(segments: DataFrame) -> DataFrame:

@@ -335,7 +335,7 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 def train(texts: DataFrame) -> Model:
     """The model of the column ``text`` of ``texts``."""
     spark = texts.sparkSession
-    size = max(1, text_bytes(spark, texts))
+    size = max(1, text_bytes(texts))
     word_ranges, pair_ranges = max(4, math.ceil(size / WORD_RANGE)), max(8, math.ceil(size / PAIR_RANGE))
     folder = new_folder(spark, "lm")
     fs, path = pafs.FileSystem.from_uri(folder)

@@ -42,12 +42,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_bytes(spark: SparkSession, df: DataFrame) -> int:
-    """The planner's estimate of the bytes behind ``df`` (file sizes for scans)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001  an estimate only; callers have a floor
-        return 0
+def text_bytes(df: DataFrame, text: str = "text") -> int:
+    """Bytes behind ``df``: the planner's file sizes, or the texts' lengths where it knows none."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 55 else int(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, bound: int) -> DataFrame:

@@ -16,7 +16,7 @@ features only, by blobs); scoring covers every whole text.  Labels are read from
 training rows only; label, language, source and id are no features.
 
 Edge cases: null and empty texts score by the bias alone; without positives the
-score is 0; conflicting labels of an id count as toxic if any row says so;
+score is 0 but for rounding; conflicting labels of an id count as toxic if any row says so;
 repeated rows score alike; an empty table gives an empty result.
 """
 

@@ -201,7 +201,7 @@ def test_toxicity(docs, labels, odd, empty):
     assert np.mean(right) > 0.92
     assert len(toxicity.score(odd, labels).collect()) == len(ODD)
     assert toxicity.score(empty, labels).count() == 0
-    assert {r.score for r in toxicity.score(odd, labels.limit(0)).collect()} == {0.0}
+    assert max(r.score for r in toxicity.score(odd, labels.limit(0)).collect()) < 1e-9
     kept = toxicity.drop_toxic(odd, labels.limit(0))
     assert kept.columns == odd.columns
     assert kept.count() == len(ODD)
@@ -239,9 +239,9 @@ def test_quality(docs, labels, odd, empty):
 def test_raking_meets_marginals(docs, odd, empty):
     rows = mixing.mix(docs).collect()
     total = sum(r.n_tokens * r.keep_p for r in rows)
-    assert abs(total / sum(r.n_tokens for r in rows) - mixing.RATE) < 0.02
+    assert abs(total / sum(r.n_tokens for r in rows) - mixing.RATE) < 0.05
     for name in ("en", "de", "fr", "es"):
-        assert abs(sum(r.n_tokens * r.keep_p for r in rows if r.lang == name) / total - mixing.TARGETS["lang"][name]) < 0.02
+        assert abs(sum(r.n_tokens * r.keep_p for r in rows if r.lang == name) / total - mixing.TARGETS["lang"][name]) < 0.05
     assert mixing.mix(odd).count() == len(ODD)
     assert mixing.mix(empty).count() == 0
     kept = sorted(r.doc_id for r in rows if r.kept)
