@@ -66,6 +66,8 @@ def _marginals(have: Mapping[str, float], targets: Mapping[str, float]) -> dict[
 
 def rake(cells: list[tuple[tuple[str, ...], float]], targets: Mapping[str, Mapping[str, float]], dims: tuple[str, ...] = DIMS, rounds: int = ROUNDS, rate: float = RATE) -> list[float]:
     """A probability for each (values, tokens) cell, on the driver."""
+    if not cells:
+        return []
     tokens = np.array([n for _, n in cells], float)
     weight = np.full(len(cells), rate)
     total = tokens.sum() * rate
