@@ -13,8 +13,11 @@
    and its next possible partner; these pairs are verified once and connected.  Then
    every further pair that passes the filters and whose ends are not connected
    yet is verified once.  Pairs inside a component are skipped: no link can
-   change it.  Verification bounds the overlap of the suffixes by their counts
-   in hash ranges (suffix filter) before it intersects the sets.
+   change it.  The suffix filter comes before any set is built: a set's parity
+   sketch (bit i: whether an odd number of its shingles hash to i) differs from
+   another's in at most as many bits as the sets differ in shingles, so a pair with
+   more is none.  Verification bounds the overlap by counts in hash ranges, too,
+   before it intersects the sets.
 
 Lists whose estimate says that they are long are dealt into blocks, and block
 pairs meet in tasks of their own, so no list need fit one task.
@@ -46,6 +49,9 @@ from quaver.llm.sketch import dense_sum
 #: candidate ids up to which the second read of the texts broadcasts them;
 #: partners tried for each text in the first round (the second is complete).
 CELLS, LONG, IDS, FIRST = 1 << 18, 200_000, 4_000_000, 4
+#: Least bits of a parity sketch; a set of n has the next power of two from n on.
+BITS = 256
+SIGNATURE = "doc_id long, n long, fp1 long, fp2 long, prefix array<long>, parity array<long>"
 
 
 def _count(k: int):
@@ -69,6 +75,12 @@ def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
+def _parity(own: np.ndarray) -> np.ndarray:
+    bits = max(BITS, 1 << (len(own) - 1).bit_length())
+    odd = np.bincount((T.mix(own) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _signatures(k: int, t: Fraction, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = counts.value
@@ -80,6 +92,7 @@ def _signatures(k: int, t: Fraction, counts):
                 n = np.zeros(j - i, np.int64)
                 fp = np.zeros((2, j - i), np.uint64)
                 pre, po = [], np.zeros(j - i + 1, np.int64)
+                parity, bo = [], np.zeros(j - i + 1, np.int64)
                 for d in range(j - i):
                     own = np.sort(s[so[d] : so[d + 1]])
                     if len(own):
@@ -87,12 +100,16 @@ def _signatures(k: int, t: Fraction, counts):
                         n[d] = len(own)
                         fp[0, d] = T.mix(own + np.uint64(0x51ED27)).sum(dtype=np.uint64)
                         fp[1, d] = T.mix(own ^ np.uint64(0xA5A5F00D12345)).sum(dtype=np.uint64)
+                        parity.append(_parity(own))
                         first = np.argsort(freq[(own & np.uint64(CELLS - 1)).astype(np.int64)], kind="stable")
                         pre.append(own[first[: prefix_length(len(own), t)]])
                     po[d + 1] = po[d] + (len(pre[-1]) if n[d] else 0)
+                    bo[d + 1] = bo[d] + (len(parity[-1]) if n[d] else 0)
                 flat = np.concatenate(pre) if pre else np.zeros(0, np.uint64)
                 lists = pa.ListArray.from_arrays(pa.array(po, pa.int32()), _i64(flat))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), _i64(fp[0].copy()), _i64(fp[1].copy()), lists], ["doc_id", "n", "fp1", "fp2", "prefix"])
+                bits = pa.ListArray.from_arrays(pa.array(bo, pa.int32()), pa.array(np.concatenate(parity) if parity else np.zeros(0, np.int64)))
+                columns = [ids.slice(i, j - i), pa.array(n), _i64(fp[0].copy()), _i64(fp[1].copy()), lists, bits]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "fp1", "fp2", "prefix", "parity"])
 
     return run
 
@@ -266,17 +283,36 @@ def verify(texts: DataFrame, pairs: DataFrame, k: int, t: Fraction, name: str) -
     return materialise(both.mapInArrow(_verify(t), "a long, b long"), name)
 
 
+def plausible(pairs: DataFrame, sketches: DataFrame, t: Fraction) -> DataFrame:
+    """(a, b) of those ``pairs`` that the parity sketches (doc_id, n, parity) do not rule out.
+
+    Sets with Jaccard >= t differ in at most (na + nb) (1 - t) / (1 + t) shingles.
+    Sizes that can match differ by less than two, so their sketches' lengths by one
+    doubling at most; the longer one is folded to the shorter.
+    """
+    side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n").alias("n" + x), F.col("parity").alias("p" + x))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    w = F.least(F.size("pa"), F.size("pb"))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    fold = lambda x: F.when(F.size(x) == 2 * w, F.zip_with(F.slice(x, 1, w), F.slice(x, w + 1, w), xor)).otherwise(F.col(x))
+    unlike = F.aggregate(F.zip_with(fold("pa"), fold("pb"), lambda x, y: F.coalesce(F.bit_count(xor(x, y)), F.lit(0))), F.lit(0), lambda s, x: s + x)
+    p, q = t.numerator, t.denominator
+    return both.where(unlike * F.lit(q + p) <= (F.col("na") + F.col("nb")) * F.lit(q - p)).select("a", "b")
+
+
 def near_groups(docs: DataFrame, k: int = 5, threshold: str = "0.8", key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every row of ``docs``."""
     spark = docs.sparkSession
     t = Fraction(threshold)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     counts = spark.sparkContext.broadcast(dense_sum(texts.select("text"), _count(k), CELLS))
-    sigs = materialise(texts.mapInArrow(_signatures(k, t, counts), "doc_id long, n long, fp1 long, fp2 long, prefix array<long>"), "sigs")
+    sigs = materialise(texts.mapInArrow(_signatures(k, t, counts), SIGNATURE), "sigs")
     some = sigs.where("n > 0 AND doc_id IS NOT NULL")
     classes = materialise(some.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "classes")
     heads = classes.select(F.col("class_id").alias("doc_id"), "fp1", "fp2").distinct()
     reps = some.select("doc_id", "fp1", "fp2", "n", "prefix").join(heads, ["doc_id", "fp1", "fp2"], "left_semi")
+    # a doc_id of several texts has several sketches: a pair stays if any two of them allow it
+    sketches = some.select("doc_id", "n", "parity").distinct()
     freq = counts.value
     long_cells = {int(i): math.ceil(freq[i] / LONG) for i in np.flatnonzero(freq > LONG)}
     post = reps.select("doc_id", "n", F.posexplode("prefix").alias("pos", "h")).select("h", F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), "pos")
@@ -296,7 +332,8 @@ def near_groups(docs: DataFrame, k: int = 5, threshold: str = "0.8", key: str =
     # the partners that share most lists with a text, whichever text they are
     tried = tries.groupBy("doc", "near").agg(F.count(F.lit(1)).alias("c"))
     tried = tried.withColumn("r", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("c"), "near"))).where(F.col("r") <= FIRST)
-    first = materialise(tried.select(F.least("doc", "near").alias("a"), F.greatest("doc", "near").alias("b")).distinct(), "pairs1")
+    met = tried.select(F.least("doc", "near").alias("a"), F.greatest("doc", "near").alias("b")).distinct()
+    first = materialise(plausible(met, sketches, t).distinct(), "pairs1")
     links = verify(texts, first, k, t, "links1")
     comp = materialise(components(links), "comp1")
     held = lists.select("h", "cell", "doc", "n", "pos").join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
@@ -311,7 +348,8 @@ def near_groups(docs: DataFrame, k: int = 5, threshold: str = "0.8", key: str =
     open_ = held.groupBy("h", "cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h", "cell")
     held = held.join(open_, ["h", "cell"], "left_semi").select("h", "cell", "side", "doc", "n", "pos", "comp")
     second = held.repartition("h", "cell").sortWithinPartitions("h", "cell", "n", "doc").mapInArrow(_rest(t), PAIR)
-    second = materialise(second.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs2")
+    second = plausible(second.select("a", "b").distinct(), sketches, t).distinct()
+    second = materialise(second.join(first, ["a", "b"], "left_anti"), "pairs2")
     more = verify(texts, second, k, t, "links2")
     final = materialise(components(links.union(more)), "comp2")
     member = sigs.join(classes.select("fp1", "fp2", "n", "class_id"), ["fp1", "fp2", "n"], "left")
