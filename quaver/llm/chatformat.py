@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaver.llm.shared import map_arrow
+
 #: An image patch's side, tokens of a second of audio, of a page.
 PATCH, AUDIO_RATE, PAGE = 14, 25, 300
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
@@ -144,7 +146,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         tie = F.col("text")
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"), tie.alias("tie"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "tie")
-    return rows.select("conv_id", "role", "parts").mapInArrow(_format, SEGMENT)
+    return map_arrow(rows.select("conv_id", "role", "parts"), _format, SEGMENT)
 
 
 DIGEST_ROW = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("tokens", pa.int64())])
@@ -184,7 +186,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_back(segments: DataFrame) -> DataFrame:
     """Figures of every conversation (DIGEST), read from its segments in their order."""
-    return segments.mapInArrow(_digest, DIGEST)
+    return map_arrow(segments, _digest, DIGEST)
 
 
 #: The conversation that the contract adds.

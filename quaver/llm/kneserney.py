@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaver.llm import textvec as T
-from quaver.llm.shared import crc32_text, materialise, new_folder, text_bytes
+from quaver.llm.shared import crc32_text, map_arrow, materialise, new_folder, text_bytes
 
 #: Input bytes for one word range and one pair range; distinct keys that a task holds before it sends them.
 WORD_RANGE, PAIR_RANGE, HELD = 64 << 20, 16 << 20, 3_000_000
@@ -340,7 +340,7 @@ def train(texts: DataFrame) -> Model:
     folder = new_folder(spark, "lm")
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path)
-    rows = texts.select("text").mapInArrow(_words(word_ranges), BLOBS).groupBy("shard").applyInArrow(_write_words(folder), "shard int, n long, total long").collect()
+    rows = map_arrow(texts.select("text"), _words(word_ranges), BLOBS).groupBy("shard").applyInArrow(_write_words(folder), "shard int, n long, total long").collect()
     sizes, totals, docs = np.zeros(word_ranges, np.int64), np.zeros(word_ranges, np.int64), 0
     for r in rows:
         if r.shard < 0:
@@ -353,7 +353,7 @@ def train(texts: DataFrame) -> Model:
     model = Model(folder, np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(totals)]), docs, pair_ranges)
     if not docs:
         return model
-    sent = texts.select("text").mapInArrow(_pairs(model), BLOBS)
+    sent = map_arrow(texts.select("text"), _pairs(model), BLOBS)
     made = materialise(sent.groupBy("shard").applyInArrow(_write_pairs(model), BLOBS), "continuations")
     figures = np.sum([np.frombuffer(bytes(r.keys), np.int64) for r in made.where("shard < 0").collect()], axis=0)
     model.pairs, model.discounts = int(figures[0]), discounts([int(x) for x in figures[1:]])
@@ -424,7 +424,7 @@ def log10_probabilities(model: Model, left: np.ndarray, right: np.ndarray) -> tu
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, off in T.pieces(b.column(1), 4 * T.PIECE):
+            for i, j, data, off in T.pieces(b.column(1), 16 * T.PIECE):
                 _, _, h, wo = T.words(data, off)
                 left, right, to = token_ids(model, h, wo)
                 base, p = log10_probabilities(model, left, right)
@@ -438,7 +438,7 @@ def _score(model: Model):
 def score(docs: DataFrame, model: Model, held_out=None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row's tokens, base score and log10 probability under ``model``."""
     held = F.lit(False) if held_out is None else held_out
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), held.alias("held_out")).mapInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return map_arrow(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), held.alias("held_out")), _score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def held_out_mark(key: str = "doc_id"):

@@ -42,7 +42,7 @@ from pyspark.sql.window import Window
 
 from quaver.llm import textvec as T
 from quaver.llm.links import components
-from quaver.llm.shared import materialise
+from quaver.llm.shared import map_arrow, materialise
 from quaver.llm.sketch import dense_sum
 
 #: Counter cells; estimated list length beyond which a list is dealt in blocks;
@@ -277,10 +277,10 @@ def verify(texts: DataFrame, pairs: DataFrame, k: int, t: Fraction, name: str) -
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), name + "ids")
     count = ids.count()
     own = texts.join(F.broadcast(ids) if count <= IDS else ids, "doc_id", "left_semi")
-    sets = materialise(own.dropDuplicates(["doc_id"]).mapInArrow(_sets(k), "doc_id long, shingles binary"), name + "sets")
+    sets = materialise(map_arrow(own.dropDuplicates(["doc_id"]), _sets(k), "doc_id long, shingles binary"), name + "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
     both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
-    return materialise(both.mapInArrow(_verify(t), "a long, b long"), name)
+    return materialise(map_arrow(both, _verify(t), "a long, b long"), name)
 
 
 def plausible(pairs: DataFrame, sketches: DataFrame, t: Fraction) -> DataFrame:
@@ -306,7 +306,7 @@ def near_groups(docs: DataFrame, k: int = 5, threshold: str = "0.8", key: str =
     t = Fraction(threshold)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     counts = spark.sparkContext.broadcast(dense_sum(texts.select("text"), _count(k), CELLS))
-    sigs = materialise(texts.mapInArrow(_signatures(k, t, counts), SIGNATURE), "sigs")
+    sigs = materialise(map_arrow(texts, _signatures(k, t, counts), SIGNATURE), "sigs")
     some = sigs.where("n > 0 AND doc_id IS NOT NULL")
     classes = materialise(some.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "classes")
     heads = classes.select(F.col("class_id").alias("doc_id"), "fp1", "fp2").distinct()
@@ -327,7 +327,7 @@ def near_groups(docs: DataFrame, k: int = 5, threshold: str = "0.8", key: str =
     # within a size, an order of each list's own: its neighbours differ from those in other lists
     dealt = dealt.repartition("h", "cell").sortWithinPartitions("h", "cell", "n", F.xxhash64("doc", "h"))
     # one list of a long shingle is many cells: blocks meet in the second round
-    lists = materialise(dealt.mapInArrow(_lists(t, 2), "h long, cell long, doc long, n int, pos int, t0 long, t1 long, t2 long"), "lists")
+    lists = materialise(map_arrow(dealt, _lists(t, 2), "h long, cell long, doc long, n int, pos int, t0 long, t1 long, t2 long"), "lists")
     tries = lists.select("doc", F.explode(F.array_distinct(F.filter(F.array("t0", "t1", "t2"), lambda v: v >= 0))).alias("near"))
     # the partners that share most lists with a text, whichever text they are
     tried = tries.groupBy("doc", "near").agg(F.count(F.lit(1)).alias("c"))
@@ -347,7 +347,7 @@ def near_groups(docs: DataFrame, k: int = 5, threshold: str = "0.8", key: str =
         held = held.withColumn("side", F.lit(-1))
     open_ = held.groupBy("h", "cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h", "cell")
     held = held.join(open_, ["h", "cell"], "left_semi").select("h", "cell", "side", "doc", "n", "pos", "comp")
-    second = held.repartition("h", "cell").sortWithinPartitions("h", "cell", "n", "doc").mapInArrow(_rest(t), PAIR)
+    second = map_arrow(held.repartition("h", "cell").sortWithinPartitions("h", "cell", "n", "doc"), _rest(t), PAIR)
     second = plausible(second.select("a", "b").distinct(), sketches, t).distinct()
     second = materialise(second.join(first, ["a", "b"], "left_anti"), "pairs2")
     more = verify(texts, second, k, t, "links2")

@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Word separators of every operator here: ASCII white space only.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Most bytes of an Arrow batch (Spark's own: 64 MB), which the executor and its
+#: Python worker both hold for every task.  A longer row is a batch of its own.
+BATCH = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +46,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with the session's batches held to ``BATCH``; lower settings stay."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name).removesuffix("b")
+    if now.lstrip("-").isdigit() and not 0 < int(now) <= BATCH:
+        conf.set(name, str(BATCH))
+    return df.mapInArrow(function, schema)
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     """Bytes behind ``df``: the planner's file sizes, or the texts' lengths where it knows none."""
     known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaver.llm.shared import map_arrow
+
 SLICES = 16
 PART = "slot int, part binary"
 
@@ -39,7 +41,7 @@ def dense_sum(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndar
         return pa.Table.from_batches(list(fold(key, table.to_batches())))
 
     assert size % SLICES == 0
-    parts = df.mapInArrow(emit, PART)
+    parts = map_arrow(df, emit, PART)
     rows = parts.groupBy("slot").applyInArrow(fold_table, PART).select("slot", F.col("part")).collect()
     out = np.zeros(size, np.int64)
     step = size // SLICES

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaver.llm import textvec as T
-from quaver.llm.shared import new_folder
+from quaver.llm.shared import map_arrow, new_folder
 
 VOCAB, END, LENGTH, PER_SHARD, KEY = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256, 2048, 2048, 0x5EED
 #: Fixed value: the vocabulary's splitting pattern, from its description.
@@ -259,16 +259,16 @@ def write_training_order(docs: DataFrame, folder: str, vocab: str = VOCAB, lengt
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path)
     rows = docs.select(F.col(doc_key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counts = sorted((r.part, r.n) for r in rows.mapInArrow(_count(vocab, length), "part int, n long").collect())
+    counts = sorted((r.part, r.n) for r in map_arrow(rows, _count(vocab, length), "part int, n long").collect())
     starts, n = {}, 0
     for part, c in counts:
         starts[part] = (n, n + c)
         n += c
     with fs.open_output_stream(f"{path}/manifest.json") as out:
         out.write(json.dumps({"sequences": n, "length": length, "per_shard": per_shard, "dtype": "uint16", "stride": 2 * length, "end": END, "key": key}).encode())
-    emitted = rows.mapInArrow(_emit(vocab, length, key, spark.sparkContext.broadcast(starts), n), "slot long, sequence long, ids binary, doc_ids array<long>")
+    emitted = map_arrow(rows, _emit(vocab, length, key, spark.sparkContext.broadcast(starts), n), "slot long, sequence long, ids binary, doc_ids array<long>")
     dealt = emitted.withColumn("shard", F.floor(F.col("slot") / per_shard)).repartition("shard").sortWithinPartitions("slot")
-    return dealt.select("slot", "sequence", "ids", "doc_ids").mapInArrow(_write(folder, length, per_shard), "slot long, sequence long, ids_crc32 long, doc_ids array<long>")
+    return map_arrow(dealt.select("slot", "sequence", "ids", "doc_ids"), _write(folder, length, per_shard), "slot long, sequence long, ids_crc32 long, doc_ids array<long>")
 
 
 def read_slots(folder: str, first: int, count: int) -> np.ndarray:

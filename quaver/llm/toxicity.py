@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaver.llm import textvec as T
-from quaver.llm.shared import crc32_text
+from quaver.llm.shared import crc32_text, map_arrow
 
 BUCKETS, POSITIVES, UNLABELLED, FEATURES, STEM = 1 << 20, 3_000, 9_000, 4_000, 5
 #: Least significance of a feature: 3, or SURE for one in fewer than OFTEN texts, of which chance alone gives many.
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     order = F.xxhash64(F.lit("u"), key)
     some = docs.where(training).select(F.col(key).alias("_u")).orderBy(order.asc() if key == "_u" else F.xxhash64(F.lit("u"), "_u"), "_u").limit(UNLABELLED)
     unl = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(some), F.col(key) == F.col("_u"), "left_semi").select(F.lit(False).alias("positive"), "text")
-    rows = pos.union(unl).mapInArrow(_collect, "positive boolean, blob binary").collect()
+    rows = map_arrow(pos.union(unl), _collect, "positive boolean, blob binary").collect()
     blobs = sorted((r.positive, bytes(r.blob)) for r in rows)
     pick_ = lambda side: [np.frombuffer(x, np.int32).astype(np.int64) for p, x in blobs if p == side]
     return fit(pick_(True), pick_(False), float(np.clip(share, 1e-3, 0.95)))
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) of every row of ``docs``."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, key, text))
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_score(model), "doc_id long, score double")
+    return map_arrow(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), _score(model), "doc_id long, score double")
 
 
 def _keep(model, at: int, cut: float):
@@ -163,7 +163,7 @@ def _keep(model, at: int, cut: float):
 def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that score under ``cut``, with all their columns."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, key, text))
-    return docs.mapInArrow(_keep(model, docs.columns.index(text), cut), docs.schema)
+    return map_arrow(docs, _keep(model, docs.columns.index(text), cut), docs.schema)
 
 
 def q_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
