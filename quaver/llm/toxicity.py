@@ -60,9 +60,21 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["positive", "blob"])
 
 
+def _chunks(docs: list[np.ndarray], size: int = 256) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(index of the first, texts) of a few texts at a time, so that the driver needs no second copy of all."""
+    for i in range(0, len(docs), size):
+        yield i, docs[i : i + size]
+
+
 def choose(pos: list[np.ndarray], unl: list[np.ndarray], limit: int = FEATURES) -> np.ndarray:
     """The features whose presence sets positives most apart (signed chi-square), ascending."""
-    count = lambda docs: np.bincount(np.concatenate(docs), minlength=BUCKETS).astype(float)
+
+    def count(docs: list[np.ndarray]) -> np.ndarray:
+        total = np.zeros(BUCKETS)
+        for _, some in _chunks(docs):
+            total += np.bincount(np.concatenate(some), minlength=BUCKETS)
+        return total
+
     a, b, na, nb = count(pos), count(unl), len(pos), len(unl)
     pa_, pb = a / na, b / nb
     pool = (a + b + 1) / (na + nb + 2)
@@ -78,13 +90,17 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float) -> tuple[np.
     if not pos or not unl:
         return np.zeros(0, np.int64), np.zeros(0), -1e3
     chosen = choose(pos, unl)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
 
     def rows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        flat = np.concatenate(docs)
-        owner = np.repeat(np.arange(len(docs)), [len(x) for x in docs])
-        at = np.searchsorted(chosen, flat)
-        hit = (at < len(chosen)) & (chosen[np.minimum(at, len(chosen) - 1)] == flat) if len(chosen) else np.zeros(len(flat), bool)
-        return at[hit], owner[hit]
+        found, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for first, some in _chunks(docs):
+            at = place[np.concatenate(some)]
+            hit = at >= 0
+            found.append(at[hit].astype(np.int64))
+            owners.append(first + np.repeat(np.arange(len(some)), [len(x) for x in some])[hit])
+        return np.concatenate(found), np.concatenate(owners)
 
     (pf, po), (uf, uo) = rows(pos), rows(unl)
     n, p, u = len(chosen), len(pos), len(unl)
@@ -137,8 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     some = docs.where(training).select(F.col(key).alias("_u")).orderBy(order.asc() if key == "_u" else F.xxhash64(F.lit("u"), "_u"), "_u").limit(UNLABELLED)
     unl = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(some), F.col(key) == F.col("_u"), "left_semi").select(F.lit(False).alias("positive"), "text")
     rows = map_arrow(pos.union(unl), _collect, "positive boolean, blob binary").collect()
-    blobs = sorted((r.positive, bytes(r.blob)) for r in rows)
-    pick_ = lambda side: [np.frombuffer(x, np.int32).astype(np.int64) for p, x in blobs if p == side]
+    rows.sort(key=lambda r: (r.positive, r.blob))
+    pick_ = lambda side: [np.frombuffer(r.blob, np.int32) for r in rows if r.positive == side]
     return fit(pick_(True), pick_(False), float(np.clip(share, 1e-3, 0.95)))
 
 
