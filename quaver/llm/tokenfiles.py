@@ -8,9 +8,8 @@ numbers: a bijection, so every sequence has one global slot and every slot a
 sequence.  Slots are cut into shards of PER_SHARD; each is one file of
 ``slot % PER_SHARD * stride`` offsets, so a reader resumes anywhere with a seek.
 
-Ids are read twice: once to count a task's sequences, once to write them.  Both
-reads see the same splits because the input is a file scan; a task whose count
-differs stops the job.  A shard file is written under a temporary name and
+The cut sequences are written once to the shared folder, so that texts are encoded
+once and the numbers rest on a table that no lost executor can change.  A shard file is written under a temporary name and
 renamed, so a task that runs again replaces equal bytes.
 
 Words repeat, so each distinct (white space, word) chunk is encoded once a
@@ -31,6 +30,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaver.llm import textvec as T
-from quaver.llm.shared import map_arrow, new_folder
+from quaver.llm.shared import map_arrow, materialise, new_folder
 
 VOCAB, END, LENGTH, PER_SHARD, KEY = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256, 2048, 2048, 0x5EED
 #: Fixed value: the vocabulary's splitting pattern, from its description.
@@ -63,25 +63,36 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.hash, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        #: Sorted (hashes, entries), each level at least twice as long as the next.
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint16)
 
     def learn(self, hashes: np.ndarray, spans: list[bytes]) -> None:
-        if len(self.hash) > CACHE:
+        if len(self.start) > CACHE:
             self.clear()
-        ids = [self.encoding.encode_ordinary(s.decode("utf-8", "replace")) for s in spans]
-        size = np.array([len(x) for x in ids], np.int64)
-        at = len(self.flat)
-        self.flat = np.concatenate([self.flat, np.concatenate([np.array(x, np.uint16) for x in ids]) if ids else np.zeros(0, np.uint16)])
-        h, st, sz = np.concatenate([self.hash, hashes]), np.concatenate([self.start, at + np.cumsum(size) - size]), np.concatenate([self.size, size])
+        encode = self.encoding.encode_ordinary
+        ids = [encode(s.decode("utf-8", "replace")) for s in spans]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        at, entry = len(self.flat), np.arange(len(self.start), len(self.start) + len(ids))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint16, int(size.sum()))])
+        self.start, self.size = np.concatenate([self.start, at + np.cumsum(size) - size]), np.concatenate([self.size, size])
+        h = np.asarray(hashes)
+        while self.levels and len(self.levels[-1][0]) < 2 * len(h):  # merged like this, an entry is sorted a few times only
+            more, its = self.levels.pop()
+            h, entry = np.concatenate([more, h]), np.concatenate([its, entry])
         order = np.argsort(h, kind="stable")
-        self.hash, self.start, self.size = h[order], st[order], sz[order]
+        self.levels.append((h[order], entry[order]))
 
     def find(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.hash):
-            return np.zeros(len(u), np.int64), np.zeros(len(u), bool)
-        at = np.minimum(np.searchsorted(self.hash, u), len(self.hash) - 1)
-        return at, self.hash[at] == u
+        """(entry, whether there is one) of every hash."""
+        out = np.full(len(u), -1, np.int64)
+        for h, entry in self.levels:
+            left = np.flatnonzero(out < 0)
+            at = np.minimum(np.searchsorted(h, u[left]), len(h) - 1)
+            same = h[at] == u[left]
+            out[left[same]] = entry[at[same]]
+        return out, out >= 0
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets by text) of a piece, an end token after every text."""
@@ -165,7 +176,7 @@ def _stream(batches: Iterator[pa.RecordBatch], vocab: str, length: int) -> Itera
     enc = encoder(vocab)
     held, owners = np.zeros(0, np.uint16), []  # owners: (doc_id, ids still to come)
     for b in batches:
-        for i, j, data, off in T.pieces(b.column(1)):
+        for i, j, data, off in T.pieces(b.column(1), 4 * T.PIECE):
             ids, cut = enc.encode(data, off)
             held = np.concatenate([held, ids])
             owners += zip(b.column(0).slice(i, j - i).to_pylist(), np.diff(cut).tolist(), strict=True)
@@ -188,26 +199,14 @@ def _stream(batches: Iterator[pa.RecordBatch], vocab: str, length: int) -> Itera
         yield np.concatenate([held, np.full(length - len(held), END, np.uint16)]), [d for d, _ in owners]
 
 
-def _count(vocab: str, length: int):
+def _sequences(vocab: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, total = encoder(vocab), 0
-        for b in batches:
-            for _, _, data, off in T.pieces(b.column(1)):
-                total += len(enc.encode(data, off)[0])
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-total // length)], pa.int64())], ["part", "n"])
-
-    return run
-
-
-def _emit(vocab: str, length: int, key: int, starts, n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, past = starts.value.get(TaskContext.get().partitionId(), (0, 0))
-        codec = pa.Codec("zstd", compression_level=1)
-        at, rows = first, []
+        part, codec = TaskContext.get().partitionId(), pa.Codec("zstd", compression_level=1)
+        at, rows = 0, []
 
         def batch() -> pa.RecordBatch:
-            number = np.arange(at - len(rows), at)
-            return pa.RecordBatch.from_arrays([pa.array(permute(number, n, key)), pa.array(number), pa.array([codec.compress(x.tobytes()).to_pybytes() for x, _ in rows], pa.binary()), pa.array([d for _, d in rows], pa.list_(pa.int64()))], ["slot", "sequence", "ids", "doc_ids"])
+            place = np.arange(at - len(rows), at)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), part, np.int32)), pa.array(place), pa.array([codec.compress(x.tobytes()).to_pybytes() for x, _ in rows], pa.binary()), pa.array([d for _, d in rows], pa.list_(pa.int64()))], ["part", "place", "ids", "doc_ids"])
 
         for x in _stream(batches, vocab, length):
             rows.append(x)
@@ -217,8 +216,16 @@ def _emit(vocab: str, length: int, key: int, starts, n: int):
                 rows.clear()
         if rows:
             yield batch()
-        if at != past:
-            raise RuntimeError(f"the input changed between two reads: {at - first} sequences, not {past - first}")
+
+    return run
+
+
+def _number(starts, n: int, key: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first = np.array([starts.value[p] for p in b.column("part").to_pylist()], np.int64)
+            number = first + b.column("place").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(permute(number, n, key)), pa.array(number), b.column("ids"), b.column("doc_ids")], ["slot", "sequence", "ids", "doc_ids"])
 
     return run
 
@@ -251,22 +258,20 @@ def _write(folder: str, length: int, per_shard: int):
 
 
 def write_training_order(docs: DataFrame, folder: str, vocab: str = VOCAB, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, doc_key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(slot, sequence, ids_crc32, doc_ids) of every sequence; running it writes the shards to ``folder``.
-
-    ``docs`` must be a scan of files (write it first if it is not).
-    """
+    """(slot, sequence, ids_crc32, doc_ids) of every sequence; running it writes the shards to ``folder``."""
     spark = docs.sparkSession
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path)
     rows = docs.select(F.col(doc_key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counts = sorted((r.part, r.n) for r in map_arrow(rows, _count(vocab, length), "part int, n long").collect())
+    made = materialise(map_arrow(rows, _sequences(vocab, length), "part int, place long, ids binary, doc_ids array<long>"), "sequences")
+    counts = sorted((r.part, r.n) for r in made.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each task of the first read
     starts, n = {}, 0
     for part, c in counts:
-        starts[part] = (n, n + c)
+        starts[part] = n
         n += c
     with fs.open_output_stream(f"{path}/manifest.json") as out:
         out.write(json.dumps({"sequences": n, "length": length, "per_shard": per_shard, "dtype": "uint16", "stride": 2 * length, "end": END, "key": key}).encode())
-    emitted = map_arrow(rows, _emit(vocab, length, key, spark.sparkContext.broadcast(starts), n), "slot long, sequence long, ids binary, doc_ids array<long>")
+    emitted = map_arrow(made, _number(spark.sparkContext.broadcast(starts), n, key), "slot long, sequence long, ids binary, doc_ids array<long>")
     dealt = emitted.withColumn("shard", F.floor(F.col("slot") / per_shard)).repartition("shard").sortWithinPartitions("slot")
     return map_arrow(dealt.select("slot", "sequence", "ids", "doc_ids"), _write(folder, length, per_shard), "slot long, sequence long, ids_crc32 long, doc_ids array<long>")
 
