@@ -47,7 +47,9 @@ VOCAB, END, LENGTH, PER_SHARD, KEY = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50
 #: Fixed value: the vocabulary's splitting pattern, from its description.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-CACHE = 1_500_000
+CACHE = 600_000
+#: The ids are compressed already: the writer's own buffers and codecs would only hold memory.
+PLAIN = {"compression": "none", "parquet.enable.dictionary": "false", "parquet.block.size": str(8 << 20)}
 
 _encoders: dict[str, Encoder] = {}
 
@@ -263,7 +265,7 @@ def write_training_order(docs: DataFrame, folder: str, vocab: str = VOCAB, lengt
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path)
     rows = docs.select(F.col(doc_key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    made = materialise(map_arrow(rows, _sequences(vocab, length), "part int, place long, ids binary, doc_ids array<long>"), "sequences")
+    made = materialise(map_arrow(rows, _sequences(vocab, length), "part int, place long, ids binary, doc_ids array<long>"), "sequences", **PLAIN)
     counts = sorted((r.part, r.n) for r in made.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each task of the first read
     starts, n = {}, 0
     for part, c in counts:
