@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 
@@ -90,3 +93,39 @@ def edit_distance(ref: Column, hyp: Column) -> Column:
 
     last = F.aggregate(ref, top, row, lambda r: F.element_at(r, -1))
     return F.struct(last["e"].alias("errors"), last["s"].alias("substitutions"), last["d"].alias("deletions"), last["i"].alias("insertions"))
+
+
+def edit_counts(ref: np.ndarray, hyp: np.ndarray) -> tuple[int, int, int, int]:
+    """(errors, substitutions, deletions, insertions) of two sequences of token numbers, by the rules of ``edit_distance``.
+
+    One vector over ``hyp`` for each token of ``ref``: memory grows with one text, not
+    with both.  Deletions and insertions follow from errors, substitutions and lengths.
+    """
+    m, n = len(ref), len(hyp)
+    at = np.arange(n + 1)
+    errors, subs = at.copy(), np.zeros(n + 1, np.int64)
+    for i, token in enumerate(ref, 1):
+        unlike = hyp != token
+        diagonal, up = errors[:-1] + unlike, errors[1:] + 1
+        best = np.concatenate([[i], np.minimum(diagonal, up)])
+        errors = np.minimum.accumulate(best - at) + at
+        taken = diagonal == errors[1:]
+        own = np.concatenate([[0], np.where(taken, subs[:-1] + unlike, subs[1:])])
+        came = at.copy()
+        came[1:][~taken & (up != errors[1:])] = 0  # an insertion: as the cell before
+        subs = own[np.maximum.accumulate(came)]
+    e, s = int(errors[-1]), int(subs[-1])
+    return e, s, (e - s + m - n) // 2, (e - s - m + n) // 2
+
+
+EDITS = ("errors", "substitutions", "deletions", "insertions")
+
+
+@F.arrow_udf(StructType([StructField(c, IntegerType()) for c in EDITS]))
+def long_edit_distance(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """``edit_distance`` for whole texts; a null array counts as an empty one."""
+    tokens = pa.concat_arrays([ref.flatten(), hyp.flatten()]).dictionary_encode().indices.to_numpy()
+    bounds = np.concatenate([[0], np.cumsum(pa.concat_arrays([ref.value_lengths(), hyp.value_lengths()]).fill_null(0).to_numpy())])
+    part = lambda i: tokens[bounds[i] : bounds[i + 1]]
+    counts = np.array([edit_counts(part(i), part(len(ref) + i)) for i in range(len(ref))], np.int32).reshape(-1, 4)
+    return pa.StructArray.from_arrays([pa.array(c) for c in counts.T], EDITS)
