@@ -1,0 +1,45 @@
+"""Near copies by sequence matching, against brute force over all pairs of texts."""
+
+import difflib
+import itertools
+import random
+import re
+
+from quaver.plans.registry import QUERIES
+
+
+def brute(rows):
+    """(doc_id, least id of its group or of its opening words) -> blocks of three words or more, and their words."""
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for i, t in rows}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items() if w}
+    group = {i: i for i in words}
+    for a, b in itertools.combinations(sets, 2):
+        if 5 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b]):
+            x, y = sorted((group[a], group[b]))
+            group = {i: x if g == y else g for i, g in group.items()}
+    pairs = {(i, g) for i, g in group.items() if i != g}
+    openings = {}
+    for i, w in sorted(words.items()):
+        first = openings.setdefault(tuple(w[:4]), i)
+        if first != i and w:
+            pairs.add((i, first))
+    want = {}
+    for i, g in pairs:
+        m = [x.size for x in difflib.SequenceMatcher(None, words[i], words[g], autojunk=False).get_matching_blocks() if x.size >= 3]
+        want[i, g] = (len(m), sum(m))
+    return want
+
+
+def test_sequence_match(spark, small, tmp_path):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(400)}" for _ in range(300)]
+    edited = [*base[:1], "new", *base[2:150], "other", *base[151:]]
+    late = base[:280] + [f"z{i}" for i in range(20)]
+    made = [base, ["Added", *base], base[1:], edited, late, base, base[:64] + [f"u{i}" for i in range(236)], ["two", "words"], ["two", "words"], []]
+    rows = [(10**6 + i, " ".join(w)) for i, w in enumerate(made)] + [(10**6 + 50, None)]
+    rows += [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.other_id): (r.n_blocks, r.n_matched) for r in QUERIES["sequence_match"](spark, str(tmp_path)).collect()}
+    assert got == brute(rows)
+    assert {i for i, _ in got if i > 10**6} == {10**6 + i for i in (1, 2, 3, 4, 5, 6, 8)}
+    assert got[10**6 + 5, 10**6] == (1, 300)
