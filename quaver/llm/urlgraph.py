@@ -5,7 +5,9 @@ Everything else is judged by its host: trust is a personalised PageRank over
 host -> host edges from trusted seeds, distrust the same over reversed edges
 from blocked seeds, and a host whose share of distrust reaches ``ratio`` is
 blocked.  A host's seed mass is the share of its pages that a rule allows or
-blocks, plus the hosts under any seed domains given.
+blocks, plus the hosts under any seed domains given.  Both walks start from these
+masses as they are, on one scale, so the rest of the corpus does not sway a host
+that no link reaches.
 
 Pages are reduced to distinct weighted host edges before anything iterates; a
 host that holds a third of all pages is combined on the map side.
@@ -78,12 +80,11 @@ def match_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 def rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """Personalised PageRank: (host, score) after ``rounds`` steps from ``seeds`` (host, mass).
 
-    ``edges`` (src, dst, weight).  Mass that reaches a host without outgoing edges
+    ``edges`` (src, dst, weight).  Scores are in units of ``mass``.  Mass that reaches a host without outgoing edges
     leaves the walk.  Scores are rounded to DIGITS places each round, so the result
     does not hang on the order of additions.
     """
-    total = seeds.agg(F.sum("mass")).first()[0] or 1.0  # one number
-    seeds = materialise(seeds.select("host", F.round(F.col("mass") / F.lit(total), DIGITS).alias("p")), "seeds")
+    seeds = materialise(seeds.select("host", F.round("mass", DIGITS).alias("p")), "seeds")
     out_weight = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     norm = materialise(edges.join(out_weight, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")), "edges")
     score = seeds.select("host", F.col("p").alias("score"))

@@ -307,6 +307,14 @@ def test_distrust_spreads(spark):
     assert got["near.net"].trust > 0
 
 
+def test_more_allowed_than_blocked_stays(spark):
+    # far more is allowed than blocked over all hosts: that must not sway b.com
+    paths = [("a.com", "/fr/")] * 40 + [("b.com", "/fr/")] * 3 + [("b.com", "/de/")] * 2 + [("c.com", "/fr/"), ("c.com", "/de/"), ("c.com", "/de/")]
+    rows = [(i, f"http://{h}{p}", "") for i, (h, p) in enumerate(paths)] + [(100, "http://b.com/", ""), (101, "http://c.com/", "")]
+    got = {r.page_id: r.verdict for r in urlgraph.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert (got[100], got[101]) == ("allow", "block")
+
+
 # ---- language model
 
 
