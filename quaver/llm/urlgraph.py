@@ -48,7 +48,7 @@ RULES = (
     Rule("block", "com", "/de/"),
 )
 BAD_DOMAINS = ("casino-win.example.com", "casino-win.example.net", "casino-win.example.org")
-ROUNDS, DAMPING, RATIO, DIGITS = 8, 0.85, 0.5, 9
+ROUNDS, DAMPING, RATIO, DIGITS = 8, 0.85, 0.5, 9  # significant digits
 HREF = r"(?i)href\s*=\s*[\"']?([a-z][a-z0-9+.-]*://[^\"'\s>]+)"
 
 
@@ -77,20 +77,25 @@ def match_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return df.withColumn("rule", rule).withColumn("rule_verdict", verdict)
 
 
+def significant(c: Column) -> Column:
+    """Rounded to DIGITS significant digits: no floor, however small the scores of a large graph get."""
+    return F.format_string(f"%.{DIGITS - 1}e", c.cast("double")).cast("double")
+
+
 def rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """Personalised PageRank: (host, score) after ``rounds`` steps from ``seeds`` (host, mass).
 
     ``edges`` (src, dst, weight).  Scores are in units of ``mass``.  Mass that reaches a host without outgoing edges
-    leaves the walk.  Scores are rounded to DIGITS places each round, so the result
-    does not hang on the order of additions.
+    leaves the walk.  Scores are rounded to DIGITS significant digits each round, so
+    the result does not hang on the order of additions, nor on the size of the graph.
     """
-    seeds = materialise(seeds.select("host", F.round("mass", DIGITS).alias("p")), "seeds")
+    seeds = materialise(seeds.select("host", significant(F.col("mass")).alias("p")), "seeds")
     out_weight = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     norm = materialise(edges.join(out_weight, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")), "edges")
     score = seeds.select("host", F.col("p").alias("score"))
     for i in range(rounds):
         flow = norm.join(score, norm.src == score.host).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("gain"))
-        score = seeds.join(flow, seeds.host == flow.dst, "left").select("host", F.round((1 - damping) * F.col("p") + damping * F.coalesce("gain", F.lit(0.0)), DIGITS).alias("score"))
+        score = seeds.join(flow, seeds.host == flow.dst, "left").select("host", significant((1 - damping) * F.col("p") + damping * F.coalesce("gain", F.lit(0.0))).alias("score"))
         if i % 4 == 3 or i == rounds - 1:
             score = materialise(score, "rank")
     return score
@@ -113,7 +118,7 @@ def host_scores(pages: DataFrame, rules: Sequence[Rule] = RULES, bad: Sequence[s
         known_bad = known_bad | under(F.col("host"), d)
     linked = edges.select(F.col("dst").alias("host")).distinct().join(hosts, "host", "left_anti")
     hosts = hosts.select("host", share("_a").alias("good"), share("_b").alias("evil")).unionByName(linked.select("host", F.lit(0.0).alias("good"), F.lit(0.0).alias("evil")))
-    hosts = materialise(hosts.select("host", F.round(F.when(known_bad, 0.0).otherwise(F.col("good")), DIGITS).alias("good"), F.round(F.when(known_bad, 1.0).otherwise(F.col("evil")), DIGITS).alias("evil")), "hosts")
+    hosts = materialise(hosts.select("host", significant(F.when(known_bad, 0.0).otherwise(F.col("good"))).alias("good"), significant(F.when(known_bad, 1.0).otherwise(F.col("evil"))).alias("evil")), "hosts")
     trust = rank(edges, hosts.select("host", F.col("good").alias("mass")))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     distrust = rank(back, hosts.select("host", F.col("evil").alias("mass")))

@@ -315,6 +315,19 @@ def test_more_allowed_than_blocked_stays(spark):
     assert (got[100], got[101]) == ("allow", "block")
 
 
+def test_small_scores_are_not_lost(spark):
+    # a chain behind one of 10^6 links: its scores are far below nine decimal places
+    edges = spark.createDataFrame([("a", "b", 1.0), ("a", "z", 1e6), ("b", "c", 1.0), ("b", "z", 1e6)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("a", 1.0), ("b", 0.0), ("c", 0.0), ("z", 0.0)], "host string, mass double")
+    got = {r.host: r.score for r in urlgraph.rank(edges, seeds).collect()}
+    small = spark.createDataFrame([("a", 1e-7), ("b", 0.0), ("c", 0.0), ("z", 0.0)], "host string, mass double")
+    less = {r.host: r.score for r in urlgraph.rank(edges, small).collect()}
+    share = 0.85 / (1e6 + 1)
+    for scale, scores in ((1.0, got), (1e-7, less)):
+        assert scores["b"] == pytest.approx(0.15 * share * scale, rel=1e-6)
+        assert scores["c"] == pytest.approx(0.15 * share**2 * scale, rel=1e-6)
+
+
 # ---- language model
 
 
