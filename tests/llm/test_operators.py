@@ -233,6 +233,18 @@ def test_quality(docs, labels, odd, empty):
     assert np.mean([k == bool(q) for k, q in got]) > 0.95
 
 
+def test_quality_query_takes_words_as_they_are(spark, small, docs, labels):
+    def brute(t):
+        w = words(t, False)
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        c = collections.Counter(grams)
+        return len({i + j for i, g in enumerate(grams) if c[g] > 1 for j in range(3)})
+
+    assert {r.doc_id: r.n_repeat_words for r in quality.q_quality(spark, small).collect()} == {i: brute(t) for i, t in texts(docs)}
+    df = spark.createDataFrame([(1, " ".join(["one two three", "One two three"] + [f"w{i}" for i in range(50)])), (2, "a B c x a B c")], "doc_id long, text string")
+    assert {r.doc_id: r.n_repeat_words for r in quality.judge(df, labels, fold=False).collect()} == {1: 0, 2: 6}
+
+
 # ---- mixing
 
 
