@@ -7,9 +7,14 @@ even power of two, walked along its cycle until it is back under n, permutes the
 numbers: a bijection, so every sequence has one global slot and every slot a
 sequence.  Slots are cut into shards of PER_SHARD; each is one file of
 ``slot % PER_SHARD * stride`` offsets, so a reader resumes anywhere with a seek.
+Slots are dealt to tasks by ranges of whole shards, about PART bytes each, so a
+task's work does not grow with the corpus.
 
 The cut sequences are written once to the shared folder, so that texts are encoded
-once and the numbers rest on a table that no lost executor can change.  A shard file is written under a temporary name and
+once and the numbers rest on a table that no lost executor can change.  Each is
+packed on its own: ids become their ranks in an alphabet, the ranks' byte planes
+are compressed.  The alphabet is ordered by a look at a few texts; any order gives
+the same ids back, only less tightly.  A shard file is written under a temporary name and
 renamed, so a task that runs again replaces equal bytes.
 
 Words repeat, so each distinct (white space, word) chunk is encoded once a
@@ -17,9 +22,11 @@ worker and its ids are gathered; texts with other Unicode spaces, where such
 chunks would not be the tokenizer's own, are encoded whole.  Both ways give the
 tokenizer's ids.
 
-Edge cases: null and empty texts are one end token; repeated rows are written as
-often as they occur; null ids are null in ``doc_ids``; an empty table gives no
-sequences and no shard files.
+Edge cases: null and empty texts are one end token; a very long text runs on over
+as many sequences as it needs; repeated rows are written as often as they occur,
+ties need no order, as the numbers follow the rows' places in the table that is
+read; null ids are null in ``doc_ids``; columns other than id and text are not
+read, whatever their names; an empty table gives no sequences and no shard files.
 """
 
 from __future__ import annotations
@@ -48,6 +55,8 @@ VOCAB, END, LENGTH, PER_SHARD, KEY = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 CACHE = 600_000
+#: Bytes of shards that one writing task gets; texts and characters of each that the alphabet's order looks at; zstd level.
+PART, LOOK, LOOK_CHARS, LEVEL = 32 << 20, 200, 20_000, 5
 #: The ids are compressed already: the writer's own buffers and codecs would only hold memory.
 PLAIN = {"compression": "none", "parquet.enable.dictionary": "false", "parquet.block.size": str(8 << 20)}
 
@@ -201,14 +210,33 @@ def _stream(batches: Iterator[pa.RecordBatch], vocab: str, length: int) -> Itera
         yield np.concatenate([held, np.full(length - len(held), END, np.uint16)]), [d for d, _ in owners]
 
 
-def _sequences(vocab: str, length: int):
+def alphabet(docs: DataFrame, vocab: str) -> np.ndarray:
+    """All ids, those of a few of the texts first, by their number there."""
+    looked = [r[0] or "" for r in docs.select(F.substring("text", 1, LOOK_CHARS)).limit(LOOK).collect()]
+    ids = [i for x in looked for i in encoder(vocab).encoding.encode_ordinary(x)]
+    return np.argsort(-np.bincount(np.array(ids, np.int64), minlength=1 << 16), kind="stable").astype(np.uint16)
+
+
+def squeeze(ids: np.ndarray, ranks: np.ndarray, codec: pa.Codec) -> bytes:
+    """A sequence as compressed byte planes of its ids' ranks."""
+    return codec.compress(np.ascontiguousarray(ranks[ids].view(np.uint8).reshape(-1, 2).T).tobytes(), asbytes=True)
+
+
+def expand(blob: pa.Buffer, letters: np.ndarray, length: int, codec: pa.Codec) -> np.ndarray:
+    planes = np.frombuffer(codec.decompress(blob, 2 * length), np.uint8).reshape(2, -1)
+    return letters[np.ascontiguousarray(planes.T).view(np.uint16).ravel()]
+
+
+def _sequences(vocab: str, length: int, letters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, codec = TaskContext.get().partitionId(), pa.Codec("zstd", compression_level=1)
+        part, codec = TaskContext.get().partitionId(), pa.Codec("zstd", compression_level=LEVEL)
+        ranks = np.empty(1 << 16, np.uint16)
+        ranks[letters.value] = np.arange(1 << 16)
         at, rows = 0, []
 
         def batch() -> pa.RecordBatch:
             place = np.arange(at - len(rows), at)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), part, np.int32)), pa.array(place), pa.array([codec.compress(x.tobytes()).to_pybytes() for x, _ in rows], pa.binary()), pa.array([d for _, d in rows], pa.list_(pa.int64()))], ["part", "place", "ids", "doc_ids"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), part, np.int32)), pa.array(place), pa.array([squeeze(x, ranks, codec) for x, _ in rows], pa.binary()), pa.array([d for _, d in rows], pa.list_(pa.int64()))], ["part", "place", "ids", "doc_ids"])
 
         for x in _stream(batches, vocab, length):
             rows.append(x)
@@ -232,7 +260,7 @@ def _number(starts, n: int, key: int):
     return run
 
 
-def _write(folder: str, length: int, per_shard: int):
+def _write(folder: str, length: int, per_shard: int, letters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(folder)
         codec = pa.Codec("zstd")
@@ -246,7 +274,7 @@ def _write(folder: str, length: int, per_shard: int):
         for b in batches:
             crc = []
             for slot, blob in zip(b.column("slot").to_pylist(), b.column("ids"), strict=True):
-                raw = codec.decompress(blob.as_buffer(), 2 * length)
+                raw = expand(blob.as_buffer(), letters.value, length, codec).tobytes()
                 if slot // per_shard != shard:
                     close()
                     shard, part = slot // per_shard, f"{path}/.{uuid.uuid4().hex}"
@@ -265,7 +293,8 @@ def write_training_order(docs: DataFrame, folder: str, vocab: str = VOCAB, lengt
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path)
     rows = docs.select(F.col(doc_key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    made = materialise(map_arrow(rows, _sequences(vocab, length), "part int, place long, ids binary, doc_ids array<long>"), "sequences", **PLAIN)
+    letters = spark.sparkContext.broadcast(alphabet(rows, vocab))
+    made = materialise(map_arrow(rows, _sequences(vocab, length, letters), "part int, place long, ids binary, doc_ids array<long>"), "sequences", **PLAIN)
     counts = sorted((r.part, r.n) for r in made.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each task of the first read
     starts, n = {}, 0
     for part, c in counts:
@@ -274,8 +303,9 @@ def write_training_order(docs: DataFrame, folder: str, vocab: str = VOCAB, lengt
     with fs.open_output_stream(f"{path}/manifest.json") as out:
         out.write(json.dumps({"sequences": n, "length": length, "per_shard": per_shard, "dtype": "uint16", "stride": 2 * length, "end": END, "key": key}).encode())
     emitted = map_arrow(made, _number(spark.sparkContext.broadcast(starts), n, key), "slot long, sequence long, ids binary, doc_ids array<long>")
-    dealt = emitted.withColumn("shard", F.floor(F.col("slot") / per_shard)).repartition("shard").sortWithinPartitions("slot")
-    return map_arrow(dealt.select("slot", "sequence", "ids", "doc_ids"), _write(folder, length, per_shard), "slot long, sequence long, ids_crc32 long, doc_ids array<long>")
+    each = per_shard * max(1, PART // (2 * length * per_shard))
+    dealt = emitted.repartitionById(max(1, -(-n // each)), F.floor(F.col("slot") / each).cast("int")).sortWithinPartitions("slot")
+    return map_arrow(dealt, _write(folder, length, per_shard, letters), "slot long, sequence long, ids_crc32 long, doc_ids array<long>")
 
 
 def read_slots(folder: str, first: int, count: int) -> np.ndarray:
