@@ -2,7 +2,8 @@
 
 Nothing here writes to a machine-local folder on a cluster: every intermediate
 table or model file goes under ``spark.checkpoint.dir``.  Only where that
-setting is absent (tests, a laptop) is a temporary folder made and set.
+setting is absent and Spark runs in one process (tests, a laptop) is a temporary
+folder made and set; a cluster without the setting is an error.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quaver-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -43,7 +46,25 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quaver_folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of materialised tables that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._quaver_folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it as long as ``df`` has such a column (case does not tell columns apart)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
