@@ -11,10 +11,16 @@ keeps its shard or goes to the new one.
 
 Law: ``key`` (the key and the topology decide; not sizes, not row order).
 
+Slots follow a hash of the row (key, size, text crc32), ties the values themselves.
+Equal rows are counted before they are numbered and written out again from their
+count, so neither ids far apart nor one row that holds a third of the table ends
+up in one task.
+
 Edge cases: a null key hashes as the empty string; a null text has size 1 and
-crc32 0; repeated rows share a shard and get neighbouring slots, ordered by
-(key, text crc32, size); an empty table gives an empty result; input columns
-with clashing names are dropped before the new ones are added.
+crc32 0, an empty one the same; a very long text is only measured and hashed where
+it lies; repeated rows share a shard and get neighbouring slots; an empty table
+gives an empty result; only key and text are read, so other columns may have any
+name.
 """
 
 from __future__ import annotations
@@ -28,8 +34,8 @@ from pyspark.sql.window import Window
 
 from quaver.llm.shared import materialise
 
-#: Ids in one numbering block, and blocks in one super-block.
-BLOCK, SUPER = 1024, 1024
+#: Kinds of rows in one numbering block of all groups, blocks in one super-block, and equal rows written out by one task.
+BLOCK, SUPER, COPIES = 4096, 1024, 10_000
 
 
 @dataclass(frozen=True)
@@ -56,9 +62,8 @@ def grown(topology: Sequence[Leaf], weight: float = 1.0) -> list[Leaf]:
 
 
 def _draw(key: Column, path: str, weight: float) -> Column:
-    """-ln(u)/weight for u in (0, 1] from 52 bits of a hash of key and path."""
-    digest = F.substring(F.md5(F.concat(key, F.lit("|" + path)).cast("binary")), 1, 13)
-    u = (F.conv(digest, 16, 10).cast("double") + F.lit(1.0)) / F.lit(float(1 << 52))
+    """-ln(u)/weight for u in (0, 1) from 53 bits of a hash of key and path."""
+    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(path)), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
     return -F.log(u) / F.lit(float(weight))
 
 
@@ -98,22 +103,34 @@ def assign(df: DataFrame, topology: Sequence[Leaf], key: str = "doc_id", out: st
     return df.drop(*names)
 
 
-def number(df: DataFrame, key: str = "doc_id", group: str = "shard", ties: Sequence[str] = ()) -> DataFrame:
-    """``slot``: each row's place in its group by (key, ties), gapless from 0.
+def number(df: DataFrame, group: str = "shard") -> DataFrame:
+    """``df`` with ``slot``: each row's place in its group by a hash of the row, gapless from 0.
 
-    No group is sorted in one task: rows are ranked inside (group, block of
-    ids), and two levels of block counts give the place where a block starts.
+    Kinds of rows are numbered inside (group, block of hashes) by running sums of
+    their counts, and two levels of block counts give the place where a block
+    starts; the number of blocks follows the number of kinds.
     """
-    base = df.withColumn("_block", F.floor(F.coalesce(F.col(key), F.lit(0)) / F.lit(BLOCK)).cast("long")).withColumn("_super", F.floor(F.col("_block") / F.lit(SUPER)).cast("long"))
-    counts = materialise(base.groupBy(group, "_super", "_block").agg(F.count(F.lit(1)).alias("_n")), "slots")
+    cols = df.columns
+    kinds = materialise(df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_m")).withColumn("_h", F.xxhash64(*cols)), "kinds")
+    total = kinds.count()
+    bits = max(1, -(-total // BLOCK) - 1).bit_length()
+    base = kinds.withColumn("_block", F.shiftrightunsigned("_h", 64 - bits)).withColumn("_super", F.floor(F.col("_block") / F.lit(SUPER)).cast("long"))
+    counts = materialise(base.groupBy(group, "_super", "_block").agg(F.sum("_m").alias("_n")), "slots")
     tops = counts.groupBy(group, "_super").agg(F.sum("_n").alias("_n"))
     before = lambda part: Window.partitionBy(*part).rowsBetween(Window.unboundedPreceding, -1)
     tops = tops.select(group, "_super", F.coalesce(F.sum("_n").over(before([group]).orderBy("_super")), F.lit(0)).alias("_from_super"))
     starts = counts.select(group, "_super", "_block", F.coalesce(F.sum("_n").over(before([group, "_super"]).orderBy("_block")), F.lit(0)).alias("_from_block"))
     starts = starts.join(tops, [group, "_super"]).select(group, "_block", (F.col("_from_block") + F.col("_from_super")).alias("_from"))
-    rank = F.row_number().over(Window.partitionBy(group, "_block").orderBy(F.col(key).asc_nulls_first(), *ties))
-    ranked = base.withColumn("_rank", rank)
-    return ranked.join(starts, [group, "_block"]).withColumn("slot", F.col("_from") + F.col("_rank") - 1).drop("_block", "_super", "_from", "_rank")
+    inner = F.coalesce(F.sum("_m").over(before([group, "_block"]).orderBy("_h", *cols)), F.lit(0))
+    placed = base.withColumn("_inner", inner).join(starts, [group, "_block"])
+    placed = placed.select(*cols, "_m", (F.col("_from") + F.col("_inner")).alias("_from"))
+    if not kinds.where(F.col("_m") > 1).limit(1).count():
+        return placed.select(*cols, F.col("_from").alias("slot"))
+    runs = placed.select(*cols, "_m", "_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1, F.lit(COPIES).cast("long"))).alias("_at"))
+    if kinds.where(F.col("_m") > COPIES).limit(1).count():  # runs of large groups go to tasks of their own
+        runs = runs.where(F.col("_m") <= COPIES).union(runs.where(F.col("_m") > COPIES).repartition("_from", "_at"))
+    each = F.sequence(F.col("_from") + F.col("_at"), F.col("_from") + F.least(F.col("_at") + COPIES, F.col("_m")) - 1)
+    return runs.select(*cols, F.explode(each).alias("slot"))
 
 
 def shard_documents(df: DataFrame, topology: Sequence[Leaf], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -125,7 +142,7 @@ def shard_documents(df: DataFrame, topology: Sequence[Leaf], key: str = "doc_id"
         F.lit("key").alias("law"),
     )
     rows = assign(assign(rows, topology, key), grown(topology), key, "grown_shard")
-    return number(rows, key, "shard", ("text_crc32", "size"))
+    return number(rows, "shard")
 
 
 def q_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
