@@ -15,9 +15,11 @@ A conversation is its turns' segments in order.  Segments keep their place
 (``seq``, ``offset``), so a conversation of any length is written and read back
 as a stream; no task holds a whole one.
 
-Edge cases: null texts, roles and contents are empty; turns with equal numbers
-follow by role and text; a null conversation id is a conversation of its own;
-repeated rows are turns of their own; an empty table gives no conversations.
+Edge cases: null texts, roles and contents are empty; a very long text is one
+segment, read and hashed as a whole; turns with equal numbers follow by role, then
+by a hash of the content; a null conversation id is a conversation of its own;
+repeated rows are turns of their own; columns that are not named above are not
+read, whatever their names; an empty table gives no conversations.
 """
 
 from __future__ import annotations
@@ -139,13 +141,12 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     ``turns``: conv_id, turn, role and either ``parts`` (array of PART) or ``text``.
     """
     if "parts" in turns.columns:
-        parts, tie = F.col("parts").cast(f"array<{PART}>"), F.to_json("parts")
+        parts = F.col("parts").cast(f"array<{PART}>")
     else:
         none = lambda t: F.lit(None).cast(t)
         parts = F.array(F.struct(F.lit("text").alias("type"), F.coalesce("text", F.lit("")).alias("text"), none("string").alias("ref"), none("int").alias("width"), none("int").alias("height"), none("double").alias("seconds"), none("int").alias("pages")))
-        tie = F.col("text")
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"), tie.alias("tie"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "tie")
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"))
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", F.xxhash64("parts"))
     return map_arrow(rows.select("conv_id", "role", "parts"), _format, SEGMENT)
 
 
