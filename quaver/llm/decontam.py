@@ -9,20 +9,32 @@ items of that length:
    (start, length) that puts that shingle in the item's place.
 2. Each window and item gets a 64-bit SimHash of its shingles, each weighted by
    its number of occurrences.
-3. Multi-index search: the 64 bits are cut into RADIUS + 1 blocks; two
-   fingerprints within RADIUS agree in at least one block, so a join on (length,
-   block, value) finds every pair within RADIUS, checked by the bit count.
+3. Multi-index search: the 64 bits are cut into BLOCKS blocks; two fingerprints
+   within RADIUS differ in at most RADIUS // BLOCKS bits of at least one block.
+   Every item is entered under all values within that many bits of each of its
+   blocks, every window under its own values, so a join on (length, block, value)
+   finds every pair within RADIUS, checked by the bit count.  Of two unrelated
+   fingerprints about one pair in seven meets.
 4. The exact weighted Jaccard of the two shingle multisets (sum of least counts
    over sum of largest) decides.
 
+The radius is part of the method and can drop a window that the exact measure
+would keep: in a simulation with random shingle hashes (20,000 pairs each) 0.03 to
+0.09 % of windows at a similarity of exactly 0.8 (18 to 100 shingles), none of
+exact copies.  The test on the supplied tables finds no loss.
+
 The benchmark's shingles are broadcast only while their counted number is at
 most SHINGLES; beyond that the same join shuffles.  Windows of copies of one
 passage have equal words and are fingerprinted and compared once.
 
 Edge cases: null and empty texts or items match nothing; an item of fewer than K
 words is one shingle of its own length and matches where its words occur; a text
-shorter than an item is one window; repeated rows and items are reported alike;
-an empty table gives an empty result; other columns are ignored.
+shorter than an item is one window; a very long text is read whole, window by
+window; repeated rows and items are reported alike, and items that match one window
+equally well are all reported; a null id is reported as null; an empty table gives
+an empty result; columns other than id and text are not read, whatever their names.
+``clean`` goes by text, not by id: it drops every row whose text holds a copy,
+also under a null or a repeated id, and keeps all others.
 """
 
 from __future__ import annotations
@@ -30,9 +42,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaver.llm.shared import broadcast_if_small, materialise
+from quaver.llm.shared import broadcast_if_small, fresh, materialise
 
-K, THRESHOLD, RADIUS, BITS, SHINGLES, IDS = 5, 0.8, 15, 64, 1_000_000, 4_000_000
+K, THRESHOLD, RADIUS, BLOCKS, BITS, SHINGLES, IDS = 5, 0.8, 19, 4, 64, 1_000_000, 4_000_000
 
 
 def normal_words(text: Column) -> Column:
@@ -62,10 +74,17 @@ def simhash(df: DataFrame, key: str, words: str, k: int) -> DataFrame:
     return sums.select(key, fp.alias("fp"))
 
 
-def blocks(fp: Column, radius: int = RADIUS) -> Column:
-    """Array of (block, value): radius + 1 blocks that cover all bits."""
-    edges = [i * BITS // (radius + 1) for i in range(radius + 2)]
-    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1)).alias("value")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
+def blocks(fp: Column) -> Column:
+    """Array of (block, value): BLOCKS blocks that cover all bits."""
+    size = BITS // BLOCKS
+    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, i * size).bitwiseAND(F.lit((1 << size) - 1)).alias("value")) for i in range(BLOCKS)])
+
+
+def near_values(value: Column, radius: int) -> Column:
+    """All values of a block within ``radius // BLOCKS`` bits of ``value``."""
+    masks = [m for m in range(1 << BITS // BLOCKS) if m.bit_count() <= radius // BLOCKS]
+    listed = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<long>")
+    return F.transform(listed, lambda m: value.bitwiseXOR(m))
 
 
 def weighted_jaccard(a: Column, b: Column) -> Column:
@@ -76,14 +95,14 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, k: int = K, threshold: float = THRESHOLD, radius: int = RADIUS, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
-    """(doc_id, start, n_words, item_id, distance, similarity) of every window that is an item's copy."""
+    """(doc_id, text_hash, start, n_words, item_id, distance, similarity) of every window that is an item's copy."""
     items = benchmark.select(F.col(item).alias("item_id"), normal_words(F.col(text)).alias("words")).where(F.size("words") > 0)
     items = materialise(items.withColumn("n", F.size("words")).withColumn("item_text", F.array_join("words", " ")), "items")
     width = F.least(F.col("n"), F.lit(k))
     widths = sorted(r[0] for r in items.select(width.alias("w")).distinct().collect())  # at most k values
     if not widths:
-        return docs.select(F.col(key).alias("doc_id")).limit(0).selectExpr("doc_id", "0 AS start", "0 AS n_words", "0L AS item_id", "0 AS distance", "0D AS similarity")
-    texts = docs.select(F.col(key).alias("doc_id"), normal_words(F.col(text)).alias("words"))
+        return docs.select(F.col(key).alias("doc_id")).limit(0).selectExpr("doc_id", "0L AS text_hash", "0 AS start", "0 AS n_words", "0L AS item_id", "0 AS distance", "0D AS similarity")
+    texts = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), normal_words(F.col(text)).alias("words"))
     found = None
     for w in widths:
         own = items.where(width == w)
@@ -91,10 +110,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = K, threshold: float =
         known = materialise(known, "known")
         if known.count() <= SHINGLES:
             known = F.broadcast(known)
-        places = texts.where(F.size("words") >= w).select("doc_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - w)).alias("p")).select("doc_id", "words", "p", _shingle_at(F.col("p"), w).alias("h"))
+        places = texts.where(F.size("words") >= w).select("doc_id", "text_hash", "words", F.explode(F.sequence(F.lit(0), F.size("words") - w)).alias("p")).select("doc_id", "text_hash", "words", "p", _shingle_at(F.col("p"), w).alias("h"))
         hits = places.join(known, "h")
         start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("at"), F.size("words") - F.col("n")))
-        hits = hits.select("doc_id", "n", start.alias("start"), F.array_join(F.slice("words", start + 1, F.col("n")), " ").alias("window"))
+        hits = hits.select("doc_id", "text_hash", "n", start.alias("start"), F.array_join(F.slice("words", start + 1, F.col("n")), " ").alias("window"))
         found = hits if found is None else found.union(hits)
     windows = materialise(found.distinct(), "windows")
     kinds = materialise(windows.select("n", "window").distinct().withColumn("wid", F.xxhash64("n", "window")), "kinds")
@@ -103,23 +122,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = K, threshold: float =
     ifp = simhash(texts_of_items, "tid", "item_text", k)
     left = kinds.join(wfp, "wid").select("wid", "n", "window", F.col("fp").alias("wfp"))
     right = materialise(texts_of_items.join(ifp, "tid").select("tid", "n", "item_text", F.col("fp").alias("ifp")), "itemfps")
-    pairs = left.withColumn("b", F.explode(blocks(F.col("wfp"), radius))).select("wid", "n", "wfp", F.col("b.block").alias("block"), F.col("b.value").alias("value"))
-    probe = right.withColumn("b", F.explode(blocks(F.col("ifp"), radius))).select("tid", "n", "ifp", F.col("b.block").alias("block"), F.col("b.value").alias("value"))
+    pairs = left.withColumn("b", F.explode(blocks(F.col("wfp")))).select("wid", "n", "wfp", F.col("b.block").alias("block"), F.col("b.value").alias("value"))
+    probe = right.withColumn("b", F.explode(blocks(F.col("ifp")))).select("tid", "n", "ifp", F.col("b.block").alias("block"), F.explode(near_values(F.col("b.value"), radius)).alias("value"))
     distance = F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp")))
-    near = pairs.join(probe, ["n", "block", "value"]).where(distance <= radius).select("wid", "tid", distance.alias("distance")).distinct()
+    near = pairs.join(probe.hint("shuffle_merge"), ["n", "block", "value"]).where(distance <= radius).select("wid", "tid", distance.alias("distance")).distinct()
     judged = near.join(left.select("wid", "window"), "wid").join(right.select("tid", "item_text"), "tid")
     judged = judged.withColumn("similarity", weighted_jaccard(_shingles(F.split("window", " "), k), _shingles(F.split("item_text", " "), k)))
     judged = materialise(judged.where(F.col("similarity") >= threshold).select("wid", "tid", "distance", F.round("similarity", 6).alias("similarity")), "judged")
     named = judged.join(items.select(F.xxhash64("n", "item_text").alias("tid"), "item_id"), "tid")
     out = windows.withColumn("wid", F.xxhash64("n", "window")).join(named, "wid")
-    return out.select("doc_id", "start", F.col("n").alias("n_words"), "item_id", "distance", "similarity")
+    return out.select("doc_id", "text_hash", "start", F.col("n").alias("n_words"), "item_id", "distance", "similarity")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a copy of an item."""
-    bad = materialise(leaks(docs, benchmark, key=key, text=text).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    mark = fresh(docs, "leak")
+    bad = materialise(leaks(docs, benchmark, key=key, text=text).select(F.col("text_hash").alias(mark)).distinct(), "leaks")
     bad = broadcast_if_small(bad, bad.count(), IDS)
-    return docs.join(bad, docs[key] == F.col("_leak"), "left_anti")
+    return docs.join(bad, F.xxhash64(docs[text]) == bad[mark], "left_anti")
 
 
 def q_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
