@@ -1,10 +1,12 @@
 """N-gram Jaccard join: rare-first prefix filtering, each pair verified once.
 
-1. Every text becomes a set of k-word shingle hashes.  A fixed-size counter of
-   all shingles (``dense_sum``) gives each an estimated frequency; (estimate,
-   hash) is one total order, rarest first, for all texts.
-2. Texts with equal sets form classes by a 128-bit set fingerprint; only the
-   class's least doc_id goes on.
+1. Every text becomes a set of k-word shingle hashes.  A counter of all shingles
+   (``dense_sum``; its size follows the input up to a fixed memory) gives each an
+   estimated frequency; (estimate, hash) is one total order, rarest first, for all
+   texts.  Estimates only order, so collisions cost time and change no result.
+2. Texts with equal sets form classes by a 128-bit set fingerprint; one row of a
+   class stands for it under a number of its own (``rid``), so ids need not be
+   unique nor known.
 3. Each representative posts the prefix of its ordered set: n - ceil(t n) + 1
    shingles, enough that any two sets of Jaccard >= t share one.  A posting
    carries the size and position; length and positional filters give the range
@@ -19,13 +21,19 @@
    more is none.  Verification bounds the overlap by counts in hash ranges, too,
    before it intersects the sets.
 
-Lists whose estimate says that they are long are dealt into blocks, and block
-pairs meet in tasks of their own, so no list need fit one task.
+Lists whose estimate could be long are counted; those with more than LONG postings
+are dealt into blocks, and block pairs meet in tasks of their own, so no list need
+fit one task and no other list is copied.
 
 Edge cases: null and empty texts, and texts of white space, have no shingles and
-link with nothing; a text of fewer than k words is one shingle; repeated rows
-are one class; equal ids with different texts fall in one component; an empty
-table gives an empty result; other columns are ignored.
+link with nothing; a text of fewer than k words is one shingle; a very long text is
+one set like any other, worked through in pieces; repeated rows are one class; rows
+with one id and different texts are classes of their own, linked only if their
+texts are; a null id never names a component, unless all of its ids are null; ties
+in the order of shingles go by hash; an empty table gives an empty result; columns
+other than id and text are not read, whatever their names.  ``one_per_group`` keeps
+one row of every component (of the least id; of rows with one id, that of the least
+hash of id and text; of rows equal in both, any one) and every text without words.
 """
 
 from __future__ import annotations
@@ -42,26 +50,27 @@ from pyspark.sql.window import Window
 
 from quaver.llm import textvec as T
 from quaver.llm.links import components
-from quaver.llm.shared import map_arrow, materialise
+from quaver.llm.shared import broadcast_if_small, discard, fresh, map_arrow, materialise, text_bytes
 from quaver.llm.sketch import dense_sum
 
-#: Counter cells; estimated list length beyond which a list is dealt in blocks;
-#: candidate ids up to which the second read of the texts broadcasts them;
-#: partners tried for each text in the first round (the second is complete).
-CELLS, LONG, IDS, FIRST = 1 << 18, 200_000, 4_000_000, 4
+#: Least and most counter cells, input bytes for one; postings beyond which a list is
+#: dealt in blocks; ids up to which a table of them is broadcast; flagged cells up to
+#: which only their lists are counted; partners tried for each text in the first
+#: round (the second is complete).
+CELLS, MOST_CELLS, CELL_BYTES, LONG, IDS, FLAGGED, FIRST = 1 << 18, 1 << 21, 256, 50_000, 4_000_000, 100_000, 4
 #: Least bits of a parity sketch; a set of n has the next power of two from n on.
 BITS = 256
-SIGNATURE = "doc_id long, n long, fp1 long, fp2 long, prefix array<long>, parity array<long>"
+SIGNATURE = "doc_id long, row_hash long, n long, fp1 long, fp2 long, prefix array<long>, parity array<long>"
 
 
-def _count(k: int):
+def _count(k: int, cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(CELLS, np.int64)
+        total = np.zeros(cells, np.int64)
         for b in batches:
             for *_, data, off in T.pieces(b.column(0)):
                 _, _, h, wo = T.words(data, off)
                 s, _ = T.shingles(h, wo, k)
-                total += np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                np.add.at(total, (s & np.uint64(cells - 1)).astype(np.int64), 1)
         return total
 
     return run
@@ -81,12 +90,22 @@ def _parity(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _distinct(own: np.ndarray) -> np.ndarray:
+    own = np.sort(own)
+    return own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
+
+
+def _fingerprint(own: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits of a set of shingles."""
+    return T.mix(own + np.uint64(0x51ED27)).sum(dtype=np.uint64), T.mix(own ^ np.uint64(0xA5A5F00D12345)).sum(dtype=np.uint64)
+
+
 def _signatures(k: int, t: Fraction, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = counts.value
+        mask = np.uint64(len(freq) - 1)
         for b in batches:
-            ids = b.column(0)
-            for i, j, data, off in T.pieces(b.column(1)):
+            for i, j, data, off in T.pieces(b.column(2)):
                 _, _, h, wo = T.words(data, off)
                 s, so = T.shingles(h, wo, k)
                 n = np.zeros(j - i, np.int64)
@@ -94,22 +113,20 @@ def _signatures(k: int, t: Fraction, counts):
                 pre, po = [], np.zeros(j - i + 1, np.int64)
                 parity, bo = [], np.zeros(j - i + 1, np.int64)
                 for d in range(j - i):
-                    own = np.sort(s[so[d] : so[d + 1]])
+                    own = _distinct(s[so[d] : so[d + 1]])
                     if len(own):
-                        own = own[np.concatenate([[True], own[1:] != own[:-1]])]
                         n[d] = len(own)
-                        fp[0, d] = T.mix(own + np.uint64(0x51ED27)).sum(dtype=np.uint64)
-                        fp[1, d] = T.mix(own ^ np.uint64(0xA5A5F00D12345)).sum(dtype=np.uint64)
+                        fp[:, d] = _fingerprint(own)
                         parity.append(_parity(own))
-                        first = np.argsort(freq[(own & np.uint64(CELLS - 1)).astype(np.int64)], kind="stable")
+                        first = np.argsort(freq[(own & mask).astype(np.int64)], kind="stable")
                         pre.append(own[first[: prefix_length(len(own), t)]])
                     po[d + 1] = po[d] + (len(pre[-1]) if n[d] else 0)
                     bo[d + 1] = bo[d] + (len(parity[-1]) if n[d] else 0)
                 flat = np.concatenate(pre) if pre else np.zeros(0, np.uint64)
                 lists = pa.ListArray.from_arrays(pa.array(po, pa.int32()), _i64(flat))
                 bits = pa.ListArray.from_arrays(pa.array(bo, pa.int32()), pa.array(np.concatenate(parity) if parity else np.zeros(0, np.int64)))
-                columns = [ids.slice(i, j - i), pa.array(n), _i64(fp[0].copy()), _i64(fp[1].copy()), lists, bits]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "fp1", "fp2", "prefix", "parity"])
+                columns = [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(n), _i64(fp[0].copy()), _i64(fp[1].copy()), lists, bits]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_hash", "n", "fp1", "fp2", "prefix", "parity"])
 
     return run
 
@@ -117,13 +134,13 @@ def _signatures(k: int, t: Fraction, counts):
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0)
             for i, j, data, off in T.pieces(b.column(1)):
                 _, _, h, wo = T.words(data, off)
                 s, so = T.shingles(h, wo, k)
-                own = [np.unique(s[so[d] : so[d + 1]]) for d in range(j - i)]
+                own = [_distinct(s[so[d] : so[d + 1]]) for d in range(j - i)]
+                prints = pa.array([int(_fingerprint(x)[0].view(np.int64)) for x in own], pa.int64())
                 blobs = pa.array([x.tobytes() for x in own], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), blobs], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), prints, blobs], ["row_hash", "fp1", "shingles"])
 
     return run
 
@@ -272,25 +289,33 @@ def _verify(t: Fraction):
     return run
 
 
-def verify(texts: DataFrame, pairs: DataFrame, k: int, t: Fraction, name: str) -> DataFrame:
-    """(a, b) of those ``pairs`` whose shingle sets are similar.  ``texts``: doc_id, text."""
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), name + "ids")
+def verify(texts: DataFrame, heads: DataFrame, pairs: DataFrame, k: int, t: Fraction, name: str) -> DataFrame:
+    """(a, b) of those ``pairs`` of rids whose shingle sets are similar.
+
+    ``texts``: row_hash, text.  ``heads`` (rid, row_hash, fp1) says which text is whose.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    ids = materialise(heads.join(ids, "rid"), name + "ids")
     count = ids.count()
-    own = texts.join(F.broadcast(ids) if count <= IDS else ids, "doc_id", "left_semi")
-    sets = materialise(map_arrow(own.dropDuplicates(["doc_id"]), _sets(k), "doc_id long, shingles binary"), name + "sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
-    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
-    return materialise(map_arrow(both, _verify(t), "a long, b long"), name)
+    asked = ids.select("row_hash").distinct()
+    own = texts.join(broadcast_if_small(asked, count, IDS), "row_hash", "left_semi")
+    found = map_arrow(own, _sets(k), "row_hash long, fp1 long, shingles binary").dropDuplicates(["row_hash", "fp1"])
+    sets = materialise(found.join(broadcast_if_small(ids, count, IDS), ["row_hash", "fp1"]).select("rid", "shingles"), name + "sets")
+    both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("shingles").alias("set_a")), "a")
+    both = both.join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
+    out = materialise(map_arrow(both, _verify(t), "a long, b long"), name)
+    discard(ids, sets)
+    return out
 
 
 def plausible(pairs: DataFrame, sketches: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b) of those ``pairs`` that the parity sketches (doc_id, n, parity) do not rule out.
+    """(a, b) of those ``pairs`` that the parity sketches (rid, n, parity) do not rule out.
 
     Sets with Jaccard >= t differ in at most (na + nb) (1 - t) / (1 + t) shingles.
     Sizes that can match differ by less than two, so their sketches' lengths by one
     doubling at most; the longer one is folded to the shorter.
     """
-    side = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n").alias("n" + x), F.col("parity").alias("p" + x))
+    side = lambda x: sketches.select(F.col("rid").alias(x), F.col("n").alias("n" + x), F.col("parity").alias("p" + x))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     w = F.least(F.size("pa"), F.size("pb"))
     xor = lambda x, y: x.bitwiseXOR(y)
@@ -300,33 +325,51 @@ def plausible(pairs: DataFrame, sketches: DataFrame, t: Fraction) -> DataFrame:
     return both.where(unlike * F.lit(q + p) <= (F.col("na") + F.col("nb")) * F.lit(q - p)).select("a", "b")
 
 
-def near_groups(docs: DataFrame, k: int = 5, threshold: str = "0.8", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) of every row of ``docs``."""
+def _long_lists(post: DataFrame, freq: np.ndarray) -> DataFrame | None:
+    """(h, parts) of the lists with more than LONG postings; an estimate is never below the true number."""
+    flagged = np.flatnonzero(freq > LONG)
+    if not len(flagged):
+        return None
+    if len(flagged) <= FLAGGED:
+        slots = post.sparkSession.createDataFrame([(int(i),) for i in flagged], "slot long")
+        post = post.join(F.broadcast(slots), F.col("h").bitwiseAND(F.lit(len(freq) - 1)) == F.col("slot"), "left_semi")
+    counted = post.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > LONG)
+    few = materialise(counted.select("h", F.ceil(F.col("c") / LONG).cast("int").alias("parts")), "longlists")
+    n = few.count()
+    return broadcast_if_small(few, n, IDS) if n else None
+
+
+def members(docs: DataFrame, k: int, threshold: str, key: str, text: str) -> DataFrame:
+    """(rid, row_hash, doc_id, n_shingles, class_id, component_id, component) of every row: ``component`` is the number of
+    its component, or of its class where that has no link; null for texts without words."""
     spark = docs.sparkSession
     t = Fraction(threshold)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counts = spark.sparkContext.broadcast(dense_sum(texts.select("text"), _count(k), CELLS))
-    sigs = materialise(map_arrow(texts, _signatures(k, t, counts), SIGNATURE), "sigs")
-    some = sigs.where("n > 0 AND doc_id IS NOT NULL")
-    classes = materialise(some.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "classes")
-    heads = classes.select(F.col("class_id").alias("doc_id"), "fp1", "fp2").distinct()
-    reps = some.select("doc_id", "fp1", "fp2", "n", "prefix").join(heads, ["doc_id", "fp1", "fp2"], "left_semi")
-    # a doc_id of several texts has several sketches: a pair stays if any two of them allow it
-    sketches = some.select("doc_id", "n", "parity").distinct()
-    freq = counts.value
-    long_cells = {int(i): math.ceil(freq[i] / LONG) for i in np.flatnonzero(freq > LONG)}
-    post = reps.select("doc_id", "n", F.posexplode("prefix").alias("pos", "h")).select("h", F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), "pos")
-    parts = F.lit(1)
-    if long_cells:
-        slot = F.col("h").bitwiseAND(F.lit(CELLS - 1)).cast("int")
-        few = spark.createDataFrame(sorted(long_cells.items()), "slot int, parts int")
-        post = post.join(F.broadcast(few), slot == F.col("slot"), "left").drop("slot")
+    texts = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("row_hash"), "text")
+    cells = CELLS
+    while cells < MOST_CELLS and cells * CELL_BYTES < text_bytes(texts):
+        cells *= 2
+    freq = dense_sum(texts.select("text"), _count(k, cells), cells)
+    counts = spark.sparkContext.broadcast(np.minimum(freq, (1 << 32) - 1).astype(np.uint32))
+    sigs = map_arrow(texts, _signatures(k, t, counts), SIGNATURE)
+    sigs = materialise(sigs.withColumn("rid", F.monotonically_increasing_id()), "sigs")  # written once, so the numbers stay
+    some = sigs.where("n > 0")
+    classes = some.groupBy("fp1", "fp2", "n").agg(F.min(F.struct("rid", "row_hash")).alias("head"), F.min("doc_id").alias("class_id"))
+    classes = materialise(classes.select("fp1", "fp2", "n", F.col("head.rid").alias("node"), F.col("head.row_hash").alias("row_hash"), "class_id"), "classes")
+    heads = classes.select(F.col("node").alias("rid"), "row_hash", "fp1")
+    reps = some.select("rid", "n", "prefix", "parity").join(heads.select("rid"), "rid", "left_semi")
+    sketches = reps.select("rid", "n", "parity")
+    post = reps.select("rid", "n", F.posexplode("prefix").alias("pos", "h")).select("h", F.col("rid").alias("doc"), F.col("n").cast("int").alias("n"), "pos")
+    few = _long_lists(post, freq)
+    if few is None:
+        parts = F.lit(1)
+    else:
+        post = post.join(few, "h", "left")
         parts = F.coalesce(F.col("parts"), F.lit(1))
     block = F.pmod(F.hash("doc"), parts)
     dealt = post.select("h", block.cast("long").alias("cell"), "doc", "n", "pos", (parts > 1).cast("int").alias("dealt"))
     # within a size, an order of each list's own: its neighbours differ from those in other lists
     dealt = dealt.repartition("h", "cell").sortWithinPartitions("h", "cell", "n", F.xxhash64("doc", "h"))
-    # one list of a long shingle is many cells: blocks meet in the second round
     lists = materialise(map_arrow(dealt, _lists(t, 2), "h long, cell long, doc long, n int, pos int, t0 long, t1 long, t2 long"), "lists")
     tries = lists.select("doc", F.explode(F.array_distinct(F.filter(F.array("t0", "t1", "t2"), lambda v: v >= 0))).alias("near"))
     # the partners that share most lists with a text, whichever text they are
@@ -334,15 +377,16 @@ def near_groups(docs: DataFrame, k: int = 5, threshold: str = "0.8", key: str =
     tried = tried.withColumn("r", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("c"), "near"))).where(F.col("r") <= FIRST)
     met = tried.select(F.least("doc", "near").alias("a"), F.greatest("doc", "near").alias("b")).distinct()
     first = materialise(plausible(met, sketches, t).distinct(), "pairs1")
-    links = verify(texts, first, k, t, "links1")
-    comp = materialise(components(links), "comp1")
+    own = texts.select("row_hash", "text")
+    links = verify(own, heads, first, k, t, "links1")
+    comp = components(links)
     held = lists.select("h", "cell", "doc", "n", "pos").join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
-    if long_cells:
+    if few is not None:
         # a long list's blocks i < j meet in cell (i, j); a block with itself in (i, i)
-        held = held.join(F.broadcast(few), F.col("h").bitwiseAND(F.lit(CELLS - 1)).cast("int") == F.col("slot"), "left")
+        held = held.join(few, "h", "left")
         n = F.coalesce(F.col("parts"), F.lit(1))
-        cells = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((F.least(i.cast("long"), F.col("cell")) * 1_000_000 + F.greatest(i.cast("long"), F.col("cell"))).alias("cell"), F.when(i == F.col("cell"), F.lit(-1)).otherwise(F.col("cell").cast("int")).alias("side")))
-        held = held.withColumn("_c", F.explode(cells)).select("h", F.col("_c.cell").alias("cell"), F.col("_c.side").alias("side"), "doc", "n", "pos", "comp")
+        cells_ = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((F.least(i.cast("long"), F.col("cell")) * 1_000_000 + F.greatest(i.cast("long"), F.col("cell"))).alias("cell"), F.when(i == F.col("cell"), F.lit(-1)).otherwise(F.col("cell").cast("int")).alias("side")))
+        held = held.withColumn("_c", F.explode(cells_)).select("h", F.col("_c.cell").alias("cell"), F.col("_c.side").alias("side"), "doc", "n", "pos", "comp")
     else:
         held = held.withColumn("side", F.lit(-1))
     open_ = held.groupBy("h", "cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h", "cell")
@@ -350,21 +394,39 @@ def near_groups(docs: DataFrame, k: int = 5, threshold: str = "0.8", key: str =
     second = map_arrow(held.repartition("h", "cell").sortWithinPartitions("h", "cell", "n", "doc"), _rest(t), PAIR)
     second = plausible(second.select("a", "b").distinct(), sketches, t).distinct()
     second = materialise(second.join(first, ["a", "b"], "left_anti"), "pairs2")
-    more = verify(texts, second, k, t, "links2")
-    final = materialise(components(links.union(more)), "comp2")
-    member = sigs.join(classes.select("fp1", "fp2", "n", "class_id"), ["fp1", "fp2", "n"], "left")
-    member = member.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"))
-    out = member.join(final.select(F.col("node").alias("class_id"), F.col("component")), "class_id", "left")
-    return out.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    discard(lists, comp)
+    more = verify(own, heads, second, k, t, "links2")
+    final = components(links.union(more))
+    # a component's id is the least id of its classes
+    linked = classes.select("node", "class_id").join(final, "node")
+    least = linked.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    named = materialise(linked.join(least, "component").select("node", "component", "component_id"), "named")
+    discard(first, second, links, more, final)
+    kinds = classes.join(named, "node", "left").select("fp1", "fp2", "n", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), F.coalesce("component", "node").alias("component"))
+    member = sigs.select("rid", "row_hash", "doc_id", "n", "fp1", "fp2").join(kinds, ["fp1", "fp2", "n"], "left")
+    alone = lambda c: F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("doc_id")).alias(c)
+    return member.select("rid", "row_hash", "doc_id", F.col("n").alias("n_shingles"), alone("class_id"), alone("component_id"), "component")
+
+
+def near_groups(docs: DataFrame, k: int = 5, threshold: str = "0.8", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id) of every row of ``docs``."""
+    return members(docs, k, threshold, key, text).select("doc_id", "n_shingles", "class_id", "component_id")
 
 
 def one_per_group(docs: DataFrame, k: int = 5, threshold: str = "0.8", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without all but the least id of each group; texts without words all stay."""
-    groups = near_groups(docs, k, threshold, key, text)
-    drop = materialise(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    count = drop.count()
-    kept = docs.join(F.broadcast(drop) if count <= IDS else drop, docs[key].cast("long") == F.col("_gone"), "left_anti")
-    return kept
+    """``docs`` with one row of each component; texts without words all stay."""
+    rows = materialise(members(docs, k, threshold, key, text).where("component IS NOT NULL"), "members")
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_hash")).alias("b")).select("component", F.col("b.row_hash").alias("kept"))
+    marked = rows.select("component", "row_hash").join(best, "component")
+    gone = materialise(marked.where("row_hash <> kept").select("row_hash").distinct(), "gone")
+    twice = materialise(marked.where("row_hash = kept").groupBy("row_hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("row_hash"), "twice")
+    mark, n_gone, n_twice = fresh(docs, "row_hash"), gone.count(), twice.count()
+    kept = docs.withColumn(mark, F.xxhash64(docs[key].cast("long"), docs[text]))
+    kept = kept.join(broadcast_if_small(gone.withColumnRenamed("row_hash", mark), n_gone, IDS), mark, "left_anti")
+    if n_twice:
+        again = broadcast_if_small(twice.withColumnRenamed("row_hash", mark), n_twice, IDS)
+        kept = kept.join(again, mark, "left_anti").unionByName(kept.join(again, mark, "left_semi").dropDuplicates([mark]))
+    return kept.select(*docs.columns)
 
 
 def q_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

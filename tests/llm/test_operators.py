@@ -132,7 +132,24 @@ def test_ngram_join_odd(spark, odd, empty):
     got = {r.doc_id: r.component_id for r in ngramjoin.near_groups(odd, 3, "0.9").collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 6, 8: 8, 9: 9, 10: 1, 12: 12, None: None}
     assert ngramjoin.near_groups(empty).count() == 0
-    assert sorted(r.doc_id for r in ngramjoin.one_per_group(odd.where("doc_id IS NOT NULL")).select("doc_id").distinct().collect()) == [1, 3, 4, 5, 6, 8, 9, 12]
+    kept = ngramjoin.one_per_group(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 8, 9, 12]
+
+
+def test_ngram_join_ids_need_not_be_unique(spark):
+    """Rows are what links: the same rows in any order give the same groups, and one row of a group stays."""
+    a, b = LONG.strip(), " ".join(f"v{i}" for i in range(60))
+    rows = [(7, a), (7, b), (9, a + " tail"), (3, b + " tail"), (None, a + " end"), (None, a + " end"), (7, a), (5, "alone and short"), (None, None), (None, None)]
+    seen = []
+    for order in (rows, rows[::-1], rows[5:] + rows[:5]):
+        df = spark.createDataFrame([(*r, i, "x") for i, r in enumerate(order)], "doc_id long, text string, _gone int, row_hash string").repartition(3)
+        seen.append(sorted(((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngramjoin.near_groups(df, 3, "0.9").collect())))
+        kept = ngramjoin.one_per_group(df, 3, "0.9")
+        assert kept.columns == df.columns
+        assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == {(7, a): 1, (3, b + " tail"): 1, (5, "alone and short"): 1, (None, None): 2}
+    assert seen[0] == seen[1] == seen[2]
+    assert {c for i, n, c in seen[0] if i == 7} == {3, 7}
 
 
 def test_ngram_join_blocks(spark, monkeypatch):
@@ -168,13 +185,15 @@ def test_decontamination(spark, docs, small):
     want = set()
     for d, t in texts(docs):
         w = norm(t)
+        own = set(bag(w))
         for i, x in items:
             b = bag(x)
+            if not own & set(b):  # no shingle in common: no window reaches the bar
+                continue
             for s in range(max(1, len(w) - len(x) + 1)):
-                if set(w[s : s + 5]) <= set(x) or s + 5 > len(w):
-                    a = bag(w[s : s + len(x)])
-                    if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
-                        want.add((d, i))
+                a = bag(w[s : s + len(x)])
+                if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+                    want.add((d, i))
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()}
     assert got == want
     assert want
@@ -182,6 +201,50 @@ def test_decontamination(spark, docs, small):
     assert kept == {d for d, _ in texts(docs)} - {d for d, _ in want}
 
 
+def test_blocks_meet_within_the_radius(spark):
+    """Every pair of fingerprints within RADIUS meets in a block; few others do."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(300):
+        a = int(rng.integers(0, 1 << 63))
+        flips = rng.choice(63, int(rng.integers(0, decontam.RADIUS + 1)), replace=False)
+        rows += [(i, a, a ^ sum(1 << int(f) for f in flips), True), (i, a, int(rng.integers(0, 1 << 63)), False)]
+    df = spark.createDataFrame(rows, "i long, a long, b long, near boolean")
+    meets = F.exists(F.zip_with("own", "other", lambda x, y: F.array_contains(decontam.near_values(x["value"], decontam.RADIUS), y["value"])), lambda x: x)
+    df = df.select("near", decontam.blocks(F.col("a")).alias("own"), decontam.blocks(F.col("b")).alias("other")).select("near", meets.alias("m"))
+    got = {r.near: r.m for r in df.groupBy("near").agg(F.avg(F.col("m").cast("double")).alias("m")).collect()}
+    assert got[True] == 1.0
+    assert got[False] < 0.3
+
+
+def test_simhash_radius_keeps_near_copies(spark):
+    """Windows with one word edited, of 45 to 90 words: all that reach 0.8 are found."""
+    rng = np.random.default_rng(11)
+    docs, items, want = [], [], set()
+    for i in range(60):
+        w = [f"w{int(x)}" for x in rng.integers(0, 5000, int(rng.integers(45, 90)))]
+        items.append((i, " ".join(w)))
+        for e in range(2):
+            c = list(w)
+            c[int(rng.integers(0, len(w)))] = "edited"
+            docs.append((10 * i + e, "Before. " * 8 + " ".join(c) + " after" * 9))
+            bag = lambda x: collections.Counter(tuple(x[k : k + 5]) for k in range(len(x) - 4))
+            if sum((bag(c) & bag(w)).values()) >= 0.8 * sum((bag(c) | bag(w)).values()):
+                want.add((10 * i + e, i))
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+    assert len(want) > 80
+
+
+def test_clean_goes_by_text(spark):
+    rows = [(None, LONG, 1), (None, "other words stay here for good", 1), (5, LONG, 2), (5, "a second text of the same id", 2), (6, LONG, 3), (6, LONG, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, leak int").withColumnsRenamed({"leak": "_leak"}).withColumn("leak", F.lit("x"))
+    items = spark.createDataFrame([(1, LONG)], "item_id long, text string")
+    kept = decontam.clean(df, items)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id is None, r.text) for r in kept.collect()) == [(False, "a second text of the same id"), (True, "other words stay here for good")]
+
+
 def test_decontamination_odd(spark, odd, empty):
     items = spark.createDataFrame([(1, LONG), (2, None), (3, ""), (4, "two words"), (5, "one"), (6, LONG)], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(odd, items).collect()}
