@@ -331,7 +331,8 @@ def _long_lists(post: DataFrame, freq: np.ndarray) -> DataFrame | None:
     if not len(flagged):
         return None
     if len(flagged) <= FLAGGED:
-        slots = post.sparkSession.createDataFrame([(int(i),) for i in flagged], "slot long")
+        listed = F.split(F.lit(",".join(map(str, flagged.tolist()))), ",").cast("array<long>")  # made in the JVM: no Python worker starts for it
+        slots = post.sparkSession.range(1).select(F.explode(listed).alias("slot"))
         post = post.join(F.broadcast(slots), F.col("h").bitwiseAND(F.lit(len(freq) - 1)) == F.col("slot"), "left_semi")
     counted = post.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > LONG)
     few = materialise(counted.select("h", F.ceil(F.col("c") / LONG).cast("int").alias("parts")), "longlists")

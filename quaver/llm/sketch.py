@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quaver.llm.shared import map_arrow
 
@@ -26,23 +25,26 @@ def dense_sum(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndar
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = count(batches)
         step = size // SLICES
-        slots = [i for i in range(SLICES) if total[i * step : (i + 1) * step].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array([total[i * step : (i + 1) * step].tobytes() for i in slots], pa.binary())], ["slot", "part"])
-
-    def fold(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        for i in range(SLICES):
+            part = total[i * step : (i + 1) * step]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slot", "part"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # slices are added as they come: a task holds its sums and one batch, however many tasks counted
+        total: dict[int, np.ndarray] = {}
         for b in batches:
-            for part in b.column("part"):
+            for slot, part in zip(b.column("slot").to_pylist(), b.column("part"), strict=True):
                 x = np.frombuffer(part.as_buffer(), np.int64)
-                total = x.copy() if total is None else total + x
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slot", "part"])
-
-    def fold_table(key: tuple, table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(fold(key, table.to_batches())))
+                if slot in total:
+                    total[slot] += x
+                else:
+                    total[slot] = x.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slot", "part"])
 
     assert size % SLICES == 0
     parts = map_arrow(df, emit, PART)
-    rows = parts.groupBy("slot").applyInArrow(fold_table, PART).select("slot", F.col("part")).collect()
+    rows = map_arrow(parts.repartition(SLICES, "slot"), fold, PART).collect()
     out = np.zeros(size, np.int64)
     step = size // SLICES
     for r in rows:
