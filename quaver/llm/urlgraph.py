@@ -5,16 +5,24 @@ Everything else is judged by its host: trust is a personalised PageRank over
 host -> host edges from trusted seeds, distrust the same over reversed edges
 from blocked seeds, and a host whose share of distrust reaches ``ratio`` is
 blocked.  A host's seed mass is the share of its pages that a rule allows or
-blocks, plus the hosts under any seed domains given.  Both walks start from these
-masses as they are, on one scale, so the rest of the corpus does not sway a host
-that no link reaches.
+blocks; hosts under the domains given as ``good`` or ``bad`` are seeds of mass 1.
+Both walks start from these masses as they are, on one scale, so the rest of the
+corpus does not sway a host that no link reaches.
+
+Edges are the links in the pages, one for each page that links to a host, and one
+from every host to each domain above it that is a host as well: a subdomain speaks
+for its parents, so trust flows up to them, and a parent's distrust flows down.
+Names of one label (``com``) and the address of a page's own host are no edges.
 
 Pages are reduced to distinct weighted host edges before anything iterates; a
 host that holds a third of all pages is combined on the map side.
 
 Edge cases: a null url or one without ``://`` has an empty host and path and is
-allowed; a null html has no links; hosts without seeds in reach score 0 and are
-allowed; repeated rows are judged alike; an empty table gives no rows.
+allowed; a null html has no links; a very long html is searched whole; hosts without
+seeds in reach score 0 and are allowed; a tie of trust and distrust blocks; repeated
+rows are judged alike, and count as often as they occur; null page ids are kept as
+they are; an empty table gives no rows; columns other than page_id, url and html are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +47,7 @@ class Rule:
         return self.host + self.path
 
 
-#: The production rules, and domains known to be bad.
+#: The production rules.
 RULES = (
     Rule("allow", "org", "/"),
     Rule("block", "example.org", "/es/"),
@@ -47,7 +55,6 @@ RULES = (
     Rule("allow", "com", "/fr/"),
     Rule("block", "com", "/de/"),
 )
-BAD_DOMAINS = ("casino-win.example.com", "casino-win.example.net", "casino-win.example.org")
 ROUNDS, DAMPING, RATIO, DIGITS = 8, 0.85, 0.5, 9  # significant digits
 HREF = r"(?i)href\s*=\s*[\"']?([a-z][a-z0-9+.-]*://[^\"'\s>]+)"
 
@@ -107,29 +114,44 @@ def host_edges(df: DataFrame) -> DataFrame:
     return to.where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def host_scores(pages: DataFrame, rules: Sequence[Rule] = RULES, bad: Sequence[str] = BAD_DOMAINS) -> DataFrame:
+def domain_edges(hosts: DataFrame) -> DataFrame:
+    """(src, dst, weight): from every host of ``hosts`` to each of its parent domains that is a host, too."""
+    label = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(2), F.greatest(F.size(label) - 1, F.lit(2))), lambda i: F.array_join(F.slice(label, i, F.size(label)), "."))
+    up = hosts.where(F.size(label) > 2).select(F.col("host").alias("src"), F.explode(above).alias("dst")).where(F.col("dst").contains("."))
+    return up.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi").select("src", "dst", F.lit(1.0).alias("weight"))
+
+
+def seeds(judged: DataFrame, good: Sequence[str], bad: Sequence[str]) -> DataFrame:
+    """(host, good, evil) of every host with pages: ``judged`` has host and rule_verdict."""
+    share = lambda verdict: F.count_if(F.col("rule_verdict") == verdict) / F.count(F.lit(1))
+    hosts = judged.where("host <> ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("evil"))
+    known = lambda domains: F.coalesce(*[F.when(under(F.col("host"), d), True) for d in domains], F.lit(False))
+    given = known(good) | known(bad)
+    one = lambda c, domains: significant(F.when(given, known(domains).cast("double")).otherwise(F.col(c))).alias(c)
+    return hosts.select("host", one("good", good), one("evil", bad))
+
+
+def host_scores(pages: DataFrame, rules: Sequence[Rule] = RULES, good: Sequence[str] = (), bad: Sequence[str] = (), ratio: float = RATIO) -> DataFrame:
     """(host, trust, distrust, blocked) of every host that has pages or links."""
     judged = match_rules(pages.select("html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), rules)
-    edges = materialise(host_edges(judged), "hostlinks")
-    hosts = judged.where("host <> ''").groupBy("host").agg(F.avg((F.col("rule_verdict") == "allow").cast("double")).alias("_a"), F.avg((F.col("rule_verdict") == "block").cast("double")).alias("_b"), F.count(F.lit(1)).alias("pages"), F.count("rule_verdict").alias("ruled"))
-    share = lambda c: F.coalesce(F.col(c), F.lit(0.0)) * F.col("ruled") / F.greatest("pages", F.lit(1))
-    known_bad = F.lit(False)
-    for d in bad:
-        known_bad = known_bad | under(F.col("host"), d)
-    linked = edges.select(F.col("dst").alias("host")).distinct().join(hosts, "host", "left_anti")
-    hosts = hosts.select("host", share("_a").alias("good"), share("_b").alias("evil")).unionByName(linked.select("host", F.lit(0.0).alias("good"), F.lit(0.0).alias("evil")))
-    hosts = materialise(hosts.select("host", significant(F.when(known_bad, 0.0).otherwise(F.col("good"))).alias("good"), significant(F.when(known_bad, 1.0).otherwise(F.col("evil"))).alias("evil")), "hosts")
+    links = materialise(host_edges(judged), "hostlinks")
+    hosts = materialise(seeds(judged, good, bad), "seeds")
+    linked = links.select(F.col("dst").alias("host")).distinct().join(hosts, "host", "left_anti")
+    known = lambda domains: F.coalesce(*[F.when(under(F.col("host"), d), 1.0) for d in domains], F.lit(0.0))
+    hosts = materialise(hosts.unionByName(linked.select("host", known(good).alias("good"), known(bad).alias("evil"))), "hosts")
+    edges = materialise(links.union(domain_edges(hosts)).groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "hostedges")
     trust = rank(edges, hosts.select("host", F.col("good").alias("mass")))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     distrust = rank(back, hosts.select("host", F.col("evil").alias("mass")))
     both = hosts.select("host").join(trust.withColumnRenamed("score", "trust"), "host").join(distrust.withColumnRenamed("score", "distrust"), "host")
     total = F.col("trust") + F.col("distrust")
-    return both.withColumn("blocked", (F.col("distrust") > 0) & (F.col("distrust") >= RATIO * total))
+    return both.withColumn("blocked", (F.col("distrust") > 0) & (F.col("distrust") >= ratio * total))
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, bad: Sequence[str] = BAD_DOMAINS) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, good: Sequence[str] = (), bad: Sequence[str] = (), ratio: float = RATIO) -> DataFrame:
     """Every page with host, path, rule, verdict, and the host's trust and distrust."""
-    scores = materialise(host_scores(pages, rules, bad), "hostscores")
+    scores = materialise(host_scores(pages, rules, good, bad, ratio), "hostscores")
     judged = match_rules(pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), rules)
     out = judged.join(scores.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left")
     verdict = F.coalesce("rule_verdict", F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow")))
