@@ -1,7 +1,7 @@
 """Interpolated modified Kneser-Ney language model, counted in Spark.
 
-The order is 2 (word pairs over ``<s> words </s>``): the distinct triples of a
-corpus alone would move more than four times its size.
+The order is 2 (word pairs over ``<s> words </s>``).  Order 3 was sized and not
+built; the README gives the figures.
 
 * Words are hashed; each task sends its distinct words, in hash ranges, as two
   packed arrays.  A range's reducer writes a sorted hash array with counts; a
@@ -15,17 +15,23 @@ corpus alone would move more than four times its size.
   task sweeps each file once and no model is ever held in memory or collected.
 
 Files lie in the shared folder; a worker maps them in place where that is a
-local path, else it maps an unlinked local copy.  Every file is written under a
+local path, else it maps an unlinked local copy.  A map holds no file open, and only
+ranges whose bounds hold an asked key are mapped at all.  A range has a reducer
+partition of its own, sized by input bytes, so a task's work does not grow with the
+corpus.  Every file is written under a
 temporary name and renamed, so a task that runs again only repeats its work.
 
-Edge cases: null and empty texts are one end token; a null id counts as
-training text; without training texts every token has probability 1/(V+1);
-repeated rows count as often as they occur; an empty table gives no rows.
+Edge cases: null and empty texts are one end token; a very long text is read in
+pieces for counting and scored whole; a null id counts as training text and is kept
+as it is; without training texts every token has probability 1/(V+1); repeated rows
+count as often as they occur; keys have one order, so there are no ties; only id and
+text are read, so other columns may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+import mmap
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -104,6 +110,11 @@ def save(folder: str, name: str, x: np.ndarray) -> None:
 _maps: dict[tuple[str, str], np.ndarray] = {}
 
 
+def _view(file, dtype: type) -> np.ndarray:
+    """A map that keeps no descriptor: a worker may hold any number of them."""
+    return np.frombuffer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), dtype)
+
+
 def mapped(folder: str, name: str, dtype: type) -> np.ndarray:
     """A file of the model as a memory map; kept open while the worker uses this model."""
     at = (folder, name)
@@ -114,13 +125,14 @@ def mapped(folder: str, name: str, dtype: type) -> np.ndarray:
         if fs.get_file_info(path).size == 0:
             _maps[at] = np.zeros(0, dtype)
         elif isinstance(fs, pafs.LocalFileSystem):
-            _maps[at] = np.memmap(path, dtype, "r")
+            with open(path, "rb") as src:
+                _maps[at] = _view(src, dtype)
         else:  # the copy has no name and goes with the map
             with tempfile.TemporaryFile() as copy, fs.open_input_stream(path) as src:
                 while chunk := src.read(8 << 20):
                     copy.write(chunk)
                 copy.flush()
-                _maps[at] = np.memmap(copy, dtype, "r")
+                _maps[at] = _view(copy, dtype)
     return _maps[at]
 
 
@@ -133,6 +145,9 @@ class Model:
     mass: np.ndarray  # training words before each word range, and their number
     docs: int
     pair_ranges: int
+    #: First and last key of each pair range (first above last where it is empty).
+    first: np.ndarray | None = None
+    last: np.ndarray | None = None
     pairs: int = 0
     discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
     low: tuple[float, float, float] = (0.0, 0.0, 0.0)
@@ -294,7 +309,7 @@ def _write_pairs(model: Model):
         kinds = [np.add.reduceat(x.astype(np.uint32), st) for x in (c == 1, c == 2, c >= 3)]
         save(model.folder, f"context-{s:05d}", np.stack([left[st], *kinds]).astype(np.uint32))
         w, n = np.unique((k & np.uint64(0xFFFFFFFF)).astype(np.uint32), return_counts=True)
-        shards, a, b = [-1], [np.array([len(k), *_counts_of_counts(c)], np.int64).tobytes()], [b""]
+        shards, a, b = [-1], [np.array([s, len(k), *_counts_of_counts(c), *k[[0, -1]].view(np.int64)], np.int64).tobytes()], [b""]
         shard = np.minimum(np.searchsorted(model.offsets, w, "right") - 1, len(model.offsets) - 2)
         cut = np.searchsorted(shard, np.arange(len(model.offsets)))
         for i in range(len(model.offsets) - 1):
@@ -340,7 +355,7 @@ def train(texts: DataFrame) -> Model:
     folder = new_folder(spark, "lm")
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path)
-    rows = map_arrow(texts.select("text"), _words(word_ranges), BLOBS).groupBy("shard").applyInArrow(_write_words(folder), "shard int, n long, total long").collect()
+    rows = map_arrow(texts.select("text"), _words(word_ranges), BLOBS).repartition(word_ranges + 1, "shard").groupBy("shard").applyInArrow(_write_words(folder), "shard int, n long, total long").collect()
     sizes, totals, docs = np.zeros(word_ranges, np.int64), np.zeros(word_ranges, np.int64), 0
     for r in rows:
         if r.shard < 0:
@@ -354,10 +369,12 @@ def train(texts: DataFrame) -> Model:
     if not docs:
         return model
     sent = map_arrow(texts.select("text"), _pairs(model), BLOBS)
-    made = materialise(sent.groupBy("shard").applyInArrow(_write_pairs(model), BLOBS), "continuations")
-    figures = np.sum([np.frombuffer(bytes(r.keys), np.int64) for r in made.where("shard < 0").collect()], axis=0)
-    model.pairs, model.discounts = int(figures[0]), discounts([int(x) for x in figures[1:]])
-    low = made.where("shard >= 0").groupBy("shard").applyInArrow(_write_continuations(model), "end long, c array<long>").collect()
+    made = materialise(sent.repartition(pair_ranges, "shard").groupBy("shard").applyInArrow(_write_pairs(model), BLOBS), "continuations")
+    figures = np.array([np.frombuffer(bytes(r.keys), np.int64) for r in made.where("shard < 0").collect()])
+    model.first, model.last = np.full(pair_ranges, (1 << 64) - 1, np.uint64), np.zeros(pair_ranges, np.uint64)
+    model.first[figures[:, 0]], model.last[figures[:, 0]] = figures[:, 6].view(np.uint64), figures[:, 7].view(np.uint64)
+    model.pairs, model.discounts = int(figures[:, 1].sum()), discounts([int(x) for x in figures[:, 2:6].sum(axis=0)])
+    low = made.where("shard >= 0").repartition(word_ranges, "shard").groupBy("shard").applyInArrow(_write_continuations(model), "end long, c array<long>").collect()
     have = {int(r[0]) for r in made.where("shard >= 0").select("shard").distinct().collect()}
     for s in set(range(word_ranges)) - have:
         save(folder, f"cont-{s:05d}", np.zeros(int(sizes[s]), np.uint32))
@@ -366,10 +383,6 @@ def train(texts: DataFrame) -> Model:
     model.low = discounts([int(x) for x in of])
     more = model.kinds - int(of[:2].sum())
     model.low_gamma = min(1.0, (model.low[0] * of[0] + model.low[1] * of[1] + model.low[2] * more) / max(1, model.pairs))
-    for s in range(pair_ranges):
-        if fs.get_file_info(f"{path}/pair-{s:05d}").type == pafs.FileType.NotFound:
-            for name in ("pair", "paircount", "context"):
-                save(folder, f"{name}-{s:05d}", np.zeros(0, np.uint8))
     return model
 
 
@@ -399,21 +412,21 @@ def log10_probabilities(model: Model, left: np.ndarray, right: np.ndarray) -> tu
     keys, kback = np.unique(pair_keys(left[both], right[both]), return_inverse=True)
     times = np.zeros(len(keys), np.int64)
     if model.docs:
-        for s in range(model.pair_ranges):
+        lo, hi = np.searchsorted(keys, model.first), np.searchsorted(keys, model.last, "right")
+        for s in np.flatnonzero(hi > lo):
             have, numbers = mapped(model.folder, f"pair-{s:05d}", np.uint64), mapped(model.folder, f"paircount-{s:05d}", np.uint32)
-            if not len(have):
-                continue
-            lo, hi = np.searchsorted(keys, have[0]), np.searchsorted(keys, have[-1], "right")
-            if hi > lo:
-                at = np.minimum(np.searchsorted(have, keys[lo:hi]), len(have) - 1)
-                times[lo:hi] = np.where(have[at] == keys[lo:hi], numbers[at], 0)
+            ask = keys[lo[s] : hi[s]]
+            at = np.minimum(np.searchsorted(have, ask), len(have) - 1)
+            times[lo[s] : hi[s]] = np.where(have[at] == ask, numbers[at], 0)
+        known_left = lw.clip(0).astype(np.uint64)
+        lo, hi = np.searchsorted(known_left, model.first >> np.uint64(32)), np.searchsorted(known_left, model.last >> np.uint64(32), "right")
+        for s in np.flatnonzero(hi > lo):
             context = mapped(model.folder, f"context-{s:05d}", np.uint32).reshape(4, -1)
-            lo, hi = np.searchsorted(lw, int(context[0][0])), np.searchsorted(lw, int(context[0][-1]), "right")
-            if hi > lo:
-                at = np.minimum(np.searchsorted(context[0], lw[lo:hi].astype(np.uint32)), context.shape[1] - 1)
-                hit = context[0][at] == lw[lo:hi]
-                for i in range(3):
-                    seen[i, lo:hi] += np.where(hit, context[i + 1][at], 0)
+            ask = lw[lo[s] : hi[s]]
+            at = np.minimum(np.searchsorted(context[0], known_left[lo[s] : hi[s]].astype(np.uint32)), context.shape[1] - 1)
+            hit = context[0][at] == ask
+            for i in range(3):
+                seen[i, lo[s] : hi[s]] += np.where(hit, context[i + 1][at], 0)
     gamma = np.where(own > 0, (np.array(model.discounts) @ seen) / np.maximum(1, own), 1.0)
     p = p * gamma[lback]
     top = np.zeros(len(left))
