@@ -15,9 +15,12 @@ At most POSITIVES and UNLABELLED texts are used for fitting (their hashed
 features only, by blobs); scoring covers every whole text.  Labels are read from
 training rows only; label, language, source and id are no features.
 
-Edge cases: null and empty texts score by the bias alone; without positives the
-score is 0 but for rounding; conflicting labels of an id count as toxic if any row says so;
-repeated rows score alike; an empty table gives an empty result.
+Edge cases: null and empty texts score by the bias alone; a very long text is scored
+whole, by the presence of its features; without positives the score is 0 but for
+rounding; conflicting labels of an id count as toxic if any row says so; a null id is
+no training row; ids that tie in the samples' hash go by id; a score that ties with
+the cut is toxic; repeated rows score alike; ``drop_toxic`` keeps all columns whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -140,19 +143,18 @@ def _score(model):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
-    """The model, from training rows of ``labels`` and texts of training rows of ``docs``."""
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, np.ndarray, float]:
+    """The model, from at most ``positives`` confirmed texts and ``unlabelled`` training texts, those with the least hash of their id."""
     training = F.coalesce(crc32_text(key) % 5 != 0, F.lit(False))
     known = labels.where(training & F.col("toxic").isNotNull()).groupBy(key).agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     if not share:
         return np.zeros(0, np.int64), np.zeros(0), -1e3
-    pick = known.where("toxic = 1").orderBy(F.xxhash64(key), key).limit(POSITIVES).select(F.col(key).alias("_p"))
-    pos = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(pick), F.col(key) == F.col("_p"), "left_semi").select(F.lit(True).alias("positive"), "text")
-    order = F.xxhash64(F.lit("u"), key)
-    some = docs.where(training).select(F.col(key).alias("_u")).orderBy(order.asc() if key == "_u" else F.xxhash64(F.lit("u"), "_u"), "_u").limit(UNLABELLED)
-    unl = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(some), F.col(key) == F.col("_u"), "left_semi").select(F.lit(False).alias("positive"), "text")
-    rows = map_arrow(pos.union(unl), _collect, "positive boolean, blob binary").collect()
+    texts = docs.where(training).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    pick = known.where("toxic = 1").select(F.col(key).alias("id")).orderBy(F.xxhash64("id"), "id").limit(positives)
+    some = texts.select("id").orderBy(F.xxhash64(F.lit("u"), "id"), "id").limit(unlabelled)
+    of = lambda ids, side: texts.join(F.broadcast(ids), "id", "left_semi").select(F.lit(side).alias("positive"), "text")
+    rows = map_arrow(of(pick, True).union(of(some, False)), _collect, "positive boolean, blob binary").collect()
     rows.sort(key=lambda r: (r.positive, r.blob))
     pick_ = lambda side: [np.frombuffer(r.blob, np.int32) for r in rows if r.positive == side]
     return fit(pick_(True), pick_(False), float(np.clip(share, 1e-3, 0.95)))

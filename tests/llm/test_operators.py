@@ -270,6 +270,35 @@ def test_toxicity(docs, labels, odd, empty):
     assert kept.count() == len(ODD)
 
 
+def test_risk_is_corrected_for_the_prior():
+    """Positives hidden in the unlabelled sample are found, although the sample counts them as negative."""
+    rng = np.random.default_rng(8)
+    noise = lambda: rng.choice(np.arange(100, 400), 12, replace=False)
+    text = lambda toxic: np.unique(np.concatenate([noise(), rng.choice(np.arange(10), 3, replace=False) if toxic else []]).astype(np.int64))
+    hidden = rng.random(1500) < 0.3
+    pos, unl = [text(True) for _ in range(300)], [text(bool(x)) for x in hidden]
+    chosen, w, bias = toxicity.fit(pos, unl, 0.3)
+    weight = dict(zip(chosen.tolist(), w.tolist(), strict=True))
+    z = np.array([sum(weight.get(int(f), 0.0) for f in x) + bias for x in unl])
+    assert np.mean((z > 0) == hidden) > 0.97
+    loss = lambda z, y: np.logaddexp(0, -z if y else z).mean()
+    zp = np.array([sum(weight.get(int(f), 0.0) for f in x) + bias for x in pos])
+    risk = lambda zp, zu: 0.3 * loss(zp, True) + max(0.0, loss(zu, False) - 0.3 * loss(zp, False))
+    assert risk(zp, z) < 0.2 < risk(np.zeros(300), np.zeros(1500))
+
+
+def test_toxicity_scores_by_hand(docs, labels):
+    """Scores from the model's weights, one text and one word at a time."""
+    chosen, w, bias = toxicity.train(docs, labels)
+    weight = dict(zip(chosen.tolist(), np.float32(w).tolist(), strict=True))
+    one = lambda data: int(textvec.hash_spans(np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)]))[0])
+    got = {r.doc_id: r.score for r in toxicity.score(docs, labels).collect()}
+    for i, t in texts(docs):
+        raw = [x.encode() for x in words(t)]
+        found = {one(x) % toxicity.BUCKETS for x in raw} | {(one(x[: toxicity.STEM]) + 1) % toxicity.BUCKETS for x in raw}
+        assert math.isclose(got[i], 1 / (1 + math.exp(-sum(weight.get(f, 0.0) for f in found) - bias)), rel_tol=1e-5, abs_tol=1e-12)
+
+
 def brute_base(t):
     w = words(t)
     grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
@@ -581,6 +610,16 @@ def test_language_model(spark, docs, odd, empty):
     assert kneserney.score(empty, kneserney.train(empty.select("text"))).count() == 0
 
 
+def test_model_maps_hold_no_files(tmp_path):
+    import os
+
+    before = len(os.listdir("/proc/self/fd"))
+    for i in range(60):
+        kneserney.save(f"file://{tmp_path}", f"a-{i}", np.arange(50, dtype=np.uint64))
+        assert kneserney.mapped(f"file://{tmp_path}", f"a-{i}", np.uint64).sum() == 1225
+    assert len(os.listdir("/proc/self/fd")) < before + 5
+
+
 # ---- token files
 
 
