@@ -222,6 +222,18 @@ def _send(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray, ranges: int)
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([pack(k)], pa.binary()), pa.array([planes(c)], pa.binary())], ["shard", "keys", "counts"])
 
 
+def _each_range(df: DataFrame, ranges: int, write, schema: str) -> DataFrame:
+    """``write(shard, table)`` for the rows of each shard, every shard in a partition of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [b for b in batches if b.num_rows]
+        if own:
+            table = pa.Table.from_batches(own)
+            yield from write(table.column("shard")[0].as_py(), table).to_batches()
+
+    return map_arrow(df.repartitionById(ranges, F.col("shard")), run, schema)
+
+
 def _words(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bag, texts = Bag(), 0
@@ -237,16 +249,15 @@ def _words(ranges: int):
                         bag.keys, bag.counts, bag.loose = [k], [c], len(k)
         k, c = bag.take()
         yield from _send(k, c, word_range(k, ranges), ranges)
-        # the texts of this task, as one row of shard -1
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.array([texts], np.int64).tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["shard", "keys", "counts"])
+        # the texts of this task, as one row of a shard past the ranges
+        yield pa.RecordBatch.from_arrays([pa.array([ranges], pa.int32()), pa.array([np.array([texts], np.int64).tobytes()], pa.binary()), pa.array([b""], pa.binary())], ["shard", "keys", "counts"])
 
     return run
 
 
-def _write_words(folder: str):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        s = key[0].as_py()
-        if s < 0:
+def _write_words(folder: str, ranges: int):
+    def run(s: int, table: pa.Table) -> pa.Table:
+        if s == ranges:
             n, t = 0, sum(int(np.frombuffer(x.as_py(), np.int64)[0]) for x in table.column("keys"))
         else:
             k, c = _merge([unpack(x.as_py(), np.uint64) for x in table.column("keys")], [unplanes(x.as_py(), np.uint32) for x in table.column("counts")])
@@ -299,8 +310,7 @@ def _counts_of_counts(c: np.ndarray) -> list[int]:
 def _write_pairs(model: Model):
     """Writes a range's arrays; gives its figures (shard -1) and continuation counts by word range."""
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        s = key[0].as_py()
+    def run(s: int, table: pa.Table) -> pa.Table:
         k, c = _merge([unpack(x.as_py(), np.uint64) for x in table.column("keys")], [unplanes(x.as_py(), np.uint32) for x in table.column("counts")])
         save(model.folder, f"pair-{s:05d}", k)
         save(model.folder, f"paircount-{s:05d}", c)
@@ -323,8 +333,7 @@ def _write_pairs(model: Model):
 
 
 def _write_continuations(model: Model):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        s = key[0].as_py()
+    def run(s: int, table: pa.Table) -> pa.Table:
         size = int(model.offsets[s + 1] - model.offsets[s])
         total = np.zeros(size + 1, np.int64)  # the last is </s>
         for x, y in zip(table.column("keys"), table.column("counts"), strict=True):
@@ -355,10 +364,10 @@ def train(texts: DataFrame) -> Model:
     folder = new_folder(spark, "lm")
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path)
-    rows = map_arrow(texts.select("text"), _words(word_ranges), BLOBS).repartition(word_ranges + 1, "shard").groupBy("shard").applyInArrow(_write_words(folder), "shard int, n long, total long").collect()
+    rows = _each_range(map_arrow(texts.select("text"), _words(word_ranges), BLOBS), word_ranges + 1, _write_words(folder, word_ranges), "shard int, n long, total long").collect()
     sizes, totals, docs = np.zeros(word_ranges, np.int64), np.zeros(word_ranges, np.int64), 0
     for r in rows:
-        if r.shard < 0:
+        if r.shard == word_ranges:
             docs = r.total
         else:
             sizes[r.shard], totals[r.shard] = r.n, r.total
@@ -369,12 +378,12 @@ def train(texts: DataFrame) -> Model:
     if not docs:
         return model
     sent = map_arrow(texts.select("text"), _pairs(model), BLOBS)
-    made = materialise(sent.repartition(pair_ranges, "shard").groupBy("shard").applyInArrow(_write_pairs(model), BLOBS), "continuations")
+    made = materialise(_each_range(sent, pair_ranges, _write_pairs(model), BLOBS), "continuations")
     figures = np.array([np.frombuffer(bytes(r.keys), np.int64) for r in made.where("shard < 0").collect()])
     model.first, model.last = np.full(pair_ranges, (1 << 64) - 1, np.uint64), np.zeros(pair_ranges, np.uint64)
     model.first[figures[:, 0]], model.last[figures[:, 0]] = figures[:, 6].view(np.uint64), figures[:, 7].view(np.uint64)
     model.pairs, model.discounts = int(figures[:, 1].sum()), discounts([int(x) for x in figures[:, 2:6].sum(axis=0)])
-    low = made.where("shard >= 0").repartition(word_ranges, "shard").groupBy("shard").applyInArrow(_write_continuations(model), "end long, c array<long>").collect()
+    low = _each_range(made.where("shard >= 0"), word_ranges, _write_continuations(model), "end long, c array<long>").collect()
     have = {int(r[0]) for r in made.where("shard >= 0").select("shard").distinct().collect()}
     for s in set(range(word_ranges)) - have:
         save(folder, f"cont-{s:05d}", np.zeros(int(sizes[s]), np.uint32))
