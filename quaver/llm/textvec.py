@@ -152,9 +152,3 @@ def sums(values: np.ndarray, so: np.ndarray) -> np.ndarray:
     """Sums of ``values`` by text; 0 for an empty text."""
     total = np.concatenate([[0], np.cumsum(values)])
     return total[so[1:]] - total[so[:-1]]
-
-
-def count_slices(counts: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
-    """A dense counter cut into equal slices, for a distributed sum by slice."""
-    for i, x in enumerate(np.split(counts, parts)):
-        yield i, x.astype(np.int64).tobytes()
