@@ -55,3 +55,27 @@ def ticks(seconds: Column) -> Column:
 def cents(a: Column, b: Column) -> Column:
     """Absolute difference in cents where both are voiced."""
     return F.when((a > 0) & (b > 0), F.abs(1200 * F.log2(a / F.nullif(b, F.lit(0.0)))))
+
+
+def standardise(signal: Column, floor: float = 1e-6) -> Column:
+    """(x - mean) / max(sample standard deviation, floor)."""
+    x = F.transform(signal, lambda v: v.cast("double"))
+    n = F.size(signal)
+    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.nullif(n, F.lit(0))
+    centred = lambda m: F.transform(x, lambda v: v - m)
+    square = F.aggregate(centred(mean), F.lit(0.0), lambda a, v: a + v * v)
+    scale = F.greatest(F.lit(floor), F.coalesce(F.sqrt(square / F.nullif(n - 1, F.lit(0))), F.lit(0.0)))
+    return F.transform(centred(mean), lambda v: v / scale)
+
+
+def tone(hz: Column, seconds: Column, rate: int, partials: int = 6, edge: float = 0.08, level: float = 0.15) -> Column:
+    """Samples of a tone with falling partials that swells and fades over ``edge`` seconds."""
+
+    def at(i: Column) -> Column:
+        t = i / F.lit(float(rate))
+        wave = F.lit(0.0)
+        for k in range(1, partials + 1):
+            wave = wave + F.sin(F.lit(2 * k) * F.pi() * hz * t) / F.lit(k)
+        return F.lit(level) * F.least(F.lit(1.0), t / edge) * F.least(F.lit(1.0), (seconds - t) / edge) * wave
+
+    return F.transform(F.sequence(F.lit(0), F.bround(seconds * rate).cast("int") - 1), at)

@@ -50,8 +50,9 @@ def script(c: Column) -> Column:
 
 
 def join_words(words: Column, lang: Column) -> Column:
-    """Words joined by a space, or by nothing in languages without them."""
-    return F.when(lang.isin("ja", "zh"), F.array_join(words, "")).otherwise(F.array_join(words, " "))
+    """Trimmed words joined by a space, or by nothing in languages without them."""
+    trimmed = F.transform(words, lambda w: F.trim(w))
+    return F.trim(F.when(lang.isin("ja", "zh"), F.array_join(trimmed, "")).otherwise(F.array_join(trimmed, " ")))
 
 
 def stamp_seconds(minutes: Column, seconds: Column, offset_ms: Column) -> Column:
@@ -59,13 +60,6 @@ def stamp_seconds(minutes: Column, seconds: Column, offset_ms: Column) -> Column
     return F.greatest(F.lit(0.0), minutes.cast("double") * 60 + seconds.cast("double") + offset_ms.cast("double") / 1000)
 
 
-def file_name(c: Column, limit: int = 120) -> Column:
-    """Reserved characters become _, trailing dots and spaces go, at most ``limit`` characters, never empty."""
-    safe = F.regexp_replace(c, r"[<>:\"/\\|?*\x00-\x1f]", "_")
-    cut = F.regexp_replace(F.substring(safe, 1, limit), r"^[ .]+|[ .]+$", "")
-    return F.coalesce(F.nullif(cut, F.lit("")), F.lit("untitled"))
-
-
 def bytes_label(n: Column) -> Column:
     """1.5 GB, 20 MB, 3 kB."""
     return F.when(n >= 1e9, F.format_string("%.1f GB", n / 1e9)).when(n >= 1e6, F.format_string("%.0f MB", n / 1e6)).otherwise(F.format_string("%.0f kB", n / 1e3))

@@ -20,33 +20,70 @@ def macro(rates_: DataFrame) -> DataFrame:
     return rates_.agg(F.round(F.avg("rate"), 6).alias("macro_rate"), F.count(F.lit(1)).alias("n_groups"))
 
 
-def _ranked(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Distinct values with counts and running counts: a group's rows are combined before they meet."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(group)
-    upto = F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumn("_n", F.sum("_c").over(w)).withColumn("_to", upto)
-
-
-def nth_smallest(df: DataFrame, group: str, value: str, place: Column, name: str) -> DataFrame:
-    """The value at a 0-based ``place`` (an expression of the group size ``_n``) in rising order."""
-    hit = _ranked(df, group, value).where((F.col("_to") - F.col("_c") <= place) & (place < F.col("_to")))
-    return hit.select(group, F.col(value).alias(name), F.col("_n").alias("n"))
+#: Parts into which the distinct values of a group are cut to find its places.
+PARTS = 64
+
+
+def values_at(df: DataFrame, group: Sequence[str], value: str, places) -> DataFrame:
+    """(group, n, largest, found): ``found`` maps 0-based places in rising order to values; exact.
+
+    ``places`` gives an array of places from the group size ``n``.  Equal values are
+    combined before they meet.  A sketch of a group's values cuts them into PARTS parts;
+    the parts are counted, and only those that hold a place are put in order, each on its
+    own, so that no task sorts a whole group.
+    """
+    c = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    cuts = F.percentile_approx("_v", F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)]), F.lit(4 * PARTS))
+    whole = c.groupBy(*group).agg(F.sum("_c").alias("n"), F.max("_v").alias("largest"), cuts.alias("_cuts"))
+    dealt = c.join(whole, list(group)).withColumn("_part", F.size(F.filter("_cuts", lambda x: x < F.col("_v"))))
+    parts = dealt.groupBy(*group, "_part").agg(F.sum("_c").alias("_in"), F.first("n").alias("n"), F.first("largest").alias("largest"))
+    before = F.coalesce(F.sum("_in").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    asked = parts.withColumn("_from", before).withColumn("_at", F.explode(F.array_distinct(places(F.col("n"))))).where((F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_from") + F.col("_in")))
+    held = asked.groupBy(*group, "_part").agg(F.first("_from").alias("_from"), F.collect_list("_at").alias("_ats"))
+    inside = dealt.select(*group, "_part", "_v", "_c").join(held, [*group, "_part"])
+    upto = F.sum("_c").over(Window.partitionBy(*group, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_from")
+    hits = inside.withColumn("_to", upto).withColumn("_at", F.explode("_ats")).where((F.col("_at") < F.col("_to")) & (F.col("_at") >= F.col("_to") - F.col("_c")))
+    found = hits.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct(F.col("_at").cast("long"), "_v"))).alias("found"))
+    return whole.drop("_cuts").join(found, list(group))
+
+
+def nth_smallest(df: DataFrame, group: str, value: str, place, name: str) -> DataFrame:
+    """The value at a 0-based ``place`` (a function of the group size) in rising order."""
+    hit = values_at(df, [group], value, lambda n: F.array(place(n).cast("long")))
+    return hit.select(group, F.get(F.map_values("found"), F.lit(0)).alias(name), "n")
 
 
 def upper_median(df: DataFrame, group: str, value: str) -> DataFrame:
     """sorted[n // 2]; groups of one value have none."""
-    return nth_smallest(df, group, value, F.floor(F.col("_n") / 2), "upper_median").where("n >= 2")
+    return nth_smallest(df, group, value, lambda n: F.floor(n / 2), "upper_median").where("n >= 2")
 
 
 def p95_disc(df: DataFrame, group: str, value: str) -> DataFrame:
     """sorted[ceil(0.95 n) - 1]."""
-    return nth_smallest(df, group, value, F.ceil(F.lit(95) * F.col("_n") / F.lit(100)) - 1, "p95")
+    return nth_smallest(df, group, value, lambda n: F.ceil(F.lit(95) * n / F.lit(100)) - 1, "p95")
+
+
+def interpolated(df: DataFrame, group: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """(group, n, largest, q): quantiles on a line between the two values next to each share's place."""
+    low = lambda n, q: F.floor((n - 1) * F.lit(q)).cast("long")
+    high = lambda n, q: F.least(n - 1, low(n, q) + 1).cast("long")
+    v = values_at(df, group, value, lambda n: F.array(*[f(n, q) for q in shares for f in (low, high)]))
+    n = F.col("n")
+    at = lambda q: F.col("found")[low(n, q)] + (F.col("found")[high(n, q)] - F.col("found")[low(n, q)]) * ((n - 1) * F.lit(q) - low(n, q))
+    return v.select(*group, "n", "largest", F.array(*[at(q) for q in shares]).alias("q"))
 
 
-def complete_ratio(df: DataFrame, group: str, part: str, slow: Column, fast: Column, parts: int) -> DataFrame:
+def medians(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """(group, n, median): the mean of the middle two."""
+    v = values_at(df, group, value, lambda n: F.array(F.floor((n - 1) / 2).cast("long"), F.floor(n / 2).cast("long")))
+    n = F.col("n")
+    return v.select(*group, "n", ((F.col("found")[F.floor((n - 1) / 2).cast("long")] + F.col("found")[F.floor(n / 2).cast("long")]) / 2).alias("median"))
+
+
+def complete_ratio(df: DataFrame, group: str, part: str, slow: str, fast: str, parts: int) -> DataFrame:
     """Sum of the slow medians over the sum of the fast, null unless all ``parts`` are there."""
-    g = df.groupBy(group, part).agg(F.median(slow).alias("_s"), F.median(fast).alias("_f"))
+    m = lambda c, n: medians(df, [group, part], c).select(group, part, F.col("median").alias(n))
+    g = m(slow, "_s").join(m(fast, "_f"), [group, part], "full")
     whole = F.count(F.lit(1)) == parts
     return g.groupBy(group).agg(F.when(whole, F.round(F.try_divide(F.sum("_s"), F.sum("_f")), 6)).alias("ratio"), F.count(F.lit(1)).alias("n_parts"))
 
@@ -67,3 +104,33 @@ def gate(summary: DataFrame, rules: Sequence[tuple[str, Column]]) -> DataFrame:
     """``reasons`` of failed rules in order, and ``passed`` if there are none.  A rule that is unknown fails."""
     reasons = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules]))
     return summary.withColumn("reasons", F.array_join(reasons, ";")).withColumn("passed", F.size(reasons) == 0)
+
+
+def choose_candidate(candidates: DataFrame, group: str, order: str = "n") -> DataFrame:
+    """One row for each group: the winner's columns (null without a usable candidate) and ``uncertain``.
+
+    ``candidates``: group, ``order``, text, family, audio, truncated, estimated, uncovered,
+    coverage, score.  Agreement of families counts most, then of recordings, then what is
+    measured; the first wins ties.  Everything is combined by text before groups meet.
+    """
+    from quaver.functions.rules import UNCOVERED
+    from quaver.functions.text import normalized
+
+    rows = candidates.withColumn("plain", normalized(F.col("text")))
+    usable = rows.where((F.col("plain") != "") & ~F.coalesce("truncated", F.lit(False)))
+    row = F.struct(*[c for c in rows.columns if c not in (group, "plain")])
+    original = (F.col("family") == "qwen") & (F.col("audio") == "original.wav")
+    rank = F.struct(~F.coalesce("estimated", F.lit(True)), F.round("coverage", 2), F.round("score", 2), original, -F.col(order))
+    texts = usable.groupBy(group, "plain").agg(F.count_distinct("family").alias("families"), F.count_distinct("audio").alias("audios"), F.count(F.lit(1)).alias("agree"), F.max_by(row, rank).alias("best"), F.max(rank).alias("rank"))
+    best = texts.groupBy(group).agg(F.max_by(F.struct("best", "families", "agree"), F.struct("families", "audios", "rank")).alias("w"), F.count(F.lit(1)).alias("texts"))
+    alone = (F.col("w.families") <= 1) & ((F.col("w.agree") <= 1) | (F.col("texts") > 1))
+    doubt = F.coalesce("w.best.estimated", F.lit(True)) | (F.coalesce("w.best.uncovered", F.lit(0.0)) >= UNCOVERED) | alone
+    out = candidates.select(group).distinct().join(best.withColumn("uncertain", doubt), group, "left")
+    return out.select(group, "w.best.*", F.coalesce("uncertain", F.lit(True)).alias("uncertain"))
+
+
+def mean_quality(groups: DataFrame, rows: DataFrame, key: str, score: str, density: str, bound: float = 2.4, none: float = -99.0) -> DataFrame:
+    """(key, quality): the mean of ``score`` less what ``density`` has above ``bound``; ``none`` for a group without rows."""
+    own = F.col(score) - F.greatest(F.lit(0.0), F.col(density) - bound)
+    g = rows.groupBy(key).agg(F.avg(own).alias("quality"))
+    return groups.join(g, key, "left").select(key, F.coalesce("quality", F.lit(none)).alias("quality"))

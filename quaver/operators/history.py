@@ -30,9 +30,21 @@ def latest(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFra
     return best.select(*group, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """``base`` with the rows of ``changes`` in place of those with the same key."""
-    return base.join(changes.select(key), key, "left_anti").unionByName(changes)
+def upsert(base: DataFrame, changes: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
+    """``base`` with the rows of ``changes`` in place of those with the same key; of several changes of a key the last by ``order``
+    (columns that ``base`` need not have) counts, without an order the greatest row."""
+    last = latest(changes, [key], order or [c for c in base.columns if c != key])
+    return base.join(last.select(key), key, "left_anti").unionByName(last.select(*base.columns))
+
+
+def claim(df: DataFrame, group: Sequence[str], status: str, waiting: str, running: str, order: Sequence[str]) -> DataFrame:
+    """``df`` with the first waiting row of each group running, where no row of the group is running yet."""
+    is_waiting = F.col(status) == waiting
+    first = df.where(is_waiting).groupBy(*group).agg(F.min(F.struct(*order)).alias("_first"))
+    busy = df.where(F.col(status) == running).select(*group).distinct()
+    next_ = first.join(busy, list(group), "left_anti").select(*group, *[F.col(f"_first.{c}").alias(c) for c in order]).withColumn("_next", F.lit(True))
+    out = df.join(next_, [*group, *order], "left")
+    return out.withColumn(status, F.when(F.col("_next") & is_waiting, running).otherwise(F.col(status))).select(*df.columns)
 
 
 def partial_update(base: DataFrame, changes: DataFrame, key: str, allowed: Sequence[str]) -> DataFrame:
@@ -68,3 +80,23 @@ def queue_positions(df: DataFrame, group: Sequence[str], queued: Column, order:
     """1-based place among queued rows of a group, 0 for the others."""
     w = Window.partitionBy(*group, queued).orderBy(*order)
     return df.withColumn("queue_position", F.when(queued, F.row_number().over(w)).otherwise(0))
+
+
+def running_first(df: DataFrame, group: Sequence[str], running: Column, order: Sequence[str]) -> DataFrame:
+    """``place``: running rows of a group first, the others in order."""
+    w = Window.partitionBy(*group).orderBy(F.when(running, 0).otherwise(1), *order)
+    return df.withColumn("place", F.row_number().over(w))
+
+
+def settings(rows: DataFrame, group: str, defaults: dict[str, str]) -> DataFrame:
+    """(group, a column for each setting, known): the greatest value of each key, or its default; ``known`` counts all keys seen."""
+    value = lambda k: F.coalesce(F.max(F.when(F.col("key") == k, F.col("value"))), F.lit(defaults[k])).alias(k)
+    return rows.groupBy(group).agg(*[value(k) for k in defaults], F.count_distinct("key").alias("known"))
+
+
+def transition(rows: DataFrame, status: str, wanted: str, rules: dict[tuple[str, str], str]) -> DataFrame:
+    """``rows`` with ``now`` and ``done``: a wish that its status does not allow changes nothing, and no other row."""
+    now = F.lit(None).cast("string")
+    for (s, w), to in rules.items():
+        now = F.when((F.col(status) == s) & (F.col(wanted) == w), to).otherwise(now)
+    return rows.withColumn("done", now.isNotNull()).withColumn("now", F.coalesce(now, F.col(status)))

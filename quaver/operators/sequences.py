@@ -25,16 +25,18 @@ def frame_median(df: DataFrame, group: Sequence[str], order: Sequence[str], valu
     return df.withColumn("frame_median", F.expr(f"percentile({value}, 0.5)").over(w))
 
 
-def interpolate(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
-    """Nulls between two known values are filled on a line by row distance; ends keep the nearest value."""
+def interpolate(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, end: Column) -> DataFrame:
+    """Runs of nulls lie on a line by row distance: between two known values; before the first from 0 at the first row;
+    after the last up to ``end`` one row past the last."""
     base = Window.partitionBy(*group).orderBy(*order)
     back, ahead = base.rowsBetween(Window.unboundedPreceding, 0), base.rowsBetween(0, Window.unboundedFollowing)
-    df = df.withColumn("_i", F.row_number().over(base))
+    df = df.withColumn("_i", F.row_number().over(base)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*group)))
     mark = F.when(F.col(value).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(value).alias("v")))
     df = df.withColumn("_l", F.last(mark, ignorenulls=True).over(back)).withColumn("_r", F.first(mark, ignorenulls=True).over(ahead))
-    share = (F.col("_i") - F.col("_l.i")) / F.nullif(F.col("_r.i") - F.col("_l.i"), F.lit(0))
-    line = F.col("_l.v") + (F.col("_r.v") - F.col("_l.v")) * share
-    return df.withColumn("filled", F.coalesce(F.col(value), line, F.col("_l.v"), F.col("_r.v"))).drop("_i", "_l", "_r")
+    at, begin = F.coalesce("_l.i", F.lit(1)), F.coalesce("_l.v", F.lit(0.0))
+    to, finish = F.coalesce("_r.i", F.col("_n") + 1), F.coalesce("_r.v", end)
+    line = begin + (finish - begin) * ((F.col("_i") - at) / F.nullif(to - at, F.lit(0)))
+    return df.withColumn("filled", F.coalesce(F.col(value), line)).drop("_i", "_n", "_l", "_r")
 
 
 def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], size: str) -> DataFrame:
@@ -45,58 +47,8 @@ def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], siz
     return df.withColumn("begin", (upto - F.col(size)) / whole).withColumn("finish", upto / whole)
 
 
-def fold(items: Column, state: Column, step, out) -> Column:
-    """``aggregate`` over an array in order; an empty array gives ``out`` of the first state."""
-    return F.aggregate(items, state, step, out)
-
-
-def pack(df: DataFrame, group: str, items: Column, limit: Column | None = None) -> DataFrame:
-    """Note packing: begin = max(last end, start); end = max(end, begin + 1); a begin past ``limit`` is skipped.
-
-    ``items`` is an array of (start, stop) ticks in order; adds ``packed`` (begin, length).
-    """
-    none = F.array().cast("array<struct<begin:long,length:long>>")
-    first = F.struct(F.lit(0).cast("long").alias("last"), none.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = F.greatest(acc["last"], x["start"].cast("long"))
-        stop = F.greatest(x["stop"].cast("long"), begin + 1)
-        put = F.struct(stop.alias("last"), F.concat(acc["out"], F.array(F.struct(begin.alias("begin"), (stop - begin).alias("length")))).alias("out"))
-        return put if limit is None else F.when(begin < limit, put).otherwise(acc)
-
-    return df.withColumn("packed", F.aggregate(items, first, step, lambda a: a["out"]))
-
-
-def edit_distance(ref: Column, hyp: Column) -> Column:
-    """Token edit distance as struct(errors, substitutions, deletions, insertions).
-
-    A nested fold keeps one row of the table.  Equal tokens take the diagonal;
-    ties go to substitution, then deletion, then insertion.
-    """
-    cell = lambda e, s, d, i: F.struct(e.cast("int").alias("e"), s.cast("int").alias("s"), d.cast("int").alias("d"), i.cast("int").alias("i"))
-    zero, one = F.lit(0), F.lit(1)
-    n = F.size(hyp)
-    top = F.transform(F.sequence(zero, n), lambda j: cell(j, zero, zero, j))
-
-    def row(prev: Column, token: Column) -> Column:
-        start = F.array(cell(prev[0]["e"] + 1, prev[0]["s"], prev[0]["d"] + 1, prev[0]["i"]))
-
-        def col(acc: Column, j: Column) -> Column:
-            diagonal, up, left = F.get(prev, j - 1), F.get(prev, j), F.element_at(acc, -1)
-            sub = cell(diagonal["e"] + one, diagonal["s"] + one, diagonal["d"], diagonal["i"])
-            dele = cell(up["e"] + one, up["s"], up["d"] + one, up["i"])
-            ins = cell(left["e"] + one, left["s"], left["d"], left["i"] + one)
-            best = F.when((sub["e"] <= dele["e"]) & (sub["e"] <= ins["e"]), sub).when(dele["e"] <= ins["e"], dele).otherwise(ins)
-            return F.concat(acc, F.array(F.when(F.get(hyp, j - 1) == token, diagonal).otherwise(best)))
-
-        return F.when(n == 0, start).otherwise(F.aggregate(F.sequence(one, F.greatest(n, one)), start, col))
-
-    last = F.aggregate(ref, top, row, lambda r: F.element_at(r, -1))
-    return F.struct(last["e"].alias("errors"), last["s"].alias("substitutions"), last["d"].alias("deletions"), last["i"].alias("insertions"))
-
-
 def edit_counts(ref: np.ndarray, hyp: np.ndarray) -> tuple[int, int, int, int]:
-    """(errors, substitutions, deletions, insertions) of two sequences of token numbers, by the rules of ``edit_distance``.
+    """(errors, substitutions, deletions, insertions) of two sequences of token numbers, where equal tokens take the diagonal and ties go to substitution, then deletion, then insertion.
 
     One vector over ``hyp`` for each token of ``ref``: memory grows with one text, not
     with both.  Deletions and insertions follow from errors, substitutions and lengths.
@@ -123,7 +75,7 @@ EDITS = ("errors", "substitutions", "deletions", "insertions")
 
 @F.arrow_udf(StructType([StructField(c, IntegerType()) for c in EDITS]))
 def long_edit_distance(ref: pa.Array, hyp: pa.Array) -> pa.Array:
-    """``edit_distance`` for whole texts; a null array counts as an empty one."""
+    """(errors, substitutions, deletions, insertions) of two token arrays of any length; a null array counts as an empty one."""
     tokens = pa.concat_arrays([ref.flatten(), hyp.flatten()]).dictionary_encode().indices.to_numpy()
     bounds = np.concatenate([[0], np.cumsum(pa.concat_arrays([ref.value_lengths(), hyp.value_lengths()]).fill_null(0).to_numpy())])
     part = lambda i: tokens[bounds[i] : bounds[i + 1]]

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quaver.functions import rules as R
 from quaver.functions import signals as G
 from quaver.functions import text as X
 from quaver.plans.base import query
-from quaver.sources import charts, delimited, lyrics
 
 
 @query(r"""
@@ -81,11 +81,17 @@ def fingerprint(t):
     return t.documents.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("fingerprint"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-@query(None)
+@query("""
+WITH h AS (SELECT source, ('0x' || substr(md5(doc_id || '|' || text), 1, 15))::bigint AS a, ('0x' || substr(md5(doc_id || '|' || text), 17, 15))::bigint AS b FROM documents)
+SELECT source, (sum(a) % 1000000000000000003)::varchar AS total, bit_xor(b) AS crossed, count(*) AS n FROM h GROUP BY 1
+""")
 def set_digest(t):
-    """One digest for each source's set of texts: the same for any row order, read without gathering texts."""
-    d = t.documents.select("source", F.sha2(F.concat_ws("|", "doc_id", "text").cast("binary"), 256).alias("h"))
-    return d.groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "").cast("binary"), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
+    """One digest for each source's set of texts, the same for any order of rows: a sum and an exclusive or of two halves of
+    each row's hash, combined on the map side."""
+    h = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "text").cast("binary"))
+    half = lambda i: F.conv(F.substring(h, i, 15), 16, 10).cast("long")
+    d = t.documents.select("source", half(1).cast("decimal(28,0)").alias("a"), half(17).alias("b")).groupBy("source").agg(F.sum("a").alias("a"), F.bit_xor("b").alias("crossed"), F.count(F.lit(1)).alias("n"))
+    return d.select("source", (F.col("a") % F.lit(1000000000000000003).cast("decimal(28,0)")).cast("string").alias("total"), "crossed", "n")
 
 
 @query(r"""
@@ -95,28 +101,16 @@ FROM (SELECT *, regexp_replace(substr(regexp_replace(p_type || '/' || p_name ||
 """)
 def labels_and_names(t):
     p = t.part
-    return p.select("p_partkey", X.file_name(F.concat("p_type", F.lit("/"), "p_name", F.lit("?"))).alias("file"), X.bytes_label(F.when(F.col("p_retailprice") >= 1000, F.floor(F.col("p_retailprice") / 100) * 1e8).otherwise(F.floor("p_retailprice") * 1e6)).alias("size"), X.clock_label(F.col("p_size")).alias("clock"))
-
-
-@query("""
-SELECT * FROM (VALUES (0, 9.5::double, 'first line'), (1, 20.0::double, 'again'), (2, 20.5::double, 'first line'), (3, 24.5::double, '')) AS v(line, start, text)
-""")
-def lrc_parse(t):
-    source = "[ar:Someone]\n[offset:-500]\n[00:10.00][00:21.00]first line\n[00:20.50]again\n[00:25.00]\n"
-    return lyrics.parse(t.spark.createDataFrame([(1, source)], "id long, text string")).select(F.col("line").cast("int").alias("line"), "start", "text")
+    return p.select("p_partkey", R.safe_name(F.concat("p_type", F.lit("/"), "p_name", F.lit("?")), "untitled", 120).alias("file"), X.bytes_label(F.when(F.col("p_retailprice") >= 1000, F.floor(F.col("p_retailprice") / 100) * 1e8).otherwise(F.floor("p_retailprice") * 1e6)).alias("size"), X.clock_label(F.col("p_size")).alias("clock"))
 
 
 @query("""
-SELECT * FROM (VALUES (1, true, 2, 2, ''), (2, false, 2, 1, 'overlap'), (3, false, 0, 0, 'no notes;no end')) AS v(id, valid, n_notes, n_phrases, problems)
+SELECT conv_id, turn, replace(replace(replace(trim(replace(replace(text, chr(10), ' '), chr(13), ' ')), 'x', 'X'), '  ', ' '), '  ', ' ') AS cleaned, CASE WHEN turn % 2 = 0 THEN replace(trim(string_split(text, ' ')[1]) || trim(coalesce(string_split(text, ' ')[2], '')), ' ', '') ELSE trim(trim(string_split(text, ' ')[1]) || ' ' || trim(coalesce(string_split(text, ' ')[2], ''))) END AS joined
+FROM conversations WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\x00-\x09\x0B-\x1f\x7f]')
 """)
-def chart_validate(t):
-    rows = [(1, "#TITLE:a\n#BPM:300\n: 0 5 9 hi\n- 6\n: 7 2 9 you \nE\n"), (2, "#BPM:300\n: 0 5 9 hi\n: 3 5 9 you\nE"), (3, "#BPM:300\n")]
-    return charts.validate(t.spark.createDataFrame(rows, "id int, text string"))
-
-
-@query("SELECT 3::bigint AS n_rows, 0::bigint AS n_bad, 'https://a/1,https://a/2,https://a/3' AS urls")
-def csv_ingest(t):
-    text = "﻿URL, Artist ,song_name\r\nhttps://a/1,\"A, B\",x\r\n\r\nhttps://a/2,C,y\r\nhttps://a/3,D,z\r\n"
-    good, bad = delimited.ingest(t.spark, t.spark.createDataFrame([(text,)], "content string"))
-    g = good.agg(F.count(F.lit(1)).alias("n_rows"), F.array_join(F.array_sort(F.collect_list("url")), ",").alias("urls"))
-    return g.withColumn("n_bad", F.lit(bad.count())).select("n_rows", "n_bad", "urls")
+def clean_and_join(t):
+    """Turns without control characters, and their first two words joined as each language does."""
+    c = t.conversations.where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[\x00-\x09\x0B-\x1f\x7f]"))
+    tidy = F.replace(F.replace(F.replace(X.clean(F.col("text")), F.lit("x"), F.lit("X")), F.lit("  "), F.lit(" ")), F.lit("  "), F.lit(" "))
+    words = F.slice(F.split("text", " "), 1, 2)
+    return c.select("conv_id", "turn", tidy.alias("cleaned"), X.join_words(words, F.when(F.col("turn") % 2 == 0, "ja").otherwise("en")).alias("joined"))

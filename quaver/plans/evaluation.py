@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quaver.functions.text import units
 from quaver.operators import evaluation as E
-from quaver.operators.sequences import edit_distance, long_edit_distance
+from quaver.operators.sequences import long_edit_distance
 from quaver.plans.base import micros, query
 
 TOKENS = r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*"
@@ -14,7 +14,7 @@ TOKENS = r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*"
 
 @query("SELECT l_returnflag, round(median(l_extendedprice), 6) AS med, count(*) AS n FROM lineitem GROUP BY 1")
 def median_by_group(t):
-    return t.lineitem.groupBy("l_returnflag").agg(F.round(F.median("l_extendedprice"), 6).alias("med"), F.count(F.lit(1)).alias("n"))
+    return E.medians(t.lineitem, ["l_returnflag"], "l_extendedprice").select("l_returnflag", F.round("median", 6).alias("med"), "n")
 
 
 @query("""
@@ -22,8 +22,10 @@ SELECT user_id, round(median(value) FILTER (event_type = 'click'), 6) AS click,
        round(median(value) FILTER (event_type = 'purchase'), 6) AS purchase FROM events GROUP BY user_id
 """)
 def stage_pivot_median(t):
-    p = t.events.groupBy("user_id").pivot("event_type", ["click", "view", "purchase"]).agg(F.median("value"))
-    return p.select("user_id", *[F.round(c, 6).alias(c) for c in ("click", "view", "purchase")])
+    stages = ("click", "view", "purchase")
+    m = E.medians(t.events.where(F.col("event_type").isin(*stages)), ["user_id", "event_type"], "value")
+    p = m.groupBy("user_id").agg(*[F.max(F.when(F.col("event_type") == c, F.round("median", 6))).alias(c) for c in stages])
+    return t.events.select("user_id").distinct().join(p, "user_id", "left")
 
 
 @query("""
@@ -31,7 +33,7 @@ WITH m AS (SELECT l_shipmode_, l_linestatus, median(l_extendedprice) s, median(l
 SELECT l_shipmode_ AS l_returnflag, CASE WHEN count(*) = 2 THEN round(sum(s) / nullif(sum(f), 0), 6) END AS ratio, count(*) AS n_parts FROM m GROUP BY 1
 """)
 def ratio_of_sums(t):
-    return E.complete_ratio(t.lineitem, "l_returnflag", "l_linestatus", F.col("l_extendedprice"), F.col("l_quantity"), 2)
+    return E.complete_ratio(t.lineitem, "l_returnflag", "l_linestatus", "l_extendedprice", "l_quantity", 2)
 
 
 @query("""
@@ -48,7 +50,8 @@ def p95_disc(t):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.5), 6) AS med, max(value) AS largest FROM events GROUP BY 1")
 def interpolated_p95(t):
-    return t.events.groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("med"), F.max("value").alias("largest"))
+    q = E.interpolated(t.events, ["event_type"], "value", [0.95, 0.5])
+    return q.select("event_type", F.round(F.col("q")[0], 6).alias("p95"), F.round(F.col("q")[1], 6).alias("med"), "largest")
 
 
 @query("""
@@ -135,26 +138,25 @@ def merge_equal_ts(t):
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '{TOKENS.replace("'", "''")}')[1:24] h FROM documents),
-b AS (SELECT item_id, regexp_extract_all(lower(text), '{TOKENS.replace("'", "''")}')[1:24] r FROM benchmark),
-p AS (SELECT doc_id, lang, r, h, list_distinct(list_concat(r, h)) v FROM d JOIN b ON doc_id % (SELECT count(*) FROM benchmark) = item_id),
-e AS (SELECT doc_id, lang, len(r) u, levenshtein(list_aggregate(list_transform(r, lambda x: chr((60 + list_position(v, x))::int)), 'string_agg', ''),
-      coalesce(list_aggregate(list_transform(h, lambda x: chr((60 + list_position(v, x))::int)), 'string_agg', ''), '')) e FROM p)
+WITH d AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '{TOKENS.replace("'", "''")}') h FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '{TOKENS.replace("'", "''")}') r FROM benchmark),
+p AS (SELECT doc_id, lang, r, h, list_distinct(r) v FROM d JOIN b ON doc_id % (SELECT count(*) FROM benchmark) = item_id),
+e AS (SELECT doc_id, lang, len(r) u, levenshtein(list_aggregate(list_transform(r, lambda x: chr((33 + list_position(v, x))::int)), 'string_agg', ''),
+      coalesce(list_aggregate(list_transform(h, lambda x: chr((33 + coalesce(list_position(v, x), 0))::int)), 'string_agg', ''), '')) e FROM p)
 SELECT lang, sum(e)::bigint AS errors, sum(u)::bigint AS units, round(sum(e) / greatest(1, sum(u)), 6) AS rate FROM e GROUP BY lang
 """)
 def token_edit_distance(t):
-    g = E.rates(_distances(t, 24), "lang", "errors", "units")
+    g = E.rates(_distances(t), "lang", "errors", "units")
     return g.select("lang", F.col("errors").cast("long").alias("errors"), F.col("units").cast("long").alias("units"), F.round("rate", 6).alias("rate"))
 
 
-def _distances(t, head: int | None = None):
-    """Each text against one item: whole texts, or the first ``head`` units of both (as the SQL of ``token_edit_distance`` has it)."""
-    n = t.benchmark.count()
-    part = lambda c: F.slice(units(F.col(c), F.lit("en")), 1, head) if head else units(F.col(c), F.lit("en"))
-    distance = edit_distance if head else long_edit_distance
+def _distances(t):
+    """Each text against one item, both whole."""
+    n = max(1, t.benchmark.count())
+    part = lambda c: units(F.col(c), F.lit("en"))
     ref = t.benchmark.select("item_id", part("text").alias("ref"))
     hyp = t.documents.select("lang", (F.col("doc_id") % n).alias("item_id"), part("text").alias("hyp"))
-    j = hyp.join(F.broadcast(ref) if n <= 100_000 else ref, "item_id").select("lang", F.size("ref").alias("units"), distance(F.col("ref"), F.col("hyp")).alias("d"))
+    j = hyp.join(F.broadcast(ref) if n <= 100_000 else ref, "item_id").select("lang", F.size("ref").alias("units"), long_edit_distance(F.col("ref"), F.col("hyp")).alias("d"))
     return j.select("lang", "units", "d.errors", "d.substitutions", "d.deletions", "d.insertions")
 
 

@@ -21,7 +21,8 @@ SELECT o_orderkey, o_orderstatus, epoch_us(o_orderdate) AS created, place, has_n
 def feed_page(t):
     cur = t.orders.where("o_orderkey % 10 = 0").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_orderdate", "o_orderkey").limit(1).first()
     rows = t.orders.where("o_orderstatus <> 'O'").select("o_orderkey", "o_orderstatus", "o_orderdate")
-    rows = H.after_cursor(rows, "o_orderdate", "o_orderkey", F.lit(cur[0]).cast("timestamp_ntz"), F.lit(cur[1]))
+    if cur is not None:  # an unknown cursor gives the first page
+        rows = H.after_cursor(rows, "o_orderdate", "o_orderkey", F.lit(cur[0]).cast("timestamp_ntz"), F.lit(cur[1]))
     out = H.page(rows, "o_orderdate", "o_orderkey", 20)
     return out.select("o_orderkey", "o_orderstatus", micros("o_orderdate").alias("created"), F.col("place").cast("long").alias("place"), "has_next")
 
@@ -74,7 +75,7 @@ def ttl_filter(t):
 
 
 @query("""
-WITH ch AS (SELECT c_custkey, c_name || '*' AS c_name, c_acctbal FROM customer WHERE c_custkey % 7 = 0
+WITH ch AS (SELECT c_custkey, c_name || CASE WHEN c_custkey % 14 = 0 THEN '**' ELSE '*' END AS c_name, c_acctbal FROM customer WHERE c_custkey % 7 = 0
             UNION ALL SELECT -n_nationkey, n_name, NULL FROM nation WHERE n_nationkey > 0)
 SELECT c_custkey::bigint AS c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM ch)
 UNION ALL SELECT c_custkey::bigint, c_name, c_acctbal FROM ch
@@ -83,7 +84,8 @@ def upsert_rows(t):
     base = t.customer.select("c_custkey", "c_name", "c_acctbal")
     new = base.where("c_custkey % 7 = 0").withColumn("c_name", F.concat("c_name", F.lit("*")))
     extra = t.nation.where("n_nationkey > 0").select((-F.col("n_nationkey")).cast("long").alias("c_custkey"), F.col("n_name").alias("c_name"), F.lit(None).cast("double").alias("c_acctbal"))
-    return H.upsert(base, new.unionByName(extra), "c_custkey")
+    later = base.where("c_custkey % 14 = 0").withColumn("c_name", F.concat("c_name", F.lit("**"))).withColumn("version", F.lit(2))
+    return H.upsert(base, new.unionByName(extra).withColumn("version", F.lit(1)).unionByName(later), "c_custkey", ["version"])
 
 
 @query("""
@@ -157,3 +159,33 @@ FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER
 def collision_suffix(t):
     n = F.row_number().over(Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderkey"))
     return t.orders.select("o_custkey", "o_orderkey", F.when(n == 1, F.col("o_orderpriority")).otherwise(F.concat("o_orderpriority", F.lit(" ("), n.cast("string"), F.lit(")"))).alias("name"))
+
+
+@query("""
+SELECT o_orderkey, o_custkey, CASE WHEN row_number() OVER (PARTITION BY o_custkey, o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey) = 1 AND o_orderstatus = 'O' AND bool_or(o_orderstatus = 'P') OVER (PARTITION BY o_custkey) IS NOT TRUE THEN 'P' ELSE o_orderstatus END AS status FROM orders
+""")
+def claim_next(t):
+    """Each customer's first waiting order starts, unless one of theirs is running."""
+    s = F.col("o_orderstatus")
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    return H.claim(rows, ["o_custkey"], "o_orderstatus", "O", "P", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "o_custkey", s.alias("status"))
+
+
+@query("""
+WITH e AS (SELECT epoch_us(ts) // 1000000 AS s FROM events), x AS (SELECT s, unnest(list_distinct([s // 5400, (s - 600) // 5400, (s + 600) // 5400])) AS core FROM e)
+SELECT core * 5400 AS core, count(*) AS seen, count(*) FILTER (s // 5400 = core) AS owned FROM x GROUP BY 1
+""")
+def owned_windows(t):
+    """Windows of ninety minutes with ten more on both sides; a row is owned by one of them."""
+    from quaver.streaming.events import owned_windows as windows
+
+    w = windows(t.events, "90 minutes", "10 minutes")
+    return w.select(F.floor(F.unix_seconds("core")).cast("long").alias("core"), "seen", "owned")
+
+
+@query("SELECT event_type, count(*) AS n, sum(event_id)::bigint AS ids FROM events GROUP BY 1")
+def late_copies(t):
+    """Every third event arrives twice; one of each stays."""
+    from quaver.streaming.events import first_seen
+
+    return first_seen(t.events.union(t.events.where("event_id % 3 = 0"))).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quaver.operators import intervals as I
 from quaver.operators import sequences as S
+from quaver.operators.folds import Pack, ordered_fold
 from quaver.plans.base import days, micros, query
 
 USER = ["user_id"]
@@ -76,11 +71,12 @@ WITH e AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 3 <> 0 THEN NULL E
 i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) i FROM e),
 k AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN {'i': i, 'v': v} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) l,
   first_value(CASE WHEN v IS NOT NULL THEN {'i': i, 'v': v} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) r FROM i)
-SELECT event_id, round(coalesce(v, l.v + (r.v - l.v) * ((i - l.i) / nullif(r.i - l.i, 0)), l.v, r.v), 9) AS filled FROM k
+SELECT event_id, round(coalesce(v, CASE WHEN l IS NULL AND r IS NULL THEN 500.0 * (i - 1) / n WHEN l IS NULL THEN r.v * (i - 1) / (r.i - 1) WHEN r IS NULL THEN l.v + (500 - l.v) * (i - l.i) / (n + 1 - l.i) ELSE l.v + (r.v - l.v) * ((i - l.i) / (r.i - l.i)) END), 9) AS filled
+FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM k)
 """)
 def interpolate_nulls(t):
     e = t.events.withColumn("v", F.when(F.col("event_id") % 3 == 0, F.col("value")))
-    return S.interpolate(e, USER, ORDER, "v").select("event_id", F.round("filled", 9).alias("filled"))
+    return S.interpolate(e, USER, ORDER, "v", F.lit(500.0)).select("event_id", F.round("filled", 9).alias("filled"))
 
 
 @query("""
@@ -129,13 +125,15 @@ def pair_triangular(t):
 
 
 @query("""
-SELECT o_orderkey, e.event_id FROM orders o ASOF LEFT JOIN (SELECT user_id, ts + INTERVAL 4 YEAR AS ts2, max(event_id) event_id FROM events GROUP BY ALL) e
-ON o.o_custkey = e.user_id AND e.ts2 <= o.o_orderdate + INTERVAL 26 YEAR
+WITH e AS (SELECT user_id % 100 AS k, (epoch_us(ts) // 1000000 - 1704067200) * 120 + 1514764800 AS s, max(event_id) AS event_id FROM events GROUP BY ALL),
+o AS (SELECT o_orderkey, o_custkey % 100 AS k, epoch_us(o_orderdate) // 1000000 + 820540800 AS s FROM orders)
+SELECT o_orderkey, e.event_id FROM o ASOF LEFT JOIN e ON o.k = e.k AND e.s <= o.s
 """)
 def asof_last(t):
-    """The last event of the customer's user before the order (times shifted onto each other)."""
-    e = t.events.select(F.col("user_id").alias("k"), (F.col("ts") + F.expr("INTERVAL 4 YEARS")).alias("at"), "event_id", F.lit(None).cast("long").alias("o_orderkey"))
-    o = t.orders.select(F.col("o_custkey").alias("k"), (F.col("o_orderdate") + F.expr("INTERVAL 26 YEARS")).alias("at"), F.lit(None).cast("long").alias("event_id"), "o_orderkey")
+    """The last event of an order's group before it; the month of events is stretched over the years of orders."""
+    at = (F.floor(micros("ts") / 1000000) - 1704067200) * 120 + 1514764800
+    e = t.events.select((F.col("user_id") % 100).alias("k"), at.alias("at"), "event_id", F.lit(None).cast("long").alias("o_orderkey"))
+    o = t.orders.select((F.col("o_custkey") % 100).alias("k"), (F.floor(micros("o_orderdate") / 1000000) + 820540800).alias("at"), F.lit(None).cast("long").alias("event_id"), "o_orderkey")
     w = Window.partitionBy("k").orderBy(F.col("at"), F.col("event_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     seen = o.unionByName(e).withColumn("event_id", F.last("event_id", ignorenulls=True).over(w))
     return seen.where("o_orderkey IS NOT NULL").select("o_orderkey", "event_id")
@@ -160,116 +158,5 @@ SELECT user_id, count(*) AS n_notes, sum(begin)::bigint AS begins, sum(length)::
 def pack_notes(t):
     minute = F.floor((micros("ts") - 1704067200000000) / 60000000)
     n = t.events.select("user_id", "ts", "event_id", minute.alias("start"), (minute + F.bround("value").cast("long")).alias("stop"))
-    rows = n.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "start", "stop"))).alias("notes"))
-    p = S.pack(rows, "user_id", F.col("notes"))
-    total = lambda f: F.aggregate("packed", F.lit(0).cast("long"), lambda a, x: a + x[f])
-    return p.select("user_id", F.size("packed").cast("long").alias("n_notes"), total("begin").alias("begins"), total("length").alias("lengths"), F.array_max(F.transform("packed", lambda x: x["begin"] + x["length"])).alias("finish"))
-
-
-@query(None)
-def phrase_breaks(t):
-    """Line breaks of each conversation: a new phrase on a new role, after 42 characters, or after a long gap; the count starts anew at a break."""
-    rows = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.length(F.coalesce("text", F.lit(""))).alias("n")))).alias("x"))
-    first = F.struct(F.lit(None).cast("string").alias("role"), F.lit(0).alias("chars"), F.lit(0).alias("breaks"))
-
-    def step(a, x):
-        cut = (a["role"].isNotNull() & (a["role"] != x["role"])) | (a["chars"] >= 42)
-        return F.struct(x["role"].alias("role"), (F.when(cut, 0).otherwise(a["chars"]) + x["n"]).alias("chars"), (a["breaks"] + cut.cast("int")).alias("breaks"))
-
-    return rows.select("conv_id", F.aggregate("x", first, step, lambda a: a["breaks"]).alias("breaks"))
-
-
-@query(None)
-def language_hysteresis(t):
-    """The state of each user changes only when two events in a row agree on another type."""
-    rows = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("x"))
-    null = F.lit(None).cast("string")
-    first = F.struct(null.alias("state"), null.alias("last"), F.lit(0).alias("changes"))
-
-    def step(a, x):
-        move = a["state"].isNull() | ((x["event_type"] == a["last"]) & (x["event_type"] != a["state"]))
-        return F.struct(F.when(move, x["event_type"]).otherwise(a["state"]).alias("state"), x["event_type"].alias("last"), (a["changes"] + (move & a["state"].isNotNull()).cast("int")).alias("changes"))
-
-    done = F.aggregate("x", first, step)
-    return rows.select("user_id", done.alias("d")).select("user_id", "d.state", "d.changes")
-
-
-@query(None)
-def plan_windows(t):
-    """Windows over each user's values: a core ends at the quietest step between 22 and 26 after its start."""
-    rows = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("x")).select("user_id", F.transform("x", lambda v: v["value"]).alias("v"))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("cuts"))
-
-    def step(a, _):
-        n = F.size("v")
-        near = F.transform(F.sequence(a["at"] + 22, F.least(a["at"] + 26, n - 1)), lambda i: F.struct(F.get("v", i).alias("e"), i.alias("i")))
-        cut = F.when(a["at"] + 28 >= n, n).otherwise(F.array_min(near)["i"])
-        return F.when(a["at"] >= n, a).otherwise(F.struct(cut.alias("at"), F.concat(a["cuts"], F.array(cut)).alias("cuts")))
-
-    steps = F.sequence(F.lit(0), F.floor(F.size("v") / 22).cast("int") + 1)
-    return rows.select("user_id", F.aggregate(steps, first, step, lambda a: a["cuts"]).alias("c")).select("user_id", F.size("c").alias("n_windows"), F.array_max("c").alias("finish"), F.array_join("c", ",").alias("cuts"))
-
-
-def _seams(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Join a conversation's turns: the longest suffix of what is there that is a prefix of the next turn (up to 32 words) is said once."""
-    words: list[str] = []
-    shared = 0
-    for text in pdf.sort_values("turn")["text"].fillna(""):
-        new = text.lower().split()
-        best = next((k for k in range(min(32, len(words), len(new)), 0, -1) if words[-k:] == new[:k]), 0)
-        shared += best
-        words += new[best:]
-    return pd.DataFrame({"conv_id": [pdf["conv_id"].iloc[0]], "n_words": [len(words)], "n_shared": [shared]})
-
-
-@query(None)
-def stitch(t):
-    return t.conversations.select("conv_id", "turn", "text").groupBy("conv_id").applyInPandas(_seams, "conv_id long, n_words long, n_shared long")
-
-
-WORD = re.compile(r"\S+", re.ASCII)
-#: Tasks over which the members of one group are dealt.
-DEALT = 64
-
-
-def matching(x: str, y: str) -> tuple[int, int]:
-    """(number of equal blocks of three or more, matched words) of two texts' words, the longest block first, without junk rules."""
-    a, b = WORD.findall(x), WORD.findall(y)
-    if a == b:
-        return (1, len(a)) if len(a) >= 3 else (0, 0)
-    blocks = [m for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size >= 3]
-    return len(blocks), sum(m.size for m in blocks)
-
-
-def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        found = [matching(x.as_py(), y.as_py()) for x, y in zip(b.column("x"), b.column("y"), strict=True)]
-        counts = [pa.array([f[i] for f in found], pa.int32()) for i in range(2)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("other_id"), *counts], ["doc_id", "other_id", "n_blocks", "n_matched"])
-
-
-@query(None)
-def sequence_match(t):
-    """Near copies: each text against the first (least id) of its group, and against the first of the same opening words; block matches of all their words.
-
-    Groups are the components of the whole-text join of ``quaver.llm`` (five-word
-    shingles, Jaccard 0.6: a word in forty edited gives about 0.8, one in twenty 0.6), so a pair
-    of one group may itself be less similar.  The opening adds pairs below that.
-    """
-    from quaver.llm.ngramjoin import IDS, near_groups  # the subpackage may be absent
-    from quaver.llm.shared import broadcast_if_small, map_arrow, materialise
-
-    d = t.documents.select("doc_id", F.lower("text").alias("x"))
-    groups = near_groups(t.documents.select("doc_id", "text"), 5, "0.6").select("doc_id", F.col("component_id").alias("other_id"))
-    opened = materialise(d.select("doc_id", F.xxhash64(F.slice(F.split("x", r"\s+"), 1, 4)).alias("opening")), "opened")
-    least = materialise(opened.groupBy("opening").agg(F.min("doc_id").alias("other_id"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "least")
-    same = opened.join(broadcast_if_small(least, least.count(), IDS), "opening").select("doc_id", "other_id")
-    pairs = groups.union(same).where("doc_id <> other_id").distinct()
-    pairs = materialise(pairs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(DEALT))), "near")
-    count = pairs.count()
-    # a first text goes to as many tasks as its partners are dealt over; an id of several texts gives the least
-    heads = pairs.select(F.col("other_id").alias("doc_id")).distinct()
-    first = d.join(broadcast_if_small(heads, count, IDS), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("other_id")).agg(F.min("x").alias("y"))
-    first = pairs.select("other_id", "part").distinct().join(first.where("y IS NOT NULL"), "other_id")
-    j = d.where("x IS NOT NULL").join(broadcast_if_small(pairs, count, IDS), "doc_id").join(first, ["other_id", "part"]).select("doc_id", "other_id", "x", "y")
-    return map_arrow(j, _matched, "doc_id long, other_id long, n_blocks int, n_matched int")
+    p = ordered_fold(n, ["user_id"], ["ts", "event_id"], Pack, "i int, begin long, length long")
+    return p.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_notes"), F.sum("begin").alias("begins"), F.sum("length").alias("lengths"), F.max(F.col("begin") + F.col("length")).alias("finish"))

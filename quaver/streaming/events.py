@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -19,15 +20,15 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return s.select("user_id", "began", "last", "n_events")
 
 
-def owned_windows(events: DataFrame, core: str = "1 hour", context: str = "10 minutes") -> DataFrame:
-    """Hopping windows with context on both sides; ``owned`` counts the rows in the core only."""
-    at = F.col("ts").cast("timestamp")
-    rows = events.withColumn("at", at)
+def owned_windows(events: DataFrame, core: str = "1 hour", context: str = "10 minutes", late: str = "1 hour") -> DataFrame:
+    """(core, seen, owned): windows of ``core`` with ``context`` (shorter than a core) on both sides; ``owned`` counts the rows in the core only."""
+    rows = events.withColumn("at", F.col("ts").cast("timestamp"))
     if events.isStreaming:
-        rows = rows.withWatermark("at", "1 hour")
-    begin = F.window("at", core)["start"]
-    near = F.expr(f"INTERVAL {context}")
-    spread = rows.withColumn("own", begin).withColumn("core", F.explode(F.array_distinct(F.array(F.window("at", core)["start"], F.date_trunc("hour", F.col("at") - near), F.date_trunc("hour", F.col("at") + near)))))
+        rows = rows.withWatermark("at", late)
+    size, near = (int(x.total_seconds() * 1e6) for x in (pd.Timedelta(core), pd.Timedelta(context)))
+    us = F.unix_micros("at")
+    begin = lambda x: F.timestamp_micros(F.floor(x / size).cast("long") * size)
+    spread = rows.withColumn("own", begin(us)).withColumn("core", F.explode(F.array_distinct(F.array(begin(us), begin(us - near), begin(us + near)))))
     return spread.groupBy("core").agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("own") == F.col("core")).alias("owned"))
 
 

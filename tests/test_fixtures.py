@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 
 from quaver.functions import signals as G
 from quaver.functions import text as X
+from quaver.functions import rules as R
+from quaver.operators import anchors as A
+from quaver.operators import compare as C
 from quaver.operators import evaluation as E
 from quaver.operators import history as H
+from quaver.operators import melody as M
 from quaver.operators import sequences as S
+from quaver.operators.folds import Breaks, Hysteresis, Pack, Windows, ordered_fold
 from quaver.plans.registry import QUERIES
-from quaver.sources import charts, delimited, lyrics
+from quaver.sources import charts, delimited, lyrics, storage
 from quaver.streaming import events as V
 
 
@@ -27,11 +32,11 @@ def test_pitch_and_ticks(spark):
 
 @pytest.mark.parametrize(
     ("ref", "hyp", "want"),
-    [("one two three four", "one wrong four extra", (3, 1, 1, 1)), ("a b c", "a c", (1, 0, 1, 0)), ("a b", "a b c", (1, 0, 0, 1)), ("a b", "", (2, 0, 2, 0)), ("", "x y", (2, 0, 0, 2))],
+    [("red green blue grey", "red brown grey white", (3, 1, 1, 1)), ("a b c", "a c", (1, 0, 1, 0)), ("a b", "a b c", (1, 0, 0, 1)), ("a b", "", (2, 0, 2, 0)), ("", "x y", (2, 0, 0, 2))],
 )
 def test_edit_distance(spark, ref, hyp, want):
     arr = lambda s: F.array(*[F.lit(x) for x in s.split()]).cast("array<string>")
-    r = one(spark, S.edit_distance(arr(ref), arr(hyp)).alias("d")).d
+    r = one(spark, S.long_edit_distance(arr(ref), arr(hyp)).alias("d")).d
     assert r.errors == want[0]
     assert (r.substitutions + r.deletions + r.insertions) == want[0]
     if len(ref.split()) != 4:
@@ -39,9 +44,9 @@ def test_edit_distance(spark, ref, hyp, want):
 
 
 def test_units(spark):
-    r = one(spark, X.units(F.lit("¡Óyeme! Don't, don’t"), F.lit("es")), X.units(F.lit("桜、さくら。"), F.lit("ja")))
-    assert r[0] == ["óyeme", "don't", "don't"]
-    assert r[1] == ["桜", "さ", "く", "ら"]
+    r = one(spark, X.units(F.lit("¿Qué? Can't, won’t"), F.lit("es")), X.units(F.lit("雪、ゆき。"), F.lit("ja")))
+    assert r[0] == ["qué", "can't", "won't"]
+    assert r[1] == ["雪", "ゆ", "き"]
 
 
 def test_exact_normaliser(spark):
@@ -49,9 +54,158 @@ def test_exact_normaliser(spark):
 
 
 def test_note_packing(spark):
-    df = spark.createDataFrame([(1, [(200, 209), (208, 218)])], "id int, x array<struct<start:long,stop:long>>")
-    assert [tuple(x) for x in S.pack(df, "id", F.col("x"), F.lit(240)).first().packed] == [(200, 9), (209, 9)]
-    assert S.pack(spark.createDataFrame([(1, [])], df.schema), "id", F.col("x")).first().packed == []
+    rows = [(1, 0, 100, 104, 130), (1, 1, 103, 109, 130), (1, 2, 128, 140, 130), (1, 3, 110, 109, 130), (2, 0, 7, 7, None)]
+    df = spark.createDataFrame(rows, "rec int, n int, start long, stop long, limit long")
+    got = ordered_fold(df, ["rec"], ["n"], Pack, "i int, begin long, length long").collect()
+    # the third would end past the limit and moves nothing
+    assert sorted(map(tuple, got)) == [(1, 1, 100, 4), (1, 2, 104, 5), (1, 4, 110, 1), (2, 1, 7, 1)]
+
+
+def test_line_breaks(spark):
+    rows = [(0, 0, 10, 1, 30), (1, 10, 10, 1, 15), (2, 20, 5, 1, 3), (3, 44, 6, 1, 3), (4, 70, 4, 1, 3), (5, 74, 4, 2, 3)]
+    df = spark.createDataFrame([(9, *r) for r in rows], "rec int, n int, begin long, length long, phrase int, chars int")
+    got = [r.at for r in ordered_fold(df, ["rec"], ["n"], Breaks, "i int, at long").orderBy("i").collect()]
+    assert got == [None, None, 20, None, 50, 74]  # 45 characters, a rest of 19 is short, one of 20 is not, a new phrase
+
+
+def test_switch_takes_two_long_observations(spark):
+    seen = ["a", "b", "b", "b", None, "a", "a"]
+    long = [True, True, False, True, True, True, True]
+    df = spark.createDataFrame([(1, i, s, g, "a") for i, (s, g) in enumerate(zip(seen, long, strict=True))], "rec int, n int, seen string, long boolean, first string")
+    assert [r.state for r in ordered_fold(df, ["rec"], ["n"], Hysteresis, "i int, state string").orderBy("i").collect()] == ["a"] * 7
+    df = df.withColumn("long", F.lit(True))
+    assert [r.state for r in ordered_fold(df, ["rec"], ["n"], Hysteresis, "i int, state string").orderBy("i").collect()] == ["a", "b", "b", "b", "b", "a", "a"]
+
+
+def test_quiet_cut(spark):
+    level = [1.0] * 80
+    level[24] = level[25] = 0.1
+    df = spark.createDataFrame([(1, i, x) for i, x in enumerate(level)], "rec int, at int, level double")
+    got = [(r.core_start, r.core_end) for r in ordered_fold(df, ["rec"], ["at"], Windows, "i int, core_start long, core_end long").orderBy("i").collect()]
+    assert got == [(0, 24), (24, 46), (46, 68), (68, 80)]
+
+
+def _track(spark, hz, energy):
+    frames = spark.createDataFrame([(1, i * 0.01, h, 1.0, energy) for i, h in enumerate(hz)], "rec int, time double, hz double, confidence double, energy double")
+    units = spark.createDataFrame([(1, 1, 0.5, 2.5, "you ", 0, False, 3.0)], "rec int, unit int, start double, stop double, text string, phrase int, estimated boolean, duration double")
+    return M.make_notes(units, frames).orderBy("start").collect()
+
+
+def test_notes_of_silence_and_of_two_tones(spark):
+    (free,) = _track(spark, [440.0] * 300, 0.0)
+    assert (free.kind, free.start, free.stop, free.text) == ("F", 0.5, 2.5, "you ")
+    first, second = _track(spark, [440.0] * 150 + [493.88] * 150, 0.1)
+    assert [(x.pitch, x.text, x.kind) for x in (first, second)] == [(9, "you", ":"), (11, "~ ", ":")]
+    assert first.stop == second.start == 1.5
+
+
+def test_lines_move_with_the_recording():
+    said = [("harbour", 30.0), ("lanterns", 31.0), ("burning", 32.0), ("quiet", 44.0), ("morning", 45.0), ("ferries", 46.0)]
+    words = [{"word": w, "start": s, "stop": s + 0.8} for w, s in said]
+    line = lambda i, text, start: {"i": i, "text": text, "start": start, "stop": None}
+    row = {"lines": [line(0, "Harbour lanterns burning", 22.0), line(1, "Quiet morning ferries", 36.0)], "words": words, "duration": 60.0, "source": "user", "language": None, "heard_language": "en"}
+    a, b = A.Compose()(row)
+    assert (a[1], b[1], a[10], a[5], b[5]) == (30.0, 44.0, 8.0, True, True)
+    assert a[9] <= b[8] and a[2] <= 33.1 + 1e-9
+    plain = {**row, "lines": [line(0, "Harbour lanterns burning", None), line(1, "something never sung here", None), line(2, "Quiet morning ferries", None)]}
+    assert [x[1] for x in A.Compose()(plain)] == [30.0, 37.0, 44.0]
+    lost = {**plain, "words": [], "source": "provider"}
+    assert A.Compose()(lost)[0][-1] == "no anchors"
+    assert [round(x[1], 6) for x in A.Compose()({**lost, "source": "user"})] == [0.0, 20.0, 40.0]
+    extra = {**row, "source": "provider", "words": [{"word": "intro", "start": 2.0, "stop": 2.5}, *words]}
+    assert [(x[3], x[6]) for x in A.Compose()(extra)] == [("intro", False), ("Harbour lanterns burning", True), ("Quiet morning ferries", True)]
+
+
+def test_far_anchor_leaves_the_times_alone():
+    words = [{"word": w, "start": s, "stop": s + 0.5} for w, s in (("silver", 11.0), ("mountain", 12.0), ("river", 41.0), ("valley", 42.0))]
+    lines = [{"i": 0, "text": "silver mountain", "start": 10.0, "stop": None}, {"i": 1, "text": "river valley", "start": 20.0, "stop": None}]
+    out = A.Compose()({"lines": lines, "words": words, "duration": 50.0, "source": "user", "language": "en", "heard_language": None})
+    assert [(x[1], x[5], x[10]) for x in out] == [(11.0, True, 0.0), (20.0, False, 0.0)]
+
+
+def _segments(*parts):
+    word = lambda w, a, b: {"word": w, "start": a, "stop": b}
+    return {"segments": [{"window_start": s, "core_start": c, "words": [word(*w) for w in ws]} for s, c, ws in parts]}
+
+
+def test_stitching():
+    same = A.Stitch()(_segments((0, 0, [("one", 1, 2), ("two", 20, 21)]), (19, 20, [("Two", 20.2, 21.2), ("three", 22, 23)])))
+    assert [x[2] for x in same] == ["one", "two", "three"]
+    apart = A.Stitch()(_segments((0, 0, [("two", 10, 11)]), (19, 20, [("two", 20, 21)])))
+    assert [x[2] for x in apart] == ["two", "two"]
+    touching = A.Stitch()(_segments((0, 0, [("two", 19, 20)]), (19, 20, [("two", 20, 21)])))
+    assert [x[2] for x in touching] == ["two", "two"]
+    seam = A.Stitch()(_segments((0, 0, [("left", 19.0, 20.4)]), (19, 20, [("right", 19.8, 21.0)])))
+    assert [(x[2], x[3], x[4], x[5]) for x in seam] == [("left", 19.0, 20, True), ("right", 20, 21.0, True)]
+    owned = A.Stitch()(_segments((0, 0, [("a", 18, 19), ("late", 20.1, 21.1)]), (19, 20, [("early", 19.2, 19.7), ("b", 20.5, 21.5)])))
+    assert [x[2] for x in owned] == ["a", "b"]
+
+
+def test_line_timing():
+    lines = [{"text": "paper boats", "start": 1.0, "stop": 3.0}, {"text": "never heard", "start": 5.0, "stop": 7.0}]
+    words = [{"word": "Paper", "start": 1.1, "stop": 1.9}, {"word": "boats!", "start": 2.0, "stop": 2.9}]
+    n, matched, coverage, middle, p95 = A.Timing()({"lines": lines, "words": words, "language": "en"})[0]
+    assert (n, matched, coverage) == (2, 1, 0.5)
+    assert (round(middle, 6), round(p95, 6)) == (0.1, 0.1)
+    assert A.Timing()({"lines": [], "words": words, "language": "en"})[0] == (0, 0, None, None, None)
+
+
+def brute_blocks(a, b):
+    """Longest equal run first, then both sides of it; plain Python, for short lists."""
+    best = max(((k, -i, -j) for i in range(len(a)) for j in range(len(b)) for k in [next((n for n in range(min(len(a) - i, len(b) - j)) if a[i + n] != b[j + n]), min(len(a) - i, len(b) - j))] if k), default=None)
+    if best is None:
+        return []
+    k, i, j = best[0], -best[1], -best[2]
+    return [*brute_blocks(a[:i], b[:j]), k, *brute_blocks(a[i + k :], b[j + k :])]
+
+
+def test_sequence_match(spark, tmp_path):
+    rng = random.Random(5)
+    items = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(30))) for i in range(5)]
+    docs = [(1, items[0][1]), (2, "Start " + items[1][1].replace("w1", "x1") + " end"), (3, items[2][1][:40] + " " + items[3][1]), (4, "nothing of that here at all"), (5, None), (6, "w1 w2"), (1, items[4][1])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([*items, (9, None), (10, "w1")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["sequence_match"](spark, str(tmp_path)).collect())
+    want = []
+    for d, x in docs:
+        for i, y in items:
+            p, q = (x or "").lower().split(), y.lower().split()
+            if {tuple(p[k : k + 5]) for k in range(len(p) - 4)} & {tuple(q[k : k + 5]) for k in range(len(q) - 4)}:
+                sizes = [k for k in brute_blocks(p, q) if k >= 3]
+                want.append((d, i, len(sizes), sum(sizes), len(q)))
+    assert got == sorted(want)
+    assert len(want) >= 4
+
+
+def test_rules_on_edges(spark):
+    nan, inf = float("nan"), float("inf")
+    times = [(1.0, 2.0), (nan, 2.0), (2.0, 1.0), (-1.0, 2.0), (1.0, 30.5), (1.0, inf), (1.0, 10.02), (None, 2.0)]
+    df = spark.createDataFrame(times, "a double, b double")
+    assert [r[0] for r in df.select(R.valid_time(F.col("a"), F.col("b"), F.lit(0.0), F.lit(10.0))).collect()] == [True, False, False, False, False, False, True, False]
+    chances = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<double>")
+    r = one(spark, R.needs_retry(F.lit(0.1), F.lit(-0.2), F.lit(1.0), chances(0.35)), R.needs_retry(F.lit(0.1), F.lit(nan), F.lit(1.0), chances(0.9)), R.needs_retry(F.lit(0.1), F.lit(-0.2), F.lit(1.0), chances(0.9)), R.needs_retry(F.lit(0.1), F.lit(-0.2), F.lit(1.0), chances()))
+    assert tuple(r) == (True, True, False, True)
+    words = one(spark, *[R.morae(F.lit(x)) for x in ("konnichiha", "shinbun", "nya", "tr")])
+    assert [list(w) for w in words] == [["kon", "ni", "chi", "ha"], ["shin", "bun"], ["nya"], ["tr"]]
+    names = one(spark, R.safe_name(F.lit("a/b:c. "), "x"), R.safe_name(F.lit(" .. "), "x"), R.safe_name(F.lit("é" * 60), "x"), R.safe_name(F.lit("桜" * 40), "x"), R.download_name(F.lit(None).cast("string"), F.lit("t" * 120 + " (AI)")))
+    assert tuple(names) == ("a_b_c", "x", "é" * 50, "桜" * 33, "Unknown Artist - " + "t" * 95 + " (AI)")
+    urls = ["https://youtu.be/abcdefghij_", "https://user@youtube.com/watch?v=abcdefghij_", "https://www.youtube.com/shorts/abcdefghij_/x", "https://www.youtube.com/watch?v=short", None]
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(R.video_url(F.col("u"))).collect()]
+    want = "https://www.youtube.com/watch?v=abcdefghij_"
+    assert got == [want, None, want, None, None]
+
+
+def test_nan_is_refused(spark, tmp_path):
+    with pytest.raises(Exception, match="not a number"):
+        storage.write_json(spark.createDataFrame([(1.0,), (float("nan"),)], "x double"), str(tmp_path / "out"))
+
+
+def test_missing_match_is_an_error(spark):
+    left, right = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, 5), (1, 3)], "k int, v int")
+    j = C.first_match(left, right, ["k"], ["v"])
+    assert sorted((r.k, r.match and r.match.v) for r in j.collect()) == [(1, 3), (2, None)]
+    with pytest.raises(Exception, match="no matching row"):
+        C.require_matches(j).collect()
 
 
 def test_history_pages(spark):
@@ -91,17 +245,31 @@ def test_lyrics_problems(spark):
 def test_chart_headers_and_render(spark):
     df = spark.createDataFrame([(1, "#TITLE:a\n#title: b\n: 0 2 9 hi\nE")], "id int, text string")
     assert [tuple(r) for r in charts.headers(df).collect()] == [(1, "TITLE", "b")]
-    rows = spark.createDataFrame([(1, [(":", 200, 9, 9, "hi "), (":", 209, 9, 9, "there")])], "id int, n array<struct<kind:string,beat:int,length:int,pitch:int,text:string>>")
-    chart = charts.render(rows, "id", F.col("n"), F.lit("t"))
-    assert ": 200 9 9 hi \n: 209 9 9 there\nE\n" in chart.first().chart
-    assert charts.validate(chart, "id", "chart").first().valid
+    head = "#TITLE:t (AI)\n#ARTIST:a\n#MP3:audio.mp3\n#VIDEO:video.mp4\n#COVER:cover.jpg\n#BPM:300\n#GAP:0\n"
+    bodies = {"": ": 10 5 9 oh \n- 15\n: 16 2 -3 well\nE\n", "note": ": 10 5 9 oh\n: 14 2 1 well\nE\n", "break": ": 10 5 9 oh\n- 14\nE\n", "line": ": 10 5 9 oh\nplain\nE\n", "incomplete": ": 10 5 9 oh\n", "after end": ": 10 5 9 oh\nE\nmore\n"}
+    got = {r.name: r for r in charts.validate(spark.createDataFrame([(k, head + v) for k, v in bodies.items()], "name string, text string"), "name").collect()}
+    assert {k: r.problems for k, r in got.items()} == {k: k for k in bodies}
+    assert (got[""].n_notes, got[""].n_phrases, got[""].end_seconds) == (2, 2, 0.9)
+    unsafe = spark.createDataFrame([(1, head.replace("video.mp4", "../v.mp4").replace("#GAP:0", "#GAP:9") + bodies[""])], "id int, text string")
+    assert charts.validate(unsafe).first().problems == "grid;media"
 
 
-@pytest.mark.parametrize("text", ["url,artist\nhttps://a,b\n", "url,artist,song_name\nhttps://a,b\n", "url,artist,song_name\nhttp://a,b,c\n", 'url,artist,song_name\n"https://a,b,c\n', "url,artist,song_name\n" + "https://a,b,c\n" * 51])
-def test_bad_csv_adds_nothing(spark, text):
-    good, bad = delimited.ingest(spark, spark.createDataFrame([(text,)], "content string"))
-    assert good.count() == 0
-    assert bad.count() > 0
+GOOD = "https://youtu.be/abcdefghij_"  # (of a row that cannot be read, the row before it is named)
+
+
+@pytest.mark.parametrize(
+    ("text", "row", "problem"),
+    [
+        (f"url,artist\n{GOOD},b\n", 1, "header"), (f"url,artist,song_name\n{GOOD},b\n", 2, "columns"), (f"url,artist,song_name\n{GOOD},b,c\n\nhttp://youtu.be/x,b,c\n", 4, "link"),
+        (f'url,artist,song_name\n"{GOOD},b,c\n', 1, "quoting"), ("url,artist,song_name\n" + f"{GOOD},b,c\n" * 51, 52, "too many rows"), ("url,artist,song_name\n\n", 2, "no songs"),
+        (f"url,artist,song_name,language_code\n{GOOD},b,c,Klingon\n", 2, "language"), ("url,artist,song_name\nhttps://youtu.be/" + "x" * 2100 + ",b,c\n", 2, "link too long"), ("x" * ((1 << 20) + 1), 0, "file too large"),
+    ],
+)
+def test_bad_csv_refuses_its_file_alone(spark, text, row, problem):
+    files = spark.createDataFrame([("bad", text), ("good", f"\ufeffURL,Artist,Song_Name\r\n{GOOD},\"A, B\",x\r\n")], "file string, content string")
+    got = {r.file: r for r in delimited.ingest(files).collect()}
+    assert (got["bad"].bad_row, got["bad"].problem, got["bad"].url) == (row, problem, None)
+    assert (got["good"].artist, got["good"].problem) == ("A, B", None)
 
 
 def test_stream_equals_batch(spark, small, tmp_path):

@@ -39,3 +39,16 @@ def test_matches_sql(spark, small, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, small, name):
     assert QUERIES[name](spark, small).count() > 0
+
+
+@pytest.fixture(scope="module")
+def empty(spark, small, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("empty")
+    for t in TABLES:
+        spark.read.parquet(f"{small}/{t}.parquet").limit(0).write.parquet(str(folder / f"{t}.parquet"))
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_runs_on_empty_tables(spark, empty, name):
+    QUERIES[name](spark, empty).collect()
