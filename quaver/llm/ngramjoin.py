@@ -416,11 +416,13 @@ def near_groups(docs: DataFrame, k: int = 5, threshold: str = "0.8", key: str =
 
 def one_per_group(docs: DataFrame, k: int = 5, threshold: str = "0.8", key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component; texts without words all stay."""
-    rows = materialise(members(docs, k, threshold, key, text).where("component IS NOT NULL"), "members")
-    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_hash")).alias("b")).select("component", F.col("b.row_hash").alias("kept"))
-    marked = rows.select("component", "row_hash").join(best, "component")
-    gone = materialise(marked.where("row_hash <> kept").select("row_hash").distinct(), "gone")
-    twice = materialise(marked.where("row_hash = kept").groupBy("row_hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("row_hash"), "twice")
+    rows = members(docs, k, threshold, key, text).where("component IS NOT NULL")
+    rows = materialise(rows.groupBy("component", "row_hash").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("c")), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_hash"))
+    best = rows.groupBy("component").agg(first.alias("b")).select("b.row_hash")
+    # by the hash of id and text, which tells rows apart: a large component does not meet in one task
+    gone = materialise(rows.join(best, "row_hash", "left_anti").select("row_hash"), "gone")
+    twice = materialise(rows.where("c > 1").join(best, "row_hash", "left_semi").select("row_hash"), "twice")
     mark, n_gone, n_twice = fresh(docs, "row_hash"), gone.count(), twice.count()
     kept = docs.withColumn(mark, F.xxhash64(docs[key].cast("long"), docs[text]))
     kept = kept.join(broadcast_if_small(gone.withColumnRenamed("row_hash", mark), n_gone, IDS), mark, "left_anti")
