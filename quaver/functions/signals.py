@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def rms(block: Column) -> Column:
@@ -57,15 +60,10 @@ def cents(a: Column, b: Column) -> Column:
     return F.when((a > 0) & (b > 0), F.abs(1200 * F.log2(a / F.nullif(b, F.lit(0.0)))))
 
 
-def standardise(signal: Column, floor: float = 1e-6) -> Column:
-    """(x - mean) / max(sample standard deviation, floor)."""
-    x = F.transform(signal, lambda v: v.cast("double"))
-    n = F.size(signal)
-    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.nullif(n, F.lit(0))
-    centred = lambda m: F.transform(x, lambda v: v - m)
-    square = F.aggregate(centred(mean), F.lit(0.0), lambda a, v: a + v * v)
-    scale = F.greatest(F.lit(floor), F.coalesce(F.sqrt(square / F.nullif(n - 1, F.lit(0))), F.lit(0.0)))
-    return F.transform(centred(mean), lambda v: v / scale)
+def standardise(group: Sequence[str], value: str, floor: float = 1e-6) -> Column:
+    """(x - mean) / max(sample standard deviation, floor) over the samples of a group, one a row."""
+    w = Window.partitionBy(*group)
+    return (F.col(value) - F.avg(value).over(w)) / F.greatest(F.lit(floor), F.coalesce(F.stddev_samp(value).over(w), F.lit(0.0)))
 
 
 def tone(hz: Column, seconds: Column, rate: int, partials: int = 6, edge: float = 0.08, level: float = 0.15) -> Column:

@@ -146,3 +146,27 @@ def downstream(edges: DataFrame, invalid: DataFrame, most: int = 64) -> DataFram
         front = edges.sparkSession.createDataFrame(rows, front.schema)
         reached = reached.union(front)
     raise RuntimeError("the graph is deeper than expected")
+
+
+def complete_sets(rows: DataFrame, key: str, name: str, names: Sequence[str]) -> DataFrame:
+    """(key) of what has every one of ``names``, whatever else it has."""
+    seen = rows.where(F.col(name).isin(*names)).groupBy(key).agg(F.count_distinct(name).alias("n"))
+    return seen.where(F.col("n") == len(names)).select(key)
+
+
+def profile_totals(rows: DataFrame, fixture: str, profile: str, seconds: str) -> DataFrame:
+    """(profile, total, fixtures) of the profiles that every fixture has: the sum of the fixtures' medians."""
+    from quaver.operators.evaluation import medians
+
+    m = medians(rows, [fixture, profile], seconds)
+    whole = rows.agg(F.count_distinct(fixture).alias("all"))
+    g = m.groupBy(profile).agg(F.sum("median").alias("total"), F.count(F.lit(1)).alias("fixtures"))
+    return g.join(F.broadcast(whole), F.col("fixtures") == F.col("all")).drop("all")
+
+
+def report(rows: DataFrame, stored: DataFrame, group: str, run: str, seconds: str) -> DataFrame:
+    """(group, seconds, ratio, total_ratio): complete groups against stored seconds; the total only where every stored group is complete."""
+    done = stored.select(group, F.col("seconds").alias("_base")).join(complete_runs(rows, [group], run, seconds), group, "left")
+    sums = done.agg(F.sum("_base").alias("_all"), F.sum("seconds").alias("_own"), F.count_if(F.col("seconds").isNull()).alias("_open"))
+    out = done.where("seconds IS NOT NULL").join(F.broadcast(sums))
+    return out.select(group, "seconds", (F.col("_base") / F.col("seconds")).alias("ratio"), F.when(F.col("_open") == 0, F.col("_all") / F.col("_own")).alias("total_ratio"))

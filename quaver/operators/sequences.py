@@ -39,6 +39,15 @@ def interpolate(df: DataFrame, group: Sequence[str], order: Sequence[str], value
     return df.withColumn("filled", F.coalesce(F.col(value), line)).drop("_i", "_n", "_l", "_r")
 
 
+def until_next(df: DataFrame, group: Sequence[str], order: Sequence[str], start: str, end: Column) -> DataFrame:
+    """``stop``: the next row's start, at most ``end``, which is also the last row's; ``falls``: whether some start of the group is not below the next."""
+    w = Window.partitionBy(*group)
+    after = F.lead(start).over(w.orderBy(*order))
+    df = df.withColumn("_next", after)
+    falls = F.bool_or(F.coalesce(F.col(start) >= F.col("_next"), F.lit(False))).over(w)
+    return df.withColumn("falls", falls).withColumn("stop", F.least(end, F.coalesce("_next", end))).drop("_next")
+
+
 def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], size: str) -> DataFrame:
     """``begin`` and ``finish`` shares of the group's whole ``size`` in order."""
     w = Window.partitionBy(*group)

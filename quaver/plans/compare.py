@@ -255,3 +255,123 @@ def pitch_score(t):
     counted = ref & (F.col("conf") >= 0.35)
     err = F.when(counted, F.abs(69 + 12 * F.log2(F.col("hz") / 440) - F.col("midi")) * 100)
     return f.withColumn("e", err).groupBy("vec_id").agg(F.count_if(counted).alias("evaluated"), F.count_if(ref).alias("asked"), F.round(F.median("e"), 4).alias("middle"), F.round(F.avg((F.col("e") < 50).cast("double")), 6).alias("close"), F.count_if(~ref & (F.col("conf") >= 0.35)).alias("false_voiced"))
+
+
+@query("""
+SELECT o_custkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW') GROUP BY 1 HAVING count(DISTINCT o_orderpriority) = 4
+""")
+def available(t):
+    """Customers that have all four kinds of orders asked for."""
+    return C.complete_sets(t.orders, "o_custkey", "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"])
+
+
+@query("""
+WITH m AS (SELECT o_orderpriority f, o_orderstatus p, median(o_totalprice) s FROM orders WHERE NOT (o_orderstatus = 'P' AND o_orderpriority = '5-LOW') GROUP BY ALL)
+SELECT p AS profile, round(sum(s), 4) AS total, count(*) AS fixtures FROM m GROUP BY p HAVING count(*) = (SELECT count(DISTINCT f) FROM m)
+""")
+def profile_totals(t):
+    rows = t.orders.where(~((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "5-LOW"))).select(F.col("o_orderpriority").alias("f"), F.col("o_orderstatus").alias("profile"), "o_totalprice")
+    return C.profile_totals(rows, "f", "profile", "o_totalprice").withColumn("total", F.round("total", 4))
+
+
+@query("""
+WITH g AS (SELECT l_orderkey k, median(l_extendedprice) s FROM lineitem WHERE l_orderkey < 400 GROUP BY 1 HAVING count(*) = 3 AND count(DISTINCT l_linenumber) = 3 AND min(l_linenumber) = 1 AND max(l_linenumber) = 3),
+w AS (SELECT 'all' AS kind, k, s, (SELECT sum(o_totalprice) FROM orders WHERE o_orderkey IN (SELECT k FROM g)) / (SELECT sum(s) FROM g) AS total FROM g UNION ALL SELECT 'open', k, s, NULL FROM g)
+SELECT kind, k, round(s, 6) AS seconds, round(o_totalprice / s, 6) AS ratio, round(total, 6) AS total_ratio FROM w JOIN orders ON o_orderkey = k WHERE s > 0
+""")
+def benchmark_report(t):
+    """Complete orders against stored figures; the total is given only where nothing stored is still open."""
+    rows = t.lineitem.where("l_orderkey < 400").select(F.col("l_orderkey").alias("k"), "l_linenumber", "l_extendedprice")
+    stored = t.orders.where("o_orderkey < 400").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("seconds"))
+    whole = stored.join(C.complete_runs(rows, ["k"], "l_linenumber", "l_extendedprice").select("k"), "k", "left_semi")
+    one = lambda s, kind: C.report(rows, s, "k", "l_linenumber", "l_extendedprice").select(F.lit(kind).alias("kind"), "k", *[F.round(c, 6).alias(c) for c in ("seconds", "ratio", "total_ratio")])
+    return one(whole, "all").union(one(stored, "open"))
+
+
+@query("""
+WITH w AS (SELECT event_id AS id, user_id, epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 1000000 + 600 + round(value)::bigint AS f FROM events WHERE event_type = 'purchase'), p AS (SELECT user_id, event_id AS e, epoch_us(ts) // 1000000 AS s FROM events WHERE event_type <> 'purchase')
+SELECT id, count(e) AS n, coalesce(string_agg(e::varchar, ',' ORDER BY e), '') AS inside FROM w LEFT JOIN p ON p.user_id = w.user_id AND p.s >= w.s - 20 AND p.s < w.f GROUP BY id
+""")
+def points_with_tolerance(t):
+    """What lies in each span or up to 20 seconds before it, as a list; spans without anything stay."""
+    from quaver.operators.intervals import points_in
+    from quaver.plans.base import micros
+
+    at = F.floor(micros("ts") / 1000000)
+    w = t.events.where("event_type = 'purchase'").select(F.col("event_id").alias("id"), "user_id", (at - 20).alias("lo"), (at + 600 + F.round("value").cast("long")).alias("hi"))
+    p = t.events.where("event_type <> 'purchase'").select("user_id", F.col("event_id").alias("e"), at.alias("s"))
+    g = points_in(p, "s", w, "lo", "hi", 1200, ["user_id"]).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("e")).alias("x"))
+    return w.select("id").join(g, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.array_join(F.transform("x", lambda v: v.cast("string")), ","), F.lit("")).alias("inside"))
+
+
+@query("""
+WITH l AS (SELECT user_id, event_id, (epoch_us(ts) // 1000000) - CASE WHEN event_id % 20 = 0 THEN 90000 ELSE 0 END AS s, ts FROM events), n AS (SELECT *, lead(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM l)
+SELECT event_id, least(1706000000, coalesce(nxt, 1706000000)) AS stop, bool_or(coalesce(s >= nxt, false)) OVER (PARTITION BY user_id) AS falls FROM n
+""")
+def line_ends(t):
+    """Every line ends where the next begins, the last at the end; and whether any of a user's starts do not rise."""
+    from quaver.operators.sequences import until_next
+    from quaver.plans.base import micros
+
+    at = F.floor(micros("ts") / 1000000) - F.when(F.col("event_id") % 20 == 0, 90000).otherwise(0)
+    l = t.events.select("user_id", "event_id", "ts", at.alias("s"))
+    return until_next(l, ["user_id"], ["ts", "event_id"], "s", F.lit(1706000000)).select("event_id", "stop", "falls")
+
+
+@query("""
+SELECT conv_id, count(*) FILTER (role = 'assistant') AS precise, count(*) FILTER (role = 'user') AS estimated, count(*) FILTER (role NOT IN ('assistant', 'user')) AS fallback, round(count(*) FILTER (role = 'assistant') / nullif(count(*) FILTER (role <> 'system'), 0), 6) AS coverage FROM conversations GROUP BY 1
+""")
+def outcome_counts(t):
+    """Turns by outcome, and the precise share of those that count; null where none does."""
+    r = F.col("role")
+    counts = [F.count_if(r == "assistant").alias("precise"), F.count_if(r == "user").alias("estimated"), F.count_if(~r.isin("assistant", "user")).alias("fallback")]
+    return t.conversations.groupBy("conv_id").agg(*counts, F.round(F.try_divide(F.count_if(r == "assistant"), F.count_if(r != "system")), 6).alias("coverage"))
+
+
+@query("""
+WITH w AS (SELECT conv_id, turn, p, word FROM (SELECT conv_id, turn, unnest(range(0, len(x))) AS p, unnest(x) AS word FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^\s]+') AS x FROM conversations WHERE text IS NOT NULL))),
+s AS (SELECT *, regexp_extract_all(lower(word), '[^aeiou]*[aeiou]+|[^aeiou]+$') AS y FROM w WHERE regexp_matches(word, '^[A-Za-z]+$')),
+u AS (SELECT conv_id, turn, p, word, y, unnest(range(0, len(y))) AS part FROM s)
+SELECT conv_id, turn, p::int AS p, part::int AS part, y[part + 1] || CASE WHEN part = len(y) - 1 THEN ' ' ELSE '' END AS text, round(p * 0.5 + 0.5 * coalesce(length(list_aggregate(y[1:part], 'string_agg', '')), 0) / length(word), 6) AS start,
+  round(p * 0.5 + 0.5 * length(list_aggregate(y[1:part + 1], 'string_agg', '')) / length(word), 6) AS stop, len(y) > 1 AS estimated FROM u
+""")
+def syllable_times(t):
+    """Every plain word of the turns, half a second each, cut after its groups of vowels."""
+    from quaver.operators.anchors import syllables
+
+    w = t.conversations.where("text IS NOT NULL").select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("p", "word")).where(F.col("word").rlike("^[A-Za-z]+$"))
+    w = w.withColumns({"word": F.lower("word"), "start": F.col("p") * F.lit(0.5), "stop": (F.col("p") + 1) * F.lit(0.5), "chars": F.lit(None).cast("array<struct<char:string,start:double,stop:double>>")})
+    out = syllables(w, lambda x: F.regexp_extract_all(x, F.lit("[^aeiou]*[aeiou]+|[^aeiou]+$"), F.lit(0)), ["conv_id", "turn", "p"])
+    return out.withColumns({"start": F.round("start", 6), "stop": F.round("stop", 6)})
+
+
+@query("""
+SELECT o_orderkey, o_orderstatus AS status, CASE WHEN o_orderstatus = 'P' THEN coalesce(n, 0) END AS lines_done FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1) ON l_orderkey = o_orderkey
+""")
+def live_progress(t):
+    """A snapshot of what is done, joined to the rows that are running."""
+    n = t.lineitem.where("l_linestatus = 'F'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
+    return t.orders.join(n, "o_orderkey", "left").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderstatus") == "P", F.coalesce("n", F.lit(0))).alias("lines_done"))
+
+
+@query("""
+WITH b AS (SELECT vec_id, i, sqrt(list_sum(list_transform(embedding[i * 4 + 1:i * 4 + 4], lambda x: x::double * x::double)) / 4) * CASE WHEN vec_id % 3 = 0 THEN 1e-7 ELSE 1 END l FROM (SELECT *, unnest(range(0, len(embedding) // 4)) i FROM embeddings)),
+m AS (SELECT vec_id, max(l) AS p FROM b GROUP BY 1)
+SELECT vec_id, count(*) FILTER (round(l, 9) > round(greatest(1e-6, 0.08 * p), 9)) >= 5 AS active FROM b JOIN m USING (vec_id) GROUP BY 1
+""")
+def vocal_activity(t):
+    """Whether at least five blocks lie above a share of the peak and above silence."""
+    from quaver.functions import signals as G
+
+    quiet = F.when(F.col("vec_id") % 3 == 0, 1e-7).otherwise(1.0)
+    levels = F.transform(G.blocks(F.col("embedding"), 4), lambda b: F.round(G.rms(b) * quiet, 9))
+    return t.embeddings.select("vec_id", (F.size(F.filter(G.active_blocks(levels), lambda x: x)) >= 5).alias("active"))
+
+
+@query("""
+SELECT user_id, to_json({'user': user_id, 'types': list_sort(list(DISTINCT event_type)), 'first': min(event_id)})::varchar AS encoded, list_aggregate(list_sort(list(DISTINCT event_type)), 'string_agg', ',') AS types FROM events GROUP BY 1
+""")
+def json_encoded(t):
+    """Sorted distinct values of a group, as a list and inside a JSON text."""
+    g = t.events.groupBy("user_id").agg(F.sort_array(F.collect_set("event_type")).alias("x"), F.min("event_id").alias("f"))
+    return g.select("user_id", F.to_json(F.struct(F.col("user_id").alias("user"), F.col("x").alias("types"), F.col("f").alias("first"))).alias("encoded"), F.array_join("x", ",").alias("types"))

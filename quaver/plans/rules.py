@@ -200,4 +200,5 @@ def normalise_signal(t):
     """Every sample less the mean, over the sample standard deviation."""
     from quaver.functions.signals import standardise
 
-    return t.embeddings.select("vec_id", F.posexplode(standardise(F.col("embedding"))).alias("i", "z")).select("vec_id", "i", F.round("z", 5).alias("z"))
+    x = t.embeddings.select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+    return x.select("vec_id", "i", F.round(standardise(["vec_id"], "x"), 5).alias("z"))
