@@ -328,7 +328,7 @@ def outcome_counts(t):
     return t.conversations.groupBy("conv_id").agg(*counts, F.round(F.try_divide(F.count_if(r == "assistant"), F.count_if(r != "system")), 6).alias("coverage"))
 
 
-@query("""
+@query(r"""
 WITH w AS (SELECT conv_id, turn, p, word FROM (SELECT conv_id, turn, unnest(range(0, len(x))) AS p, unnest(x) AS word FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^\s]+') AS x FROM conversations WHERE text IS NOT NULL))),
 s AS (SELECT *, regexp_extract_all(lower(word), '[^aeiou]*[aeiou]+|[^aeiou]+$') AS y FROM w WHERE regexp_matches(word, '^[A-Za-z]+$')),
 u AS (SELECT conv_id, turn, p, word, y, unnest(range(0, len(y))) AS part FROM s)

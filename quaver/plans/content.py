@@ -104,7 +104,7 @@ def labels_and_names(t):
     return p.select("p_partkey", R.safe_name(F.concat("p_type", F.lit("/"), "p_name", F.lit("?")), "untitled", 120).alias("file"), X.bytes_label(F.when(F.col("p_retailprice") >= 1000, F.floor(F.col("p_retailprice") / 100) * 1e8).otherwise(F.floor("p_retailprice") * 1e6)).alias("size"), X.clock_label(F.col("p_size")).alias("clock"))
 
 
-@query("""
+@query(r"""
 SELECT conv_id, turn, replace(replace(replace(trim(replace(replace(text, chr(10), ' '), chr(13), ' ')), 'x', 'X'), '  ', ' '), '  ', ' ') AS cleaned, CASE WHEN turn % 2 = 0 THEN replace(trim(string_split(text, ' ')[1]) || trim(coalesce(string_split(text, ' ')[2], '')), ' ', '') ELSE trim(trim(string_split(text, ' ')[1]) || ' ' || trim(coalesce(string_split(text, ' ')[2], ''))) END AS joined
 FROM conversations WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\x00-\x09\x0B-\x1f\x7f]')
 """)
