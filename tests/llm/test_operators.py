@@ -483,6 +483,23 @@ def test_chat_round_trip(spark):
     assert chatformat.read_back(chatformat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_chat_odd(spark):
+    """Very long and repeated turns, ties, columns of the operator's own names, typed parts through Spark."""
+    long = "x<y> " * 400_000
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "user", "b"), (1, 1, "assistant", long), (2, None, None, None)]
+    df = spark.createDataFrame([(*r, 9, "k", "f") for r in rows], "conv_id long, turn long, role string, text string, seq int, offset string, formatted string")
+    for order in (df, df.orderBy(F.desc("text"))):
+        got = {r.conv_id: r for r in chatformat.read_back(chatformat.format_conversations(order.repartition(3))).collect()}
+        assert (got[1].n_turns, got[1].loss_chars, got[2].n_turns, got[2].loss_chars) == (4, len(long), 1, 0)
+        assert got[1].loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    parts = [[("text", "see ", None, None, None, None, None), ("image", None, "a.png", 28, 28, None, None), ("audio", None, "b.wav", None, None, 2.0, None), ("document", None, "c.pdf", None, None, None, 3)], None]
+    df = spark.createDataFrame([(5, i, "assistant", p) for i, p in enumerate(parts)], f"conv_id long, turn long, role string, parts array<{chatformat.PART}>")
+    first, second = chatformat.format_conversations(df).orderBy("seq").collect()
+    assert first.formatted == "<turn assistant>\nsee <image 0><audio 1><document 2></turn>\n"
+    assert [(a.mark, a.ref, a.tokens) for a in first.attachments] == [(0, "a.png", 4), (1, "b.wav", 50), (2, "c.pdf", 900)]
+    assert (second.formatted, second.attachments, second.offset) == ("<turn assistant>\n</turn>\n", [], len(first.formatted))
+
+
 def test_chat_parts():
     v = chatformat.format_turn("assistant", [{"type": "text", "text": "see <image 0>"}, {"type": "image", "ref": "a.png", "width": 28, "height": 15}, {"type": "audio", "ref": "b", "seconds": 1.5}, {"type": "document", "ref": "c", "pages": 2}, {"type": "text", "text": "end"}])
     text = "".join(v.out)
