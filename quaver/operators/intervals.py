@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def covered_buckets(start: Column, stop: Column, width: int) -> Column:
@@ -25,12 +26,26 @@ def points_in(points: DataFrame, at: str, spans: DataFrame, start: str, stop: st
     return joined.drop(p["_bucket"]).drop(s["_bucket"]).drop(*[f"_{k}" for k in keys]) if how == "inner" else joined.drop("_bucket")
 
 
-def not_overlapping(left: DataFrame, right: DataFrame, start: str, stop: str, width: int, key: str) -> DataFrame:
-    """Intervals of ``left`` that overlap none of ``right`` (strict on both ends)."""
-    a = left.withColumn("_bucket", F.explode(covered_buckets(F.col(start), F.col(stop), width)))
-    b = right.select(F.col(start).alias("_s"), F.col(stop).alias("_e")).withColumn("_b", F.explode(covered_buckets(F.col("_s"), F.col("_e"), width)))
-    hit = a.join(b, (F.col("_bucket") == F.col("_b")) & (F.col(start) < F.col("_e")) & (F.col("_s") < F.col(stop)), "left_semi")
-    return left.join(hit.select(key).distinct(), key, "left_anti")
+def not_overlapping(left: DataFrame, right: DataFrame, start: str, stop: str, width: int, group: int = 1024) -> DataFrame:
+    """Intervals of ``left`` that overlap none of ``right`` (strict on both ends).
+
+    An interval is free if nothing that starts before its end ends after its start, so
+    the greatest end of all earlier starts decides: a running maximum over buckets of the
+    axis, over ``group`` buckets at a time, and inside a bucket.  No interval is copied,
+    however long it is, and equal starts are combined before they meet.
+    """
+    names = left.columns
+    r = right.groupBy(F.col(start).alias("_k")).agg(F.max(stop).alias("_e"))
+    u = left.select(F.struct(*names).alias("_row"), F.col(stop).alias("_k"), F.lit(0).alias("_right"), F.lit(None).cast(right.schema[stop].dataType).alias("_e"))
+    u = u.unionByName(r.select(F.lit(None).cast(u.schema["_row"].dataType).alias("_row"), "_k", F.lit(1).alias("_right"), "_e"))
+    u = u.withColumn("_b", F.floor(F.col("_k") / width).cast("long")).withColumn("_g", F.floor(F.col("_b") / group).cast("long"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    tops = u.groupBy("_g", "_b").agg(F.max("_e").alias("_m"))
+    groups = tops.groupBy("_g").agg(F.max("_m").alias("_m")).select("_g", F.max("_m").over(before(Window.orderBy("_g"))).alias("_far"))
+    tops = tops.select("_g", "_b", F.max("_m").over(before(Window.partitionBy("_g").orderBy("_b"))).alias("_near")).join(groups, "_g").select("_b", "_near", "_far")
+    inner = F.max("_e").over(before(Window.partitionBy("_b").orderBy("_k", "_right")))
+    rows = u.withColumn("_own", inner).where("_right = 0").join(tops, "_b").withColumn("_last", F.greatest("_own", "_near", "_far"))
+    return rows.where(F.coalesce(F.col("_last") <= F.col(f"_row.{start}"), F.lit(True))).select("_row.*")
 
 
 def least_in_band(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, other: str, band: int, energy: str, value: str, key: str) -> DataFrame:

@@ -42,6 +42,11 @@ def frame_median_5(t):
     return S.frame_median(t.events, USER, ORDER, "value", 2).select("event_id", F.round("frame_median", 4).alias("frame_median"))
 
 
+@query("SELECT event_id, round(median(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 4) AS frame_median FROM events")
+def frame_median_3(t):
+    return S.frame_median(t.events, USER, ORDER, "value", 1).select("event_id", F.round("frame_median", 4).alias("frame_median"))
+
+
 @query("""
 WITH e AS (SELECT event_id, user_id, epoch_us(ts) s, epoch_us(ts) + (value * 1000000)::bigint f FROM events),
 n AS (SELECT *, lag(f) OVER w pf, lead(s) OVER w ns FROM e WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id))
@@ -88,7 +93,7 @@ def overlap_anti(t):
     at = F.floor(micros("ts") / 1000000)
     a = t.events.where("event_type = 'click'").select("event_id", at.alias("s"), (at + 60).alias("f"))
     b = t.events.where("event_type = 'purchase'").select(at.alias("s"), (at + F.round("value").cast("long")).alias("f"))
-    return I.not_overlapping(a, b, "s", "f", 600, "event_id")
+    return I.not_overlapping(a, b, "s", "f", 600)
 
 
 @query("""

@@ -1,21 +1,24 @@
 """Exact values of the operators on literal inputs."""
 
+import difflib
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from quaver.functions import rules as R
 from quaver.functions import signals as G
 from quaver.functions import text as X
-from quaver.functions import rules as R
 from quaver.operators import anchors as A
 from quaver.operators import compare as C
 from quaver.operators import evaluation as E
 from quaver.operators import history as H
+from quaver.operators import intervals as I
 from quaver.operators import melody as M
 from quaver.operators import sequences as S
 from quaver.operators.folds import Breaks, Hysteresis, Pack, Windows, ordered_fold
+from quaver.operators.matcher import matching_blocks
 from quaver.plans.registry import QUERIES
 from quaver.sources import charts, delimited, lyrics, storage
 from quaver.streaming import events as V
@@ -159,6 +162,16 @@ def brute_blocks(a, b):
     return [*brute_blocks(a[:i], b[:j]), k, *brute_blocks(a[i + k :], b[j + k :])]
 
 
+def test_blocks_equal_the_standard_librarys():
+    rng = random.Random(1)
+    for _ in range(600):
+        letters = "abcdefgh"[: rng.randrange(1, 9)]
+        a, b = ("".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(2))
+        for x, y in ((a, b), (list(a), a[:10] + b + a[10:])):
+            want = [tuple(m) for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks() if m.size]
+            assert matching_blocks(x, y) == want
+
+
 def test_sequence_match(spark, tmp_path):
     rng = random.Random(5)
     items = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(30))) for i in range(5)]
@@ -177,6 +190,16 @@ def test_sequence_match(spark, tmp_path):
     assert len(want) >= 4
 
 
+def test_intervals_that_overlap_nothing(spark):
+    rng = random.Random(9)
+    spans = lambda n, long: [(i, a, a + rng.choice([0, 1, 3, 40, long])) for i in range(n) for a in [rng.randrange(5000)]]
+    left, right = spans(300, 900), spans(25, 4000)[:24]
+    frame = lambda rows: spark.createDataFrame(rows, "id int, s long, f long")
+    for many in (right, right[:3], []):
+        got = sorted(r.id for r in I.not_overlapping(frame(left), frame(many), "s", "f", 7).collect())
+        assert got == [i for i, a, b in left if not any(a < y and x < b for _, x, y in many)]
+
+
 def test_rules_on_edges(spark):
     nan, inf = float("nan"), float("inf")
     times = [(1.0, 2.0), (nan, 2.0), (2.0, 1.0), (-1.0, 2.0), (1.0, 30.5), (1.0, inf), (1.0, 10.02), (None, 2.0)]
