@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quaver.llm.bytebpe import q_byte_bpe
 from quaver.llm.chatformat import q_chat_format
 from quaver.llm.decontam import q_decontamination
+from quaver.llm.infill import q_fill_in_middle
 from quaver.llm.kneserney import q_lm_score
 from quaver.llm.mixing import q_mixing
 from quaver.llm.ngramjoin import q_ngram_join
@@ -16,6 +18,7 @@ from quaver.llm.sharding import q_sharding
 from quaver.llm.tokenfiles import q_token_files
 from quaver.llm.toxicity import q_toxicity
 from quaver.llm.urlgraph import q_url_filter
+from quaver.llm.whitening import q_whitening
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +38,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": q_chat_format,
     "op9_url_filter": q_url_filter,
     "op10_lm_score": q_lm_score,
+    "op11_whitening": q_whitening,
+    "op12_byte_bpe": q_byte_bpe,
+    "op13_fill_in_middle": q_fill_in_middle,
     "pipeline": _pipeline,
 }
 ORACLES: dict[str, str] = {}
