@@ -7,7 +7,7 @@ from blocked seeds, and a host whose share of distrust reaches ``ratio`` is
 blocked.  A host's seed mass is the share of its pages that a rule allows or
 blocks; hosts under the domains given as ``good`` or ``bad`` are seeds of mass 1.
 Both walks start from these masses as they are, on one scale, so the rest of the
-corpus does not sway a host that no link reaches.
+corpus does not sway a host that no link reaches, and both run until they settle.
 
 Edges are the links in the pages, one for each page that links to a host, and one
 from every host to each domain above it that is a host as well: a subdomain speaks
@@ -27,13 +27,15 @@ not read, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaver.llm.shared import materialise
+from quaver.llm.shared import discard, materialise
 
 
 @dataclass(frozen=True)
@@ -55,7 +57,9 @@ RULES = (
     Rule("allow", "com", "/fr/"),
     Rule("block", "com", "/de/"),
 )
-ROUNDS, DAMPING, RATIO, DIGITS = 8, 0.85, 0.5, 9  # significant digits
+TOLERANCE, DAMPING, RATIO, DIGITS = 1e-6, 0.85, 0.5, 9  # significant digits
+#: Rounds of a walk whose gains are kept apart before they are added up.
+FOLD = 12
 HREF = r"(?i)href\s*=\s*[\"']?([a-z][a-z0-9+.-]*://[^\"'\s>]+)"
 
 
@@ -89,23 +93,42 @@ def significant(c: Column) -> Column:
     return F.format_string(f"%.{DIGITS - 1}e", c.cast("double")).cast("double")
 
 
-def rank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """Personalised PageRank: (host, score) after ``rounds`` steps from ``seeds`` (host, mass).
+def rank(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
+    """Personalised PageRank, settled: (host, score) from ``seeds`` (host, mass), one row for each of its hosts.
 
-    ``edges`` (src, dst, weight).  Scores are in units of ``mass``.  Mass that reaches a host without outgoing edges
-    leaves the walk.  Scores are rounded to DIGITS significant digits each round, so
-    the result does not hang on the order of additions, nor on the size of the graph.
+    ``edges`` (src, dst, weight).  Each round sends on what the hosts got in the round before and adds it to their
+    scores, so a score is a sum over walks, and a round only costs the hosts that the walk has reached.  What is on
+    its way shrinks by ``damping`` at least each round; the walk ends when all of it together is at most ``tolerance``
+    of the seeds' mass, or of one full seed where they hold more.  No score is then short by more than that, whatever
+    the size of the graph.  Scores are in units of ``mass``.  Mass that reaches a host without outgoing edges leaves
+    the walk.  What moves is rounded to DIGITS significant digits, so the result does not hang on the order of additions.
     """
     seeds = materialise(seeds.select("host", significant(F.col("mass")).alias("p")), "seeds")
+    total = float(seeds.agg(F.sum("p")).first()[0] or 0.0)
     out_weight = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     norm = materialise(edges.join(out_weight, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")), "edges")
-    score = seeds.select("host", F.col("p").alias("score"))
-    for i in range(rounds):
-        flow = norm.join(score, norm.src == score.host).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("gain"))
-        score = seeds.join(flow, seeds.host == flow.dst, "left").select("host", significant((1 - damping) * F.col("p") + damping * F.coalesce("gain", F.lit(0.0))).alias("score"))
-        if i % 4 == 3 or i == rounds - 1:
-            score = materialise(score, "rank")
-    return score
+    moving = seeds.where("p > 0").select("host", ((1 - damping) * F.col("p")).alias("got"))
+    parts, spent = [moving], []
+    # so many rounds leave damping ** rounds of the mass; without cycles it is over earlier
+    most = math.ceil(math.log(max(total, 1.0) / tolerance) / -math.log(damping)) + 1
+    for _ in range(most if total else 0):
+        flow = norm.join(moving, norm.src == moving.host).groupBy("dst").agg(F.sum(F.col("got") * F.col("share")).alias("sum"))
+        moving = materialise(flow.select(F.col("dst").alias("host"), significant(damping * F.col("sum")).alias("got")), "moving")
+        parts.append(moving)
+        if float(moving.agg(F.sum("got")).first()[0] or 0.0) <= tolerance * min(total, 1.0):
+            break
+        if len(parts) > FOLD:
+            spent += parts[:-1]
+            parts = [materialise(_total(parts[:-1]), "scores"), moving]
+    out = seeds.join(_total(parts).withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left")
+    out = materialise(out.select("host", significant(F.coalesce("got", F.lit(0.0))).alias("score")), "rank")
+    discard(seeds, norm, *(x for x in {id(x): x for x in [*spent, *parts]}.values() if hasattr(x, "_quaver_folder")))
+    return out
+
+
+def _total(parts: Sequence[DataFrame]) -> DataFrame:
+    """(host, got) summed over ``parts``."""
+    return reduce(DataFrame.unionAll, parts).groupBy("host").agg(F.sum("got").alias("got"))
 
 
 def host_edges(df: DataFrame) -> DataFrame:
