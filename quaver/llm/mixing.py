@@ -39,9 +39,11 @@ from pyspark.sql import functions as F
 
 from quaver.llm import textvec as T
 from quaver.llm import topics
-from quaver.llm.shared import fresh, map_arrow, materialise
+from quaver.llm.shared import discard, fresh, map_arrow, materialise
 
-CELLS, ROUNDS, CLOSE, LANGS = 200_000, 100, 1e-9, 64
+CELLS, ROUNDS, CLOSE = 200_000, 100, 1e-9
+#: Languages up to which every task gets all their means; beyond, they are joined.
+LANGS = 4096
 DIMS = ("source", "lang", "topic")
 NULL = "\0null"
 
@@ -55,8 +57,8 @@ class Tempered:
 
 
 Targets = Mapping[str, Mapping[str, float] | Tempered]
-#: The production marginals (shares of tokens).
-TARGETS: Targets = {d: Tempered() for d in DIMS}
+#: The production marginals (shares of tokens): values not named share the rest by what they have.
+TARGETS: Targets = {"source": {"src0": 0.25}, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "topic": Tempered(0.8)}
 
 
 def goals(have: Mapping[str, float], targets: Mapping[str, float] | Tempered) -> dict[str, float]:
@@ -180,14 +182,26 @@ def _measured(at: int) -> Callable:
     return run
 
 
-def _rows(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, list[str], tuple]:
-    """(rows with id, source, lang, draw, n_tokens, topic; languages; topic model) of ``docs``."""
+@dataclass(frozen=True)
+class Topics:
+    """What names a text's topic: ``means`` (lang, mean), whether they are few, and the centres."""
+
+    means: DataFrame
+    few: bool
+    centres: np.ndarray
+
+
+def _rows(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Topics]:
+    """(rows with id, source, lang, draw, n_tokens, topic; topic model) of ``docs``."""
     some = docs.select(F.col(key).alias("id"), _named("source").alias("source"), _named("lang").alias("lang"), draw(key, text).alias("draw"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
-    rows = materialise(map_arrow(some, _measured(4), f"id {kind}, source string, lang string, draw double, n_tokens long, vector binary"), "mixrows")
-    langs = [r[0] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "lang").limit(LANGS).collect()]
-    model = topics.fit(rows, langs)
-    return topics.name_topics(rows, langs, model), langs, model
+    raw = materialise(map_arrow(some, _measured(4), f"id {kind}, source string, lang string, draw double, n_tokens long, vector binary"), "mixraw")
+    mean = materialise(topics.means(raw), "means")
+    few = mean.limit(LANGS + 1).count() <= LANGS
+    rows = materialise(topics.centred(raw, mean, few), "mixrows")
+    discard(raw)
+    centres = topics.fit(rows)
+    return topics.name_topics(rows, centres), Topics(mean, few, centres)
 
 
 def _cells(rows: DataFrame, targets: Targets) -> DataFrame:
@@ -201,47 +215,45 @@ def _bounded(cells: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, targets: Targets = TARGETS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, source, lang, topic, keep_p, kept) of every document."""
-    rows, _, _ = _rows(docs, key, text)
+    rows, _ = _rows(docs, key, text)
     cells = _cells(rows, targets).select(*DIMS, "keep_p")
     out = rows.join(_bounded(cells), list(DIMS), "left")
     back = lambda c: F.nullif(F.col(c), F.lit(NULL)).alias(c)
     return out.select(F.col("id").alias(key), "n_tokens", back("source"), back("lang"), "topic", "keep_p", (F.col("draw") < F.col("keep_p")).alias("kept"))
 
 
-def _keep(langs: list[str], model, odds: dict | None, at: dict[str, int]) -> Callable:
-    """Batches without the rows that the draw (the last column) drops; ``odds``: probability by cell."""
+def _keep(model, odds, at: int) -> Callable:
+    """Batches without the rows that the draw drops; their last columns are source, lang (as named in the cells) and the draw.
+
+    ``model``: mean by language and centres; ``odds``: probability by cell; ``at``: the text's column.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {x: i for i, x in enumerate(langs)}
         (means, centres), chance = model.value, odds.value
         for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            text = b.column(at["text"])
-            source, lang = (["\0null" if x is None else str(x) for x in b.column(at[c]).to_pylist()] for c in ("source", "lang"))
-            drawn = b.column(b.num_columns - 1).to_numpy()
-            for i, j, data, off in T.pieces(text):
-                code = np.array([place.get(x, len(langs)) for x in lang[i:j]], np.int64)
-                named = topics.assign(topics.vector(data, off), code, means, centres)
-                keep[i:j] = drawn[i:j] < np.array([chance[cell] for cell in zip(source[i:j], lang[i:j], named, strict=True)])
-            yield b.select(list(range(b.num_columns - 1))).filter(pa.array(keep))
+            keep, n = np.zeros(b.num_rows, bool), b.num_columns - 3
+            source, lang, drawn = (b.column(n + i).to_pylist() for i in range(3))
+            for i, j, data, off in T.pieces(b.column(at)):
+                named = topics.assign(topics.vector(data, off), np.array([means[x] for x in lang[i:j]]), centres)
+                keep[i:j] = [d < chance[cell] for d, cell in zip(drawn[i:j], zip(source[i:j], lang[i:j], named, strict=True), strict=True)]
+            yield b.select(list(range(n))).filter(pa.array(keep))
 
     return run
 
 
 def mix_documents(docs: DataFrame, targets: Targets = TARGETS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the fitted probabilities keep, with all their columns."""
-    rows, langs, model = _rows(docs, key, text)
+    rows, model = _rows(docs, key, text)
     cells = _cells(rows, targets)
     sc = docs.sparkSession.sparkContext
-    if cells.limit(CELLS + 1).count() <= CELLS:  # bounded: every task gets all probabilities
-        chance = {(r.source, r.lang, r.topic): r.keep_p for r in cells.collect()}
-        at = {"text": docs.columns.index(text), "source": docs.columns.index("source"), "lang": docs.columns.index("lang")}
-        drawn = docs.withColumn(fresh(docs, "draw"), draw(key, text))
-        return map_arrow(drawn, _keep(langs, sc.broadcast(model), sc.broadcast(chance), at), docs.schema)
-    # more cells than a task should hold: the draws of what stays, through a join (a draw tells id and text apart)
-    kept = rows.join(cells.select(*DIMS, "keep_p"), list(DIMS)).where("draw < keep_p").select("source", "lang", "draw").distinct()
     names = [fresh(docs, f"{c}_of_row") for c in ("source", "lang", "draw")]
     both = docs.withColumns(dict(zip(names, (_named("source"), _named("lang"), draw(key, text)), strict=True)))
+    if model.few and cells.limit(CELLS + 1).count() <= CELLS:  # bounded: every task gets all means and probabilities
+        chance = {(r.source, r.lang, r.topic): r.keep_p for r in cells.collect()}
+        means = {r.lang: np.array(r.mean) for r in model.means.collect()}
+        return map_arrow(both, _keep(sc.broadcast((means, model.centres)), sc.broadcast(chance), docs.columns.index(text)), docs.schema)
+    # more than a task should hold: the draws of what stays, through a join (a draw tells id and text apart)
+    kept = rows.join(cells.select(*DIMS, "keep_p"), list(DIMS)).where("draw < keep_p").select("source", "lang", "draw").distinct()
     return both.join(kept.toDF(*names), names, "left_semi").select(*docs.columns)
 
 
