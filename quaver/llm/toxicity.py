@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning (nnPU).
 
 Positives are texts confirmed toxic; the other sample is unlabelled text, drawn
-from the whole corpus by a hash of the id.  With the class prior pi (the toxic
+from the whole corpus by a hash of id and text.  With the class prior pi (the toxic
 share among the labelled training rows) the risk
 
     pi * R+(positives) + max(0, R-(unlabelled) - pi * R-(positives))
@@ -11,14 +11,14 @@ negative, its gradient is followed backwards, as the method asks.  Features are
 the presence of hashed words and of hashed word beginnings, cut to those most
 tied to the positives, so that a text's length adds little noise.
 
-At most POSITIVES and UNLABELLED texts are used for fitting (their hashed
-features only, by blobs); scoring covers every whole text.  Labels are read from
+At most POSITIVES and UNLABELLED rows are used for fitting (their hashed
+features only, by blobs), however many rows an id has; scoring covers every whole text.  Labels are read from
 training rows only; label, language, source and id are no features.
 
 Edge cases: null and empty texts score by the bias alone; a very long text is scored
 whole, by the presence of its features; without positives the score is 0 but for
 rounding; conflicting labels of an id count as toxic if any row says so; a null id is
-no training row; ids that tie in the samples' hash go by id; a score that ties with
+no training row; rows equal in id and text are one in the samples; a score that ties with
 the cut is toxic; repeated rows score alike; ``drop_toxic`` keeps all columns whatever
 their names; an empty table gives an empty result.
 """
@@ -144,17 +144,18 @@ def _score(model):
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, np.ndarray, float]:
-    """The model, from at most ``positives`` confirmed texts and ``unlabelled`` training texts, those with the least hash of their id."""
+    """The model, from at most ``positives`` confirmed rows and ``unlabelled`` training rows: those with the least hash of id and text, equal rows once."""
     training = F.coalesce(crc32_text(key) % 5 != 0, F.lit(False))
     known = labels.where(training & F.col("toxic").isNotNull()).groupBy(key).agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     if not share:
         return np.zeros(0, np.int64), np.zeros(0), -1e3
-    texts = docs.where(training).select(F.col(key).alias("id"), F.col(text).alias("text"))
-    pick = known.where("toxic = 1").select(F.col(key).alias("id")).orderBy(F.xxhash64("id"), "id").limit(positives)
-    some = texts.select("id").orderBy(F.xxhash64(F.lit("u"), "id"), "id").limit(unlabelled)
-    of = lambda ids, side: texts.join(F.broadcast(ids), "id", "left_semi").select(F.lit(side).alias("positive"), "text")
-    rows = map_arrow(of(pick, True).union(of(some, False)), _collect, "positive boolean, blob binary").collect()
+    texts = docs.where(training).select(F.col(key).alias("id"), F.xxhash64(F.lit("u"), F.col(key), F.col(text)).alias("h"), F.col(text).alias("text"))
+    toxic = known.where("toxic = 1").select(F.col(key).alias("id"))
+    least = lambda rows, n: F.broadcast(rows.select("h").distinct().orderBy("h").limit(n))
+    of = lambda hashes, side: texts.join(hashes, "h", "left_semi").dropDuplicates(["h"]).select(F.lit(side).alias("positive"), "text")
+    picked = least(texts.select("id", "h").join(toxic, "id", "left_semi"), positives), least(texts, unlabelled)
+    rows = map_arrow(of(picked[0], True).union(of(picked[1], False)), _collect, "positive boolean, blob binary").collect()
     rows.sort(key=lambda r: (r.positive, r.blob))
     pick_ = lambda side: [np.frombuffer(r.blob, np.int32) for r in rows if r.positive == side]
     return fit(pick_(True), pick_(False), float(np.clip(share, 1e-3, 0.95)))

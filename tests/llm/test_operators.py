@@ -270,6 +270,32 @@ def test_toxicity(docs, labels, odd, empty):
     assert kept.count() == len(ODD)
 
 
+def test_toxicity_bounds_hold_for_one_id(spark, monkeypatch):
+    """One id may have any number of rows: the sample is bounded by rows, and equal rows are one."""
+    toxic = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 5)
+    docs = spark.range(60_000).select(F.lit(toxic).cast("long").alias("doc_id"), F.concat(F.lit("word bad "), F.when(F.col("id") < 30_000, F.col("id")).otherwise(0)).alias("text"))
+    labels = spark.createDataFrame([(toxic, 1, 0)], "doc_id long, toxic int, quality int")
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda pos, unl, prior: seen.update(p=len(pos), u=len(unl)) or (np.zeros(0, np.int64), np.zeros(0), 0.0))
+    toxicity.train(docs, labels, positives=300, unlabelled=700)
+    assert seen == {"p": 300, "u": 700}
+    toxicity.train(docs.where("text = 'word bad 0'"), labels, positives=300, unlabelled=700)
+    assert seen == {"p": 1, "u": 1}
+
+
+def test_quality_scores_are_bounded_for_one_id(spark, monkeypatch):
+    monkeypatch.setattr(quality, "LABELLED", 40)
+    left_out = [r.id for r in spark.range(40).where("pmod(xxhash64('floor', id), 5) = 0").collect()]
+    trusted = next(i for i in range(40) if i not in left_out)
+    words = lambda i: [f"t{j}" if j < i // 2 else f"w{i}x{j}" for j in range(200)]
+    docs = spark.createDataFrame([(trusted, " ".join(words(400))), *((left_out[i % 2], " ".join(words(i))) for i in range(400))], "doc_id long, text string")
+    labels = spark.createDataFrame([(trusted, 0, 1), (left_out[0], 0, 1), (left_out[1], 0, 0)], "doc_id long, toxic int, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "best_floor", lambda good, bad: seen.append((len(good), len(bad))) or 0.0)
+    quality.judge(docs, labels)
+    assert seen == [(40, 40)]
+
+
 def test_risk_is_corrected_for_the_prior():
     """Positives hidden in the unlabelled sample are found, although the sample counts them as negative."""
     rng = np.random.default_rng(8)
@@ -410,8 +436,14 @@ def test_raking_meets_all_marginals(docs, odd, empty):
         have = collections.Counter()
         for c, n in cells.items():
             have[c[i]] += n
-        big = {v: n for v, n in have.items() if n >= 0.01 * whole}
-        wanted = {v: sum(big.values()) / whole * n**0.95 / sum(x**0.95 for x in big.values()) if v in big else n / whole for v, n in have.items()}
+        asked = mixing.TARGETS[d]
+        if isinstance(asked, dict):
+            rest = sum(n for v, n in have.items() if v not in asked)
+            wanted = {v: asked.get(v, (1 - sum(asked.values())) * n / rest if rest else 0) for v, n in have.items()}
+        else:
+            big = {v: n for v, n in have.items() if n >= asked.least * whole}
+            wanted = {v: sum(big.values()) / whole * n**asked.alpha / sum(x**asked.alpha for x in big.values()) if v in big else n / whole for v, n in have.items()}
+        assert d != "source" or max(abs(wanted[v] - n / whole) for v, n in have.items()) > 0.03  # the targets ask for something
         targets.append(wanted)
         for v, share in wanted.items():
             assert abs(sum(r.n_tokens * r.keep_p for r in rows if getattr(r, d) == v) / total - share) < 1e-6, (d, v)
@@ -430,11 +462,33 @@ def test_mixing_keeps_columns_of_any_name(spark, odd, monkeypatch):
     clashing = odd.withColumns({c: F.lit(c) for c in ("keep_p", "_s", "topic", "draw", "n_tokens", "vector", "id", "draw_of_row")})
     for cells in (mixing.CELLS, 1):  # beyond the bound, cells meet the rows by a join
         monkeypatch.setattr(mixing, "CELLS", cells)
-        kept = mixing.mix_documents(clashing)
+        kept = mixing.mix_documents(clashing, {d: mixing.Tempered(0.95) for d in mixing.DIMS})
         assert kept.columns == clashing.columns
         assert 5 < kept.count() <= len(ODD)
 
 
+def test_mixing_many_languages(spark, odd, monkeypatch):
+    """Seventy languages, each with a mean of its own: sent to all tasks or joined, with the same result; groups of any type."""
+    rng = np.random.default_rng(8)
+    pool = [f"commonword{i}" for i in range(30)]
+    rows = [(i, " ".join([*rng.choice(pool, 30), *[f"lang{i % 70}word{j}" for j in range(30)]]), f"l{i % 70}", bool(i % 3)) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source boolean")
+    by_lang = collections.defaultdict(list)
+    for _, text, lang, _ in rows:
+        data = text.encode()
+        by_lang[lang].append(mixing.topics.vector(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0].astype(int))
+    got, kept = [], []
+    for few in (mixing.LANGS, 64):
+        monkeypatch.setattr(mixing, "LANGS", few)
+        out, model = mixing._rows(docs, "doc_id", "text")
+        assert model.few == (few > 70)
+        assert {r.lang: list(r.mean) for r in model.means.collect()} == {g: np.rint(np.mean(v, axis=0)).astype(int).tolist() for g, v in by_lang.items()}
+        got.append(sorted((r.id, r.topic) for r in out.collect()))
+        kept.append(sorted(r.doc_id for r in mixing.mix_documents(docs, {"source": {"true": 0.5}}).collect()))
+    assert got[0] == got[1] and len({t for _, t in got[0]}) > 3
+    assert kept[0] == kept[1] and 0 < len(kept[0]) < 700
+
+
 def test_raking_scarce_values_lower_the_rate():
     cells = [((a, b), n) for a, b, n in (("x", "p", 900), ("x", "q", 50), ("y", "p", 30), ("y", "q", 20))]
     got = mixing.rake(cells, {"a": {"y": 0.5}, "b": {"q": 0.4}}, ("a", "b"))
@@ -541,23 +595,41 @@ def test_parents_answer_for_subdomains(spark):
     assert got[2].rule is None and got[2].distrust > 0 and got[5].trust > 0 and got[6].trust == got[6].distrust == 0
 
 
-def test_page_rank_against_numpy(spark):
-    rng = np.random.default_rng(2)
-    n = 30
-    edges = {(int(a), int(b)): float(rng.integers(1, 9)) for a, b in rng.integers(0, n, (140, 2)) if a != b}
-    mass = rng.random(n) * (rng.random(n) < 0.3)
-    e = spark.createDataFrame([(f"h{a}", f"h{b}", w) for (a, b), w in edges.items()], "src string, dst string, weight double")
-    m = spark.createDataFrame([(f"h{i}", float(x)) for i, x in enumerate(mass)], "host string, mass double")
+def solved(n, edges, mass):
+    """The walk's limit, from the linear system."""
     share = np.zeros((n, n))
     for (a, b), w in edges.items():
         share[a, b] = w
     out = share.sum(axis=1, keepdims=True)
     share = np.divide(share, out, out=np.zeros_like(share), where=out > 0)
-    want = mass.copy()
-    for _ in range(urlgraph.ROUNDS):
-        want = (1 - urlgraph.DAMPING) * mass + urlgraph.DAMPING * (want @ share)
+    return np.linalg.solve(np.eye(n) - urlgraph.DAMPING * share.T, (1 - urlgraph.DAMPING) * mass)
+
+
+def ranked(spark, edges, mass):
+    e = spark.createDataFrame([(f"h{a}", f"h{b}", w) for (a, b), w in edges.items()], "src string, dst string, weight double")
+    m = spark.createDataFrame([(f"h{i}", float(x)) for i, x in enumerate(mass)], "host string, mass double")
     got = {r.host: r.score for r in urlgraph.rank(e, m).collect()}
-    assert all(math.isclose(got[f"h{i}"], want[i], rel_tol=1e-7, abs_tol=1e-12) for i in range(n))
+    return np.array([got[f"h{i}"] for i in range(len(mass))])
+
+
+def test_page_rank_is_settled(spark):
+    """Against the solved system: random graphs with cycles, more mass than one seed's, and next to none."""
+    rng = np.random.default_rng(2)
+    n = 30
+    edges = {(int(a), int(b)): float(rng.integers(1, 9)) for a, b in rng.integers(0, n, (140, 2)) if a != b}
+    mass = rng.random(n) * (rng.random(n) < 0.3)
+    for scale in (1.0, 1e-7):
+        assert np.abs(ranked(spark, edges, mass * scale) - solved(n, edges, mass * scale)).max() < 1e-6 * min(1.0, mass.sum() * scale)
+    assert ranked(spark, edges, mass * 0).max() == 0
+
+
+def test_page_rank_along_a_chain(spark):
+    """Fifty hosts in a row: every one is reached, and scores fall with the distance."""
+    edges = {(i, i + 1): 1.0 for i in range(49)}
+    mass = np.eye(50)[0]
+    got = ranked(spark, edges, mass)
+    assert np.allclose(got, solved(50, edges, mass), rtol=1e-7, atol=0)
+    assert (np.diff(got) < 0).all() and got[49] > 0
 
 
 def test_url_filter_odd(spark):
