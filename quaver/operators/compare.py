@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaver.operators.evaluation import gate
+from quaver.sources.storage import scratch
 
 
 def first_match(left: DataFrame, right: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "match") -> DataFrame:
@@ -25,16 +27,49 @@ def require_matches(joined: DataFrame, name: str = "match") -> DataFrame:
     return joined.withColumn(name, F.when(F.col(name).isNotNull(), F.col(name)).otherwise(F.raise_error(F.lit("no matching row")).cast(joined.schema[name].dataType)))
 
 
-def pairs_within(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Every unordered pair of rows of a key, once: structs ``a`` and ``b`` with a.order < b.order."""
-    rows = df.select(*keys, F.struct(*[c for c in df.columns if c not in keys]).alias("a"))
-    return rows.join(rows.withColumnRenamed("a", "b"), list(keys)).where(F.col(f"a.{order}") < F.col(f"b.{order}"))
+#: Rows of a key that one tile takes from either side.
+TILE = 2_000
 
 
-def cross_within(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every row of ``left`` with every row of ``right`` of the same keys, as structs ``a`` and ``b``."""
-    side = lambda df, n: df.select(*keys, F.struct(*[c for c in df.columns if c not in keys]).alias(n))
-    return side(left, "a").join(side(right, "b"), list(keys))
+def _tiled(df: DataFrame, keys: Sequence[str], name: str, tile: int, counts: DataFrame) -> DataFrame:
+    """(keys, ``name``: struct of the other columns, _own: the row's block, _l, _r: blocks of the key on either side).
+
+    ``counts`` (keys, l, r): rows of the two sides.  Only keys with more rows than a tile takes are listed, so the list is
+    short and small enough to send to all tasks: at most one key for every ``tile`` rows.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / tile)).cast("int")
+    large = counts.where((F.col("l") > tile) | (F.col("r") > tile)).select(*keys, blocks("l").alias("_l"), blocks("r").alias("_r"))
+    j = df.select(*keys, F.struct(*rest).alias(name)).join(large, list(keys), "left").withColumns({"_l": F.coalesce("_l", F.lit(1)), "_r": F.coalesce("_r", F.lit(1))})
+    own = F.pmod(F.xxhash64(F.to_json(name)), F.col("_l" if name == "a" else "_r")).cast("int")
+    return j.withColumn("_own", own)
+
+
+def pairs_within(df: DataFrame, keys: Sequence[str], order: str, tile: int = TILE) -> DataFrame:
+    """Every unordered pair of rows of a key, once: structs ``a`` and ``b`` with a.order < b.order.
+
+    Rows of a key meet in tiles of two of its blocks, dealt by the key's counted size, so a key of any size is spread over
+    tasks, each with ``tile`` rows of either block, about.  Null keys, and null or equal orders, make no pairs.
+    """
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("l")).withColumn("r", F.col("l"))
+    rows = _tiled(df, keys, "a", tile, n)
+    left = rows.select(*keys, "a", F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_l") - 1)).alias("_j"))
+    right = rows.select(*keys, F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), "_own")).alias("_i"), F.col("_own").alias("_j"))
+    j = left.join(right, [*keys, "_i", "_j"])
+    x, y = F.col(f"a.{order}"), F.col(f"b.{order}")
+    j = j.where(F.when(F.col("_i") == F.col("_j"), x < y).otherwise(x != y))
+    return j.select(*keys, F.when(x < y, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(x < y, F.col("b")).otherwise(F.col("a")).alias("b"))
+
+
+def cross_within(left: DataFrame, right: DataFrame, keys: Sequence[str], tile: int = TILE) -> DataFrame:
+    """Every row of ``left`` with every row of ``right`` of the same keys, as structs ``a`` and ``b``, in tiles of blocks as ``pairs_within``."""
+    of = lambda df, l, r: df.groupBy(*keys).agg((F.count(F.lit(1)) * l).alias("l"), (F.count(F.lit(1)) * r).alias("r"))
+    n = of(left, 1, 0).union(of(right, 0, 1)).groupBy(*keys).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    a, b = _tiled(left, keys, "a", tile, n), _tiled(right, keys, "b", tile, n)
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    x = a.select(*keys, "a", F.col("_own").alias("_i"), every("_r").alias("_j"))
+    y = b.select(*keys, "b", every("_l").alias("_i"), F.col("_own").alias("_j"))
+    return x.join(y, [*keys, "_i", "_j"]).select(*keys, "a", "b")
 
 
 def side_by_side(pairs: DataFrame, a: str, b: str, label: str) -> DataFrame:
@@ -134,18 +169,44 @@ def lookup(wanted: DataFrame, records: DataFrame, close: float = 2.0) -> DataFra
     return out.select("id", F.when(single, F.col("b.one.text")).alias("text"), F.when(single, F.col("b.one.record_id")).alias("record_id"), F.coalesce("b.synced", F.lit(False)).alias("synced"), F.coalesce("b.n", F.lit(0)).alias("n_texts"), (~F.coalesce(single & F.col("b.synced"), F.lit(False))).alias("needs_input"))
 
 
-def downstream(edges: DataFrame, invalid: DataFrame, most: int = 64) -> DataFrame:
-    """(stage) of the invalid stages and all that depend on them: ``edges`` (stage, needs); ``most`` bounds the depth of the graph."""
-    reached = invalid.select("stage").distinct()
-    front = reached
-    for _ in range(most):
-        front = edges.join(front.select(F.col("stage").alias("needs")), "needs", "left_semi").select("stage").distinct().join(reached, "stage", "left_anti")
-        rows = [(r.stage,) for r in front.collect()]  # a stage graph: a row for each stage
-        if not rows:
-            return reached
-        front = edges.sparkSession.createDataFrame(rows, front.schema)
-        reached = reached.union(front)
-    raise RuntimeError("the graph is deeper than expected")
+def downstream(edges: DataFrame, invalid: DataFrame) -> DataFrame:
+    """(stage) of the invalid stages and all that depend on them: ``edges`` (stage, needs), of any depth; cycles end.
+
+    Each round marks what needs an invalid stage.  Beside that, needs double: a need that has just one need itself is
+    replaced by that one (both are invalid or neither is), and a need without needs that is not invalid can never be and
+    goes.  So a chain of n stages takes log n rounds.  A need found over more steps than there are stages lies on a cycle
+    with no way in, and goes too.  Rounds are tables in the shared folder; nothing but counts reaches the driver.
+    """
+    spark = edges.sparkSession
+
+    def table(df: DataFrame) -> DataFrame:
+        folder = scratch(spark, "closure")
+        df.write.parquet(folder)
+        return spark.read.schema(df.schema).parquet(folder)
+
+    new = table(invalid.select("stage").where("stage IS NOT NULL").distinct())
+    open_ = table(edges.select("stage", "needs", F.lit(1).cast("long").alias("steps")).where("stage IS NOT NULL AND needs IS NOT NULL AND stage <> needs").distinct())
+    found, size = [new], open_.count()
+    most = size
+    while True:
+        open_ = open_.join(new, "stage", "left_anti")
+        hit = table(open_.join(new.select(F.col("stage").alias("needs")), "needs", "left_semi").select("stage").distinct())
+        after = open_.join(hit, "stage", "left_anti")
+        # needs by what they need themselves: nothing (never invalid), one thing (its need counts instead), or more
+        own = after.groupBy(F.col("stage").alias("needs")).agg(F.count(F.lit(1)).alias("n"), F.min("needs").alias("only"), F.min("steps").alias("more"))
+        j = after.join(own, "needs", "left").join(hit.select(F.col("stage").alias("needs"), F.lit(True).alias("hit")), "needs", "left")
+        stays, jumps = F.col("hit") | (F.col("n") > 1), F.col("n") == 1
+        to = F.when(stays, F.col("needs")).when(jumps, F.col("only"))
+        steps = F.when(stays, F.col("steps")).otherwise(F.col("steps") + F.col("more"))
+        j = j.select("stage", to.alias("to"), steps.alias("steps"), F.coalesce(~stays, F.lit(True)).alias("moved")).where((F.col("stage") != F.col("to")) & (F.col("steps") <= most))
+        both = table(j.groupBy("stage", F.col("to").alias("needs")).agg(F.max("steps").alias("steps"), F.bool_or("moved").alias("moved")))
+        left = both.agg(F.count(F.lit(1)).alias("n"), F.count_if("moved").alias("moved")).first()
+        some = hit.limit(1).count() > 0
+        if some:
+            found.append(hit)
+        if not some and not left.moved and left.n == size:
+            return reduce(DataFrame.unionAll, found)
+        open_, new, size = both.drop("moved"), hit, left.n
 
 
 def complete_sets(rows: DataFrame, key: str, name: str, names: Sequence[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -56,37 +56,109 @@ def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], siz
     return df.withColumn("begin", (upto - F.col(size)) / whole).withColumn("finish", upto / whole)
 
 
+#: Columns of the edit table whose bit vectors are kept at once for the way back.
+STORED = 512
+
+
+class _Table:
+    """The edit table of two token arrays, a column at a time: bits are the rows, one for each token of ``down``.
+
+    ``rises`` and ``falls`` mark the rows that are one more, or one less, than the row above; they follow from those of
+    the column before by whole-number operations, so a machine word works on all of its cells at once.
+    """
+
+    def __init__(self, down: np.ndarray, across: np.ndarray) -> None:
+        self.size, self.full = len(down), (1 << len(down)) - 1
+        known, self.columns = np.unique(across, return_inverse=True)
+        self.equal = [int.from_bytes(np.packbits(down == token, bitorder="little").tobytes(), "little") for token in known]
+
+    def start(self) -> tuple[int, int]:
+        return self.full, 0
+
+    def column(self, j: int, rises: int, falls: int) -> tuple[int, int, int]:
+        """(rises, falls) of column ``j`` from those before, and the rows above which the column falls against the one before."""
+        equal = self.equal[self.columns[j]]
+        level = equal | falls
+        across = (((equal & rises) + rises) ^ rises) | equal
+        up, down = falls | (self.full & ~(across | rises)), rises & across
+        up, down = (up << 1 | 1) & self.full, (down << 1) & self.full
+        return down | (self.full & ~(level | up)), up & level, down
+
+
+def edit_errors(ref: np.ndarray, hyp: np.ndarray) -> int:
+    """Substitutions, deletions and insertions together."""
+    down, across = (ref, hyp) if len(ref) >= len(hyp) else (hyp, ref)
+    table = _Table(down, across)
+    rises, falls = table.start()
+    for j in range(len(across)):
+        rises, falls, _ = table.column(j, rises, falls)
+    return len(across) + rises.bit_count() - falls.bit_count()
+
+
 def edit_counts(ref: np.ndarray, hyp: np.ndarray) -> tuple[int, int, int, int]:
     """(errors, substitutions, deletions, insertions) of two sequences of token numbers, where equal tokens take the diagonal and ties go to substitution, then deletion, then insertion.
 
-    One vector over ``hyp`` for each token of ``ref``: memory grows with one text, not
-    with both.  Deletions and insertions follow from errors, substitutions and lengths.
+    The way back needs two bits of a cell: whether the cell to its left, or the one above, is less than the one across the
+    corner; where neither is, a substitution is as good as any.  Vectors are kept at every STORED-th column and made anew
+    between, so memory is in proportion to one text.  Deletions and insertions follow from errors, substitutions and lengths.
     """
     m, n = len(ref), len(hyp)
-    at = np.arange(n + 1)
-    errors, subs = at.copy(), np.zeros(n + 1, np.int64)
-    for i, token in enumerate(ref, 1):
-        unlike = hyp != token
-        diagonal, up = errors[:-1] + unlike, errors[1:] + 1
-        best = np.concatenate([[i], np.minimum(diagonal, up)])
-        errors = np.minimum.accumulate(best - at) + at
-        taken = diagonal == errors[1:]
-        own = np.concatenate([[0], np.where(taken, subs[:-1] + unlike, subs[1:])])
-        came = at.copy()
-        came[1:][~taken & (up != errors[1:])] = 0  # an insertion: as the cell before
-        subs = own[np.maximum.accumulate(came)]
-    e, s = int(errors[-1]), int(subs[-1])
-    return e, s, (e - s + m - n) // 2, (e - s - m + n) // 2
+    same = 0
+    while same < min(m, n) and ref[m - 1 - same] == hyp[n - 1 - same]:  # the way back begins along the diagonal
+        same += 1
+    ref, hyp = ref[: m - same], hyp[: n - same]
+    turned = len(hyp) > len(ref)
+    down, across = (hyp, ref) if turned else (ref, hyp)
+    table = _Table(down, across)
+    rises, falls = table.start()
+    kept = []
+    for j in range(len(across)):
+        if j % STORED == 0:
+            kept.append((rises, falls))
+        rises, falls, _ = table.column(j, rises, falls)
+    errors = len(across) + rises.bit_count() - falls.bit_count()
+    i, j, subs = len(down), len(across), 0
+    while i and j:
+        first = (j - 1) // STORED * STORED
+        rises, falls = kept[first // STORED]
+        part = []
+        for k in range(first, j):
+            before = falls
+            rises, falls, above = table.column(k, rises, falls)
+            part.append((before, above))
+        while i and j > first:
+            bit = 1 << (i - 1)
+            left, above = part[j - 1 - first][0] & bit, part[j - 1 - first][1] & bit
+            if table.equal[table.columns[j - 1]] & bit:
+                i, j = i - 1, j - 1
+            elif not left and not above:
+                i, j, subs = i - 1, j - 1, subs + 1
+            elif (left if turned else not above):  # a deletion goes up, or to the left where the texts are turned
+                j -= 1
+            else:
+                i -= 1
+    return errors, subs, (errors - subs + m - n) // 2, (errors - subs - m + n) // 2
 
 
 EDITS = ("errors", "substitutions", "deletions", "insertions")
 
 
-@F.arrow_udf(StructType([StructField(c, IntegerType()) for c in EDITS]))
-def long_edit_distance(ref: pa.Array, hyp: pa.Array) -> pa.Array:
-    """(errors, substitutions, deletions, insertions) of two token arrays of any length; a null array counts as an empty one."""
+def _token_pairs(ref: pa.Array, hyp: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Token numbers of each row's two arrays; a null array counts as an empty one."""
     tokens = pa.concat_arrays([ref.flatten(), hyp.flatten()]).dictionary_encode().indices.to_numpy()
     bounds = np.concatenate([[0], np.cumsum(pa.concat_arrays([ref.value_lengths(), hyp.value_lengths()]).fill_null(0).to_numpy())])
     part = lambda i: tokens[bounds[i] : bounds[i + 1]]
-    counts = np.array([edit_counts(part(i), part(len(ref) + i)) for i in range(len(ref))], np.int32).reshape(-1, 4)
+    return ((part(i), part(len(ref) + i)) for i in range(len(ref)))
+
+
+@F.arrow_udf(StructType([StructField(c, IntegerType()) for c in EDITS]))
+def long_edit_distance(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """(errors, substitutions, deletions, insertions) of two token arrays of any length; a null array counts as an empty one."""
+    counts = np.array([edit_counts(*pair) for pair in _token_pairs(ref, hyp)], np.int32).reshape(-1, 4)
     return pa.StructArray.from_arrays([pa.array(c) for c in counts.T], EDITS)
+
+
+@F.arrow_udf(IntegerType())
+def token_errors(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """The edit distance alone."""
+    return pa.array([edit_errors(*pair) for pair in _token_pairs(ref, hyp)], pa.int32())

@@ -40,19 +40,6 @@ def line_timing(t):
     return out.select("conv_id", "n_lines", "n_matched", *[F.round(c, 6).alias(c) for c in ("coverage", "median_error", "p95_error")])
 
 
-@query(None)
-def stitch(t):
-    """Every conversation cut into windows of 20 words that begin 3 words early; every third window hears its first word otherwise."""
-    r = _recordings(t).select("conv_id", "words")
-    part = lambda k, w: F.slice(w, F.greatest(F.lit(1), k * 17 + 1), F.lit(20))
-    word = lambda k: lambda x, i: F.struct((x["start"] + 0.1).alias("start"), x["stop"].alias("stop"), F.when((k % 3 == 2) & (i == 0), F.lit("other")).otherwise(x["word"]).alias("word"))
-    segment = lambda k: F.struct((5 + k * 17 * HALF).alias("window_start"), (5.75 + k * 17 * HALF).alias("core_start"), F.transform(part(k, F.col("words")), word(k)).alias("words"))
-    last = F.floor(F.greatest(F.lit(0), F.size("words") - 1) / 17).cast("int")
-    r = r.select("conv_id", F.transform(F.sequence(F.lit(0), last), segment).alias("segments"))
-    out = A.each_recording(r, "conv_id", A.Stitch(), A.Stitch.SCHEMA)
-    return out.select("conv_id", "segment", "i", "word", F.round("start", 6).alias("start"), F.round("stop", 6).alias("stop"), "estimated")
-
-
 @query(None)
 def sequence_match(t):
     """Blocks of equal words of every text and benchmark item that share a run of five."""

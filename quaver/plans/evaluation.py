@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quaver.functions.text import units
 from quaver.operators import evaluation as E
-from quaver.operators.sequences import long_edit_distance
+from quaver.operators.sequences import long_edit_distance, token_errors
 from quaver.plans.base import micros, query
 
 TOKENS = r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*"
@@ -146,24 +146,25 @@ e AS (SELECT doc_id, lang, len(r) u, levenshtein(list_aggregate(list_transform(r
 SELECT lang, sum(e)::bigint AS errors, sum(u)::bigint AS units, round(sum(e) / greatest(1, sum(u)), 6) AS rate FROM e GROUP BY lang
 """)
 def token_edit_distance(t):
-    g = E.rates(_distances(t), "lang", "errors", "units")
+    d = _pairs(t).select("lang", F.size("ref").alias("units"), token_errors(F.col("ref"), F.col("hyp")).alias("errors"))
+    g = E.rates(d, "lang", "errors", "units")
     return g.select("lang", F.col("errors").cast("long").alias("errors"), F.col("units").cast("long").alias("units"), F.round("rate", 6).alias("rate"))
 
 
-def _distances(t):
-    """Each text against one item, both whole."""
+def _pairs(t):
+    """Each text against one item, both whole: (lang, ref, hyp)."""
     n = max(1, t.benchmark.count())
     part = lambda c: units(F.col(c), F.lit("en"))
     ref = t.benchmark.select("item_id", part("text").alias("ref"))
     hyp = t.documents.select("lang", (F.col("doc_id") % n).alias("item_id"), part("text").alias("hyp"))
-    j = hyp.join(F.broadcast(ref) if n <= 100_000 else ref, "item_id").select("lang", F.size("ref").alias("units"), long_edit_distance(F.col("ref"), F.col("hyp")).alias("d"))
-    return j.select("lang", "units", "d.errors", "d.substitutions", "d.deletions", "d.insertions")
+    return hyp.join(F.broadcast(ref) if n <= 100_000 else ref, "item_id").select("lang", "ref", "hyp")
 
 
 @query(None)
 def flagship_error_rates(t):
     """Substitutions, deletions and insertions of whole texts by language, with the macro average over languages."""
-    g = _distances(t).groupBy("lang").agg(*[F.sum(c).cast("long").alias(c) for c in ("errors", "substitutions", "deletions", "insertions", "units")])
+    d = _pairs(t).select("lang", F.size("ref").alias("units"), long_edit_distance(F.col("ref"), F.col("hyp")).alias("d"))
+    g = d.select("lang", "units", "d.errors", "d.substitutions", "d.deletions", "d.insertions").groupBy("lang").agg(*[F.sum(c).cast("long").alias(c) for c in ("errors", "substitutions", "deletions", "insertions", "units")])
     g = g.withColumn("rate", F.col("errors") / F.greatest(F.lit(1), F.col("units")))
     whole = g.agg(F.lit("all").alias("lang"), *[F.sum(c).alias(c) for c in ("errors", "substitutions", "deletions", "insertions", "units")], F.avg("rate").alias("rate"))
     return g.union(whole).withColumn("rate", F.round("rate", 6))

@@ -129,21 +129,6 @@ def pair_triangular(t):
     return g.where("n > 1").select("o_custkey", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"), F.round(F.col("hi") - F.col("lo"), 4).alias("widest"))
 
 
-@query("""
-WITH e AS (SELECT user_id % 100 AS k, (epoch_us(ts) // 1000000 - 1704067200) * 120 + 1514764800 AS s, max(event_id) AS event_id FROM events GROUP BY ALL),
-o AS (SELECT o_orderkey, o_custkey % 100 AS k, epoch_us(o_orderdate) // 1000000 + 820540800 AS s FROM orders)
-SELECT o_orderkey, e.event_id FROM o ASOF LEFT JOIN e ON o.k = e.k AND e.s <= o.s
-""")
-def asof_last(t):
-    """The last event of an order's group before it; the month of events is stretched over the years of orders."""
-    at = (F.floor(micros("ts") / 1000000) - 1704067200) * 120 + 1514764800
-    e = t.events.select((F.col("user_id") % 100).alias("k"), at.alias("at"), "event_id", F.lit(None).cast("long").alias("o_orderkey"))
-    o = t.orders.select((F.col("o_custkey") % 100).alias("k"), (F.floor(micros("o_orderdate") / 1000000) + 820540800).alias("at"), F.lit(None).cast("long").alias("event_id"), "o_orderkey")
-    w = Window.partitionBy("k").orderBy(F.col("at"), F.col("event_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    seen = o.unionByName(e).withColumn("event_id", F.last("event_id", ignorenulls=True).over(w))
-    return seen.where("o_orderkey IS NOT NULL").select("o_orderkey", "event_id")
-
-
 @query("""
 SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON l_orderkey = o_orderkey
 WHERE abs(date_diff('day', o_orderdate::date, l_shipdate::date)) <= 20

@@ -126,24 +126,6 @@ def test_far_anchor_leaves_the_times_alone():
     assert [(x[1], x[5], x[10]) for x in out] == [(11.0, True, 0.0), (20.0, False, 0.0)]
 
 
-def _segments(*parts):
-    word = lambda w, a, b: {"word": w, "start": a, "stop": b}
-    return {"segments": [{"window_start": s, "core_start": c, "words": [word(*w) for w in ws]} for s, c, ws in parts]}
-
-
-def test_stitching():
-    same = A.Stitch()(_segments((0, 0, [("one", 1, 2), ("two", 20, 21)]), (19, 20, [("Two", 20.2, 21.2), ("three", 22, 23)])))
-    assert [x[2] for x in same] == ["one", "two", "three"]
-    apart = A.Stitch()(_segments((0, 0, [("two", 10, 11)]), (19, 20, [("two", 20, 21)])))
-    assert [x[2] for x in apart] == ["two", "two"]
-    touching = A.Stitch()(_segments((0, 0, [("two", 19, 20)]), (19, 20, [("two", 20, 21)])))
-    assert [x[2] for x in touching] == ["two", "two"]
-    seam = A.Stitch()(_segments((0, 0, [("left", 19.0, 20.4)]), (19, 20, [("right", 19.8, 21.0)])))
-    assert [(x[2], x[3], x[4], x[5]) for x in seam] == [("left", 19.0, 20, True), ("right", 20, 21.0, True)]
-    owned = A.Stitch()(_segments((0, 0, [("a", 18, 19), ("late", 20.1, 21.1)]), (19, 20, [("early", 19.2, 19.7), ("b", 20.5, 21.5)])))
-    assert [x[2] for x in owned] == ["a", "b"]
-
-
 def test_line_timing():
     lines = [{"text": "paper boats", "start": 1.0, "stop": 3.0}, {"text": "never heard", "start": 5.0, "stop": 7.0}]
     words = [{"word": "Paper", "start": 1.1, "stop": 1.9}, {"word": "boats!", "start": 2.0, "stop": 2.9}]
