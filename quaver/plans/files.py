@@ -97,7 +97,7 @@ def log_tail(t):
 
 
 @query("""
-WITH n AS (SELECT c_name AS name, md5(c_mktsegment) AS f, c_custkey % 3 AS mode FROM customer WHERE c_custkey <= 120), t AS (SELECT c_name AS name, md5(CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment ELSE 'x' END) AS f FROM customer WHERE c_custkey % 2 = 0
+WITH n AS (SELECT c_name AS name, md5(c_mktsegment) AS f, c_custkey % 3 AS mode FROM customer), t AS (SELECT c_name AS name, md5(CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment ELSE 'x' END) AS f FROM customer WHERE c_custkey % 2 = 0
   UNION ALL SELECT c_name || ' (2)', 'y' FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT c_name || ' (3)', 'z' FROM customer WHERE c_custkey % 10 = 0),
 j AS (SELECT name, mode, EXISTS (SELECT 1 FROM t WHERE t.name = n.name AND t.f = n.f) AS same, EXISTS (SELECT 1 FROM t WHERE t.name = n.name) AS taken, EXISTS (SELECT 1 FROM t WHERE t.name = n.name || ' (2)') AS two, EXISTS (SELECT 1 FROM t WHERE t.name = n.name || ' (3)') AS three FROM n)
 SELECT name, CASE WHEN same THEN 'skip' WHEN taken THEN ['ask', 'replace', 'add'][mode + 1] ELSE 'add' END AS action, CASE WHEN same OR NOT taken OR mode = 1 THEN name WHEN mode = 2 THEN name || CASE WHEN NOT two THEN ' (2)' WHEN NOT three THEN ' (3)' ELSE ' (4)' END END AS target FROM j
@@ -108,8 +108,9 @@ def export_plan(t):
     k = F.col("c_custkey")
     there = c.where(k % 2 == 0).select(F.col("c_name").alias("name"), F.md5(F.when(k % 4 == 0, F.col("c_mktsegment")).otherwise("x").cast("binary")).alias("fingerprint"))
     there = there.union(c.where(k % 5 == 0).select(F.concat("c_name", F.lit(" (2)")), F.lit("y"))).union(c.where(k % 10 == 0).select(F.concat("c_name", F.lit(" (3)")), F.lit("z")))
-    new = lambda m: c.where((k <= 120) & (k % 3 == m)).select(F.col("c_name").alias("name"), F.md5(F.col("c_mktsegment").cast("binary")).alias("fingerprint"))
-    return S.export_plan(new(0), there, "ask").union(S.export_plan(new(1), there, "replace")).union(S.export_plan(new(2), there, "keep_both"))
+    new = lambda m: c.where(k % 3 == m).select(F.col("c_name").alias("name"), F.md5(F.col("c_mktsegment").cast("binary")).alias("fingerprint"))
+    plans = [S.export_plan(new(i), there, mode) for i, mode in enumerate(("ask", "replace", "keep_both"))]
+    return plans[0].union(plans[1]).union(plans[2]).select("name", "action", "target")
 
 
 @query("SELECT l_linenumber % 3 AS batch, count(*) AS n, sum(l_partkey)::bigint AS parts FROM lineitem GROUP BY 1")

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quaver.functions import text as X
+from quaver.operators.digests import corpus_digest
 from quaver.operators.ranges import last_known, ranged
+from quaver.operators.resampling import HALF, low_pass, resample
 from quaver.operators.stitching import stitch as stitched
 from quaver.plans.base import micros, query
+from quaver.sources.storage import scratch
+from quaver.streaming import export
 from quaver.streaming.machine import SONGS, replay
 
 _LOST = " ".join(f"WHEN '{s}' THEN '{to}'" for s, to in SONGS.recovery.items())
@@ -82,3 +86,56 @@ def asof_last(t):
     both = o.unionByName(e).withColumn("side", F.col("event_id").isNull())
     cut = ranged(both, ["k"], ["at", "side", "event_id"])
     return last_known(cut, ["k"], ["at", "side", "event_id"], F.col("event_id"), "last").where("o_orderkey IS NOT NULL").select("o_orderkey", F.col("last").alias("event_id"))
+
+
+_FIELDS = " || ';' || ".join(f"'{c}=' || coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')" for c in ("doc_id", "lang", "source", "text"))
+_UP = "".join(f", n{i + 1} AS (SELECT source, place >> 10 AS place, sha256(string_agg(coalesce(place::varchar, '-') || ':' || h, ',' ORDER BY place)) AS h FROM n{i} GROUP BY 1, place >> 10)" for i in range(7))
+
+
+@query(f"""
+WITH r AS (SELECT source, doc_id, sha256({_FIELDS}) AS r FROM documents), c AS (SELECT source, doc_id, r, count(*) AS n FROM r GROUP BY ALL),
+a AS (SELECT source, doc_id, r[1:6] AS place, sha256(string_agg(r || ':' || n, ',' ORDER BY r)) AS h FROM c GROUP BY ALL),
+b AS (SELECT source, doc_id, place[1:3] AS place, sha256(string_agg(place || ':' || h, ',' ORDER BY place)) AS h FROM a GROUP BY 1, 2, 3),
+n0 AS (SELECT source, doc_id AS place, sha256(string_agg(place || ':' || h, ',' ORDER BY place)) AS h FROM b GROUP BY 1, 2){_UP}
+SELECT source, sha256(string_agg(coalesce(place::varchar, '-') || ':' || h, ',' ORDER BY place)) AS digest FROM n7 GROUP BY 1
+""")
+def corpus_digests(t):
+    """A canonical digest of each source's documents, without their counted length, as a tree of hashes over ranges of ids."""
+    return corpus_digest(t.documents, "doc_id", ["source"], ["n_chars"])
+
+
+_TAPS = low_pass(2, 3)
+_REACH = HALF * 3
+
+
+@query(f"""
+WITH v AS (SELECT vec_id // 8 AS rec, vec_id % 8 AS chunk, embedding AS x, len(embedding)::bigint AS n FROM embeddings), o AS (SELECT *, (sum(n) OVER (PARTITION BY rec ORDER BY chunk ROWS UNBOUNDED PRECEDING) - n)::bigint AS a FROM v),
+s AS (SELECT rec, a + i AS k, x[i + 1]::double AS x FROM (SELECT *, unnest(range(0, n)) AS i FROM o)),
+m AS (SELECT rec, chunk, unnest(range((a * 2 + 2) // 3, ((a + n) * 2 + 2) // 3)) AS m FROM o),
+h AS (SELECT [{', '.join(repr(float(x)) for x in _TAPS)}] AS taps),
+y AS (SELECT m.rec, m.chunk, m.m, sum(s.x * h.taps[m.m * 3 - s.k * 2 + {_REACH} + 1]) AS y FROM m JOIN s ON s.rec = m.rec AND s.k * 2 BETWEEN m.m * 3 - {_REACH} AND m.m * 3 + {_REACH}, h GROUP BY ALL)
+SELECT rec, chunk, count(*)::int AS n, round(sum(y), 6) AS total, round(sum(abs(y)), 6) AS size, round(arg_min(y, m), 6) AS first, round(arg_max(y, m), 6) AS last FROM y GROUP BY ALL
+""")
+def resampled(t):
+    """Recordings of eight vectors each, at two thirds of their rate."""
+    chunks = t.embeddings.select(F.floor(F.col("vec_id") / 8).alias("rec"), (F.col("vec_id") % 8).alias("chunk"), F.col("embedding").alias("x"))
+    y = resample(chunks, ["rec"], "chunk", "x", 2, 3)
+    total = lambda f: F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + f(v)), 6)
+    return y.select("rec", "chunk", F.size("x").alias("n"), total(lambda v: v).alias("total"), total(F.abs).alias("size"), F.round(F.get("x", F.lit(0)), 6).alias("first"), F.round(F.get("x", F.size("x") - 1), 6).alias("last"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey k, c_name AS name, md5(c_mktsegment) AS f FROM customer)
+SELECT name AS target, CASE WHEN k % 5 = 0 THEN md5('new') WHEN k % 2 = 1 OR k % 4 = 0 THEN f ELSE md5('x') END AS fingerprint, CASE WHEN k % 5 = 0 THEN 2 WHEN k % 2 = 0 THEN 0 ELSE 1 END::bigint AS batch FROM c
+UNION ALL SELECT name || ' (2)', f, 1::bigint FROM c WHERE k % 4 = 2
+""")
+def exports(t):
+    """Customers exported in three batches with a journal: the second one is killed after its rows are written, run again, and run once more."""
+    folder, k = scratch(t.spark, "exports"), F.col("c_custkey")
+    rows = lambda c, f: t.customer.where(c).select(F.col("c_name").alias("name"), F.md5(f.cast("binary")).alias("fingerprint"))
+    export.publish(rows(k % 2 == 0, F.when(k % 4 == 0, F.col("c_mktsegment")).otherwise("x")), 0, folder)
+    second = rows(F.lit(True), F.col("c_mktsegment"))
+    export.write_try(second, 1, folder, "keep_both", "name string, fingerprint string")  # killed before its entry
+    assert export.publish(second, 1, folder) and not export.publish(second, 1, folder)
+    export.publish(rows(k % 5 == 0, F.lit("new")), 2, folder, "replace")
+    return export.current(export.exported(t.spark, folder, "name string, fingerprint string"))

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
+from pyspark.sql.window import Window
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -87,8 +88,9 @@ def log_tail(text: Column, prefix: Column, size: int = 2048) -> Column:
 
 
 def export_plan(new: DataFrame, there: DataFrame, mode: str) -> DataFrame:
-    """(name, action, target) of every new (name, fingerprint) against what is there: the same content is not written again;
-    a name that is taken is asked about, replaced, or given the first free number."""
+    """(name, fingerprint, seq, action, target) of every new (name, fingerprint) against what is there: the same content is not
+    written again; a name that is taken is asked about, replaced, or given the first free number.  Several contents of one
+    name come one after the other, by fingerprint (``seq``)."""
     assert mode in ("ask", "replace", "keep_both")
     base = F.regexp_replace("name", r" \((\d+)\)$", "")
     number = F.regexp_extract("name", r" \((\d+)\)$", 1).try_cast("int")
@@ -96,11 +98,16 @@ def export_plan(new: DataFrame, there: DataFrame, mode: str) -> DataFrame:
     same = there.select("name", "fingerprint").distinct().withColumn("same", F.lit(True))
     names = there.select("name").distinct().withColumn("taken", F.lit(True))
     j = new.join(same, ["name", "fingerprint"], "left").join(names, "name", "left").join(taken, new["name"] == taken["base"], "left")
-    free = F.array_min(F.array_except(F.sequence(F.lit(2), F.size(F.coalesce("numbers", F.array().cast("array<int>"))) + 2), F.coalesce("numbers", F.array().cast("array<int>"))))
+    place = F.row_number().over(Window.partitionBy("name", F.col("same").isNull()).orderBy("fingerprint")) - 1
+    j = j.withColumn("seq", F.when(F.col("same"), 0).otherwise(place))
+    met = F.coalesce("taken", F.lit(False)) | (F.col("seq") > 0)
+    rank = F.col("seq") - F.when(F.col("taken"), 0).otherwise(1)
+    used = F.coalesce("numbers", F.array().cast("array<int>"))
+    free = F.get(F.array_except(F.sequence(F.lit(2), F.size(used) + 2 + F.col("seq")), used), rank)
     other = {"ask": ("ask", F.lit(None).cast("string")), "replace": ("replace", F.col("name")), "keep_both": ("add", F.concat("name", F.lit(" ("), free.cast("string"), F.lit(")")))}[mode]
-    action = F.when(F.col("same"), "skip").when(F.col("taken"), other[0]).otherwise("add")
-    target = F.when(F.col("same"), F.col("name")).when(F.col("taken"), other[1]).otherwise(F.col("name"))
-    return j.select("name", action.alias("action"), target.alias("target"))
+    action = F.when(F.col("same"), "skip").when(met, other[0]).otherwise("add")
+    target = F.when(F.col("same"), F.col("name")).when(met, other[1]).otherwise(F.col("name"))
+    return j.select("name", "fingerprint", "seq", action.alias("action"), target.alias("target"))
 
 
 def window(signal: Column, rate: int, start: Column, stop: Column, channels: int = 1) -> Column:
