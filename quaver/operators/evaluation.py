@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quaver.sources.storage import scratch
+
 
 def rates(df: DataFrame, group: str, errors: str, units: str) -> DataFrame:
     """Per group: sums and the ratio of sums."""
@@ -20,31 +22,57 @@ def macro(rates_: DataFrame) -> DataFrame:
     return rates_.agg(F.round(F.avg("rate"), 6).alias("macro_rate"), F.count(F.lit(1)).alias("n_groups"))
 
 
-#: Parts into which the distinct values of a group are cut to find its places.
-PARTS = 64
+#: Values of a group up to which a task puts them in order at once; parts into which the distinct values of a larger group are cut.
+HELD, PARTS = 1 << 20, 64
 
 
-def values_at(df: DataFrame, group: Sequence[str], value: str, places) -> DataFrame:
+def values_at(df: DataFrame, group: Sequence[str], value: str, places, held: int | None = None) -> DataFrame:
     """(group, n, largest, found): ``found`` maps 0-based places in rising order to values; exact.
 
-    ``places`` gives an array of places from the group size ``n``.  Equal values are
-    combined before they meet.  A sketch of a group's values cuts them into PARTS parts;
-    the parts are counted, and only those that hold a place are put in order, each on its
-    own, so that no task sorts a whole group.
+    ``places`` gives an array of places from the group size ``n``.  Groups are counted first: those of at most ``held``
+    values (HELD unless given) are put in order one by one, larger ones by ``_values_of_large``, which no size troubles.
+    Both give the same.  Null groups are groups.
+    """
+    held = HELD if held is None else held
+    v = df.where(F.col(value).isNotNull()).select(F.struct(*group).alias("_g"), F.col(value).alias("_v"))
+    large = v.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > held).select("_g")
+    # at most one group for every ``held`` rows, and none as a rule
+    some = [r[0] for r in large.limit(HELD).collect()]
+    ordered = v.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.max("_v").alias("largest"), F.sort_array(F.collect_list("_v")).alias("_s"))
+    taken = F.transform(F.array_distinct(places(F.col("n"))), lambda p: F.struct(p.cast("long").alias("p"), F.get("_s", p.cast("int")).alias("v")))
+    small = lambda rows: rows.select("_g", "n", "largest", F.map_from_entries(taken).alias("found"))
+    if not some:
+        out = small(ordered)
+    else:
+        own = F.broadcast(large) if len(some) < HELD else large
+        rest = v.join(own, "_g", "left_anti").groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.max("_v").alias("largest"), F.sort_array(F.collect_list("_v")).alias("_s"))
+        out = small(rest).unionByName(_values_of_large(v.join(own, "_g", "left_semi"), places))
+    return out.select(*[F.col(f"_g.{c}").alias(c) for c in group], "n", "largest", "found")
+
+
+def _values_of_large(v: DataFrame, places) -> DataFrame:
+    """(_g, n, largest, found) of (_g, _v), for groups of any size.
+
+    Equal values are combined before they meet, and written once.  A sketch of a group's values cuts them into PARTS
+    parts; the parts are counted, and only those that hold a place are put in order, each on its own, so that no task
+    sorts a whole group.
     """
-    c = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    folder = scratch(v.sparkSession, "values")
+    c = v.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    c.write.parquet(folder)
+    c = v.sparkSession.read.schema(c.schema).parquet(folder)
     cuts = F.percentile_approx("_v", F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)]), F.lit(4 * PARTS))
-    whole = c.groupBy(*group).agg(F.sum("_c").alias("n"), F.max("_v").alias("largest"), cuts.alias("_cuts"))
-    dealt = c.join(whole, list(group)).withColumn("_part", F.size(F.filter("_cuts", lambda x: x < F.col("_v"))))
-    parts = dealt.groupBy(*group, "_part").agg(F.sum("_c").alias("_in"), F.first("n").alias("n"), F.first("largest").alias("largest"))
-    before = F.coalesce(F.sum("_in").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = c.groupBy("_g").agg(F.sum("_c").alias("n"), F.max("_v").alias("largest"), cuts.alias("_cuts"))
+    dealt = c.join(whole, "_g").withColumn("_part", F.size(F.filter("_cuts", lambda x: x < F.col("_v"))))
+    parts = dealt.groupBy("_g", "_part").agg(F.sum("_c").alias("_in"), F.first("n").alias("n"), F.first("largest").alias("largest"))
+    before = F.coalesce(F.sum("_in").over(Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     asked = parts.withColumn("_from", before).withColumn("_at", F.explode(F.array_distinct(places(F.col("n"))))).where((F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_from") + F.col("_in")))
-    held = asked.groupBy(*group, "_part").agg(F.first("_from").alias("_from"), F.collect_list("_at").alias("_ats"))
-    inside = dealt.select(*group, "_part", "_v", "_c").join(held, [*group, "_part"])
-    upto = F.sum("_c").over(Window.partitionBy(*group, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_from")
+    kept = asked.groupBy("_g", "_part").agg(F.first("_from").alias("_from"), F.collect_list("_at").alias("_ats"))
+    inside = dealt.select("_g", "_part", "_v", "_c").join(kept, ["_g", "_part"])
+    upto = F.sum("_c").over(Window.partitionBy("_g", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_from")
     hits = inside.withColumn("_to", upto).withColumn("_at", F.explode("_ats")).where((F.col("_at") < F.col("_to")) & (F.col("_at") >= F.col("_to") - F.col("_c")))
-    found = hits.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct(F.col("_at").cast("long"), "_v"))).alias("found"))
-    return whole.drop("_cuts").join(found, list(group))
+    found = hits.groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct(F.col("_at").cast("long"), "_v"))).alias("found"))
+    return whole.drop("_cuts").join(found, "_g")
 
 
 def nth_smallest(df: DataFrame, group: str, value: str, place, name: str) -> DataFrame:

@@ -6,11 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quaver.functions.signals import pitch, ticks
 from quaver.functions.text import clean
-from quaver.operators.folds import Breaks, Pack, ordered_fold
+from quaver.operators.folds import Layout, ordered_fold
 
 #: A voiced frame, a sung unit, the shortest run of one pitch, the reach of a boundary.
 CONFIDENCE, ENERGY, VOICED, RUN, REACH = 0.35, 0.001, 0.3, 8, 0.06
@@ -21,64 +20,70 @@ def voiced(confidence: Column, energy: Column, hz: Column) -> Column:
     return (confidence >= CONFIDENCE) & (energy > ENERGY) & (hz > 0)
 
 
-def _meet(units: DataFrame, frames: DataFrame, low: Column, high: Column) -> DataFrame:
-    """Units with the frames of their seconds [low, high]: an equi-join on (rec, second)."""
-    u = units.withColumn("second", F.explode(F.sequence(F.floor(low), F.floor(high))))
-    return u.join(frames.withColumn("second", F.floor("time")), ["rec", "second"]).drop("second")
+def _quietest(edge: Column, band: Column) -> Column:
+    """The quietest frame's time (the earliest of equals) less than ``band`` from ``edge``, else ``edge``."""
+    near = F.filter("frames", lambda f: F.abs(f["time"] - edge) < band)
+    return F.coalesce(F.array_min(F.transform(near, lambda f: F.struct(f["energy"], f["time"])))["time"], edge)
 
 
-def quietest(units: DataFrame, frames: DataFrame, edge: str) -> DataFrame:
-    """``units`` with ``edge`` moved to the quietest frame (the earliest of equals) less than a band away, where estimated."""
-    band = F.least(F.lit(REACH), (F.col("stop") - F.col("start")) / 4)
-    rows = _meet(units.where("estimated").withColumn("band", band), frames, F.col(edge) - F.col("band"), F.col(edge) + F.col("band"))
-    near = rows.where(F.abs(F.col("time") - F.col(edge)) < F.col("band")).groupBy(*UNIT).agg(F.min_by("time", F.struct("energy", "time")).alias("found"))
-    new = F.coalesce("found", edge)
-    return units.join(near, list(UNIT), "left").withColumn(edge, F.greatest(F.lit(0.0), new) if edge == "start" else F.least("duration", new)).drop("found")
+def _middle(values: Column) -> Column:
+    """The median of an array, rounded half to even."""
+    s, n = F.sort_array(values), F.size(values)
+    return F.bround((F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2).cast("int")
 
 
-def make_notes(units: DataFrame, frames: DataFrame) -> DataFrame:
-    """(rec, unit, i, start, stop, pitch, kind, text, phrase).
+def make_notes(units: DataFrame, frames: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(rec, unit, i, start, stop, pitch, kind, text, phrase, and the units' columns ``keep``).
 
     ``units``: rec, unit, start, stop, text, phrase, estimated, duration.  ``frames``:
     rec, time, hz, confidence, energy.  Estimated edges move to the quietest frame
     near them, the end by the band that the moved start leaves.  A unit with too few
     voiced frames is one free note; else its smoothed pitch is cut into runs, short
     ones are dropped without joining their neighbours, and a run lasts until the next.
+
+    Units meet the frames of their seconds once; all else is worked out within the unit's own
+    row, which holds the frames of one syllable.
     """
     u = units.withColumn("start", F.greatest(F.lit(0.0), "start")).withColumn("stop", F.least("duration", "stop")).where("stop > start")
-    u = quietest(quietest(u, frames, "start"), frames, "stop")
-    inside = _meet(u, frames, F.col("start"), F.col("stop")).where((F.col("time") >= F.col("start")) & (F.col("time") < F.col("stop")))
-    inside = inside.withColumn("sung", voiced(F.col("confidence"), F.col("energy"), F.col("hz")))
-    share = inside.groupBy(*UNIT).agg(F.count_if("sung").alias("n_sung"), F.count(F.lit(1)).alias("n_frames"))
-    u = u.join(share, list(UNIT), "left").withColumn("sings", F.coalesce(F.col("n_sung") / F.greatest(F.lit(1), F.col("n_frames")) >= VOICED, F.lit(False)) & (F.coalesce("n_sung", F.lit(0)) > 0))
-    tone = inside.where("sung").select(*UNIT, "time", pitch(F.col("hz")).alias("p"))
-    w = Window.partitionBy(*UNIT).orderBy("time")
-    tone = tone.withColumn("smooth", F.bround(F.percentile("p", F.lit(0.5)).over(w.rowsBetween(-2, 2))).cast("int"))
-    new = F.when(F.lag("smooth").over(w).eqNullSafe(F.col("smooth")), 0).otherwise(1)
-    runs = tone.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy(*UNIT, "run").agg(F.min("time").alias("begin"), F.first("smooth").alias("pitch"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= RUN).drop("n", "run")
-    middle = tone.groupBy(*UNIT).agg(F.bround(F.median("p")).cast("int").alias("middle"))
-    sung = u.where("sings").join(middle, list(UNIT)).join(runs, list(UNIT), "left")
-    order = Window.partitionBy(*UNIT).orderBy("begin")
-    sung = sung.withColumn("i", F.row_number().over(order) - 1).withColumn("last", F.lead(F.lit(True)).over(order).isNull())
-    sung = sung.withColumn("from", F.when(F.col("i") == 0, F.col("start")).otherwise(F.col("begin"))).withColumn("to", F.coalesce(F.lead("begin").over(order), F.col("stop")))
-    text = F.concat(F.when(F.col("i") == 0, F.rtrim("text")).otherwise("~"), F.when(F.col("last") & F.col("text").endswith(" "), " ").otherwise(""))
-    sung = sung.where(F.col("to") > F.col("from")).select(*UNIT, "i", F.col("from").alias("start"), F.col("to").alias("stop"), F.coalesce("pitch", "middle").alias("pitch"), F.lit(":").alias("kind"), text.alias("text"), "phrase")
-    free = u.where(~F.col("sings")).select(*UNIT, F.lit(0).alias("i"), "start", "stop", F.lit(0).alias("pitch"), F.lit("F").alias("kind"), "text", "phrase")
-    return sung.unionByName(free)
+    held = [c for c in dict.fromkeys((*u.columns, *keep)) if c not in UNIT]
+    second = F.explode(F.sequence(F.floor(F.col("start") - REACH), F.floor(F.col("stop") + REACH)))
+    frame = F.struct(F.col("time").alias("time"), "energy", voiced(F.col("confidence"), F.col("energy"), F.col("hz")).alias("sung"), F.when(F.col("hz") > 0, pitch(F.col("hz"))).cast("int").alias("p"))
+    f = frames.select("rec", F.floor("time").alias("second"), frame.alias("f"))
+    u = u.withColumn("second", second).join(f, ["rec", "second"], "left").groupBy(*UNIT).agg(*[F.first(c).alias(c) for c in held], F.array_sort(F.collect_list("f")).alias("frames"))
+
+    moved = lambda c, new: F.when(F.col("estimated"), new).otherwise(F.col(c))
+    band = F.least(F.lit(REACH), (F.col("stop") - F.col("start")) / 4)
+    u = u.withColumn("start", moved("start", F.greatest(F.lit(0.0), _quietest(F.col("start"), band))))
+    u = u.withColumn("stop", moved("stop", F.least("duration", _quietest(F.col("stop"), band))))
+    u = u.withColumn("inside", F.filter("frames", lambda x: (x["time"] >= F.col("start")) & (x["time"] < F.col("stop"))))
+    u = u.withColumn("tone", F.filter("inside", lambda x: x["sung"])).withColumn("sings", (F.size("tone") / F.greatest(F.lit(1), F.size("inside")) >= VOICED) & (F.size("tone") > 0))
+    u = u.withColumn("p", F.transform("tone", lambda x: x["p"]))
+    # a frame's median over itself and two on both sides, fewer at the edges
+    near = lambda i: F.slice("p", F.greatest(i - 1, F.lit(1)), F.least(i + 3, F.size("p")) - F.greatest(i - 2, F.lit(0)))
+    u = u.withColumn("smooth", F.transform("p", lambda x, i: _middle(near(i))))
+    places = F.when(F.size("smooth") > 0, F.sequence(F.lit(0), F.size("smooth") - 1)).otherwise(F.array().cast("array<int>"))
+    u = u.withColumn("begins", F.filter(places, lambda i: (i == 0) | (F.get("smooth", i) != F.get("smooth", i - 1))))
+    long_ = F.filter(F.transform("begins", lambda b, k: F.struct(b.alias("at"), (F.coalesce(F.get("begins", k + 1), F.size("smooth")) - b).alias("n"))), lambda r: r["n"] >= RUN)
+    u = u.withColumn("runs", F.transform(long_, lambda r: F.struct(F.get("tone", r["at"])["time"].alias("begin"), F.get("smooth", r["at"]).alias("pitch"))))
+    u = u.withColumn("middle", _middle(F.col("p"))).withColumn("n", F.greatest(F.size("runs"), F.lit(1)))
+
+    def note(i: Column) -> Column:
+        run = F.get("runs", i)
+        start = F.when(i == 0, F.col("start")).otherwise(run["begin"])
+        text = F.concat(F.when(i == 0, F.rtrim("text")).otherwise("~"), F.when((i == F.col("n") - 1) & F.col("text").endswith(" "), " ").otherwise(""))
+        return F.struct(i.alias("i"), start.alias("start"), F.coalesce(F.get("runs", i + 1)["begin"], F.col("stop")).alias("stop"), F.coalesce(run["pitch"], F.col("middle")).alias("pitch"), F.lit(":").alias("kind"), text.alias("text"))
+
+    sung = F.filter(F.transform(F.sequence(F.lit(0), F.col("n") - 1), note), lambda x: x["stop"] > x["start"])
+    free = F.array(F.struct(F.lit(0).alias("i"), F.col("start").alias("start"), F.col("stop").alias("stop"), F.lit(0).alias("pitch"), F.lit("F").alias("kind"), F.col("text").alias("text")))
+    return u.select(*UNIT, "phrase", *keep, F.inline(F.when(F.col("sings"), sung).otherwise(free))).select(*UNIT, "i", "start", "stop", "pitch", "kind", "text", "phrase", *keep)
 
 
 def place(notes: DataFrame, duration: str = "duration", order: Sequence[str] = ("start", "unit", "i")) -> DataFrame:
-    """Notes on the tick grid: (rec, n, begin, length, cut, ...), ``cut`` the tick of a line break before the note or null."""
-    n = Window.partitionBy("rec").orderBy(*order)
-    rows = notes.select("*", F.row_number().over(n).alias("n"))
-    beats = rows.select("rec", "n", ticks(F.col("start")).cast("long").alias("start"), ticks(F.col("stop")).cast("long").alias("stop"), ticks(F.col(duration)).cast("long").alias("limit"))
-    put = ordered_fold(beats, ["rec"], ["n"], Pack, "n int, begin long, length long")
-    rows = rows.drop("start", "stop", duration).join(put, ["rec", "n"])
-    nth = F.row_number().over(Window.partitionBy("rec").orderBy("n")).cast("int")
-    rows = rows.withColumn("k", nth)
-    cuts = ordered_fold(rows.select("rec", "k", "begin", "length", "phrase", F.length("text").alias("chars")), ["rec"], ["k"], Breaks, "k int, cut long")
-    return rows.join(cuts, ["rec", "k"])
+    """Notes on the tick grid: (rec, kind, pitch, text, k, begin, length, cut): ``k`` numbers a recording's notes, ``cut`` is
+    the tick of a line break before the note or null.  One pass over the notes of a recording in order."""
+    tick = lambda c: ticks(F.col(c)).cast("long")
+    rows = notes.withColumns({"_start": tick("start"), "_stop": tick("stop"), "_limit": tick(duration), "_chars": F.length("text")})
+    return ordered_fold(rows, ["rec"], order, Layout, ["_start", "_stop", "_limit", "phrase", "_chars"], "k int, begin long, length long, cut long", ["kind", "pitch", "text"])
 
 
 def render(placed: DataFrame, title: Column, artist: Column) -> DataFrame:

@@ -105,12 +105,13 @@ def labels_and_names(t):
 
 
 @query(r"""
-SELECT conv_id, turn, replace(replace(replace(trim(replace(replace(text, chr(10), ' '), chr(13), ' ')), 'x', 'X'), '  ', ' '), '  ', ' ') AS cleaned, CASE WHEN turn % 2 = 0 THEN replace(trim(string_split(text, ' ')[1]) || trim(coalesce(string_split(text, ' ')[2], '')), ' ', '') ELSE trim(trim(string_split(text, ' ')[1]) || ' ' || trim(coalesce(string_split(text, ' ')[2], ''))) END AS joined
-FROM conversations WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\x00-\x09\x0B-\x1f\x7f]')
+SELECT conv_id, turn, replace(replace(replace(trim(regexp_replace(text, '[\x00-\x1f\x7f]+', ' ', 'g')), 'x', 'X'), '  ', ' '), '  ', ' ') AS cleaned, CASE WHEN turn % 2 = 0 THEN replace(trim(string_split(text, ' ')[1]) || trim(coalesce(string_split(text, ' ')[2], '')), ' ', '') ELSE trim(trim(string_split(text, ' ')[1]) || ' ' || trim(coalesce(string_split(text, ' ')[2], ''))) END AS joined
+FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN chr(7) || text || chr(9) || chr(127) ELSE text END AS text FROM conversations WHERE text IS NOT NULL)
 """)
 def clean_and_join(t):
-    """Turns without control characters, and their first two words joined as each language does."""
-    c = t.conversations.where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[\x00-\x09\x0B-\x1f\x7f]"))
+    """Turns, every third one with control characters around it, cleaned, and their first two words joined as each language does."""
+    odd = F.concat(F.lit("\x07"), "text", F.lit("\x09\x7f"))
+    c = t.conversations.where("text IS NOT NULL").select("conv_id", "turn", F.when(F.col("turn") % 3 == 1, odd).otherwise(F.col("text")).alias("text"))
     tidy = F.replace(F.replace(F.replace(X.clean(F.col("text")), F.lit("x"), F.lit("X")), F.lit("  "), F.lit(" ")), F.lit("  "), F.lit(" "))
     words = F.slice(F.split("text", " "), 1, 2)
     return c.select("conv_id", "turn", tidy.alias("cleaned"), X.join_words(words, F.when(F.col("turn") % 2 == 0, "ja").otherwise("en")).alias("joined"))

@@ -10,19 +10,21 @@ from quaver.sources import storage as S
 
 
 @query(r"""
-WITH s AS (SELECT s_nationkey AS file, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) * 2 AS row, s_name, s_nationkey % 5 = 1 AND s_suppkey % 3 = 0 AS no_link, s_nationkey % 5 = 2 AND s_suppkey % 2 = 0 AS no_language FROM supplier),
-b AS (SELECT file, min(row) AS bad_row, arg_min(CASE WHEN no_link THEN 'link' ELSE 'language' END, row) AS problem FROM s WHERE no_link OR no_language GROUP BY 1)
+WITH f AS (SELECT *, s_nationkey + 25 * (s_suppkey // 1250) AS file FROM supplier),
+s AS (SELECT file, s_suppkey, row_number() OVER (PARTITION BY file ORDER BY s_suppkey) * 2 AS row, s_name, s_nationkey % 5 = 1 AND s_suppkey % 3 = 0 AS no_link, s_nationkey % 5 = 2 AND s_suppkey % 2 = 0 AS no_language FROM f),
+b AS (SELECT file, min(row) AS bad_row, arg_min(CASE WHEN row = 102 THEN 'too many rows' WHEN no_link THEN 'link' ELSE 'language' END, row) AS problem FROM s WHERE no_link OR no_language OR row = 102 GROUP BY 1)
 SELECT file, row::int AS row, 'https://www.youtube.com/watch?v=' || lpad(s_suppkey::varchar, 11, '0') AS url, s_name || ', "the" one' AS artist, 'Song ' || s_suppkey AS song_name, CASE WHEN s_suppkey % 2 = 0 THEN 'en' ELSE '' END AS language, NULL::int AS bad_row, NULL::varchar AS problem FROM s WHERE file NOT IN (SELECT file FROM b)
 UNION ALL SELECT file, bad_row::int, NULL, NULL, NULL, NULL, bad_row::int, problem FROM b
 """)
 def csv_ingest(t):
-    """A file for each nation, a song for each supplier: quoted commas and quotes, blank rows, CRLF, a BOM; some links and languages are wrong."""
+    """Files by nation, a song for each supplier: quoted commas and quotes, blank rows, CRLF, a BOM; some links and languages are
+    wrong, and a file of more than fifty songs is refused at its fifty-first."""
     k = F.col("s_suppkey")
     id_ = F.lpad(k.cast("string"), 11, "0")
     link = F.when((F.col("s_nationkey") % 5 == 1) & (k % 3 == 0), "http://youtu.be/x").otherwise(F.concat(F.lit(" https://youtu.be/"), id_))
     language = F.when((F.col("s_nationkey") % 5 == 2) & (k % 2 == 0), "Klingon").when(k % 2 == 0, " EN ").otherwise("")
     line = F.concat(link, F.lit(',"'), "s_name", F.lit(', ""the"" one",Song '), k.cast("string"), F.lit(","), language, F.lit("\r\n\r\n"))
-    rows = t.supplier.groupBy(F.col("s_nationkey").alias("file")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", line.alias("line")))).alias("x"))
+    rows = t.supplier.groupBy((F.col("s_nationkey") + 25 * F.floor(k / 1250)).alias("file")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", line.alias("line")))).alias("x"))
     text = F.concat(F.lit("﻿URL, Artist ,song_name,Language_Code\r\n"), F.array_join(F.transform("x", lambda v: v["line"]), ""))
     return delimited.ingest(rows.select("file", text.alias("content")))
 

@@ -64,7 +64,7 @@ CHART = "'#TITLE:rec ' || rec || ' (AI)' || chr(10) || '#ARTIST:nobody' || chr(1
 
 def _charts(t):
     units, frames = _recordings(t)
-    notes = M.make_notes(units, frames).join(units.select("rec", "duration").distinct(), "rec")
+    notes = M.make_notes(units, frames, ["duration"])
     return M.render(M.place(notes), F.concat(F.lit("rec "), F.col("rec").cast("string")), F.lit("nobody"))
 
 
@@ -113,7 +113,7 @@ def language_hysteresis(t):
     e = t.events.select("user_id", "ts", "event_id", seen.alias("seen"), (F.col("value") >= 50).alias("long"), "value")
     votes = e.where("seen IS NOT NULL").groupBy("user_id", "seen").agg(F.round(F.sum("value"), 4).alias("w"), F.min(F.struct("ts", "event_id")).alias("f"))
     first = votes.groupBy("user_id").agg(F.min_by("seen", F.struct(-F.col("w"), "f")).alias("first"))
-    out = ordered_fold(e.join(first, "user_id").drop("value"), ["user_id"], ["ts", "event_id"], Hysteresis, "n int, state string")
+    out = ordered_fold(e.join(first, "user_id").drop("value"), ["user_id"], ["ts", "event_id"], Hysteresis, ["seen", "long", "first"], "n int, state string")
     return out.select("user_id", (F.col("n") - 1).alias("i"), "state")
 
 
@@ -128,4 +128,4 @@ SELECT user_id, i::int AS i, core_start, core_end FROM x
 def plan_windows(t):
     """Cores over each user's values: each ends at the quietest step between 22 and 26 after its start."""
     e = t.events.select("user_id", "ts", "event_id", F.col("value").alias("level"))
-    return ordered_fold(e, ["user_id"], ["ts", "event_id"], Windows, "i int, core_start long, core_end long")
+    return ordered_fold(e, ["user_id"], ["ts", "event_id"], Windows, ["level"], "i int, core_start long, core_end long")

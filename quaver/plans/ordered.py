@@ -148,5 +148,5 @@ SELECT user_id, count(*) AS n_notes, sum(begin)::bigint AS begins, sum(length)::
 def pack_notes(t):
     minute = F.floor((micros("ts") - 1704067200000000) / 60000000)
     n = t.events.select("user_id", "ts", "event_id", minute.alias("start"), (minute + F.bround("value").cast("long")).alias("stop"))
-    p = ordered_fold(n, ["user_id"], ["ts", "event_id"], Pack, "i int, begin long, length long")
+    p = ordered_fold(n, ["user_id"], ["ts", "event_id"], Pack, ["start", "stop"], "i int, begin long, length long")
     return p.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_notes"), F.sum("begin").alias("begins"), F.sum("length").alias("lengths"), F.max(F.col("begin") + F.col("length")).alias("finish"))

@@ -25,12 +25,12 @@ def interval_validity(t):
 
 
 @query(f"""
-WITH {TIMED}, o AS (SELECT *, ok AND event_type <> 'signup' AND (event_id % 5 <> 0 OR start + value - 45 > start) AS good, start < lag(start) OVER (PARTITION BY user_id, day ORDER BY value, event_id) AS falls FROM v WHERE event_id % 50 > 1)
+WITH {TIMED}, o AS (SELECT *, ok AND event_type <> 'signup' AND (event_id % 5 <> 0 OR start + value - 45 > start) AS good, start < lag(start) OVER (PARTITION BY user_id, day ORDER BY value, event_id) AS falls FROM v)
 SELECT user_id, day::bigint AS day, count(*) AS n, bool_and(good) AND NOT bool_or(coalesce(falls, false)) AS valid FROM o GROUP BY ALL
 """)
 def word_sequences(t):
     """A user's day as words in the order of their values; some words say nothing, some have a character of their own."""
-    rows = _timed(t).where("event_id % 50 > 1")
+    rows = _timed(t)
     chars = F.when(F.col("event_id") % 5 == 0, F.array(F.struct("start", (F.col("start") + F.col("value") - 45).alias("stop")))).otherwise(F.array().cast("array<struct<start:double,stop:double>>"))
     word = F.struct("value", "event_id", F.when(F.col("event_type") == "signup", " . ").otherwise(F.col("event_type")).alias("word"), "start", "stop", chars.alias("chars"))
     g = rows.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(word)).alias("w"))
@@ -173,24 +173,24 @@ def video_urls(t):
 WITH r AS (SELECT c_custkey, ['kyō', 'rāmen', 'konnichiha', 'sha-shin', 'n', 'strr', 'gēmu'][c_custkey % 7 + 1] || lower(substr(c_mktsegment, 1, 4)) || CASE WHEN c_custkey % 2 = 0 THEN 'n' ELSE '' END AS t FROM customer),
 d AS (SELECT c_custkey, replace(replace(replace(replace(replace(regexp_replace(t, '([aeiou])[-ー]', '\1\1', 'g'), 'ā', 'aa'), 'ī', 'ii'), 'ū', 'uu'), 'ē', 'ee'), 'ō', 'ou') AS d FROM r),
 m AS (SELECT c_custkey, d, regexp_replace(d, '([aeiou])n($|[^aeiouy])', '\1' || chr(1) || '\2', 'g') AS x FROM d)
-SELECT c_custkey, d AS doubled, len(regexp_extract_all(x, '[^aeiou]*[aeiou]|[^aeiou]+$')) > 0 AS has_units, replace(list_aggregate(regexp_extract_all(x, '[^aeiou\x01]*[aeiou]\x01?|[^aeiou]+$'), 'string_agg', '.'), chr(1), 'n') AS units FROM m WHERE NOT regexp_matches(d, 'nn')
+SELECT c_custkey, d AS doubled, len(regexp_extract_all(x, '[^aeiou]*[aeiou]|[^aeiou]+$')) > 0 AS has_units, replace(list_aggregate(regexp_extract_all(x, '[^aeiou\x01]*[aeiou]\x01?|[^aeiou]+$'), 'string_agg', '.'), chr(1), 'n') AS units FROM m
 """)
 def morae(t):
-    """Units of romanised words; SQL without look-ahead marks the closing n beforehand (words with nn are left to the fixtures)."""
+    """Units of romanised words; SQL without look-ahead marks the closing n beforehand."""
     k = F.col("c_custkey")
     word = F.get(F.array(*[F.lit(x) for x in ("kyō", "rāmen", "konnichiha", "sha-shin", "n", "strr", "gēmu")]), (k % 7).cast("int"))
     d = R.doubled_vowels(F.concat(word, F.lower(F.substring("c_mktsegment", 1, 4)), F.when(k % 2 == 0, "n").otherwise("")))
-    return t.customer.select("c_custkey", d.alias("doubled")).where(~F.col("doubled").rlike("nn")).select("c_custkey", "doubled", (F.size(R.morae(F.col("doubled"))) > 0).alias("has_units"), F.array_join(R.morae(F.col("doubled")), ".").alias("units"))
+    return t.customer.select("c_custkey", d.alias("doubled")).select("c_custkey", "doubled", (F.size(R.morae(F.col("doubled"))) > 0).alias("has_units"), F.array_join(R.morae(F.col("doubled")), ".").alias("units"))
 
 
 @query(r"""
 WITH n AS (SELECT doc_id, regexp_replace(text, '[<>:"/\\|?*\x00-\x1f\x7f]', '_', 'g') AS x FROM documents),
 c AS (SELECT doc_id, x, list_max(list_filter(range(0, 101), lambda k: strlen(substr(x, 1, k)) <= 100)) AS k FROM n)
-SELECT doc_id, source || ' - ' || CASE WHEN y = '' THEN 'Unknown Song' ELSE y END AS name FROM (SELECT doc_id, source, regexp_replace(substr(x, 1, k), '^[ .]+|[ .]+$', '', 'g') AS y FROM c JOIN documents USING (doc_id)) WHERE y NOT LIKE '% (AI)'
+SELECT doc_id, source || ' - ' || CASE WHEN y = '' THEN 'Unknown Song' ELSE y END AS name FROM (SELECT doc_id, source, regexp_replace(substr(x, 1, k), '^[ .]+|[ .]+$', '', 'g') AS y FROM c JOIN documents USING (doc_id))
 """)
 def download_names(t):
     named = R.download_name(F.col("source"), F.col("text"))
-    return t.documents.select("doc_id", named.alias("name")).where(~F.col("name").endswith(" (AI)"))
+    return t.documents.select("doc_id", named.alias("name"))
 
 
 @query("""
