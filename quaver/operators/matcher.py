@@ -1,74 +1,99 @@
 """Equal blocks of two sequences: the longest first, then what lies before and behind it.
 
-A block is the longest equal run; of equally long ones the first in ``a``, then the
-first in ``b``.  It is found in one pass over an automaton of all runs of ``b``, so a
-call takes time in proportion to both lengths, where a table of positions takes their
-product over the alphabet.
+A block is the longest equal run; of equally long ones the first in ``a``, then the first in ``b``.
+Runs are told apart by ranks: the ranks of all runs of 2^p tokens come from those of 2^(p-1) (prefix
+doubling, as for a suffix array), once for the pair, and a run of any length is known by the ranks of
+its first and its last 2^p tokens.  So whether two spans share a run of a length is one comparison of
+sorted keys, and the longest is found by halving.
+
+All blocks of one length along a span are taken in one sweep: behind a longest block nothing longer
+is left, and before it nothing as long.  Each span that remains is searched for shorter runs only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+
+
+class Runs:
+    """Ranks of the runs of 1, 2, 4, ... tokens of two sequences."""
+
+    def __init__(self, a: Sequence, b: Sequence) -> None:
+        known: dict = {}
+        first = [np.array([known.setdefault(x, len(known)) for x in side], np.int64) for side in (a, b)]
+        self.levels = [first]
+        size = 1
+        while size * 2 <= min(len(a), len(b)):
+            pairs = [(x[:-size] << 32) | x[size:] for x in self.levels[-1]]
+            _, ranks = np.unique(np.concatenate(pairs), return_inverse=True)
+            self.levels.append([ranks[: len(pairs[0])], ranks[len(pairs[0]) :]])
+            size *= 2
 
-def longest(a: Sequence, alo: int, ahi: int, b: Sequence, blo: int, bhi: int) -> tuple[int, int, int]:
-    """(place in a, place in b, length) of the longest equal run; length 0 without one."""
-    step, link, size, first = [{}], [-1], [0], [-1]
-    last = 0
-    for j in range(blo, bhi):
-        c, now = b[j], len(step)
-        step.append({})
-        size.append(size[last] + 1)
-        first.append(j)
-        link.append(0)
-        p = last
-        while p >= 0 and c not in step[p]:
-            step[p][c] = now
-            p = link[p]
-        if p >= 0:
-            q = step[p][c]
-            if size[p] + 1 == size[q]:
-                link[now] = q
+    def keys(self, side: int, low: int, high: int, length: int) -> np.ndarray:
+        """A key of each run of ``length`` tokens within [low, high) of a side."""
+        p = length.bit_length() - 1
+        ranks, n = self.levels[p][side], max(0, high - low - length + 1)
+        step = length - (1 << p)
+        return (ranks[low : low + n] << 32) | ranks[low + step : low + step + n]
+
+    def shared(self, span: tuple[int, int, int, int], length: int) -> bool:
+        alo, ahi, blo, bhi = span
+        x, y = self.keys(0, alo, ahi, length), self.keys(1, blo, bhi, length)
+        return bool(len(x)) and bool(len(y)) and bool(np.isin(x, y).any())
+
+    def longest(self, span: tuple[int, int, int, int], most: int) -> int:
+        """The length of the longest run that both sides of a span share, at most ``most``."""
+        low, high = 0, min(most, span[1] - span[0], span[3] - span[2])
+        step = 1
+        while low < high:  # short runs are the rule: lengths are tried from below, doubling, then halved
+            at = min(low + step, high)
+            if self.shared(span, at):
+                low, step = at, step * 2
             else:
-                copy = len(step)
-                step.append(dict(step[q]))
-                size.append(size[p] + 1)
-                first.append(first[q])
-                link.append(link[q])
-                while p >= 0 and step[p].get(c) == q:
-                    step[p][c] = copy
-                    p = link[p]
-                link[q] = link[now] = copy
-        last = now
-    best, at, where, state, run = 0, alo, blo, 0, 0
-    for i in range(alo, ahi):
-        c = a[i]
-        while state and c not in step[state]:
-            state = link[state]
-            run = size[state]
-        if c in step[state]:
-            state = step[state][c]
-            run += 1
-            if run > best:
-                best, at, where = run, i - run + 1, first[state] - run + 1
-    return at, where, best
+                high, step = at - 1, max(1, (at - 1 - low + 1) // 2)
+        return low
+
+    def sweep(self, span: tuple[int, int, int, int], length: int) -> list[tuple[int, int]]:
+        """(place in a, place in b) of the blocks of ``length``: the first in ``a``, then in ``b``, then the same behind it."""
+        alo, ahi, blo, bhi = span
+        x, y = self.keys(0, alo, ahi, length), self.keys(1, blo, bhi, length)
+        order = np.argsort(y, kind="stable")
+        sorted_y = y[order]
+        left, right = np.searchsorted(sorted_y, x, "left"), np.searchsorted(sorted_y, x, "right")
+        out, i, j = [], 0, 0
+        for at in np.flatnonzero(left < right).tolist():
+            if at < i:
+                continue
+            places = order[left[at] : right[at]]
+            k = int(np.searchsorted(places, j))
+            if k < len(places):
+                out.append((alo + at, blo + int(places[k])))
+                i, j = at + length, int(places[k]) + length
+        return out
 
 
 def matching_blocks(a: Sequence, b: Sequence) -> list[tuple[int, int, int]]:
     """(place in a, place in b, length) of all blocks in order; blocks that touch in both are one."""
-    found, todo = [], [(0, len(a), 0, len(b))]
+    runs = Runs(a, b)
+    found: list[tuple[int, int, int]] = []
+    todo = [((0, len(a), 0, len(b)), min(len(a), len(b)))]
     while todo:
-        alo, ahi, blo, bhi = todo.pop()
-        if alo == ahi or blo == bhi:
+        span, most = todo.pop()
+        length = runs.longest(span, most) if most else 0
+        if not length:
             continue
-        i, j, k = longest(a, alo, ahi, b, blo, bhi)
-        if k:
-            found.append((i, j, k))
-            todo += [(alo, i, blo, j), (i + k, ahi, j + k, bhi)]
+        i, ahi, j, bhi = span
+        for x, y in runs.sweep(span, length):
+            found.append((x, y, length))
+            todo.append(((i, x, j, y), length - 1))
+            i, j = x + length, y + length
+        todo.append(((i, ahi, j, bhi), length - 1))
     out: list[tuple[int, int, int]] = []
     for i, j, k in sorted(found):
         if out and out[-1][0] + out[-1][2] == i and out[-1][1] + out[-1][2] == j:
-            out[-1] = (out[-1][0], out[-1][1], out[-1][2] + k)
+            out[-1] = (*out[-1][:2], out[-1][2] + k)
         else:
             out.append((i, j, k))
     return out

@@ -131,7 +131,7 @@ def media_rejection(t):
 WITH m AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN ' ' || p_brand || ' ' WHEN p_partkey % 5 = 1 THEN '  ' END AS credit, CASE WHEN p_partkey % 4 = 1 THEN [' ' || p_type, ' ', p_brand] ELSE []::varchar[] END AS credits,
   CASE WHEN p_partkey % 7 = 0 THEN p_name END AS tag, CASE WHEN p_partkey % 3 = 0 THEN 'Song / ' || p_brand || ' : Official Music Video ' ELSE p_name END AS title, CASE WHEN p_partkey % 2 = 0 THEN p_type || ' - Topic' ELSE p_type END AS channel FROM part)
 SELECT p_partkey, coalesce(nullif(trim(credit), ''), nullif(list_aggregate(list_filter(list_transform(credits, lambda x: trim(x)), lambda x: x <> ''), 'string_agg', ', '), ''), nullif(trim(tag), ''),
-  nullif(trim(regexp_extract(title, '(?i)\s[/／]\s*([^/／:：]+?)\s*[:：]\s*(?:official\s+)?music\s+video\s*$', 1)), ''), CASE WHEN channel LIKE '% - Topic' THEN nullif(trim(replace(channel, ' - Topic', '')), '') END, 'Unknown Artist') AS artist FROM m
+  CASE WHEN title LIKE '% : Official Music Video ' THEN trim(split_part(split_part(title, ' / ', 2), ':', 1)) END, CASE WHEN channel LIKE '% - Topic' THEN nullif(trim(replace(channel, ' - Topic', '')), '') END, 'Unknown Artist') AS artist FROM m
 """)
 def artist_resolution(t):
     k, none = F.col("p_partkey"), F.lit(None).cast("string")

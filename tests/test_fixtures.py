@@ -102,37 +102,43 @@ def test_notes_of_silence_and_of_two_tones(spark):
     assert first.stop == second.start == 1.5
 
 
-def test_lines_move_with_the_recording():
+def _composed(spark, lines, words, duration, source, language=None):
+    rec = spark.createDataFrame([(1, duration, source, language, "en")], "rec int, duration double, source string, language string, heard_language string")
+    l = spark.createDataFrame([(1, i, t, s) for i, (t, s) in enumerate(lines)], "rec int, i int, text string, start double")
+    w = spark.createDataFrame([(1, j, *x) for j, x in enumerate(words)], "rec int, j int, word string, start double, stop double")
+    return sorted(A.compose(rec, l, w).collect(), key=lambda r: (r.start is None, r.start))
+
+
+def test_lines_move_with_the_recording(spark):
     said = [("harbour", 30.0), ("lanterns", 31.0), ("burning", 32.0), ("quiet", 44.0), ("morning", 45.0), ("ferries", 46.0)]
-    words = [{"word": w, "start": s, "stop": s + 0.8} for w, s in said]
-    line = lambda i, text, start: {"i": i, "text": text, "start": start, "stop": None}
-    row = {"lines": [line(0, "Harbour lanterns burning", 22.0), line(1, "Quiet morning ferries", 36.0)], "words": words, "duration": 60.0, "source": "user", "language": None, "heard_language": "en"}
-    a, b = A.Compose()(row)
-    assert (a[1], b[1], a[10], a[5], b[5]) == (30.0, 44.0, 8.0, True, True)
-    assert a[9] <= b[8] and a[2] <= 33.1 + 1e-9
-    plain = {**row, "lines": [line(0, "Harbour lanterns burning", None), line(1, "something never sung here", None), line(2, "Quiet morning ferries", None)]}
-    assert [x[1] for x in A.Compose()(plain)] == [30.0, 37.0, 44.0]
-    lost = {**plain, "words": [], "source": "provider"}
-    assert A.Compose()(lost)[0][-1] == "no anchors"
-    assert [round(x[1], 6) for x in A.Compose()({**lost, "source": "user"})] == [0.0, 20.0, 40.0]
-    extra = {**row, "source": "provider", "words": [{"word": "intro", "start": 2.0, "stop": 2.5}, *words]}
-    assert [(x[3], x[6]) for x in A.Compose()(extra)] == [("intro", False), ("Harbour lanterns burning", True), ("Quiet morning ferries", True)]
-
-
-def test_far_anchor_leaves_the_times_alone():
-    words = [{"word": w, "start": s, "stop": s + 0.5} for w, s in (("silver", 11.0), ("mountain", 12.0), ("river", 41.0), ("valley", 42.0))]
-    lines = [{"i": 0, "text": "silver mountain", "start": 10.0, "stop": None}, {"i": 1, "text": "river valley", "start": 20.0, "stop": None}]
-    out = A.Compose()({"lines": lines, "words": words, "duration": 50.0, "source": "user", "language": "en", "heard_language": None})
-    assert [(x[1], x[5], x[10]) for x in out] == [(11.0, True, 0.0), (20.0, False, 0.0)]
-
-
-def test_line_timing():
-    lines = [{"text": "paper boats", "start": 1.0, "stop": 3.0}, {"text": "never heard", "start": 5.0, "stop": 7.0}]
-    words = [{"word": "Paper", "start": 1.1, "stop": 1.9}, {"word": "boats!", "start": 2.0, "stop": 2.9}]
-    n, matched, coverage, middle, p95 = A.Timing()({"lines": lines, "words": words, "language": "en"})[0]
-    assert (n, matched, coverage) == (2, 1, 0.5)
-    assert (round(middle, 6), round(p95, 6)) == (0.1, 0.1)
-    assert A.Timing()({"lines": [], "words": words, "language": "en"})[0] == (0, 0, None, None, None)
+    words = [(w, s, s + 0.8) for w, s in said]
+    timed = [("Harbour lanterns burning", 22.0), ("Quiet morning ferries", 36.0)]
+    a, b = _composed(spark, timed, words, 60.0, "user")
+    assert (a.start, b.start, a.moved, a.anchored, b.anchored, a.language) == (30.0, 44.0, 8.0, True, True, "en")
+    assert a.window_stop <= b.window_start and a.stop <= 33.1 + 1e-9
+    plain = [("Harbour lanterns burning", None), ("something never sung here", None), ("Quiet morning ferries", None)]
+    assert [x.start for x in _composed(spark, plain, words, 60.0, "user")] == [30.0, 37.0, 44.0]
+    assert [x.problem for x in _composed(spark, plain, [], 60.0, "provider")] == ["no anchors"]
+    assert [x.problem for x in _composed(spark, [], words, 60.0, "user")] == ["no lines"]
+    assert [round(x.start, 6) for x in _composed(spark, plain, [], 60.0, "user")] == [0.0, 20.0, 40.0]
+    extra = _composed(spark, timed, [("intro", 2.0, 2.5), *words], 60.0, "provider")
+    assert [(x.text, x.external, x.i) for x in extra] == [("intro", False, -1), ("Harbour lanterns burning", True, 0), ("Quiet morning ferries", True, 1)]
+
+
+def test_far_anchor_leaves_the_times_alone(spark):
+    words = [(w, s, s + 0.5) for w, s in (("silver", 11.0), ("mountain", 12.0), ("river", 41.0), ("valley", 42.0))]
+    out = _composed(spark, [("silver mountain", 10.0), ("river valley", 20.0)], words, 50.0, "user", "en")
+    assert [(x.start, x.anchored, x.moved) for x in out] == [(11.0, True, 0.0), (20.0, False, 0.0)]
+
+
+def test_line_errors(spark):
+    rec = spark.createDataFrame([(1,), (2,), (3,)], "rec int")
+    lines = spark.createDataFrame([(1, 0, "paper boats", 1.0, 3.0), (1, 1, "never heard", 5.0, 7.0), (3, 0, "unheard", 0.0, 1.0)], "rec int, i int, text string, start double, stop double")
+    words = spark.createDataFrame([(1, 0, "Paper", 1.1, 1.9), (1, 1, "boats!", 2.0, 2.9), (2, 0, "noise", 0.0, 1.0)], "rec int, j int, word string, start double, stop double")
+    got = {r.rec: r for r in A.line_errors(rec, lines, words, lambda c: X.units(c, F.lit("en"))).collect()}
+    assert (got[1].n_lines, got[1].n_matched, got[1].coverage) == (2, 1, 0.5)
+    assert (round(got[1].median_error, 6), round(got[1].p95_error, 6)) == (0.1, 0.1)
+    assert tuple(got[2])[1:] == (0, 0, None, None, None) and tuple(got[3])[1:] == (1, 0, 0.0, None, None)
 
 
 def brute_blocks(a, b):
