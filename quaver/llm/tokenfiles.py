@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaver.llm import textvec as T
-from quaver.llm.shared import map_arrow, materialise, new_folder
+from quaver.llm.shared import discard, map_arrow, materialise, new_folder
 
 VOCAB, END, LENGTH, PER_SHARD, KEY = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256, 2048, 2048, 0x5EED
 #: Fixed value: the vocabulary's splitting pattern, from its description.
@@ -288,7 +288,7 @@ def _write(folder: str, length: int, per_shard: int, letters):
 
 
 def write_training_order(docs: DataFrame, folder: str, vocab: str = VOCAB, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, doc_key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(slot, sequence, ids_crc32, doc_ids) of every sequence; running it writes the shards to ``folder``."""
+    """(slot, sequence, ids_crc32, doc_ids) of every sequence, once the shards and then the manifest are written to ``folder``."""
     spark = docs.sparkSession
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path)
@@ -300,12 +300,15 @@ def write_training_order(docs: DataFrame, folder: str, vocab: str = VOCAB, lengt
     for part, c in counts:
         starts[part] = n
         n += c
-    with fs.open_output_stream(f"{path}/manifest.json") as out:
-        out.write(json.dumps({"sequences": n, "length": length, "per_shard": per_shard, "dtype": "uint16", "stride": 2 * length, "end": END, "key": key}).encode())
     emitted = map_arrow(made, _number(spark.sparkContext.broadcast(starts), n, key), "slot long, sequence long, ids binary, doc_ids array<long>")
     each = per_shard * max(1, PART // (2 * length * per_shard))
     dealt = emitted.repartitionById(max(1, -(-n // each)), F.floor(F.col("slot") / each).cast("int")).sortWithinPartitions("slot")
-    return map_arrow(dealt, _write(folder, length, per_shard, letters), "slot long, sequence long, ids_crc32 long, doc_ids array<long>")
+    written = materialise(map_arrow(dealt, _write(folder, length, per_shard, letters), "slot long, sequence long, ids_crc32 long, doc_ids array<long>"), "written")
+    discard(made)
+    # the manifest comes last: where it is, all shards are
+    with fs.open_output_stream(f"{path}/manifest.json") as out:
+        out.write(json.dumps({"sequences": n, "length": length, "per_shard": per_shard, "dtype": "uint16", "stride": 2 * length, "end": END, "key": key}).encode())
+    return written
 
 
 def read_slots(folder: str, first: int, count: int) -> np.ndarray:
