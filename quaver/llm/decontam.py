@@ -108,12 +108,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = K, threshold: float =
         own = items.where(width == w)
         known = own.select("n", "words", F.explode(F.sequence(F.lit(0), F.col("n") - w)).alias("at")).select(_shingle_at(F.col("at"), w).alias("h"), "n", "at").distinct()
         known = materialise(known, "known")
-        if known.count() <= SHINGLES:
-            known = F.broadcast(known)
+        start = lambda n: F.greatest(F.lit(0), F.least(F.col("p") - F.col("at"), n - F.col("n")))
+        if known.count() > SHINGLES:  # places go to the shingles without their texts, and what is hit comes back to them once
+            bare = texts.where(F.size("words") >= w).select("text_hash", "words").dropDuplicates(["text_hash"])
+            bare = bare.select("text_hash", F.size("words").alias("m"), F.transform(F.sequence(F.lit(0), F.size("words") - w), lambda p: _shingle_at(p, w)).alias("hs")).select("text_hash", "m", F.posexplode("hs").alias("p", "h"))
+            laid = bare.join(known, "h").select("text_hash", "n", start(F.col("m")).alias("start")).distinct()
+            hits = texts.join(laid, "text_hash").select("doc_id", "text_hash", "n", "start", F.array_join(F.slice("words", F.col("start") + 1, F.col("n")), " ").alias("window"))
+            found = hits if found is None else found.union(hits)
+            continue
+        known = F.broadcast(known)
         places = texts.where(F.size("words") >= w).select("doc_id", "text_hash", "words", F.explode(F.sequence(F.lit(0), F.size("words") - w)).alias("p")).select("doc_id", "text_hash", "words", "p", _shingle_at(F.col("p"), w).alias("h"))
         hits = places.join(known, "h")
-        start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("at"), F.size("words") - F.col("n")))
-        hits = hits.select("doc_id", "text_hash", "n", start.alias("start"), F.array_join(F.slice("words", start + 1, F.col("n")), " ").alias("window"))
+        begin = start(F.size("words"))
+        hits = hits.select("doc_id", "text_hash", "n", begin.alias("start"), F.array_join(F.slice("words", begin + 1, F.col("n")), " ").alias("window"))
         found = hits if found is None else found.union(hits)
     windows = materialise(found.distinct(), "windows")
     kinds = materialise(windows.select("n", "window").distinct().withColumn("wid", F.xxhash64("n", "window")), "kinds")
