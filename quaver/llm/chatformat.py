@@ -27,14 +27,17 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaver.llm.shared import map_arrow
+from quaver.llm import bytebpe
+from quaver.llm.shared import map_arrow, materialise
 
 #: An image patch's side, tokens of a second of audio, of a page.
 PATCH, AUDIO_RATE, PAGE = 14, 25, 300
@@ -62,6 +65,7 @@ class Flattener:
     """Visits parts in order and keeps what the output needs."""
 
     role: str
+    count: Callable[[str], int]
     out: list[str] = field(default_factory=list)
     size: int = 0
     loss: list[dict] = field(default_factory=list)
@@ -82,7 +86,7 @@ class Flattener:
         text = part.get("text") or ""
         start = self.size
         self.write(escape(text))
-        self.tokens += len(text.split())
+        self.tokens += self.count(text)
         if self.role == "assistant" and self.size > start:
             self.loss.append({"start": start, "stop": self.size})
 
@@ -102,8 +106,13 @@ class Flattener:
         self.attach("document", part, (part.get("pages") or 0) * PAGE)
 
 
-def format_turn(role: str | None, parts: list[dict]) -> Flattener:
-    v = Flattener(role or "")
+def words(text: str) -> int:
+    return len(text.split())
+
+
+def format_turn(role: str | None, parts: list[dict], count: Callable[[str], int] = words) -> Flattener:
+    """``count`` gives the tokens of a text."""
+    v = Flattener(role or "", count)
     v.write(f"<turn {escape(role or '')}>\n")
     for p in parts:
         v.visit(p)
@@ -120,14 +129,16 @@ def read_turn(formatted: str) -> tuple[str, list[tuple[str, str]]]:
     return unescape(m[1]), parts
 
 
-def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _format(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tokenizer = bytebpe.codec(model.value, public_tokenizers.PATTERN)
+    count = lambda text: len(tokenizer.encode(text)) // 4
     conv, seq, offset, begun = None, 0, 0, False
     for b in batches:
         rows: dict[str, list] = {c: [] for c in ("conv_id", "seq", "offset", "formatted", "loss", "attachments", "tokens")}
         for c, role, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             if not begun or c != conv:
                 conv, seq, offset, begun = c, 0, 0, True
-            v = format_turn(role, parts or [])
+            v = format_turn(role, parts or [], count)
             for k, x in zip(rows, (c, seq, offset, "".join(v.out), v.loss, v.attachments, v.tokens), strict=True):
                 rows[k].append(x)
             seq, offset = seq + 1, offset + v.size
@@ -135,11 +146,14 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows[k], types[k]) for k in rows], list(rows))
 
 
-def format_conversations(turns: DataFrame) -> DataFrame:
+def format_conversations(turns: DataFrame, vocab: str | None = None) -> DataFrame:
     """Segments (SEGMENT) of all conversations, each conversation's in order within one partition.
 
-    ``turns``: conv_id, turn, role and either ``parts`` (array of PART) or ``text``.
+    ``turns``: conv_id, turn, role and either ``parts`` (array of PART) or ``text``.  Texts count
+    the tokens of the byte-level BPE vocabulary in ``vocab`` (the public one unless given).
     """
+    ranks = bytebpe.read_ranks(vocab or public_tokenizers.path(bytebpe.VOCAB))
+    model = turns.sparkSession.sparkContext.broadcast(bytebpe.serialise(ranks))
     if "parts" in turns.columns:
         parts = F.col("parts").cast(f"array<{PART}>")
     else:
@@ -147,7 +161,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         parts = F.array(F.struct(F.lit("text").alias("type"), F.coalesce("text", F.lit("")).alias("text"), none("string").alias("ref"), none("int").alias("width"), none("int").alias("height"), none("double").alias("seconds"), none("int").alias("pages")))
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", F.xxhash64("parts"))
-    return map_arrow(rows.select("conv_id", "role", "parts"), _format, SEGMENT)
+    return map_arrow(rows.select("conv_id", "role", "parts"), partial(_format, model), SEGMENT)
 
 
 DIGEST_ROW = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("tokens", pa.int64())])
@@ -186,8 +200,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(segments: DataFrame) -> DataFrame:
-    """Figures of every conversation (DIGEST), read from its segments in their order."""
-    return map_arrow(segments, _digest, DIGEST)
+    """Figures of every conversation (DIGEST), from its segments in whatever order and files they lie."""
+    return map_arrow(segments.repartition("conv_id").sortWithinPartitions("conv_id", "seq"), _digest, DIGEST)
 
 
 #: The conversation that the contract adds.
@@ -196,4 +210,5 @@ EXTRA = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\
 
 def q_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    return read_back(format_conversations(turns.union(spark.createDataFrame(EXTRA, "conv_id long, turn long, role string, text string"))))
+    segments = format_conversations(turns.union(spark.createDataFrame(EXTRA, "conv_id long, turn long, role string, text string")))
+    return read_back(materialise(segments, "segments"))
