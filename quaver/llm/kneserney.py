@@ -375,6 +375,8 @@ def train(texts: DataFrame) -> Model:
         for name in ("hash", "count", "before"):
             save(folder, f"{name}-{s:05d}", np.zeros(0, np.uint8))
     model = Model(folder, np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(totals)]), docs, pair_ranges)
+    if model.words + 2 > 1 << 32:
+        raise OverflowError(f"{model.words} words; an id has 32 bits")
     if not docs:
         return model
     sent = map_arrow(texts.select("text"), _pairs(model), BLOBS)

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quaver.llm import chatformat, decontam, kneserney, mixing, ngramjoin, quality, sharding, textvec, tokenfiles, toxicity, urlgraph
@@ -83,6 +84,28 @@ def test_sharding(odd, empty):
     assert sharding.shard_documents(empty, sharding.balanced(4)).count() == 0
 
 
+def test_sharding_descends_as_drawn(spark):
+    """Every key by hand: the child with the least draw on each level, where a child weighs what its leaves do."""
+    tree = [sharding.Leaf("a", "x", 0, 1.0), sharding.Leaf("a", "x", 1, 3.0), sharding.Leaf("a", "y", 2, 0.5), sharding.Leaf("b", "x", 3, 2.0), sharding.Leaf("b", "z", 4, 1.5)]
+
+    def draw(key, path, weight):
+        h = xxhash.xxh64(path.encode(), seed=xxhash.xxh64(key.encode(), seed=42).intdigest()).intdigest()
+        return -math.log(((h >> 11) + 0.5) / 2**53) / weight
+
+    def descend(key):
+        at = tree
+        for path in (lambda x: x.region, lambda x: f"{x.region}/{x.rack}", lambda x: f"{x.region}/{x.rack}/{x.shard}"):
+            weight = collections.Counter()
+            for x in at:
+                weight[path(x)] += x.weight
+            best = min(weight, key=lambda c: draw(key, c, weight[c]))
+            at = [x for x in at if path(x) == best]
+        return at[0].shard
+
+    got = {r.doc_id: r.shard for r in sharding.assign(spark.range(3000).withColumnRenamed("id", "doc_id"), tree).collect()}
+    assert got == {i: descend(str(i)) for i in range(3000)} and set(got.values()) == set(range(5))
+
+
 def test_sharding_confines_movement(spark):
     ids = spark.range(4000).withColumnRenamed("id", "doc_id")
     tree = sharding.balanced(16)
@@ -201,6 +224,15 @@ def test_decontamination(spark, docs, small):
     assert kept == {d for d, _ in texts(docs)} - {d for d, _ in want}
 
 
+def test_decontamination_of_many_items_is_the_same(spark, docs, small, monkeypatch):
+    """More shingles than a task should be sent: they are joined instead, with the same result."""
+    bench = spark.read.parquet(f"{small}/benchmark.parquet")
+    rows = lambda: sorted(tuple(r) for r in decontam.leaks(docs, bench).collect())
+    few = rows()
+    monkeypatch.setattr(decontam, "SHINGLES", 0)
+    assert few and rows() == few
+
+
 def test_blocks_meet_within_the_radius(spark):
     """Every pair of fingerprints within RADIUS meets in a block; few others do."""
     rng = np.random.default_rng(5)
@@ -537,6 +569,27 @@ def test_chat_round_trip(spark):
     assert chatformat.read_back(chatformat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_chat_segments_are_stored_and_read_in_any_order(spark, tmp_path):
+    df = spark.createDataFrame([(c, i, ("user", "assistant")[i % 2], f"turn {i} of {c} <x>" * (i % 5)) for c in range(6) for i in range(40)], "conv_id long, turn long, role string, text string")
+    segments = chatformat.format_conversations(df)
+    segments.repartition(9).write.parquet(f"{tmp_path}/segments")
+    key = lambda r: r.conv_id
+    got = sorted(chatformat.read_back(spark.read.parquet(f"{tmp_path}/segments")).collect(), key=key)
+    assert got == sorted(chatformat.read_back(segments).collect(), key=key) and [r.n_turns for r in got] == [40] * 6
+
+
+def test_chat_counts_tokens(spark):
+    import public_tokenizers
+    import tiktoken
+
+    from quaver.llm import bytebpe
+
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bytebpe.read_ranks(public_tokenizers.path(bytebpe.VOCAB)), special_tokens={})
+    said = ["", "plain words, <marks> and 漢字", None, "x" * 999]
+    rows = spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(said)], "conv_id long, turn long, role string, text string")
+    assert [r.tokens for r in chatformat.format_conversations(rows).orderBy("seq").collect()] == [len(known.encode_ordinary(t or "")) for t in said]
+
+
 def test_chat_odd(spark):
     """Very long and repeated turns, ties, columns of the operator's own names, typed parts through Spark."""
     long = "x<y> " * 400_000
