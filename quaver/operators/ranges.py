@@ -49,3 +49,16 @@ def last_known(cut: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     for k in keys:
         same = same & own[k].eqNullSafe(before[k])
     return own.join(F.broadcast(before), same, "left").select(*[own[c] for c in cut.columns], F.coalesce(own["_own"], before["carried"]).alias(name))
+
+
+def numbered(cut: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """``cut`` with ``name``: each row's place among its key's rows in order, from 0, for keys of any size."""
+    place = F.row_number().over(Window.partitionBy(PART, *keys).orderBy(*order)).cast("long") - 1
+    own = cut.withColumn("_own", place)
+    counts = cut.groupBy(PART, *keys).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.withColumn("_before", earlier).where("_before IS NOT NULL").select(PART, *keys, "_before")
+    same = own[PART] == before[PART]
+    for k in keys:
+        same = same & own[k].eqNullSafe(before[k])
+    return own.join(F.broadcast(before), same, "left").select(*[own[c] for c in cut.columns], (own["_own"] + F.coalesce(before["_before"], F.lit(0))).alias(name))

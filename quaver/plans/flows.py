@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quaver.functions import text as X
 from quaver.operators.digests import corpus_digest
-from quaver.operators.ranges import last_known, ranged
+from quaver.operators.ranges import last_known, numbered, ranged
 from quaver.operators.resampling import HALF, low_pass, resample
 from quaver.operators.stitching import stitch as stitched
 from quaver.plans.base import micros, query
@@ -53,20 +53,20 @@ def stitch(t):
     """Every conversation heard in windows of 20 words that begin 3 words early; every third window hears its first word
     otherwise and all of its words a quarter of a second early, so that a cut falls into a word."""
     c = t.conversations.where("text IS NOT NULL").select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("p", "word"))
-    said = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "p", "word"))).alias("w"))
-    k = said.select("conv_id", F.transform("w", lambda x, i: F.struct(i.alias("i"), x["word"].alias("word"))).alias("w"), F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 17).cast("int"))).alias("seg"))
-    early = F.col("seg") % 3 == 2
-    start = lambda x: 5 + x["i"] * 0.5 + F.when(early, -0.125).otherwise(0.125)
-    stop = lambda x: 5.5 + x["i"] * 0.5
+    order = ["turn", "p"]
+    words = numbered(ranged(c, ["conv_id"], order), ["conv_id"], order, "i")
+    # a word lies in the window that begins at or before it, and, among the three before a window, in that one too
+    last = F.floor(F.col("i") / 17)
+    k = words.withColumn("seg", F.explode(F.when((F.col("i") % 17 < 3) & (last > 0), F.array(last - 1, last)).otherwise(F.array(last)))).withColumn("seg", F.col("seg").cast("int"))
+    early, j = F.col("seg") % 3 == 2, F.col("i") - F.col("seg") * 17
+    start = 5 + F.col("i") * 0.5 + F.when(early, -0.125).otherwise(0.125)
+    stop = 5.5 + F.col("i") * 0.5
     half = lambda a, z: F.struct(F.lit("x").alias("char"), a.cast("double").alias("start"), z.cast("double").alias("stop"))
-
-    def heard(x, j):
-        word = F.when(early & (j == 0), F.lit("(inaudible)")).otherwise(x["word"])
-        chars = F.array(half(start(x), start(x) + 0.25), half(start(x) + 0.25, stop(x)))
-        return F.struct(X.normalized(word).alias("key"), word.alias("word"), start(x).cast("double").alias("start"), stop(x).cast("double").alias("stop"), chars.alias("chars"))
-
+    word = F.when(early & (j == 0), F.lit("(inaudible)")).otherwise(F.col("word"))
+    heard = F.struct(X.normalized(word).alias("key"), word.alias("word"), start.cast("double").alias("start"), stop.cast("double").alias("stop"), F.array(half(start, start + 0.25), half(start + 0.25, stop)).alias("chars"))
+    windows = k.groupBy(F.col("conv_id").alias("rec"), "seg").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", heard.alias("w")))), lambda x: x["w"]).alias("words"))
     begin = (8.5 * F.col("seg")).cast("double")
-    windows = k.select(F.col("conv_id").alias("rec"), "seg", (5 + begin).alias("window_start"), (5.625 + begin).alias("core"), F.lit("en").alias("language"), F.transform(F.slice("w", F.col("seg") * 17 + 1, F.lit(20)), heard).alias("words"))
+    windows = windows.select("rec", "seg", (5 + begin).alias("window_start"), (5.625 + begin).alias("core"), F.lit("en").alias("language"), "words")
     out = stitched(windows)
     return out.select(F.col("rec").alias("conv_id"), F.col("seg").alias("segment"), "start", "stop", "text", "uncertain", "conflict", F.size("words").alias("n_words"), F.size(F.filter("words", lambda w: w["estimated"])).alias("n_estimated"), F.aggregate("words", F.lit(0), lambda a, w: a + F.size(w["chars"])).alias("n_chars"))
 

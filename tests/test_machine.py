@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quaver.operators.ranges import last_known, ranged
+from quaver.operators.ranges import last_known, numbered, ranged
 from quaver.streaming.machine import SONGS, follow, replay
 
 HOUR = 3_600_000_000
@@ -99,3 +99,8 @@ def test_last_known_over_range_edges(spark, rows):
     df = spark.createDataFrame(data, "k long, at long, v long")
     got = last_known(ranged(df, ["k"], ["at"], rows), ["k"], ["at"], F.col("v"), "last")
     assert {(r.k, r.at): r.last for r in got.collect()} == want
+    places = {}
+    for k, at, _ in sorted(data, key=lambda x: x[1]):
+        places.setdefault(k, []).append(at)
+    got = numbered(ranged(df, ["k"], ["at"], rows), ["k"], ["at"], "place")
+    assert {(r.k, r.place): r.at for r in got.collect()} == {(k, i): at for k, ats in places.items() for i, at in enumerate(ats)}
