@@ -58,7 +58,7 @@ class Tempered:
 
 Targets = Mapping[str, Mapping[str, float] | Tempered]
 #: The production marginals (shares of tokens): values not named share the rest by what they have.
-TARGETS: Targets = {"source": {"src0": 0.25}, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "topic": Tempered(0.8)}
+TARGETS: Targets = {"source": Tempered(0.7), "lang": {"en": 0.5}, "topic": Tempered(0.8)}
 
 
 def goals(have: Mapping[str, float], targets: Mapping[str, float] | Tempered) -> dict[str, float]:
