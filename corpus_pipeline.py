@@ -1,4 +1,9 @@
-"""The corpus pipeline: five operators, each over all that its predecessor kept."""
+"""The corpus pipeline: five operators, each over all that its predecessor kept.
+
+Edge cases are those of the operators: null and empty texts are clean, link with nothing and draw by their id; of rows
+equal in text one stays; a null id is a row like any other; very long texts are read whole; columns beyond those of
+documents pass through the first four stages whatever their names; empty tables give an empty result.
+"""
 
 from __future__ import annotations
 
