@@ -95,31 +95,47 @@ def seam(df: DataFrame) -> DataFrame:
     return out.drop("_k", "_new", "_meet", "_o", "_n")
 
 
+def _meet(old: list[tuple], new: list[tuple], core: float) -> tuple[list[tuple], list[tuple], bool]:
+    """What a seam leaves of two windows' words (pos, key, start, stop, estimated), and whether it cuts two of them."""
+    alike = lambda pair: pair[0][1] == pair[1][1] and pair[0][2] < pair[1][3] and pair[1][2] < pair[0][3]
+    reach = min(REACH, len(old), len(new))
+    said = max((k for k in range(reach + 1) if all(map(alike, zip(old[len(old) - k :], new, strict=False)))), default=0)
+    new = new[said:]
+    if not new or old[-1][3] <= new[0][2]:
+        return old, new, False
+    sides: dict[bool, list[tuple]] = {True: [], False: []}
+    for own, words in ((True, old), (False, new)):
+        sides[own] = [w for w in words if ((w[2] + w[3]) / 2 < core) is own]
+    old, new = sides[True], sides[False]
+    cut = bool(old) and bool(new) and old[-1][3] > new[0][2]
+    if cut:
+        pos, key, start, stop, _ = old[-1]
+        old = [*old[:-1], (pos, key, start, min(stop, core), True)]
+        pos, key, start, stop, _ = new[0]
+        new = [(pos, key, max(start, core), stop, True), *new[1:]]
+    return old, new, cut
+
+
 def in_order(rows: pd.DataFrame) -> Iterator[tuple]:
-    """(seg, pos, start, stop, estimated, conflict, uncertain) of what is left of windows that hang on each other."""
-    left: list[tuple[dict, list[dict]]] = []
-    for r in rows.sort_values(["window_start", "seg"]).to_dict("records"):
-        flags = {"seg": r["seg"], "conflict": False, "uncertain": False}
-        own = [{**w, "estimated": False} for w in r["words"]]
-        if left and own:
-            before, words = left.pop()
-            overlaps = lambda a, b: a["key"] == b["key"] and max(a["start"], b["start"]) < min(a["stop"], b["stop"])
-            sizes = range(min(REACH, len(words), len(own)), 0, -1)
-            own = own[next((k for k in sizes if all(map(overlaps, words[len(words) - k :], own))), 0) :]
-            if own and own[0]["start"] < words[-1]["stop"]:
-                middle = lambda w: (w["start"] + w["stop"]) / 2
-                words, own = [w for w in words if middle(w) < r["core"]], [w for w in own if middle(w) >= r["core"]]
-                if words and own and words[-1]["stop"] > own[0]["start"]:
-                    words[-1] |= {"stop": min(words[-1]["stop"], r["core"]), "estimated": True}
-                    own[0] |= {"start": max(own[0]["start"], r["core"]), "estimated": True}
-                    before["uncertain"] = flags["uncertain"] = flags["conflict"] = True
-            if words:
-                left.append((before, words))
-        if own:
-            left.append((flags, own))
-    for flags, words in left:
-        for w in words:
-            yield flags["seg"], w["pos"], w["start"], w["stop"], w["estimated"], flags["conflict"], flags["uncertain"]
+    """(seg, pos, start, stop, estimated, conflict, uncertain) of what is left of windows that hang on each other.
+
+    ``open_`` holds the windows that keep words so far; a window meets the last of them, and one that loses all its
+    words to a seam leaves the place to the one before.
+    """
+    open_: list[tuple[int, list[tuple], list[bool]]] = []
+    for r in rows.sort_values(["window_start", "seg"]).itertuples(index=False):
+        words, marks = [(w["pos"], w["key"], w["start"], w["stop"], False) for w in r.words], [False, False]
+        if open_ and words:
+            seg, before, marks_before = open_.pop()
+            before, words, cut = _meet(before, words, r.core)
+            marks = [cut, cut]
+            if before:
+                open_.append((seg, before, [marks_before[0], marks_before[1] or cut]))
+        if words:
+            open_.append((r.seg, words, marks))
+    for seg, words, marks in open_:
+        for pos, _, start, stop, estimated in words:
+            yield seg, pos, start, stop, estimated, *marks
 
 
 def _solid(cut: DataFrame) -> DataFrame:
