@@ -25,6 +25,15 @@ def frame_median(df: DataFrame, group: Sequence[str], order: Sequence[str], valu
     return df.withColumn("frame_median", F.expr(f"percentile({value}, 0.5)").over(w))
 
 
+def frame_lower_median(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, reach: int) -> DataFrame:
+    """As ``frame_median``, by the rule of pitch trackers' filters: NaN and null do not count, of two middle values the lower
+    one is taken, and a frame with no value at all is NaN."""
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(-reach, reach)
+    known = F.sort_array(F.collect_list(F.when(~F.isnan(F.col(value)), F.col(value))).over(w))
+    df = df.withColumn("_known", known)
+    return df.withColumn("frame_median", F.coalesce(F.get("_known", F.floor((F.size("_known") - 1) / 2).cast("int")), F.lit(float("nan")))).drop("_known")
+
+
 def interpolate(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, end: Column) -> DataFrame:
     """Runs of nulls lie on a line by row distance: between two known values; before the first from 0 at the first row;
     after the last up to ``end`` one row past the last."""

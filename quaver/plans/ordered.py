@@ -42,6 +42,19 @@ def frame_median_5(t):
     return S.frame_median(t.events, USER, ORDER, "value", 2).select("event_id", F.round("frame_median", 4).alias("frame_median"))
 
 
+@query("""
+WITH e AS (SELECT *, CASE WHEN event_id % 7 > 2 THEN value END AS v FROM events),
+f AS (SELECT event_id, list_sort(list(v) FILTER (v IS NOT NULL) OVER a) AS three, list_sort(list(v) FILTER (v IS NOT NULL) OVER b) AS five FROM e WINDOW a AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), b AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
+SELECT event_id, coalesce(three[(len(three) + 1) // 2], -1) AS three, coalesce(five[(len(five) + 1) // 2], -1) AS five FROM f
+""")
+def track_filters(t):
+    """A track with gaps under filters of three and of five frames; -1 where a filter sees gaps only."""
+    e = t.events.select("user_id", "ts", "event_id", F.when(F.col("event_id") % 7 > 2, F.col("value")).otherwise(float("nan")).alias("v"))
+    three = S.frame_lower_median(e, USER, ORDER, "v", 1).withColumnRenamed("frame_median", "three")
+    both = S.frame_lower_median(three, USER, ORDER, "v", 2).withColumnRenamed("frame_median", "five")
+    return both.select("event_id", *[F.nanvl(c, F.lit(-1.0)).alias(c) for c in ("three", "five")])
+
+
 @query("SELECT event_id, round(median(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 4) AS frame_median FROM events")
 def frame_median_3(t):
     return S.frame_median(t.events, USER, ORDER, "value", 1).select("event_id", F.round("frame_median", 4).alias("frame_median"))
