@@ -209,6 +209,47 @@ def downstream(edges: DataFrame, invalid: DataFrame) -> DataFrame:
         open_, new, size = both.drop("moved"), hit, left.n
 
 
+def compare_runs(runs: DataFrame, tracks: DataFrame, words: DataFrame, fast: str, slow: str, voiced: float = 0.35, close: float = 50.0) -> DataFrame:
+    """Each ``fast`` run against the first ``slow`` one of its language and number, in one row.
+
+    ``runs`` (language, run, mode, job, seconds, errors), ``tracks`` (job, frame, time, hz, confidence), ``words`` (job, j,
+    word, start, stop, estimated).  Pitch is compared where the two tracks have the same frames at the same times (null
+    else): the median difference in cents and the share below ``close`` where both are voiced, and the share of frames
+    where only one is.  Words' edges are compared where all their labels are equal (null else); ``text_kept``: the labels
+    make one text.  A run without a slow one stops the job.  Both sides of a pair are brought together by one grouping
+    of frames, and one of words.
+    """
+    from quaver.functions.signals import cents
+    from quaver.functions.text import normalized
+
+    side = lambda mode: runs.where(F.col("mode") == mode)
+    pairs = require_matches(first_match(side(fast), side(slow).select("language", "run", "job", "seconds", "errors"), ["language", "run"], ["job"]))
+    jobs = pairs.select(F.col("job").alias("pair"), F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("match.job").alias("job")), F.struct(F.lit("b").alias("side"), F.col("job").alias("job")))).alias("s")).select("pair", "s.side", "s.job")
+    of = lambda n, value: F.max(F.when(F.col("side") == n, value)).alias(n)
+
+    f = tracks.join(jobs, "job").groupBy("pair", "frame").agg(*[of(n, F.struct("time", "hz", "confidence")) for n in ("a", "b")])
+    near = F.abs(F.col("a.time") - F.col("b.time")) <= 1e-6 + 1e-5 * F.abs(F.col("b.time"))
+    on = lambda n: F.col(f"{n}.confidence") >= voiced
+    both = on("a") & on("b") & (F.col("a.hz") > 0) & (F.col("b.hz") > 0)
+    f = f.withColumn("c", F.when(both, cents(F.col("a.hz"), F.col("b.hz"))))
+    f = f.groupBy("pair").agg(F.bool_and(F.coalesce(near, F.lit(False))).alias("same_time"), F.median("c").alias("middle_cents"), F.avg((F.col("c") < close).cast("double")).alias("share_close"), F.avg((on("a") != on("b")).cast("double")).alias("share_unlike"))
+
+    w = words.join(jobs, "job").select("pair", "side", "j", F.struct(normalized(F.col("word")).alias("label"), "start", "stop", "estimated").alias("w"))
+    w = w.groupBy("pair", "j").agg(of("a", F.col("w")), of("b", F.col("w")))
+    gap = F.greatest(F.abs(F.col("a.start") - F.col("b.start")), F.abs(F.col("a.stop") - F.col("b.stop")))
+    text = lambda n: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(n).isNotNull(), F.struct("j", F.col(f"{n}.label").alias("l"))))), lambda x: x["l"]), "")
+    guess = lambda n: F.count_if(F.col(f"{n}.estimated"))
+    w = w.groupBy("pair").agg(F.bool_and(F.col("a.label").eqNullSafe(F.col("b.label"))).alias("same_labels"), (text("a") == text("b")).alias("text_kept"), F.max(gap).alias("widest"), guess("a").alias("slow_estimated"), guess("b").alias("fast_estimated"))
+
+    j = pairs.join(f, pairs["job"] == f["pair"], "left").drop("pair").join(w, pairs["job"] == w["pair"], "left")
+    same = F.coalesce("same_time", F.lit(False))
+    return j.select(
+        "language", "run", "job", (F.col("errors") <= F.col("match.errors")).alias("errors_pass"), F.try_divide(F.col("match.seconds"), F.col("seconds")).alias("speedup"), same.alias("same_time"),
+        *[F.when(same, F.col(c)).alias(c) for c in ("middle_cents", "share_close", "share_unlike")], F.coalesce("text_kept", F.lit(True)).alias("text_kept"), F.when(F.col("same_labels"), F.col("widest")).alias("widest"),
+        F.coalesce("slow_estimated", F.lit(0)).alias("slow_estimated"), F.coalesce("fast_estimated", F.lit(0)).alias("fast_estimated"),
+    )
+
+
 def complete_sets(rows: DataFrame, key: str, name: str, names: Sequence[str]) -> DataFrame:
     """(key) of what has every one of ``names``, whatever else it has."""
     seen = rows.where(F.col(name).isin(*names)).groupBy(key).agg(F.count_distinct(name).alias("n"))
