@@ -380,13 +380,13 @@ def json_encoded(t):
 @query("""
 WITH r AS (SELECT vec_id AS job, vec_id // 2 AS run, vec_id % 2 AS fast, 10 + vec_id % 7 AS seconds, label AS errors FROM embeddings),
 f AS (SELECT vec_id AS job, i, i * 0.01 + CASE WHEN vec_id % 14 = 1 AND i = 9 THEN 0.005 ELSE 0 END AS time, CASE WHEN i % 9 = 0 THEN 0 ELSE 220 * pow(2, embedding[i + 1]::double / 12) END AS hz, abs(embedding[i + 1]::double) * 6 AS conf FROM (SELECT *, unnest(range(0, len(embedding))) AS i FROM embeddings)),
-w AS (SELECT job, i // 8 AS j, CASE WHEN job % 10 = 3 AND i = 16 THEN 'other' WHEN job % 10 = 5 AND i = 16 THEN 'word16word' WHEN job % 10 = 5 AND i = 24 THEN '24' ELSE 'word' || i END AS word, i * 0.1 + (job % 3) * 0.015625 AS start, i * 0.1 + 0.25 AS stop, conf < 0.3 AS est FROM f WHERE i % 8 = 0),
+w AS (SELECT job, i // 8 AS j, CASE WHEN job % 10 = 3 AND i = 16 THEN 'other' WHEN job % 10 = 5 AND i = 16 THEN 'word16word' WHEN job % 10 = 5 AND i = 24 THEN '24' ELSE 'word' || i END AS word, (i * 0.1 + (job % 3) * 0.015625)::double AS start, (i * 0.1 + 0.25)::double AS stop, conf < 0.3 AS est FROM f WHERE i % 8 = 0),
 p AS (SELECT a.job AS job, a.run, a.seconds, a.errors, b.job AS slow, b.seconds AS slow_seconds, b.errors AS slow_errors FROM r a JOIN r b ON b.run = a.run AND b.fast = 0 WHERE a.fast = 1),
 pf AS (SELECT p.job, bool_and(abs(x.time - y.time) <= 1e-6 + 1e-5 * abs(y.time)) AS same_time, median(abs(1200 * log2(x.hz / y.hz))) FILTER (x.conf >= 0.35 AND y.conf >= 0.35 AND x.hz > 0 AND y.hz > 0) AS middle,
   avg((abs(1200 * log2(x.hz / y.hz)) < 50)::int) FILTER (x.conf >= 0.35 AND y.conf >= 0.35 AND x.hz > 0 AND y.hz > 0) AS close, avg(((x.conf >= 0.35) <> (y.conf >= 0.35))::int) AS unlike
   FROM p JOIN (SELECT * REPLACE (CASE WHEN hz = 0 THEN NULL ELSE hz END AS hz) FROM f) x ON x.job = p.slow JOIN (SELECT * REPLACE (CASE WHEN hz = 0 THEN NULL ELSE hz END AS hz) FROM f) y ON y.job = p.job AND y.i = x.i GROUP BY 1),
 pw AS (SELECT p.job, bool_and(x.word = y.word) AS same, string_agg(x.word, '' ORDER BY x.j) = string_agg(y.word, '' ORDER BY y.j) AS kept, max(greatest(abs(x.start - y.start), abs(x.stop - y.stop))) AS widest, count(*) FILTER (x.est) AS slow_estimated, count(*) FILTER (y.est) AS fast_estimated FROM p JOIN w x ON x.job = p.slow JOIN w y ON y.job = p.job AND y.j = x.j GROUP BY 1)
-SELECT run, job, errors <= slow_errors AS errors_pass, round(slow_seconds / seconds, 6) AS speedup, same_time, CASE WHEN same_time THEN round(middle, 4) END AS middle_cents, CASE WHEN same_time THEN round(close, 6) END AS share_close, CASE WHEN same_time THEN round(unlike, 6) END AS share_unlike, kept AS text_kept, CASE WHEN same THEN round(widest, 6) END AS widest, slow_estimated, fast_estimated FROM p JOIN pf USING (job) JOIN pw USING (job)
+SELECT run, job, errors <= slow_errors AS errors_pass, round(slow_seconds / seconds, 6) AS speedup, same_time, CASE WHEN same_time THEN round(middle, 4) END AS middle_cents, CASE WHEN same_time THEN round(close, 6) END AS share_close, CASE WHEN same_time THEN round(unlike, 6) END AS share_unlike, kept AS text_kept, CASE WHEN same THEN round(widest, 6)::double END AS widest, slow_estimated, fast_estimated FROM p JOIN pf USING (job) JOIN pw USING (job)
 """)
 def acceleration(t):
     """Odd vectors as fast runs against the even ones before them: errors, speed, pitch frame by frame, words' edges."""
