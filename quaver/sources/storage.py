@@ -15,7 +15,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's path in the shared folder; on one machine without that setting, in a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quaver-")
     return f"{base.rstrip('/')}/quaver-{name}-{uuid.uuid4().hex}"
