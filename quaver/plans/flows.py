@@ -67,7 +67,9 @@ def stitch(t):
     windows = k.groupBy(F.col("conv_id").alias("rec"), "seg").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", heard.alias("w")))), lambda x: x["w"]).alias("words"))
     begin = (8.5 * F.col("seg")).cast("double")
     windows = windows.select("rec", "seg", (5 + begin).alias("window_start"), (5.625 + begin).alias("core"), F.lit("en").alias("language"), "words")
-    out = stitched(windows)
+    folder = scratch(t.spark, "heard")  # read twice: counted, and cut into ranges
+    windows.write.parquet(folder)
+    out = stitched(t.spark.read.schema(windows.schema).parquet(folder))
     return out.select(F.col("rec").alias("conv_id"), F.col("seg").alias("segment"), "start", "stop", "text", "uncertain", "conflict", F.size("words").alias("n_words"), F.size(F.filter("words", lambda w: w["estimated"])).alias("n_estimated"), F.aggregate("words", F.lit(0), lambda a, w: a + F.size(w["chars"])).alias("n_chars"))
 
 
