@@ -150,7 +150,8 @@ def lookup(wanted: DataFrame, records: DataFrame, close: float = 2.0) -> DataFra
 
     A record fits with an equal normalised title and artist, a finite duration within
     ``close`` seconds and a voice.  Records of one text count once, the last of them; those
-    with times are preferred to those without; only a single text left decides.
+    with times are preferred to those without; only a single text left decides.  Titles that ask the same, and records
+    that answer the same, meet once; rows of one id ask together.
     """
     from quaver.functions.rules import finite
     from quaver.functions.text import normalized
@@ -158,14 +159,23 @@ def lookup(wanted: DataFrame, records: DataFrame, close: float = 2.0) -> DataFra
     key = lambda df: df.withColumn("_t", normalized(F.col("title"))).withColumn("_a", normalized(F.col("artist")))
     w = key(wanted).select("id", F.col("duration").alias("_want"), "_t", "_a")
     r = key(records.where(finite(F.col("duration")) & ~F.coalesce("instrumental", F.lit(False)))).select("record_id", "duration", "synced_text", "plain_text", "_t", "_a")
-    met = w.join(r, ["_t", "_a"]).where(F.abs(F.col("duration") - F.col("_want")) <= close)
     some = lambda c: F.nullif(F.col(c), F.lit(""))
-    met = met.withColumn("text", F.coalesce(some("synced_text"), some("plain_text"))).where("text IS NOT NULL").withColumn("synced", some("synced_text").isNotNull())
-    texts = met.groupBy("id", "text").agg(F.max_by(F.struct("record_id", "synced"), "record_id").alias("r"))
-    best = texts.groupBy("id", F.col("r.synced").alias("synced")).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("text", "r.record_id")).alias("one"))
-    pick = best.groupBy("id").agg(F.max_by(F.struct("synced", "n", "one"), "synced").alias("b"))
+    r = r.withColumn("text", F.coalesce(some("synced_text"), some("plain_text"))).where("text IS NOT NULL")
+    # what is asked is asked once, and of records that answer alike the last one is kept, before the two meet
+    last = F.max(F.struct("record_id", some("synced_text").isNotNull().alias("synced"))).alias("r")
+    r = r.groupBy("_t", "_a", "duration", "text").agg(last)
+    own = w.where("id IS NOT NULL AND _t IS NOT NULL AND _a IS NOT NULL AND _want IS NOT NULL").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("_t", "_a", "_want"))).alias("_q"))
+    asked = own.select("_q").distinct().select("_q", F.explode("_q").alias("q")).select("_q", "q.*")
+    # and only within neighbouring stretches of time; these are twice as long as ``close``, so that rounding leaves out nothing
+    width = 2 * close if close > 0 else 1.0
+    stretch = lambda c: F.floor(F.least(F.greatest(F.col(c) / width, F.lit(-1e15)), F.lit(1e15)))
+    near = r.withColumn("_b", F.explode(F.sequence(stretch("duration") - 1, stretch("duration") + 1)))
+    met = asked.withColumn("_b", stretch("_want")).join(near, ["_t", "_a", "_b"]).where(F.abs(F.col("duration") - F.col("_want")) <= close)
+    texts = met.groupBy("_q", "text").agg(F.max("r").alias("r"))
+    best = texts.groupBy("_q", F.col("r.synced").alias("synced")).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("text", "r.record_id")).alias("one"))
+    pick = best.groupBy("_q").agg(F.max_by(F.struct("synced", "n", "one"), "synced").alias("b"))
     single = F.col("b.n") == 1
-    out = wanted.select("id").join(pick, "id", "left")
+    out = wanted.select("id").join(own.join(pick, "_q").select("id", "b"), "id", "left")
     return out.select("id", F.when(single, F.col("b.one.text")).alias("text"), F.when(single, F.col("b.one.record_id")).alias("record_id"), F.coalesce("b.synced", F.lit(False)).alias("synced"), F.coalesce("b.n", F.lit(0)).alias("n_texts"), (~F.coalesce(single & F.col("b.synced"), F.lit(False))).alias("needs_input"))
 
 

@@ -89,3 +89,38 @@ def test_edit_counts(monkeypatch, stored):
         assert S.edit_counts(ref, hyp) == want and S.edit_errors(ref, hyp) == want[0]
     ref, hyp = rng.integers(0, 40, 300), rng.integers(0, 40, 190)
     assert S.edit_counts(ref, hyp) == by_table(ref.tolist(), hyp.tolist())
+
+
+def test_lookup_meets_each_question_once(spark):
+    """Titles that ask the same, and records that answer the same, meet once, however often either is repeated."""
+    wanted = spark.range(400).select("id", F.lit("A song").alias("title"), F.lit("Someone").alias("artist"), (F.col("id") % 4 * 2.0).alias("duration"))
+    records = spark.range(600).select(
+        F.col("id").alias("record_id"), F.lit("a Song").alias("title"), F.lit("someone!").alias("artist"), (F.col("id") % 3 * 5.0).alias("duration"), F.lit(None).cast("boolean").alias("instrumental"),
+        F.when(F.col("id") % 3 == 0, "timed").alias("synced_text"), F.concat(F.lit("plain "), F.col("id") % 3).alias("plain_text"),
+    )
+    # more than one question of an id go together; a null id and rounding at the edge ask alone
+    odd = spark.createDataFrame([(0, "A song", "Someone", 5.0), (None, "A song", "Someone", 0.0), (900, "A song", "Someone", 12.0), (901, None, "Someone", 1.0)], "id long, title string, artist string, duration double")
+    out = C.lookup(wanted.union(odd), records)
+    got = {(r.id, r.text, r.record_id, r.n_texts, r.needs_input) for r in out.collect()}
+    # duration 0: timed; 2: timed; 4 and 6: plain 1 at 5; 12: plain 2 at 10; id 0 asks for 0 and 5
+    want = {(i, "timed", 597, 1, False) if i % 4 < 2 else (i, "plain 1", 598, 1, True) for i in range(400)}
+    assert got == want | {(None, None, None, 0, True), (900, "plain 2", 599, 1, True), (901, None, None, 0, True)}
+    metrics = met_rows(out)
+    assert metrics and max(metrics) <= 1000  # a pair of each title and record would be 400 x 600 / 3 at least
+
+
+def met_rows(df):
+    """Rows that each join of a query that ran gave."""
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if "Join" in node.nodeName():
+            found.append(node.metrics().apply("numOutputRows").value())
+        if node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        todo.extend(node.children().apply(i) for i in range(node.children().size()))
+    return found
