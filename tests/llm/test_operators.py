@@ -841,3 +841,25 @@ def test_pipeline_on_odd_and_empty_tables(spark, small, odd, empty, tmp_path):
         slots = P.sharding(spark, now, str(folder)).collect()
         assert len(slots) == now.count()
         assert (P.run(spark, str(folder)).count() > 0) == (name == "odd")
+
+
+def test_quality_counts_every_labelled_text(spark):
+    labels = spark.range(120_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    sides = [quality.labelled_ids(labels, good, left_out).count() for good in (True, False) for left_out in (True, False)]
+    assert sum(sides) == 120_000 and min(sides[1], sides[3]) > 40_000
+    # 60,000 texts that are told apart only by one word, and all of them are counted
+    few = labels.where("doc_id < 60000")
+    words = " ".join(f"word{i}" for i in range(60))
+    docs = few.select("doc_id", F.concat(F.lit(words), F.when(F.col("quality") == 1, " fine").otherwise(" awful")).alias("text"))
+    out = quality.judge(docs, few).groupBy("kept", (F.col("doc_id") % 2).alias("side")).count().collect()
+    assert sorted((r.kept, r.side, r["count"]) for r in out) == [(False, 0, 30_000), (True, 1, 30_000)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_floor_over_ranges(spark, seed):
+    rng = np.random.default_rng(seed)
+    good, bad = rng.normal(0.3, 1, 700).round(seed + 1), rng.normal(-0.3, 1, 400).round(seed + 1)
+    want = quality.best_floor(good, bad)
+    df = spark.createDataFrame([(float(x), True) for x in good] + [(float(x), False) for x in bad], "llr double, good boolean")
+    assert quality.learnt_floor(df, scores=40) == quality.learnt_floor(df) == want
+    assert quality.learnt_floor(df.where("good")) == quality.learnt_floor(df.where("NOT good")) == -np.inf
