@@ -10,7 +10,8 @@ time (``as_of``; a stream's watermark), which timers watch.
   after a stop, and late entries count from the last one without going back in time.
 * ``replay`` gives the same table from a whole log.  An entry maps every status to its next one,
   and such maps can be joined in any grouping: ranges of the log are folded for all statuses they
-  could begin in, then a job's ranges are chained, so that a job with all entries is spread over tasks.
+  could begin in (where a job begins, for the initial one), then a job's ranges are chained, so that a
+  job with all entries is spread over tasks.
 
 Edge cases: an empty log has no jobs; a null or unknown wish is refused by every status; a null job
 is a job; entries of one time go by ``id``; repeated entries are entries; other columns are not read.
@@ -78,15 +79,16 @@ SONGS = Machine(
 FIGURES = ("elapsed", "starts", "refused", "crashes")
 
 
-def _fold(entries: Column, last: Column, m: Machine) -> Column:
-    """struct(last, arms): what a run of entries makes of each status it could begin in."""
+def _fold(entries: Column, before: Column, m: Machine) -> Column:
+    """struct(last, arms): what a run of entries makes of each status it could begin in; with none ``before`` it, of the initial one only."""
     names = m.statuses
     code = {s: i for i, s in enumerate(names)}
     ints = lambda xs: F.array(*[F.lit(x) for x in xs])
     to = F.array(*[ints(code.get(m.rules.get((s, w)), -1) for s in names) for w in m.wishes], ints([-1] * len(names)))
     active, recovered = ints(int(s in m.recovery) for s in names), ints(code[m.recovery.get(s, s)] for s in names)
     zero = F.lit(0).cast("long")
-    begin = F.array(*[F.struct(F.lit(i).alias("status"), *[zero.alias(f) for f in FIGURES]) for i in range(len(names))])
+    arms = F.array(*[F.struct(F.lit(i).alias("status"), *[zero.alias(f) for f in FIGURES]) for i in range(len(names))])
+    begin = F.when(before.isNull(), F.slice(arms, code[m.initial] + 1, 1)).otherwise(arms)
 
     def one(arm: Column, gap: Column, w: Column) -> Column:
         on, crash = F.get(active, arm["status"]), gap > m.timeout
@@ -103,7 +105,7 @@ def _fold(entries: Column, last: Column, m: Machine) -> Column:
         gap = F.greatest(zero, F.coalesce(e["at"] - acc["last"], zero))
         return F.struct(F.greatest(e["at"], acc["last"]).alias("last"), F.transform(acc["arms"], lambda arm: one(arm, gap, e["w"])).alias("arms"))
 
-    return F.aggregate(entries, F.struct(last.cast("long").alias("last"), begin.alias("arms")), step)
+    return F.aggregate(entries, F.struct(before["at"].alias("last"), begin.alias("arms")), step)
 
 
 def replay(log: DataFrame, machine: Machine = SONGS, *, job: str = "job", at: str = "at", id: str = "id", wish: str = "wish", rows: int = ROWS) -> DataFrame:
@@ -112,8 +114,10 @@ def replay(log: DataFrame, machine: Machine = SONGS, *, job: str = "job", at: st
     known = F.coalesce(F.array_position(F.array(*[F.lit(w) for w in machine.wishes]), F.col(wish)), F.lit(0))
     code = F.when(known == 0, len(machine.wishes)).otherwise(known - 1).cast("int")
     cut = ranged(log.select(F.col(job).alias("job"), F.col(at).cast("long").alias("at"), F.col(id).alias("id"), code.alias("w")), ["job"], ["at", "id"], rows)
-    parts = cut.groupBy(PART, "job").agg(F.array_sort(F.collect_list(F.struct("at", "id", "w"))).alias("entries"))
-    before = carried(cut, ["job"], ["at", "id"], F.col("at"))
+    # folding is work in itself, however few bytes it reads: as many tasks as ranges
+    ranges = (cut.agg(F.max(PART)).first()[0] or 0) + 1
+    parts = cut.repartition(ranges, PART).groupBy(PART, "job").agg(F.array_sort(F.collect_list(F.struct("at", "id", "w"))).alias("entries"))
+    before = carried(cut, ["job"], ["at", "id"], F.struct("at"))  # null where a job begins
     both = parts.join(F.broadcast(before), (parts[PART] == before[PART]) & parts["job"].eqNullSafe(before["job"]), "left")
     folded = both.select(parts[PART], parts["job"], _fold(parts["entries"], before["carried"], machine).alias("f"))
     chain = folded.groupBy("job").agg(F.array_sort(F.collect_list(F.struct(PART, "f"))).alias("parts"), F.max("f.last").alias("updated"))
@@ -121,7 +125,8 @@ def replay(log: DataFrame, machine: Machine = SONGS, *, job: str = "job", at: st
     first = F.struct(F.lit(names.index(machine.initial)).alias("status"), *[zero.alias(f) for f in FIGURES])
 
     def join(acc: Column, p: Column) -> Column:
-        arm = F.get(p["f"]["arms"], acc["status"])
+        arms = p["f"]["arms"]
+        arm = F.get(arms, F.when(F.size(arms) == 1, 0).otherwise(acc["status"]))
         return F.struct(arm["status"].alias("status"), *[(acc[f] + arm[f]).alias(f) for f in FIGURES])
 
     # the end of time is one row

@@ -57,6 +57,16 @@ def test_replay_in_ranges(spark):
     assert replay(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_ranges_are_folded_in_tasks_of_their_own(spark):
+    """However few bytes they have; times may be null where a job goes over an edge."""
+    rows = [(job, 10**15 + i * HOUR // 9 if job or i > 40 else None, i, wish) for job in range(2) for i, wish in enumerate(["claim", "progress", "pause", "resolve"] * 300)]
+    out = replay(spark.createDataFrame(rows, SCHEMA), rows=60)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_part" in plan and "REPARTITION_BY_NUM" in plan.split("hashpartitioning(_part", 1)[1].split("\n", 1)[0]
+    got = figures(out)
+    assert got == figures(replay(spark.createDataFrame(rows, SCHEMA), rows=10**6)) and got[1] == by_loop([r for r in rows if r[0]])[1]
+
+
 def test_time_counts_while_running_only(spark):
     s = 1_000_000
     pauses = [(1, 200 * s, 1, "claim"), (1, 215 * s, 2, "fail"), (1, 300 * s, 3, "retry"), (1, 300 * s, 4, "claim"), (1, 320 * s, 5, "complete")]
