@@ -22,8 +22,8 @@ def macro(rates_: DataFrame) -> DataFrame:
     return rates_.agg(F.round(F.avg("rate"), 6).alias("macro_rate"), F.count(F.lit(1)).alias("n_groups"))
 
 
-#: Values of a group up to which a task puts them in order at once; parts into which the distinct values of a larger group are cut.
-HELD, PARTS = 1 << 20, 64
+#: Values of a group up to which a task puts them in order at once; values of a part of a larger group, about, and the fewest and the most parts.
+HELD, PART_VALUES, PARTS = 1 << 20, 1 << 18, (64, 4096)
 
 
 def values_at(df: DataFrame, group: Sequence[str], value: str, places, held: int | None = None) -> DataFrame:
@@ -35,9 +35,10 @@ def values_at(df: DataFrame, group: Sequence[str], value: str, places, held: int
     """
     held = HELD if held is None else held
     v = df.where(F.col(value).isNotNull()).select(F.struct(*group).alias("_g"), F.col(value).alias("_v"))
-    large = v.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > held).select("_g")
+    counted = v.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > held)
+    large = counted.select("_g")
     # at most one group for every ``held`` rows, and none as a rule
-    some = [r[0] for r in large.limit(HELD).collect()]
+    some = [r[0] for r in counted.select("_n").limit(HELD).collect()]
     ordered = v.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.max("_v").alias("largest"), F.sort_array(F.collect_list("_v")).alias("_s"))
     taken = F.transform(F.array_distinct(places(F.col("n"))), lambda p: F.struct(p.cast("long").alias("p"), F.get("_s", p.cast("int")).alias("v")))
     small = lambda rows: rows.select("_g", "n", "largest", F.map_from_entries(taken).alias("found"))
@@ -46,29 +47,32 @@ def values_at(df: DataFrame, group: Sequence[str], value: str, places, held: int
     else:
         own = F.broadcast(large) if len(some) < HELD else large
         rest = v.join(own, "_g", "left_anti").groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.max("_v").alias("largest"), F.sort_array(F.collect_list("_v")).alias("_s"))
-        out = small(rest).unionByName(_values_of_large(v.join(own, "_g", "left_semi"), places))
+        out = small(rest).unionByName(_values_of_large(v.join(own, "_g", "left_semi"), places, max(some)))
     return out.select(*[F.col(f"_g.{c}").alias(c) for c in group], "n", "largest", "found")
 
 
-def _values_of_large(v: DataFrame, places) -> DataFrame:
-    """(_g, n, largest, found) of (_g, _v), for groups of any size.
+def _values_of_large(v: DataFrame, places, most: int) -> DataFrame:
+    """(_g, n, largest, found) of (_g, _v), for groups of any size; the largest has ``most`` values.
 
-    Equal values are combined before they meet, and written once.  A sketch of a group's values cuts them into PARTS
-    parts; the parts are counted, and only those that hold a place are put in order, each on its own, so that no task
-    sorts a whole group.
+    A sketch of a group's values cuts them into parts, the more the larger the groups are; the parts are counted, and
+    only those that hold a place are combined by value and put in order, each on its own.  So no task sorts a whole
+    group, or keeps the distinct values of one.
     """
+    bits = (min(max(most // PART_VALUES, PARTS[0]), PARTS[1]) - 1).bit_length()
+    parts_ = 1 << bits
     folder = scratch(v.sparkSession, "values")
-    c = v.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    c.write.parquet(folder)
-    c = v.sparkSession.read.schema(c.schema).parquet(folder)
-    cuts = F.percentile_approx("_v", F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)]), F.lit(4 * PARTS))
-    whole = c.groupBy("_g").agg(F.sum("_c").alias("n"), F.max("_v").alias("largest"), cuts.alias("_cuts"))
-    dealt = c.join(whole, "_g").withColumn("_part", F.size(F.filter("_cuts", lambda x: x < F.col("_v"))))
-    parts = dealt.groupBy("_g", "_part").agg(F.sum("_c").alias("_in"), F.first("n").alias("n"), F.first("largest").alias("largest"))
+    cuts = F.percentile_approx("_v", F.array(*[F.lit(i / parts_) for i in range(1, parts_)]), F.lit(4 * parts_))
+    whole = v.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.max("_v").alias("largest"), cuts.alias("_cuts"))
+    whole.write.parquet(folder)
+    whole = v.sparkSession.read.schema(whole.schema).parquet(folder)
+    dealt = v.join(whole, "_g").withColumn("_part", F.lit(0))
+    for step in (1 << i for i in reversed(range(bits))):  # the cuts below a value, by halving
+        dealt = dealt.withColumn("_part", F.col("_part") + F.when(F.get("_cuts", F.col("_part") + (step - 1)) < F.col("_v"), step).otherwise(0))
+    parts = dealt.groupBy("_g", "_part").agg(F.count(F.lit(1)).alias("_in"), F.first("n").alias("n"))
     before = F.coalesce(F.sum("_in").over(Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     asked = parts.withColumn("_from", before).withColumn("_at", F.explode(F.array_distinct(places(F.col("n"))))).where((F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_from") + F.col("_in")))
     kept = asked.groupBy("_g", "_part").agg(F.first("_from").alias("_from"), F.collect_list("_at").alias("_ats"))
-    inside = dealt.select("_g", "_part", "_v", "_c").join(kept, ["_g", "_part"])
+    inside = dealt.select("_g", "_part", "_v").join(F.broadcast(kept), ["_g", "_part"]).groupBy("_g", "_part", "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_from").alias("_from"), F.first("_ats").alias("_ats"))
     upto = F.sum("_c").over(Window.partitionBy("_g", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_from")
     hits = inside.withColumn("_to", upto).withColumn("_at", F.explode("_ats")).where((F.col("_at") < F.col("_to")) & (F.col("_at") >= F.col("_to") - F.col("_c")))
     found = hits.groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct(F.col("_at").cast("long"), "_v"))).alias("found"))

@@ -80,3 +80,13 @@ def test_order_statistics_by_either_way(spark, held):
         s = sorted(vs)
         assert (got[g].n, got[g].largest) == (len(s), s[-1])
         assert got[g].found == {len(s) // 2: s[len(s) // 2], len(s) - 1: s[-1], 0: s[0]}
+
+
+def test_no_distinct_values_of_a_large_group_are_kept(spark, monkeypatch, tmp_path):
+    """A large group leaves a row with its cuts, not a table of its values."""
+    folders = []
+    monkeypatch.setattr(E, "scratch", lambda _, name: folders.append(f"{tmp_path}/{name}{len(folders)}") or folders[-1])
+    df = spark.range(20_000).select((F.col("id") % 2).alias("g"), (F.col("id") * 0.5).alias("v"))
+    got = {r.g: (r.n, r.largest, r.found) for r in E.values_at(df, ["g"], "v", lambda n: F.array(F.lit(0).cast("long"), n - 1), 100).collect()}
+    assert got == {g: (10_000, (19_998 + g) * 0.5, {0: g * 0.5, 9_999: (19_998 + g) * 0.5}) for g in (0, 1)}
+    assert sum(spark.read.parquet(f).count() for f in folders) == 2
