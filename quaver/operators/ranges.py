@@ -31,6 +31,11 @@ def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int =
     return df.sparkSession.read.schema(cut.schema).parquet(folder)
 
 
+def over_edges(cut: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys with rows in several ranges: one an edge at most."""
+    return cut.groupBy(*keys).agg(F.min(PART).alias("_a"), F.max(PART).alias("_z")).where("_a < _z").select(*keys)
+
+
 def carried(cut: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column) -> DataFrame:
     """(_part, keys, carried): the last known ``value`` in the ranges before, for the keys that go over an edge."""
     mark = F.when(value.isNotNull(), F.struct(*order))

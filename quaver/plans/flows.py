@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quaver.functions import text as X
 from quaver.operators.digests import corpus_digest
-from quaver.operators.ranges import last_known, numbered, ranged
+from quaver.operators.ranges import PART, ROWS, last_known, over_edges, ranged
 from quaver.operators.resampling import HALF, low_pass, resample
 from quaver.operators.stitching import stitch as stitched
 from quaver.plans.base import micros, query
@@ -40,6 +41,44 @@ def job_states(t):
     return replay(log_of(t.events)).withColumnRenamed("job", "user_id")
 
 
+def _pieces(t):
+    """(rec, words, first): the words of each turn and the place of the first of them in its conversation.  Rows of one turn
+    take turns word by word."""
+    rows = t.conversations.where("text IS NOT NULL").select(F.struct("conv_id").alias("rec"), F.struct(F.col("turn").isNull().alias("none"), "turn").alias("turn"), "text")
+    shared = rows.groupBy("rec", "turn").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rec", "turn", F.lit(True).alias("shared"))
+    folder = scratch(t.spark, "shared")  # few: its size is known before it is joined
+    shared.write.parquet(folder)
+    shared = t.spark.read.schema(shared.schema).parquet(folder)
+    one = lambda text, p: F.struct(p.alias("p"), text.alias("text"))
+    split = F.transform(_words("text"), lambda w, p: one(w, p))
+    texts = rows.join(shared, ["rec", "turn"], "left").select("rec", "turn", F.explode(F.when(F.col("shared"), split).otherwise(F.array(one(F.col("text"), F.lit(0))))).alias("x")).select("rec", "turn", "x.*")
+    # texts are cut into ranges; what earlier ranges hold of a conversation is carried over their edges
+    order = ["turn", "p"]
+    cut = ranged(texts, ["rec"], order, ROWS // 10)
+    held = cut.join(F.broadcast(over_edges(cut, ["rec"])), "rec", "left_semi").groupBy(PART, "rec").agg(F.sum(F.size(_words("text"))).alias("n"))
+    before = Window.partitionBy("rec").orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select(PART, "rec", F.sum("n").over(before).alias("carried"))
+    pieces = cut.repartition(PART, "rec").withColumn("words", _words("text")).drop("text")
+    own = Window.partitionBy(PART, "rec").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("own", F.sum(F.size("words")).over(own)).join(F.broadcast(held), [PART, "rec"], "left")
+    return pieces.select("rec", "words", (F.coalesce("own", F.lit(0)) + F.coalesce("carried", F.lit(0))).cast("long").alias("first")).where(F.size("words") > 0)
+
+
+def _words(c):
+    return F.regexp_extract_all(c, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+
+def _twenties(pieces):
+    """(rec, seg, said): 20 words from every 17th on, as far as there are more than in the window before; a piece gives each of
+    its windows a slice."""
+    first, n = F.col("first"), F.size("words")
+    seg = F.explode(F.sequence(F.greatest(F.floor(first / 17) - F.when(first % 17 < 3, 1).otherwise(0), F.lit(0)), F.floor((first + n - 1) / 17)))
+    j = pieces.withColumn("seg", seg).withColumn("at", F.greatest(F.col("seg") * 17 - first, F.lit(0)).cast("int"))
+    part = F.slice("words", F.col("at") + 1, (F.least(F.col("seg") * 17 + 20 - first, n) - F.col("at")).cast("int"))
+    j = j.select("rec", F.col("seg").cast("int").alias("seg"), F.struct((first + F.col("at")).alias("i"), part.alias("ws")).alias("x"))
+    return j.groupBy("rec", "seg").agg(F.array_sort(F.collect_list("x")).alias("xs")).select("rec", "seg", F.flatten(F.transform("xs", lambda x: x["ws"])).alias("said"))
+
+
 @query(r"""
 WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS p FROM conversations WHERE text IS NOT NULL),
 l AS (SELECT conv_id, list(word ORDER BY turn, p) AS ws, count(*) AS n FROM w GROUP BY 1),
@@ -52,25 +91,25 @@ FROM s WHERE a <= b
 def stitch(t):
     """Every conversation heard in windows of 20 words that begin 3 words early; every third window hears its first word
     otherwise and all of its words a quarter of a second early, so that a cut falls into a word."""
-    c = t.conversations.where("text IS NOT NULL").select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("p", "word"))
-    order = ["turn", "p"]
-    words = numbered(ranged(c, ["conv_id"], order), ["conv_id"], order, "i")
-    # a word lies in the window that begins at or before it, and, among the three before a window, in that one too
-    last = F.floor(F.col("i") / 17)
-    k = words.withColumn("seg", F.explode(F.when((F.col("i") % 17 < 3) & (last > 0), F.array(last - 1, last)).otherwise(F.array(last)))).withColumn("seg", F.col("seg").cast("int"))
-    early, j = F.col("seg") % 3 == 2, F.col("i") - F.col("seg") * 17
-    start = 5 + F.col("i") * 0.5 + F.when(early, -0.125).otherwise(0.125)
-    stop = 5.5 + F.col("i") * 0.5
-    half = lambda a, z: F.struct(F.lit("x").alias("char"), a.cast("double").alias("start"), z.cast("double").alias("stop"))
-    word = F.when(early & (j == 0), F.lit("(inaudible)")).otherwise(F.col("word"))
-    heard = F.struct(X.normalized(word).alias("key"), word.alias("word"), start.cast("double").alias("start"), stop.cast("double").alias("stop"), F.array(half(start, start + 0.25), half(start + 0.25, stop)).alias("chars"))
-    windows = k.groupBy(F.col("conv_id").alias("rec"), "seg").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", heard.alias("w")))), lambda x: x["w"]).alias("words"))
-    begin = (8.5 * F.col("seg")).cast("double")
-    windows = windows.select("rec", "seg", (5 + begin).alias("window_start"), (5.625 + begin).alias("core"), F.lit("en").alias("language"), "words")
+    early, begin = F.col("seg") % 3 == 2, (8.5 * F.col("seg")).cast("double")
+    said = F.when(early, F.concat(F.array(F.lit("(inaudible)")), F.slice("said", 2, 19))).otherwise(F.col("said"))
+    windows = _twenties(_pieces(t)).select("rec", "seg", (5 + begin).alias("window_start"), (5.625 + begin).alias("core"), F.lit("en").alias("language"), (5 + begin + F.when(early, -0.125).otherwise(0.125)).cast("double").alias("first"), said.alias("said"))
     folder = scratch(t.spark, "heard")  # read twice: counted, and cut into ranges
     windows.write.parquet(folder)
-    out = stitched(t.spark.read.schema(windows.schema).parquet(folder))
-    return out.select(F.col("rec").alias("conv_id"), F.col("seg").alias("segment"), "start", "stop", "text", "uncertain", "conflict", F.size("words").alias("n_words"), F.size(F.filter("words", lambda w: w["estimated"])).alias("n_estimated"), F.aggregate("words", F.lit(0), lambda a, w: a + F.size(w["chars"])).alias("n_chars"))
+
+    def heard(*fields):
+        """The fields of a window's words, from the words themselves and their places."""
+
+        def of(w, j):
+            start, stop = F.col("first") + j * 0.5, F.col("window_start") + 0.5 + j * 0.5
+            half = lambda a, z: F.struct(F.lit("x").alias("char"), a.alias("start"), z.alias("stop"))
+            made = {"key": X.normalized(w), "word": w, "start": start, "stop": stop, "chars": F.array(half(start, start + 0.25), half(start + 0.25, stop))}
+            return F.struct(*[made[f].alias(f) for f in fields])
+
+        return F.transform("said", of)
+
+    out = stitched(t.spark.read.schema(windows.schema).parquet(folder), hear=heard)
+    return out.select("rec.conv_id", F.col("seg").alias("segment"), "start", "stop", "text", "uncertain", "conflict", F.size("words").alias("n_words"), F.size(F.filter("words", lambda w: w["estimated"])).alias("n_estimated"), F.aggregate("words", F.lit(0), lambda a, w: a + F.size(w["chars"])).alias("n_chars"))
 
 
 @query("""

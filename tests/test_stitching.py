@@ -2,9 +2,12 @@
 
 import random
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quaver.operators.stitching import REACH, stitch
+from quaver.plans.registry import ORACLES, QUERIES
 
 WORDS = "array<struct<key:string,word:string,start:double,stop:double,chars:array<struct<char:string,start:double,stop:double>>>>"
 SCHEMA = f"rec int, seg int, window_start double, core double, language string, words {WORDS}"
@@ -116,3 +119,48 @@ def test_odd_windows(spark):
     rows = [(7, 1, 0.0, 0.0, None, [word("a", 0.0, 1.0)]), (7, 2, 1.0, 1.0, None, None), (7, 3, 2.0, 2.0, None, []), (7, 4, 3.0, 3.0, None, [None, word("b", 4.0, 5.0)]), (None, 1, 0.0, 0.0, None, [word("a", 0.0, 1.0)])]
     got = stitch(spark.createDataFrame(rows, SCHEMA)).orderBy("seg").collect()
     assert [(r.rec, r.seg, r.text) for r in got] == [(7, 1, "a"), (7, 4, "b")]
+
+
+def test_words_never_become_rows(spark):
+    """A word that is a row of its own made the job's time and disk grow with the words, several times over."""
+    said = [(f"w{i}", i * 0.5, i * 0.5 + 0.5) for i in range(100)]
+    out = stitch(spark.createDataFrame([(1, *seg(n, n * 8.5, n * 8.5 + 0.75, *said[n * 17 : n * 17 + 20])) for n in range(6)], SCHEMA))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+
+
+def test_windows_that_say_their_words_late(spark):
+    """With ``hear``, only what the words are made from travels; the result is the same, over edges of ranges too."""
+    rng = random.Random(5)
+    segments = [(rec, n, n * 8.5, n * 8.5 + 0.75, "en", " ".join(rng.choice("abc") for _ in range(20))) for rec in range(3) for n in range(rng.randint(1, 40))]
+    said = spark.createDataFrame(segments, "rec int, seg int, window_start double, core double, language string, said string")
+
+    def hear(*fields):
+        def of(w, i):
+            start, stop = F.col("window_start") + i * 0.5 - 0.125 * (F.col("seg") % 2), F.col("window_start") + i * 0.5 + 0.5
+            have = {"key": w, "word": w, "start": start, "stop": stop, "chars": F.array(F.struct(w.alias("char"), start.alias("start"), stop.alias("stop")))}
+            return F.struct(*[have[f].alias(f) for f in fields])
+
+        return F.transform(F.split("said", " "), of)
+
+    whole = said.withColumn("words", hear("key", "word", "start", "stop", "chars")).drop("said")
+    want = stitch(whole).orderBy("rec", "seg").collect()
+    assert want and any(r.conflict for r in want)
+    for rows in (4, 10_000):
+        assert stitch(said, rows, hear).orderBy("rec", "seg").collect() == want
+
+
+def test_query_on_odd_rows(spark, tmp_path):
+    """No conversation's id, no turn, several rows of one turn, and one conversation in many ranges."""
+    text = " ".join(f"w{i}" for i in range(45))
+    rows = [(None, 0, text), (None, 1, "x y"), (1, None, "last words"), (1, 0, text), (1, 2, None), (2, 0, text), (2, 0, text), (2, 1, ""), (2, 1, " the end "), (3, 0, None)]
+    rows += [(4, t, " ".join(f"t{t}w{i}" for i in range(t % 30))) for t in range(200)]
+    rows = [(c, t, "user", x) for c, t, x in rows]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    c = duckdb.connect()
+    c.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    want = c.sql(ORACLES["stitch"])
+    got = QUERIES["stitch"](spark, str(tmp_path)).select(*want.columns).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(map(tuple, got), key=key) == sorted(want.fetchall(), key=key)
